@@ -61,29 +61,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", rows_a_task: int = 50_000) -> DataFrame:
     """Connected components of an undirected graph: (node, root) with the smallest reachable node as root.
 
-    Alternates large-star and small-star steps on a table of edges in the shared folder until nothing changes;
-    every step is two shuffles of the edges, and only the count of changed rows reaches the driver. Self loops and
-    repeated edges are allowed; a node with null is dropped. Nodes without an edge to another node are not returned.
+    Alternates large-star and small-star steps on a table of edges in the shared folder until nothing changes; only the
+    count and a checksum of the edges reach the driver. A step's tables are written by as many tasks as the edges need,
+    not as the session has shuffle partitions. Self loops and repeated edges are allowed; a node with null is dropped.
+    Nodes without an edge to another node are not returned.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
     e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while True:
+    mark = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = mark(e)
+    tasks = max(8, seen[0] // rows_a_task)
+    e = e.coalesce(tasks)
+    while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        least = saved(least)
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks))
+        large = saved(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks))
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        if step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == e.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first():
-            return step.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        e = step
+        e = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
+        before, seen = seen, mark(e)
+        if before == seen:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

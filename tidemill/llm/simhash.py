@@ -126,7 +126,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = 3, bits: in
     found = saved(components(links(groups.select("fp"), bits)))
     named = groups.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = saved(named)
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = saved(named.groupBy("root").agg(F.min("first").alias("component_id")))
     named = saved(named.join(least, "root").select("fp", "component_id"))
     out = prints.join(named, "fp")
     return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
