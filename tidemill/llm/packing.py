@@ -9,6 +9,8 @@ its length go to which sequences, at which offset; executors number the pieces o
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,20 +22,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Memo, map_arrow, saved
+from tidemill.llm.token_counts import byte_letters
 
 PIECES = "id {}, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space, so what stands between spaces is apart."""
+    """Ids of texts by a tokenizers file whose pre-tokenizer drops white space.
 
-    def __init__(self, path: str, most: int = 200_000):
+    A text of Latin-1 characters alone is lower-cased and cut as the file's normalizer and pre-tokenizer would do it, and
+    the library's model gives each piece's ids; they are remembered within a bound. In all other texts, those with control
+    characters that only Python takes for white space, and those that may hold a special string, what stands between spaces
+    goes through the whole library.
+    """
+
+    PIECES = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
+
+    def __init__(self, path: str, most: int = 330_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = Memo(lambda w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), most)
+        self.letters = byte_letters()
+        self.pieces = Memo(self.piece, most)
+        self.words = Memo(self.word, most // 8)
+
+    def piece(self, text: str) -> bytes:
+        text = text if text.isascii() and text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
+        ids = [t.id for t in self.library.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def latin(self, text: str) -> bool:
+        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
 
     def encode(self, text: str) -> bytes:
+        if self.latin(text):
+            return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(text.lower())))
         return b"".join(map(self.words.__getitem__, text.split(" ")))
 
 
