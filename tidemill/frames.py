@@ -47,6 +47,17 @@ def with_position(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, name:
     return rows.withColumn("_own", own).join(base, [*keys, "_day"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_own", "_base")
 
 
+def running_sum(df: DataFrame, x: Column, name: str, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+    """``df`` with the sum of ``x`` over a key's rows up to each by ``ts``: within (key, day), on top of the sums of the days
+    before. Nulls count as zero."""
+    rows = df.withColumns({"_day": F.to_date(F.col(ts)), "_x": F.coalesce(x, F.lit(0))})
+    days = rows.groupBy(*keys, "_day").agg(F.sum("_x").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    base = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.sum("_x").over(Window.partitionBy(*keys, "_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_own", own).join(base, [*keys, "_day"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_x", "_own", "_base")
+
+
 def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str, Column]], keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
     """``df`` with the columns that ``build`` makes from a window that reads at most ``back`` rows before a row.
 

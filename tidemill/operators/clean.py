@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, minutes_after, ordered, seconds
+from tidemill.frames import KEYS, TS, look_back, minutes_after, running_sum, seconds
 from tidemill.sources.bars import OHLC
 
 
@@ -49,22 +49,20 @@ def last_of_each(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     return picked.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(df.columns)
 
 
-def without_stale(df: DataFrame, price: str = "close", longest: int = 60, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+def without_stale(df: DataFrame, price: str = "close", longest: int = 60, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
     """Of a run of ``longest`` rows or more with one price, only the first row; as it is if there is no such column."""
     if price not in df.columns:
         return df
-    w = ordered(keys, ts)
-    rows = df.withColumn("_same", F.coalesce(F.col(price) == F.lag(price).over(w), F.lit(False)))
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_same"), 0).otherwise(1)).over(w))
+    rows = look_back(df, 1, lambda w: {"_same": F.coalesce(F.col(price) == F.lag(price).over(w), F.lit(False))}, keys, ts, block)
+    rows = running_sum(rows, F.when(F.col("_same"), 0).otherwise(1), "_run", keys, ts)
     size = F.count("*").over(Window.partitionBy(*keys, "_run"))
     return rows.withColumn("_size", size).filter(~(F.col("_same") & (F.col("_size") >= longest))).drop("_same", "_run", "_size")
 
 
-def gaps(df: DataFrame, above: int, upto: int | None, step: int = 1, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+def gaps(df: DataFrame, above: int, upto: int | None, step: int = 1, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
     """Spans between neighbours more than ``above`` and at most ``upto`` minutes apart: first and last missing bar, how
     many bars of ``step`` minutes are missing, and the seconds between the neighbours."""
-    w = ordered(keys, ts)
-    rows = df.select(*keys, F.lag(ts).over(w).alias("_a"), F.col(ts).alias("_b")).withColumn("gap_seconds", seconds(F.col("_a"), F.col("_b")))
+    rows = look_back(df.select(*keys, ts), 1, lambda w: {"_a": F.lag(ts).over(w)}, keys, ts, block).withColumnRenamed(ts, "_b").withColumn("gap_seconds", seconds(F.col("_a"), F.col("_b")))
     rows = rows.filter((F.col("gap_seconds") > above * 60) & (F.lit(True) if upto is None else F.col("gap_seconds") <= upto * 60))
     missing = F.greatest(F.floor(F.col("gap_seconds") / (60 * step)) - 1, F.lit(0)).cast("int")
     return rows.select(*keys, minutes_after(F.col("_a"), step).alias("gap_start"), minutes_after(F.col("_b"), -step).alias("gap_end"), missing.alias("gap_missing"), "gap_seconds")
@@ -73,19 +71,19 @@ def gaps(df: DataFrame, above: int, upto: int | None, step: int = 1, keys: Seque
 def invalid_blocks(df: DataFrame, columns: Sequence[str] = OHLC, step: int = 1, least: int = 1, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """Runs of rows with a null or zero price, of ``least`` minutes or more. A run ends with its day, at a step other than
     ``step`` minutes, and where the state changes; it lasts until ``step`` after its last row."""
-    w = ordered(keys, ts)
+    w = Window.partitionBy(*keys, "_day").orderBy(ts)  # no run goes beyond its day
     bad = F.lit(False)
     for c in columns:
         bad = bad | F.col(c).isNull() | F.coalesce(F.col(c) == 0, F.lit(False))
-    rows = df.select(*keys, ts, bad.alias("is_invalid"))
-    fresh = (F.to_date(ts) != F.to_date(F.lag(ts).over(w))) | (seconds(F.lag(ts).over(w), F.col(ts)) != step * 60) | (F.col("is_invalid") != F.lag("is_invalid").over(w))
+    rows = df.select(*keys, ts, F.to_date(ts).alias("_day"), bad.alias("is_invalid"))
+    fresh = (seconds(F.lag(ts).over(w), F.col(ts)) != step * 60) | (F.col("is_invalid") != F.lag("is_invalid").over(w))
     rows = rows.withColumn("_block", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w))
-    found = rows.groupBy(*keys, "_block").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.first("is_invalid").alias("is_invalid"), F.count("*").alias("n_rows"))
+    found = rows.groupBy(*keys, "_day", "_block").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.first("is_invalid").alias("is_invalid"), F.count("*").alias("n_rows"))
     found = found.withColumn("seconds", seconds(F.col("start"), F.col("end")) + step * 60)
-    return found.filter(F.col("is_invalid") & (F.col("seconds") >= least * 60)).drop("_block")
+    return found.filter(F.col("is_invalid") & (F.col("seconds") >= least * 60)).drop("_day", "_block")
 
 
-def clean_bars(raw: DataFrame, keys: Sequence[str] = ("pair", "side"), ts: str = TS, ordinal: str = "ordinal", longest: int = 60) -> DataFrame:
+def clean_bars(raw: DataFrame, keys: Sequence[str] = ("pair", "side"), ts: str = TS, ordinal: str = "ordinal", longest: int = 60, block: int | None = None) -> DataFrame:
     """Trading week, then last of duplicate times, then sane prices, then no stale runs: the order matters."""
     rows = last_of_each(raw.filter(F.col(ts).isNotNull() & in_fx_week(F.col(ts))), [*keys, ts], ordinal)
-    return without_stale(rows.filter(sane()), longest=longest, keys=keys, ts=ts).drop(ordinal)
+    return without_stale(rows.filter(sane()), longest=longest, keys=keys, ts=ts, block=block).drop(ordinal)

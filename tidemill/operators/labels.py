@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, with_position
+from tidemill.frames import KEYS, TS, running_sum, with_position
 from tidemill.storage import saved
 
 
@@ -66,14 +66,13 @@ def _intervals(bars: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: s
 def concurrency(bars: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """(key, ts, pos, concurrency): how many intervals [t0, t_end] cover each bar, from steps up and down at their ends."""
     pos, x = _intervals(bars.select(*keys, ts), intervals, keys, ts)
-    return _cover(pos, x, keys).select(*keys, ts, F.col("_pos").alias("pos"), F.col("_c").alias("concurrency"))
+    return _cover(pos, x, keys, ts).select(*keys, ts, F.col("_pos").alias("pos"), F.col("_c").alias("concurrency"))
 
 
-def _cover(pos: DataFrame, x: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _cover(pos: DataFrame, x: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     steps = x.select(*keys, F.explode(F.array(F.struct(F.col("_s").alias("_pos"), F.lit(1).alias("_d")), F.struct((F.col("_e") + 1).alias("_pos"), F.lit(-1).alias("_d")))).alias("_x")).select(*keys, "_x.*")
     steps = steps.groupBy(*keys, "_pos").agg(F.sum("_d").alias("_d"))
-    w = Window.partitionBy(*keys).orderBy("_pos")
-    return pos.join(steps, [*keys, "_pos"], "left").withColumn("_c", F.sum(F.coalesce("_d", F.lit(0))).over(w)).drop("_d")
+    return running_sum(pos.join(steps, [*keys, "_pos"], "left"), F.col("_d"), "_c", keys, ts).drop("_d")
 
 
 def sample_weights(bars: DataFrame, intervals: DataFrame, r: str = "ret_1", cap: float = 0.99, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
@@ -81,9 +80,8 @@ def sample_weights(bars: DataFrame, intervals: DataFrame, r: str = "ret_1", cap:
     its bar, scaled to sum to their number, cut at the ``cap`` quantile and scaled again. All zero gives ones. A missing
     return counts as zero."""
     pos, x = _intervals(bars.select(*keys, ts, F.col(r).alias("_r")), intervals.select(*keys, "t0", "t_end"), keys, ts)
-    w = Window.partitionBy(*keys).orderBy("_pos")
-    covered = _cover(pos, x, keys).withColumn("_a", F.when(F.col("_c") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("_c")).otherwise(0.0))
-    sums = covered.select(*keys, "_pos", "_a", F.sum("_a").over(w).alias("_sum"))
+    covered = _cover(pos, x, keys, ts).withColumn("_a", F.when(F.col("_c") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("_c")).otherwise(0.0))
+    sums = saved(running_sum(covered.select(*keys, ts, "_pos", "_a"), F.col("_a"), "_sum", keys, ts))
     at_s = sums.select(*keys, F.col("_pos").alias("_s"), (F.col("_sum") - F.col("_a")).alias("_before"))
     at_e = sums.select(*keys, F.col("_pos").alias("_e"), F.col("_sum").alias("_upto"))
     x = x.join(at_s, [*keys, "_s"]).join(at_e, [*keys, "_e"]).withColumn("_w", F.abs(F.col("_upto") - F.col("_before")))

@@ -109,6 +109,21 @@ def diagnostics(bars: DataFrame, events: DataFrame, keys: Sequence[str] = KEYS,
     return out
 
 
+def deciles(df: DataFrame, score: str, outcome: str, tie: str, keys: Sequence[str] = (), n: int = 10) -> DataFrame:
+    """(key, bucket, n, mean score, mean outcome): rows in ``n`` buckets of equal size by ``score``, ties by ``tie``."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    x = df.filter(F.col(score).isNotNull() & F.col(outcome).isNotNull()).withColumn("bucket", F.ntile(n).over(w.orderBy(score, tie)))
+    return x.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"))
+
+
+def decile_order(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(key, rank_corr): the rank correlation of buckets' mean score and mean outcome; equals share their average rank."""
+    from tidemill.operators.cscv import average_rank
+
+    x = table.withColumns({"_a": average_rank("mean_score", keys), "_b": average_rank("mean_outcome", keys)})
+    return x.groupBy(*keys).agg(F.corr("_a", "_b").alias("rank_corr"))
+
+
 def take_rates(df: DataFrame, take: Column, side: str = "side", keys: Sequence[str] = ()) -> DataFrame:
     """(key, side, n, share of all, taken, share of taken, take_rate)."""
     n = df.filter(F.col(side).isNotNull()).groupBy(*keys, F.col(side).alias("side")).agg(F.count("*").alias("n"), F.count_if(take).alias("taken"))

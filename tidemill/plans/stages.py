@@ -14,7 +14,8 @@ from tidemill.storage import saved
 
 @dataclass(frozen=True)
 class FeatureParams:
-    """Sampling and labelling. Barriers count rows of the session frame; ``minutes`` is the length of a bar."""
+    """Sampling and labelling. Barriers count rows of the session frame; ``minutes`` is the length of a bar; ``block`` deals long histories
+    in parts (see ``look_back``)."""
 
     horizon: int = 60
     minutes: int = 1
@@ -25,20 +26,21 @@ class FeatureParams:
     lookback: int = 15
     start: int = 8
     end: int = 18
+    block: int | None = None
 
 
-def clean_stage(raw: DataFrame, step: int = 1) -> dict[str, DataFrame]:
+def clean_stage(raw: DataFrame, step: int = 1, block: int | None = None) -> dict[str, DataFrame]:
     """Cleaned bars of each side with their short (to two days) and long gaps and invalid blocks."""
     keys = ("pair", "side")
-    bars = clean.clean_bars(raw, keys)
-    return {"bars": bars, "short_gaps": clean.gaps(bars, step, 2880, step, keys), "long_gaps": clean.gaps(bars, 2880, None, step, keys), "invalid_blocks": clean.invalid_blocks(bars, step=step, keys=keys)}
+    bars = saved(clean.clean_bars(raw, keys, block=block))
+    return {"bars": bars, "short_gaps": clean.gaps(bars, step, 2880, step, keys, block=block), "long_gaps": clean.gaps(bars, 2880, None, step, keys, block=block), "invalid_blocks": clean.invalid_blocks(bars, step=step, keys=keys)}
 
 
-def join_stage(bars: DataFrame, step: int = 1) -> dict[str, DataFrame]:
+def join_stage(bars: DataFrame, step: int = 1, block: int | None = None) -> dict[str, DataFrame]:
     """Bid and ask bars of every pair that has both, with their gaps and invalid blocks."""
-    joined = quotes.join_sides(bars)
+    joined = saved(quotes.join_sides(bars))
     prices = [c for c in joined.columns if c.endswith(("_bid", "_ask"))]
-    return {"bars": joined, "short_gaps": clean.gaps(joined, step, 2880, step), "long_gaps": clean.gaps(joined, 2880, None, step), "invalid_blocks": clean.invalid_blocks(joined, prices, step)}
+    return {"bars": joined, "short_gaps": clean.gaps(joined, step, 2880, step, block=block), "long_gaps": clean.gaps(joined, 2880, None, step, block=block), "invalid_blocks": clean.invalid_blocks(joined, prices, step)}
 
 
 def feature_stage(joined: DataFrame, p: FeatureParams = FeatureParams(), start=None, end=None) -> DataFrame:
@@ -46,11 +48,11 @@ def feature_stage(joined: DataFrame, p: FeatureParams = FeatureParams(), start=N
     room for the horizon and labelled on all session bars; a pair without events has no rows."""
     vol = f"vol_{p.vol}"
     span = joined if start is None else joined.filter(F.col(TS).between(start, end))
-    bars = saved(features.with_returns(features.with_mid(span), vol=p.vol))
+    bars = saved(features.with_returns(features.with_mid(span), vol=p.vol, block=p.block))
     floor = events.sigma_floor(bars, vol)
     eligible = bars.join(floor, [*KEYS]).filter(events.in_session_with_runway(F.col(TS), p.horizon, p.minutes, p.start, p.end))
     found = events.cusum_events(eligible, sigma=vol, k=p.k, spacing_seconds=60 * p.spacing_minutes, floor="floor")
-    session = saved(features.reversion_side(bars.filter(events.in_session(F.col(TS), p.start, p.end)), p.lookback, vol=vol))
+    session = saved(features.reversion_side(bars.filter(events.in_session(F.col(TS), p.start, p.end)), p.lookback, vol=vol, block=p.block))
     barrier = saved(labels.triple_barrier(session, found, labels.Barriers(p.horizon, p.barrier, p.barrier, vol=vol, session_end=p.end)))
     weights = labels.sample_weights(bars, barrier)
     out = session.join(barrier.withColumnRenamed("t0", TS), [*KEYS, TS])

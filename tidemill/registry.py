@@ -349,7 +349,7 @@ def concurrency(spark, sf):
     return labels.concurrency(a.feature_bars(spark, sf), _labels(spark, sf))
 
 
-@query(f"with {COVER} select pair, count(*) as bars, round(avg(concurrency), 8) as mean, quantile_cont(concurrency, 0.5) as p50, quantile_cont(concurrency, 0.9) as p90 from cover where concurrency > 0 group by pair")
+@query(f"with {COVER} select pair, count(*) as bars, round(avg(concurrency), 8) as mean, round(quantile_cont(concurrency, 0.5), 8) as p50, round(quantile_cont(concurrency, 0.9), 8) as p90 from cover where concurrency > 0 group by pair")
 def concurrency_stats(spark, sf):
     return report.concurrency_stats(a.feature_bars(spark, sf), _labels(spark, sf))
 
@@ -396,7 +396,7 @@ def label_diagnostics(spark, sf):
     return report.diagnostics(bars, found)
 
 
-@query("with d as (select event_type, cast(ts as date) as day, count(*) as n from events group by 1, 2) select event_type, count(*) as days, quantile_cont(n, 0.5) as median, quantile_cont(n, 0.25) as q1, quantile_cont(n, 0.75) as q3, quantile_cont(n, 0.75) - quantile_cont(n, 0.25) as iqr from d group by event_type")
+@query("with d as (select event_type, cast(ts as date) as day, count(*) as n from events group by 1, 2) select event_type, count(*) as days, round(quantile_cont(n, 0.5), 8) as median, round(quantile_cont(n, 0.25), 8) as q1, round(quantile_cont(n, 0.75), 8) as q3, round(quantile_cont(n, 0.75) - quantile_cont(n, 0.25), 8) as iqr from d group by event_type")
 def events_per_day(spark, sf):
     return report.events_per_day(a.table(spark, sf, "events"), keys=["event_type"])
 
@@ -536,6 +536,24 @@ def take_rates(spark, sf):
     return report.take_rates(e, F.col("value") > 60, keys=["event_type"])
 
 
+DECILES = "d as (select event_type, value as score, value * 2 + user_id as outcome, ntile(10) over (partition by event_type order by value, event_id) as bucket from events), t as (select event_type, bucket, count(*) as n, avg(score) as mean_score, avg(outcome) as mean_outcome from d group by all)"
+
+
+def _deciles(spark, sf):
+    e = a.table(spark, sf, "events").withColumn("outcome", F.col("value") * 2 + F.col("user_id"))
+    return report.deciles(e, "value", "outcome", "event_id", ["event_type"])
+
+
+@query(f"with {DECILES} select event_type, bucket, n, round(mean_score, 6) as mean_score, round(mean_outcome, 6) as mean_outcome from t", 6)
+def score_deciles(spark, sf):
+    return _deciles(spark, sf).withColumn("bucket", F.col("bucket").cast("long"))
+
+
+@query(f"with {DECILES}, r as (select *, rank() over (partition by event_type order by mean_score) as ra, rank() over (partition by event_type order by mean_outcome) as rb from t) select event_type, round(corr(ra, rb), 6) as rank_corr from r group by event_type", 6)
+def decile_order(spark, sf):
+    return report.decile_order(_deciles(spark, sf), ["event_type"])
+
+
 # ---- statistics of returns
 
 
