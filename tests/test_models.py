@@ -44,3 +44,21 @@ def test_scheme_gives_a_return_for_each_test_row(rows):
     df, *_ = rows
     out = models.run_scheme(df, cv.walk_forward(df, 240, 2), (1, 2), ["a", "b"], trees=2, models=("logit_cls", "lin_reg", "gbt_reg")).groupBy("strategy").count().collect()
     assert {r.strategy: r["count"] for r in out} == {n: 160 for n in ("logit_cls", *(f"{m}__q{q}" for m in ("lin_reg", "gbt_reg") for q in (70, 80, 90, 95)))}
+
+
+def test_backtests_are_written_found_and_analysed(spark, rows, tmp_path):
+    from tidemill.operators import report
+    from tidemill.plans import backtest
+
+    df = rows[0].withColumn("t_end", F.col("t0") + F.expr("interval 30 minutes")).withColumn("side", F.when(F.col("a") > 0, 1).otherwise(-1))
+    assert list(backtest.run_models(df, "EUR_USD_x", least=1000)) == ["status"]
+    out = backtest.run_models(df, "EUR_USD_x", folds=2, blocks=4, most=3, columns=["a", "b"], names=("logit_cls", "lin_reg"), least=100)
+    backtest.write(out, str(tmp_path))
+    found = backtest.analyse(spark, str(tmp_path), blocks=4)
+    metrics = found["metrics"].collect()
+    assert {(r.pair, r.scheme) for r in metrics} == {("EUR_USD", "WF"), ("EUR_USD", "CPCV")} and len(metrics) == 10
+    assert all((r.PBO is None) == (r.scheme == "WF") for r in metrics)  # 160 rows are too few, 240 are not
+    assert found["best_strategies"].count() == 2 and found["models"].count() == 2
+    text = report.backtest_report(df, F.col("a") > 0.5, cv.walk_forward(df, 240, 2)).collect()
+    assert {r.section for r in text} == {"payoff", "side", "fold"}
+    assert {r.value for r in text if r.metric == "shared_rows"} == {0.0}

@@ -18,6 +18,13 @@ def parse_time(df: DataFrame, column: str, tz: str = "UTC") -> DataFrame:
     return df.withColumn(column, at).filter(F.col(column).isNotNull())
 
 
+def strict_time(df: DataFrame, column: str) -> DataFrame:
+    """``column`` as a timestamp; a value that does not parse is an error."""
+    at = F.expr(f"try_cast(`{column}` as timestamp_ntz)")
+    bad = F.raise_error(F.concat(F.lit("no time: "), F.col(column).cast("string"))).cast("timestamp_ntz")
+    return df.withColumn(column, F.when(F.col(column).isNull() | at.isNotNull(), at).otherwise(bad))
+
+
 def numeric(df: DataFrame, columns: Sequence[str], fill: float | None = 0.0) -> DataFrame:
     """``columns`` as doubles; what is no number, and NaN, becomes ``fill``."""
     bare = {c: F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")) for c in columns}

@@ -24,11 +24,16 @@ def combos_table(spark, blocks: int, most: int | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "combo int, name string, block int, train boolean")
 
 
-def cscv(m: DataFrame, n: int, blocks: int = 8, drop_remainder: bool = False, most: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def cscv(m: DataFrame, n: int | None = None, blocks: int = 8, drop_remainder: bool = False, most: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """(key, combo, name, best_IS, perf_IS, perf_OOS, relative_rank_OOS, logit) from (key, row_idx, strategy, ret) with
-    ``n`` rows a key: per combination the best strategy by mean in its training blocks (the first by name of equals) and
+    ``n`` rows a key (else counted for each): per combination the best strategy by mean in its training blocks (the first by name of equals) and
     how its mean in the others ranks (descending, equals share their average)."""
-    used = n - n % blocks if drop_remainder else n
+    if n is None:
+        size = m.groupBy(*keys).agg((F.max("row_idx") + 1).alias("_rows"))
+        m, rows = (m.join(size, [*keys]) if keys else m.join(F.broadcast(size), F.lit(True))), F.col("_rows")  # one row without keys
+    else:
+        rows = F.lit(n)
+    used = rows - rows % blocks if drop_remainder else rows
     parts = m.filter(F.col("row_idx") < used).withColumn("block", block_of(F.col("row_idx"), used, blocks))
     parts = parts.groupBy(*keys, "strategy", "block").agg(F.sum("ret").alias("_s"), F.count("ret").alias("_n"))
     x = parts.join(F.broadcast(combos_table(m.sparkSession, blocks, most)), "block")  # combinations x blocks rows

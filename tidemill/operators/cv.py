@@ -29,11 +29,12 @@ def block_bounds(n: int, blocks: int, drop_remainder: bool = False) -> list[tupl
     return [(b - s, b) for b, s in zip(stops, sizes, strict=True)]
 
 
-def block_of(index: Column, n: int, blocks: int) -> Column:
-    """The block of a row number by ``block_bounds``, as arithmetic."""
-    each, over = divmod(n, blocks)
+def block_of(index: Column, n: int | Column, blocks: int) -> Column:
+    """The block of a row number by ``block_bounds``, as arithmetic; ``n`` may differ from row to row."""
+    n = F.lit(n) if isinstance(n, int) else n
+    each, over = F.floor(n / blocks), n % blocks
     cut = over * (each + 1)
-    late = over + F.floor((index - cut) / each) if each else F.lit(blocks - 1)
+    late = over + F.floor((index - cut) / F.greatest(each, F.lit(1)))
     return F.when(index < cut, F.floor(index / (each + 1))).otherwise(late).cast("int")
 
 

@@ -131,6 +131,22 @@ def take_rates(df: DataFrame, take: Column, side: str = "side", keys: Sequence[s
     return n.withColumns({"share": F.col("n") / F.sum("n").over(w), "share_taken": F.col("taken") / F.nullif(F.sum("taken").over(w), F.lit(0)), "take_rate": F.col("taken") / F.col("n")})
 
 
+def backtest_report(df: DataFrame, take: Column, splits: DataFrame, payoff: str = "fwd_log_ret", side: str = "side", first: int = 3) -> DataFrame:
+    """(section, item, metric, value) of a backtest's rows (row_idx, t0, t_end): how payoffs are distributed, sides and how
+    often they are taken, and what the ``first`` folds share between training and test."""
+    from tidemill.operators.cv import overlaps
+
+    def cells(section: str, x: DataFrame, item: str | None) -> DataFrame:
+        at = F.lit("") if item is None else F.col(item).cast("string")
+        rest = [c for c in x.columns if c != item]
+        return x.select(F.lit(section).alias("section"), at.alias("item"), F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in rest))).alias("x")).select("section", "item", "x.*")
+
+    above = df.agg(share(F.col(payoff) > 0).alias("share_above_zero"))
+    out = cells("payoff", describe(df, payoff), None).unionByName(cells("payoff", above, None))
+    out = out.unionByName(cells("side", take_rates(df, take, side), "side"))
+    return out.unionByName(cells("fold", overlaps(df, splits.filter(F.col("fold") <= first)), "fold"))
+
+
 def family(strategy: Column) -> Column:
     return F.regexp_replace(strategy, r"__q\d{2,3}$", "")
 

@@ -37,6 +37,11 @@ def regressors(trees: int = 300) -> dict:
     return {"lin_reg": LinearRegression(featuresCol="x", labelCol="fwd_log_ret", weightCol="w", regParam=0.0), "gbt_reg": GBTRegressor(featuresCol="x", labelCol="fwd_log_ret", weightCol="w", maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)}
 
 
+def strategies(names: Sequence[str]) -> list[str]:
+    """The strategies that models of these names give."""
+    return [s for n in names for s in ([n] if n.endswith("_cls") else [f"{n}__q{round(100 * q)}" for q in QUANTILES])]
+
+
 def assembled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``rows`` complete in ``columns``, as a vector ``raw``, with the class y = label + 1 and the weight w (1 if missing)."""
     rows = rows.dropna(subset=[*columns, "fwd_log_ret", "label"])
@@ -82,7 +87,7 @@ def run_scheme(rows: DataFrame, splits: DataFrame, folds: Sequence[int], columns
                 ret, strategy = classified_return(signal, F.col("fwd_log_ret"), F.col("t0"), costs), F.lit(name)
             else:
                 ret = selected_return(takes(F.col("score"), F.col("threshold"), compat), F.col("fwd_log_ret"), F.col("t0"), costs)
-                strategy = F.concat(F.lit(f"{name}__q"), (F.col("q") * 100).cast("int"))
+                strategy = F.concat(F.lit(f"{name}__q"), F.round(F.col("q") * 100).cast("int"))
             part = test.select("row_idx", "t0", "fold", strategy.alias("strategy"), ret.alias("ret"), (ret != 0).alias("taken"))
             out = part if out is None else out.unionByName(part)
     return out

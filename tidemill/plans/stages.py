@@ -70,13 +70,12 @@ def modelling_rows(labelled: DataFrame, bars: DataFrame | None = None) -> DataFr
     return with_position(x.filter(labels.valid_events()), KEYS, TS, "row_idx")
 
 
-def analyse(m: DataFrame, n: int, keys: tuple[str, ...] = ("pair", "scheme"), blocks: int = 8, most: int | None = None) -> DataFrame:
-    """Metrics a strategy, with the overfitting figures of its key where there are 3 strategies and 200 rows."""
-    metrics = stats.strategy_metrics(m, keys)
-    figures = ("PBO", "perf_degradation", "prob_loss", "ks_stat", "ks_pval")
-    if n < 200 or m.select("strategy").distinct().count() < 3:
-        return metrics.withColumns({c: F.lit(None).cast("double") for c in figures})
-    return metrics.join(cscv.overfitting(cscv.cscv(m, n, blocks, most=most, keys=keys), keys), [*keys], "left")
+def analyse(m: DataFrame, keys: tuple[str, ...] = ("pair", "scheme"), blocks: int = 8, most: int | None = None, least: int = 200) -> DataFrame:
+    """Metrics a strategy, with the overfitting figures of its key where that has 3 strategies and ``least`` rows, else nulls.
+    Rows are numbered from 0 within a key."""
+    enough = m.groupBy(*keys).agg(F.max("row_idx").alias("_r"), F.count_distinct("strategy").alias("_s")).filter((F.col("_r") + 1 >= least) & (F.col("_s") >= 3)).select(*keys)
+    found = cscv.cscv(m.join(enough, [*keys], "left_semi"), None, blocks, most=most, keys=keys)
+    return stats.strategy_metrics(m, keys).join(cscv.overfitting(found, keys), [*keys], "left")
 
 
 def walk_forward_only(m: DataFrame, first_train: int) -> DataFrame:

@@ -623,7 +623,7 @@ def pbo(spark, sf):
 @query()
 def scheme_analysis(spark, sf):
     m = a.return_matrix(spark, sf).withColumns({"pair": F.lit("all"), "scheme": F.lit("WF")})
-    return stages.analyse(m, a.table(spark, sf, "events").count())
+    return stages.analyse(m)
 
 
 SCEN = """sm as (select r_name as pair, c_mktsegment as scheme, 'm' || substr(o_orderpriority, 1, 1) || case when o_orderkey % 2 = 0 then '__q80' else '' end as strategy, count(*) as n_trades, round(avg(o_totalprice) / 200000, 6) as sharpe, round(avg(o_totalprice) / 150000, 6) as sortino,
