@@ -27,10 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component."""
+    """The document with the smallest id of each component; rows without an id stay."""
     found = near_duplicates(docs, "doc_id", "text")
     first = found.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

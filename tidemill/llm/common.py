@@ -30,11 +30,16 @@ def shipped(module: str, name: str, **params) -> Callable[[Iterator], Iterator]:
     return run
 
 
+def short_batches(df: DataFrame, rows: int = TEXT_ROWS) -> None:
+    """Makes the session's Arrow batches ``rows`` rows at most."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def map_arrow(df: DataFrame, module: str, name: str, schema: str, rows: int = TEXT_ROWS, **params) -> DataFrame:
     """``mapInArrow`` by a function of this library; the session's batches become ``rows`` rows at most."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    short_batches(df, rows)
     return df.mapInArrow(shipped(module, name, **params), schema)
 
 
@@ -93,13 +98,18 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 class Memo(dict):
-    """key -> make(key) for recent keys, within twice ``most`` entries: the older half goes when the newer is full."""
+    """key -> make(key) for recent keys, within twice ``most`` entries: the older half goes when the newer is full. Long
+    keys are not kept."""
+
+    LONG = 200
 
     def __init__(self, make: Callable, most: int = 250_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONG:
+            return self.make(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)

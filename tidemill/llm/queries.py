@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import table
+from tidemill.llm.url_filter import RULES
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,31 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_counts, op4_packing, op5_simhash, op6_quality, op7_line_dedup, op8_byte_bpe, op9_top_k, op10_html_text, pipeline)}
 
+RULES_SQL = [(h + p, say, f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')") for say, h, p in sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))]
+RULE_SQL, SAY_SQL = (" ".join(f"when {fits} then '{x[k]}'" for *x, fits in RULES_SQL) for k in (0, 1))
+
 ORACLES = {
+    "op1_url_filter": rf"""
+        with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        u as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
+        p as (select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: case when regexp_full_match(s, '[0-9a-fA-F-]{{8,}}') then '{{id}}' else regexp_replace(s, '\d+', '{{n}}', 'g') end) as parts from u),
+        s as (select page_id, host, path, case when len(parts) > 8 then list_append(parts[1:8], '**') else parts end as shape from p),
+        known as (select page_id, max(1 - quality) as bad from u join labels on doc_id = try_cast(nullif(regexp_extract(path, '(\d{{1,18}})(?:\.html|/)?$', 1), '') as bigint) group by page_id),
+        paths as (select host, shape, count(*) as n, count(bad) as lab, coalesce(sum(bad), 0) as bad from s left join known using (page_id) group by host, shape),
+        nodes as (select host, shape, n, i, shape[i] as seg, array_to_string(shape[1:i - 1], '/') as parent from paths, range(1, 10) t(i) where i <= len(shape)),
+        child as (select host, i, parent, seg, sum(n) as n from nodes group by all),
+        vary as (select host, i, parent from child group by all having count(*) >= 8 and sum(n) < 4 * count(*)),
+        wild as (select a.host, a.shape, list(case when v.host is null then seg else '*' end order by a.i) as segs from nodes a left join vary v on v.host = a.host and v.i = a.i and v.parent = a.parent group by a.host, a.shape),
+        marked as (select p.*, coalesce(w.segs, p.shape) as segs from paths p left join wild w on w.host = p.host and w.shape = p.shape),
+        leaf as (select host, segs, array_to_string(segs[1:greatest(len(segs) - 1, 0)], '/') as up, sum(lab) as lab, sum(bad) as bad from marked group by host, segs),
+        base as (select (sum(bad) + 1) / (sum(lab) + 4) as base from leaf),
+        t1 as (select *, sum(lab) over h as lab_host, sum(bad) over h as bad_host, sum(lab) over x as lab_up, sum(bad) over x as bad_up from leaf window h as (partition by host), x as (partition by host, up)),
+        t2 as (select *, (bad_host + 8.0 * base) / (lab_host + 8.0) as p_host from t1, base), t3 as (select *, (bad_up + 8.0 * p_host) / (lab_up + 8.0) as p_up, (bad_up + 1) / (lab_up + 2) as pooled, lab_up - lab as rest from t2),
+        t4 as (select *, lab = 0 or rest > 0 and abs(bad / greatest(lab, 1) - (bad_up - bad) / greatest(rest, 1)) <= 1.96::double * sqrt(pooled * (1 - pooled) * (1 / greatest(lab, 1) + 1 / greatest(rest, 1))) as alike from t3),
+        t5 as (select host, segs, '/' || ltrim(case when alike and len(segs) > 0 then concat_ws('/', up, '*') else array_to_string(segs, '/') end, '/') as template, round(1 - case when alike then p_up else (bad + 8.0 * p_up) / (lab + 8.0) end, 9)::double as purity from t4)
+        select page_id, host, path, template, purity, case {RULE_SQL} end as rule, case {SAY_SQL} when purity <= 0.5 then 'block' else 'allow' end as verdict
+        from s join marked using (host, shape) join t5 using (host, segs)
+    """,
     "op9_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
                    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
