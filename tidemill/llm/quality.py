@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROOT, saved
+from tidemill.llm.common import ROOT, saved, short_batches
 
 #: Most labelled rows that the document model is fitted on; they are drawn by a hash of their ids.
 FIT_ROWS = 20_000
+#: Most rows (of a host, a path and a number) that a site table may have to be broadcast.
+SITES = 50_000
 SYMBOLS = np.frombuffer(b"#$%&*+/<=>@[\\]^_`{|}~!", np.uint8)
 
 
@@ -65,7 +67,7 @@ def score(texts: pd.Series, model: dict) -> pd.Series:
 def _udf(name: str, kind: str, **params):
     root = ROOT
 
-    def run(texts):
+    def run(texts: pd.Series) -> pd.Series:
         import sys
 
         if root not in sys.path:
@@ -74,7 +76,7 @@ def _udf(name: str, kind: str, **params):
 
         return getattr(quality, name)(texts, **params)
 
-    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, kind)
 
 
 def feature_series(texts: pd.Series) -> pd.Series:
@@ -83,12 +85,13 @@ def feature_series(texts: pd.Series) -> pd.Series:
 
 def document_model(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int = FIT_ROWS) -> dict:
     """The logistic model from ``most`` labelled documents at most; repeated labels count once, null ones not at all."""
+    short_batches(docs)
     known = labels.filter("quality is not null").groupBy(key).agg(F.max("quality").alias("quality"))
     n = known.count()
     if n > most:  # by a hash of the id, so the draw is the same whatever the order of rows
         known = known.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(most)
     rows = docs.select(key, text).join(F.broadcast(known), key).select(_udf("feature_series", "array<double>")(F.col(text)).alias("x"), "quality").limit(most).collect()
-    return fit(np.array([r[0] for r in rows], float).reshape(len(rows), -1), np.array([r[1] for r in rows], float))
+    return fit(np.array([r[0] for r in rows] or np.zeros((0, 1)), float), np.array([r[1] for r in rows], float))
 
 
 def logit(p: Column) -> Column:
@@ -146,6 +149,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = document_model(docs, labels, key, text, most)
     site, m, _ = sites(docs, labels, model, key, text, host, path)
     site = site.withColumnsRenamed({"host": "host_", "path": "path_"})
+    if site.count() <= SITES:  # so few rows go to every task, and texts stay where they are
+        site = F.broadcast(site)
     rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), _udf("score", "double", model=model)(F.col(text)).alias("p_doc"))
     rows = rows.join(site, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
     return rows.filter(verdict(F.col("p_doc"), F.col("p_site"), m) >= keep_at).select("row.*")
