@@ -203,19 +203,20 @@ def returns_vol_by_blocks(spark, sf):
     return features.with_returns(x, vol=20, block=100).select("pair", TS, "ret_1", "ret_5", "vol_20")
 
 
-@query(
-    f"""with recursive {FEAT}, o as (select pair, ts, ret_1 as x, row_number() over (partition by pair order by ts) as n from feat where ret_1 is not null),
+EWMA = f"""with recursive {FEAT}, o as (select pair, ts, ret_1 as x, row_number() over (partition by pair order by ts) as n from feat where ret_1 is not null),
     e as (select pair, ts, n, x as mean, 0.0::double as v, 1.0::double as q from o where n = 1
       union all select o.pair, o.ts, o.n, e.mean + 2.0 / 51 * (o.x - e.mean), (1 - 2.0 / 51) * (e.v + 2.0 / 51 * (o.x - e.mean) * (o.x - e.mean)), (1 - 2.0 / 51) * (1 - 2.0 / 51) * e.q + 2.0 / 51 * 2.0 / 51 from e join o on o.pair = e.pair and o.n = e.n + 1)
     select feat.pair, feat.ts, round(case when e.n > 1 then sqrt(e.v / (1 - e.q)) end, {DIGITS}) as ewma_50 from feat left join e on e.pair = feat.pair and e.ts = feat.ts"""
-)
+
+
+@query(EWMA)
 def ewma_vol(spark, sf):
     return features.with_ewma(a.feature_bars(spark, sf)).select("pair", TS, "ewma_50")
 
 
-@query()
+@query(EWMA)
 def ewma_vol_tail(spark, sf):
-    return features.with_ewma_tail(a.feature_bars(spark, sf), tail=200).select("pair", TS, "ewma_50")
+    return features.with_ewma_tail(a.feature_bars(spark, sf), tail=1000).select("pair", TS, "ewma_50")
 
 
 EVENT_FEATURES = ["ret_1_abs", "ret_1_roll_std_20", "ret_5_mom_std_ratio", "ret_1_to_vol_20", "vol_20_lag1", "vol_20_roc", "vol_300", "vol_20_to_vol_300", "SP", "CBP", "CAP", "VBP", "VAP", "spread_proxy", "side_score_roll_mean_30", "side_score_roll_std_30"]
