@@ -125,7 +125,7 @@ PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body
 <section id="comments"><p>nice, post, really, great, comment, indeed, so, much, more, text</p></section><form><p>sign, up, now</p></form><footer>&copy; site</footer></body></html>"""
 
 
-@pytest.mark.parametrize("wrapper", ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div><div id="post-body">{}</div></div>', "<article><header>{}</header></article>"])
+@pytest.mark.parametrize("wrapper", ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div><div id="post-body">{}</div></div>', "<article><header>{}</header></article>", '<div class="page with-sidebar no-nav"><div class="elementor-widget">{}</div></div>', '<div id="wrap" class="header-menu-open banner"><div role="main">{}</div></div>', '<div class="sidebar-right"><main class="col">{}</main></div>', '<main><div class="post-header"><p></p></div><article>{}</article><section class="comments"><article class="comment"><p>so, good, so, long, so, many, commas, here, in, this, one</p></article></section></main>'])
 def test_articles(wrapper):
     body = "<h1>A  head\nline</h1><p>First, of some words, &amp; more&nbsp;here that go on, and on, for a while.<p>Second <b>bold</b><br>text, that is long enough, to be read as such.</p><p>Third.</p>"
     want = "A head line\nFirst, of some words, & more here that go on, and on, for a while.\nSecond bold text, that is long enough, to be read as such.\nThird."

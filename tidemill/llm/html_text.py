@@ -30,43 +30,55 @@ ENDS_P = BLOCKS - {"html", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menus?|modal|nav|navbar|navigation|"
-    r"newsletter|notices?|notification|paywall|popup|promos?|promotion|recommended|related|replies|respond|share|sharing|sidebars?|signup|skip-link|social|sponsor(?:ed|s)?|subscribe|subscription|toolbar|widgets?)(?:$|[\s_-])",
+    r"(?:^|.*[_-])(?:ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menus?|modal|nav|navbar|navigation|"
+    r"newsletter|notices?|notification|paywall|popup|promos?|promotion|recommended|related|replies|respond|share|sharing|sidebars?|signup|skip-link|social|sponsor(?:ed|s)?|subscribe|subscription|toolbar)(?:$|[_-].*)"
+    r"|widgets?(?:$|[_-].*)",
     re.I,
 )
+STATES = re.compile(r"(?:no|has|with|without|is|js|hide)[_-]|.*[_-](?:with|no|has)[_-]|(?:article|post|entry|content|story|page)[_-]*(?:header|title|heading)(?:$|[_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|([^\s=/"'>]+)""")
 
 
+HARD, SOFT = 2, 1
+
+
 class Node:
-    __slots__ = ("tag", "up", "kids", "cut", "score", "size", "linked", "order")
+    """An element. ``cut``: HARD if it is no part of an article by its tag or role, SOFT if by its class; ``main``: an element
+    that says it is the article."""
 
-    def __init__(self, tag: str, up: Node | None, cut: bool):
-        self.tag, self.up, self.kids, self.cut, self.score, self.size, self.linked, self.order = tag, up, [], cut, 0.0, 0, 0, 0
+    __slots__ = ("tag", "up", "kids", "cut", "main", "score", "size", "linked", "order")
+
+    def __init__(self, tag: str, up: Node | None, cut: int = 0, main: bool = False):
+        self.tag, self.up, self.kids, self.cut, self.main, self.score, self.size, self.linked, self.order = tag, up, [], cut, main, 0.0, 0, 0, 0
 
 
 def attributes(source: str) -> dict[str, str]:
     return {(a or e).lower(): unescape(b or c or d) for a, b, c, d, e in reversed(ATTRIBUTE.findall(source))}
 
 
-def away(tag: str, source: str, inside: bool) -> bool:
-    """Whether an element is not part of an article. A header within the article may hold its headline, and stays."""
+def kind(tag: str, source: str, inside: bool) -> tuple[int, bool]:
+    """(cut, main) of an element; ``inside``: within an article, where a header may hold the headline and stays."""
     if tag in CUT or tag == "header" and not inside:
-        return True
-    if not source or tag in ("html", "body", "article", "main"):
-        return False
+        return HARD, False
+    main = tag in ("article", "main")
+    if not source or tag in ("html", "body"):
+        return 0, main
     a = attributes(source)
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    named = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(AWAY.search(named)) and not (inside and tag in ("h1", "header"))
+        return HARD, False
+    main = main or a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody"
+    names = f"{a.get('class', '')} {a.get('id', '')}".split()
+    if not (inside and tag in ("h1", "header")) and any(AWAY.fullmatch(n) and not STATES.match(n) for n in names):
+        return SOFT, False
+    return 0, main
 
 
 def tree(html: str) -> Node:
     """The tree of ``html``. Ends of p, li, td and the like may be missing; an end tag without a start is left out."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     at, stack, open_count, inside, pos, n = root, [root], {}, 0, 0, len(html)
     while pos < n:
         m = TOKEN.match(html, pos)
@@ -83,7 +95,7 @@ def tree(html: str) -> Node:
                 while True:
                     gone = stack.pop()
                     open_count[gone.tag] -= 1
-                    inside -= gone.tag in ("article", "main")
+                    inside -= gone.main
                     if gone.tag == tag:
                         break
                 at = stack[-1]
@@ -98,8 +110,10 @@ def tree(html: str) -> Node:
         if tag == "br":
             at.kids.append(" ")
             continue
-        node = Node(tag, at, away(tag, m[3], inside > 0))
+        node = Node(tag, at, *kind(tag, m[3], inside > 0))
         at.kids.append(node)
+        if node.main:
+            _uncut(at)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -109,7 +123,7 @@ def tree(html: str) -> Node:
         if not m[3].endswith("/") or tag not in ("svg", "path"):
             stack.append(node)
             open_count[tag] = open_count.get(tag, 0) + 1
-            inside += tag in ("article", "main")
+            inside += node.main
             at = node
     return root
 
@@ -126,6 +140,18 @@ def _close(stack: list[Node], open_count: dict[str, int], tags: set[str], fences
             return
 
 
+def _uncut(node: Node) -> None:
+    """What holds an article is no frame of it, whatever its class says; within a HARD cut nothing changes."""
+    up = []
+    while node is not None and len(up) < 64:
+        if node.cut == HARD:
+            return
+        up.append(node)
+        node = node.up
+    for x in up:
+        x.cut = 0
+
+
 def measure(root: Node) -> list[Node]:
     """All kept elements in page order, with the sizes of their text and linked text set."""
     order, todo = [], [root]
@@ -186,26 +212,25 @@ def extract(html: str) -> str:
                 to, far = to.up, far + 1
     best = None
     for x in order:
-        if x.tag in ("article", "main") and x.size:
-            x.score += 25
         x.score *= 1 - x.linked / x.size if x.size else 0
-        if x.score > 0 and (best is None or x.score > best.score):
+        if x.score > 0 and (best is None or x.score + 25 * x.main > best.score + 25 * best.main):
             best = x
     if best is None:
-        whole = max((x for x in order if x.tag in ("article", "main") and x.size), key=lambda x: x.size, default=root)
+        whole = max((x for x in order if x.main and x.size), key=lambda x: x.size, default=root)
         return "\n".join(blocks(whole))
     outer = best
-    while outer is not None and outer.tag not in ("article", "main"):
+    while outer is not None and not outer.main:
         outer = outer.up
     best = outer or best
     kept = [best]
-    if best.up is not None:
-        for x in best.up.kids:
-            if isinstance(x, str) or x.cut or x is best:
-                continue
-            density = x.linked / x.size if x.size else 1
-            if x.score >= max(10, 0.2 * best.score) and density < 0.5 or best.tag not in ("article", "main") and (x.tag == "p" and (x.size > 80 and density < 0.25 or x.size and not density) or x.tag in ("h1", "h2") and x.size and density < 0.5):
-                kept.append(x)
+    for x in best.up.kids if best.up is not None else ():
+        if isinstance(x, str) or x.cut or x is best:
+            continue
+        density = x.linked / x.size if x.size else 1
+        alike = x.score >= max(10, 0.2 * best.score) and density < 0.5
+        prose = x.tag == "p" and (x.size > 80 and density < 0.25 or x.size and not density) or x.tag in ("h1", "h2") and x.size and density < 0.5
+        if alike or prose and not best.main:
+            kept.append(x)
     return "\n".join(text for x in sorted(kept, key=lambda x: x.order) for text in blocks(x))
 
 
