@@ -70,17 +70,35 @@ def test_weights_and_concurrency(spark):
     assert w == pytest.approx([0.33557047, 1.66442953], abs=1e-8) and sum(w) == pytest.approx(2)
 
 
+def steps(times, r, sigma, k, spacing):
+    return events.Cusum(k, spacing, []).steps(times, r, sigma, [0.0] * len(r))
+
+
 def test_cusum():
     r = [2.0, 2.0, -5.0, 1.0]
-    assert events.cusum_steps([0, 1, 2, 3], r, [1.0] * 4, 3, 0, 0) == [(1, 1), (2, -1)]
-    assert events.cusum_steps([0, 1, 2, 3], r, [1.0] * 4, 3, 2, 0) == [(1, 1)]
-    assert events.cusum_steps([0, 1], [float("nan"), 9.0], [1.0, 0.0], 3, 0, 0) == []
+    assert steps([0, 1, 2, 3], r, [1.0] * 4, 3, 0) == [(1, 1), (2, -1)]
+    assert steps([0, 1, 2, 3], r, [1.0] * 4, 3, 2) == [(1, 1)]
+    assert steps([0, 1], [float("nan"), 9.0], [1.0, 0.0], 3, 0) == []
+    parts = events.Cusum(3, 0, [])
+    assert parts.steps([0], r[:1], [1.0], [0.0]) == [] and parts.steps([1, 2, 3], r[1:], [1.0] * 3, [0.0] * 3) == [(0, 1), (1, -1)]
+
+
+def test_weighted_deviation():
+    import numpy as np
+    import pandas as pd
+
+    from tidemill.operators.features import Ewma
+
+    x = np.random.default_rng(0).normal(size=80)
+    x[[0, 1, 20, 21, 50]] = np.nan
+    e = Ewma(10, "x", "v", [])
+    assert np.allclose([e.next(float(v)) for v in x], pd.Series(x).ewm(span=10, adjust=False).std(), equal_nan=True)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(-3, 3), max_size=60), st.integers(0, 5))
 def test_cusum_spacing(r, spacing):
-    found = events.cusum_steps(list(range(len(r))), r, [1.0] * len(r), 1.5, spacing, 0.0)
+    found = steps(list(range(len(r))), r, [1.0] * len(r), 1.5, spacing)
     assert all(b - a >= spacing for (a, _), (b, _) in zip(found, found[1:]))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -76,6 +77,32 @@ def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str,
     return dealt.withColumns(build(w)).filter("_in = _b").drop("_pos", "_b", "_in")
 
 
+def in_order(df: DataFrame, machine: str, schema: str, keys: Sequence[str] = KEYS, ts: str = TS, **given) -> DataFrame:
+    """The rows that a state machine ('module.Class') makes of each key's rows in the order of ``ts``.
+
+    A key's rows are one partition, sorted by the JVM (which spills), and reach the machine batch by batch: memory is that of
+    a batch, however long a key's history is. ``Class(**given)`` is made anew for each key; its ``feed`` takes the next rows of
+    the key as a pandas frame and returns a frame of ``schema``.
+    """
+    root, columns = ROOT, list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import importlib
+        import sys
+
+        if root not in sys.path:
+            sys.path.insert(0, root)
+        module, _, name = machine.rpartition(".")
+        make, state, now = getattr(importlib.import_module(module), name), None, None
+        for b in batches:
+            for key, rows in b.groupby(columns, sort=False, dropna=False):
+                if state is None or str(key) != now:
+                    state, now = make(**given), str(key)
+                yield state.feed(rows)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, ts).mapInPandas(run, schema)
+
+
 def full(value: Callable, x: Column, w: WindowSpec, size: int, least: int | None = None) -> Column:
     """An aggregate over the last ``size`` rows, null unless ``least`` (default all) of them have a value."""
     rows = w.rowsBetween(-(size - 1), 0)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, ROOT, TS, seconds
+from tidemill.frames import KEYS, TS, in_order, seconds
 
 
 def in_session(ts: Column, start: int = 8, end: int = 18) -> Column:
@@ -27,54 +27,52 @@ def sigma_floor(df: DataFrame, sigma: str, share: float = 0.05, keys: Sequence[s
     return df.groupBy(*keys).agg(F.percentile(sigma, F.lit(share)).alias("floor"))
 
 
-def cusum_steps(times: list, r: list[float], sigma: list[float], k: float, spacing: float, floor: float) -> list[tuple[int, int]]:
-    """(place, direction) of the events of one ordered series; ``times`` in seconds, NaN as missing."""
-    up = down = 0.0
-    last, out = None, []
-    for i, (x, s) in enumerate(zip(r, sigma, strict=True)):
-        if x != x or s != s:
-            continue
-        h = k * max(s, floor)
-        if not 0 < h < float("inf"):
-            continue
-        up, down = max(0.0, up + x), min(0.0, down + x)
-        way = 1 if up > h else -1 if down < -h else 0
-        if way:
-            up = down = 0.0  # also where the spacing keeps the event back
-            if last is None or times[i] - last >= spacing:
-                out.append((i, way))
-                last = times[i]
-    return out
+class Cusum:
+    """The sampler's state for one ordered series: both sums, and the time of the last event."""
+
+    def __init__(self, k: float, spacing: float, columns: list[str]):
+        self.k, self.spacing, self.columns = k, spacing, columns
+        self.up = self.down = 0.0
+        self.last: float | None = None
+
+    def steps(self, times: list[float], r: list[float], sigma: list[float], floor: list[float]) -> list[tuple[int, int]]:
+        """(place, direction) of the events among the next rows; ``times`` in seconds, NaN as missing."""
+        up, down, out = self.up, self.down, []
+        for i, (x, s, low) in enumerate(zip(r, sigma, floor, strict=True)):
+            if x != x or s != s:
+                continue
+            h = self.k * (s if s > low or low != low else low)
+            if not 0 < h < float("inf"):
+                continue
+            up, down = max(0.0, up + x), min(0.0, down + x)
+            way = 1 if up > h else -1 if down < -h else 0
+            if way:
+                up = down = 0.0  # also where the spacing keeps the event back
+                if self.last is None or times[i] - self.last >= self.spacing:
+                    out.append((i, way))
+                    self.last = times[i]
+        self.up, self.down = up, down
+        return out
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        at = (rows[self.columns[-1]] - pd.Timestamp(0)).dt.total_seconds().tolist()
+        found = self.steps(at, rows["_r"].tolist(), rows["_s"].tolist(), rows["_f"].tolist())
+        out = rows.iloc[[i for i, _ in found]][self.columns].copy()
+        out["direction"] = [d for _, d in found]
+        return out
 
 
 def cusum_events(df: DataFrame, r: str = "ret_1", sigma: str = "vol_60", k: float = 3.0, spacing_seconds: float = 0.0, floor: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """(key, ts, direction): where the running sum of ``r`` passes ``k`` times ``sigma`` (at least ``floor``, a column).
 
-    State is carried over days and never forgotten, so each key is read in order by one task, trimmed to what it needs.
+    State is carried over days and never forgotten, so each key is read in order by one task, batch by batch.
     Rows with a missing value are passed over; so are those with a threshold of zero, which leave the sums as they are.
     """
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, ts)) + ", direction int"
     rows = df.select(*keys, ts, F.col(r).cast("double").alias("_r"), F.col(sigma).cast("double").alias("_s"), (F.col(floor).cast("double") if floor else F.lit(0.0)).alias("_f"))
 
-    root = ROOT
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        import sys
-
-        if root not in sys.path:
-            sys.path.insert(0, root)
-        from tidemill.operators.events import cusum_steps
-
-        x = x.sort_values(ts, kind="stable").reset_index(drop=True)
-        at = (x[ts] - x[ts].iloc[0]).dt.total_seconds().tolist()
-        low = x["_f"].max()
-        found = cusum_steps(at, x["_r"].tolist(), x["_s"].tolist(), k, spacing_seconds, low if low == low else 0.0)
-        out = x.loc[[i for i, _ in found], [*keys, ts]]
-        out["direction"] = [d for _, d in found]
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return in_order(rows, f"{__name__}.Cusum", schema, keys, ts, k=k, spacing=spacing_seconds, columns=[*keys, ts])
 
 
 def filter_stats(df: DataFrame, eligible: Column, events: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:

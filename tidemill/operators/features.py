@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, full, look_back
+from tidemill.frames import KEYS, TS, full, in_order, look_back
 
 TINY = 1e-8
 
@@ -27,39 +27,48 @@ def with_returns(df: DataFrame, price: str = "log_mid", vol: int = 60, keys: Seq
     return look_back(df, vol, lambda w: {f"vol_{vol}": full(F.stddev_samp, F.col("ret_1"), w, vol)}, keys, ts, block)
 
 
+class Ewma:
+    """The exponentially weighted deviation of one ordered series, unbiased, with weights (1 - a) ** k and a = 2 / (span + 1).
+
+    Leading NaN only delay the start. At a NaN within, the last value holds and older weights decay one step further.
+    """
+
+    def __init__(self, span: int, x: str, name: str, columns: list[str]):
+        self.a, self.x, self.name, self.columns = 2 / (span + 1), x, name, columns
+        self.mean = self.var = 0.0
+        self.squares = self.old = 1.0
+        self.begun, self.value = False, float("nan")
+
+    def next(self, v: float) -> float:
+        if not self.begun:
+            if v == v:
+                self.mean, self.begun = v, True
+            return self.value
+        self.old *= 1 - self.a
+        if v == v:
+            share, gap = self.a / (self.old + self.a), v - self.mean
+            self.var = (1 - share) * (self.var + share * gap * gap)
+            self.mean += share * gap
+            self.squares = (1 - share) ** 2 * self.squares + share**2
+            self.old = 1.0
+            self.value = max(0.0, self.var / (1 - self.squares)) ** 0.5 if self.squares < 1 else float("nan")
+        return self.value
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[self.columns].copy()
+        out[self.name] = [None if v != v else v for v in map(self.next, rows[self.x].tolist())]
+        return out
+
+
 def with_ewma(df: DataFrame, x: str = "ret_1", span: int = 50, name: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """``df`` with the exponentially weighted deviation of ``x`` by time within each key, null where undefined.
 
-    A recurrence, so each key is read in order by one task, as Arrow batches of (key, time, value) alone.
+    A recurrence, so each key is read in order by one task, batch by batch, as (key, time, value) alone.
     """
     name = name or f"ewma_{span}"
     schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in (*keys, ts)) + f", {name} double"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ts, kind="stable")
-        values = rows[x].to_numpy(float)
-        a, mean, var, squares, old, begun, last = 2 / (span + 1), 0.0, 0.0, 0.0, 1.0, False, float("nan")
-        out = []
-        for v in values.tolist():
-            if not begun:
-                if v == v:
-                    mean, var, squares, begun = v, 0.0, 1.0, True
-                out.append(last)
-                continue
-            old *= 1 - a
-            if v == v:
-                share = a / (old + a)
-                var = (1 - share) * (var + share * (v - mean) ** 2)
-                mean += share * (v - mean)
-                squares = (1 - share) ** 2 * squares + share**2
-                old = 1.0
-                last = (max(0.0, var / (1 - squares))) ** 0.5 if squares < 1 else float("nan")
-            out.append(last)
-        result = rows[[*keys, ts]].copy()
-        result[name] = [None if v != v else v for v in out]
-        return result
-
-    vol = df.select(*keys, ts, F.col(x).cast("double").alias(x)).groupBy(*keys).applyInPandas(run, schema)
+    rows = df.select(*keys, ts, F.col(x).cast("double").alias(x))
+    vol = in_order(rows, f"{__name__}.Ewma", schema, keys, ts, span=span, x=x, name=name, columns=[*keys, ts])
     return df.join(vol, [*keys, ts], "left")
 
 
