@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, seconds
-from tidemill.operators import clean, cscv, cv, events, features, labels, quotes, stats
+from tidemill.frames import KEYS, TS
+from tidemill.operators import clean, cscv, events, features, labels, quotes, stats
 from tidemill.storage import saved
 
 
@@ -82,5 +82,3 @@ def walk_forward_only(m: DataFrame, first_train: int) -> DataFrame:
     """A return matrix without the rows that only ever trained."""
     return m.filter(F.col("row_idx") >= first_train)
 
-
-__all__ = ["FeatureParams", "analyse", "clean_stage", "cv", "feature_stage", "join_stage", "modelling_rows", "seconds", "walk_forward_only"]

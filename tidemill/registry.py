@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import TS, look_back, ordered
+from tidemill.frames import TS, ordered
 from tidemill.operators import clean, cscv, cv, events, features, labels, montecarlo, quotes, report, stats
-from tidemill.operators.costs import Costs, classified_return, selected_return, takes, thresholds
+from tidemill.operators.costs import classified_return, selected_return, takes, thresholds
 from tidemill.plans import adapters as a
 from tidemill.plans import models, stages
 from tidemill.sources.sinks import rounded
@@ -709,5 +709,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of large moves, counted by pair and label: events to bars, features, barriers, one aggregate."""
     return _labels(spark, sf_dir).groupBy("pair", "label").agg(F.count("*").alias("n"))
 
-
-__all__ = ["ORACLES", "QUERIES", "Costs", "flagship", "look_back"]
