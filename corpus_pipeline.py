@@ -22,7 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines of earlier ones; those that had nothing else go."""
-    out = dedup(docs, "doc_id", "text").filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    out = dedup(docs, "doc_id", "text").filter("n_removed = 0 or n_removed < n_lines")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
