@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Memo, map_arrow, saved
-from tidemill.llm.token_counts import byte_letters
+from tidemill.llm.token_counts import byte_letters, is_latin
 
 PIECES = "id {}, piece int, start long, length long, ids_crc32 long"
 
@@ -55,13 +55,7 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def latin(self, text: str) -> bool:
-        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return False
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return True
+        return not ("<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text) and is_latin(text)
 
     def encode(self, text: str) -> bytes:
         if self.latin(text):
