@@ -48,6 +48,15 @@ def test_ids_equal_tiktoken(ranks):
         assert CODEC.decode(ids) == text.encode()
 
 
+def test_latin_texts_equal_the_libraries(ranks):
+    rng, every = random.Random(6), "".join(map(chr, range(256)))
+    for _ in range(3000):
+        text = "".join(rng.choice(every if rng.random() < 0.6 else "ab 's\n .1") for _ in range(rng.randrange(30)))
+        assert token_counts.is_latin(text) and COUNTER.count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+        assert np.frombuffer(CODEC.encode(text), "<u4").tolist() == ranks.encode_ordinary(text)
+    assert token_counts.latin_pattern(r"\\w+") is None and token_counts.latin_pattern("(a)b") is None
+
+
 def test_offsets_cover_split_characters():
     spans = CODEC.offsets("a😀é")
     assert spans[0][1:] == (0, 1) and {c for _, a, b in spans for c in range(a, b)} == {0, 1, 2}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import Memo, map_arrow
-from tidemill.llm.token_counts import byte_letters
+from tidemill.llm.token_counts import byte_letters, is_latin, latin_pattern
 
 
 class Codec:
     """Text to ids and back, as tiktoken's ``encode_ordinary`` and ``decode_bytes`` have them."""
 
-    def __init__(self, path: str, pattern: str, most: int = 200_000):
+    def __init__(self, path: str, pattern: str, most: int = 330_000):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as f:
@@ -37,7 +38,14 @@ class Codec:
         merges = [(name(t[:i]), name(t[i:])) for t in self.table for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.library = Tokenizer(models.BPE({name(t): r for t, r in ranks.items()}, merges))
         self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words = Memo(self.word, most)
+        self.letters, self.latin = letters, latin_pattern(pattern)
+        self.pieces = Memo(self.piece, most)
+        self.words = Memo(self.word, most // 8)
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one match of the pattern: its bytes as characters, through the library's model."""
+        ids = [t.id for t in self.library.model.tokenize("".join(map(self.letters.__getitem__, text.encode())))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -50,6 +58,8 @@ class Codec:
         return self.whole(" " + word)
 
     def encode(self, text: str) -> bytes:
+        if self.latin and is_latin(text):
+            return b"".join(map(self.pieces.__getitem__, self.latin.findall(text)))
         head, *words = text.split(" ")
         if words and head and not head[-1].isspace():
             try:
