@@ -637,7 +637,7 @@ def best_strategy(spark, sf):
     return report.best_strategies(a.scenario_metrics(spark, sf))
 
 
-@query(f"with {SCEN} select model, count(*) as n_strategies, {', '.join(f'round(avg({c}), 5) as avg_{c}' for c in ('sharpe', 'dsr', 'PBO', 'perf_degradation', 'prob_loss'))}, round(avg(case when dsr > 0.5 then 1.0 else 0 end), 5) as frac_dsr_gt_0_5, round(avg(case when sharpe > 1 then 1.0 else 0 end), 5) as frac_sharpe_gt_1 from fam group by model", 5)
+@query(f"with {SCEN} select model, count(*) as n_strategies, {', '.join(f'round(avg({c}), 10) as avg_{c}' for c in ('sharpe', 'dsr', 'PBO', 'perf_degradation', 'prob_loss'))}, round(avg(case when dsr > 0.5 then 1.0 else 0 end), 10) as frac_dsr_gt_0_5, round(avg(case when sharpe > 1 then 1.0 else 0 end), 10) as frac_sharpe_gt_1 from fam group by model", 10)
 def model_summary(spark, sf):
     return report.model_summary(a.scenario_metrics(spark, sf))
 
