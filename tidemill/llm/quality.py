@@ -110,7 +110,8 @@ def weight(groups: DataFrame, share: str, around: Column | float) -> float:
 
 
 def sites(docs: DataFrame, labels: DataFrame, model: dict, key: str, text: str, host: str, path: str) -> tuple[DataFrame, float, DataFrame]:
-    """((host, path, p_site), global share, scored rows): the shrunk share of good documents of each path."""
+    """((host_, path_, p_site), global share, scored rows): the shrunk share of good documents of each path, to be broadcast
+    if there are ``SITES`` at most."""
     scored = saved(docs.select(F.col(key).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), _udf("score", "double", model=model)(F.col(text)).alias("p_doc")))
     known = labels.filter("quality is not null").groupBy(F.col(key).alias("id")).agg(F.max("quality").alias("quality"))
     seen = scored.join(known, "id", "left").withColumn("e", F.coalesce(F.col("quality").cast("double"), "p_doc"))
@@ -119,11 +120,14 @@ def sites(docs: DataFrame, labels: DataFrame, model: dict, key: str, text: str,
     m = float(min(0.999, max(0.001, (good + 1) / (n + 2))))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("share", F.col("good") / F.col("n"))
     a = weight(hosts, "share", m)
-    hosts = saved(hosts.select(F.col("host").alias("host_"), ((F.col("good") + a * m) / (F.col("n") + a)).alias("m")))
+    hosts = hosts.select(F.col("host").alias("host_"), ((F.col("good") + a * m) / (F.col("n") + a)).alias("m"))
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).withColumn("share", F.col("good") / F.col("n"))
     b = weight(both, "share", F.col("m"))
     out = both.select("host", "path", ((F.col("good") + b * F.col("m")) / (F.col("n") + b)).alias("p_site"))
-    return saved(out.withColumn("p_site", F.least(F.greatest("p_site", F.lit(0.001)), F.lit(0.999)))), m, scored
+    out = out.select(F.col("host").alias("host_"), F.col("path").alias("path_"), F.least(F.greatest("p_site", F.lit(0.001)), F.lit(0.999)).alias("p_site"))
+    if paths.count() <= SITES:  # so few rows go to every task, and documents stay where they are
+        out = F.broadcast(out)
+    return out, m, scored
 
 
 def verdict(p_doc: Column, p_site: Column, m: float) -> Column:
@@ -138,7 +142,6 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     model = document_model(docs, labels, key, text, most)
     site, m, scored = sites(docs, labels, model, key, text, host, path)
-    site = site.withColumnsRenamed({"host": "host_", "path": "path_"})
     out = scored.join(site, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
     out = out.withColumn("p", verdict(F.col("p_doc"), F.col("p_site"), m))
     return out.select(F.col("id").alias(key), "p_doc", "p_site", "p", (F.col("p") >= keep_at).alias("keep"))
@@ -148,9 +151,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
     model = document_model(docs, labels, key, text, most)
     site, m, _ = sites(docs, labels, model, key, text, host, path)
-    site = site.withColumnsRenamed({"host": "host_", "path": "path_"})
-    if site.count() <= SITES:  # so few rows go to every task, and texts stay where they are
-        site = F.broadcast(site)
     rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), _udf("score", "double", model=model)(F.col(text)).alias("p_doc"))
     rows = rows.join(site, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
     return rows.filter(verdict(F.col("p_doc"), F.col("p_site"), m) >= keep_at).select("row.*")
