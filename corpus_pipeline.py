@@ -8,10 +8,11 @@ import public_tokenizers as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import shared_folder, table
+from tidemill.llm.common import components, saved, shared_folder, table
 from tidemill.llm.line_dedup import dedup
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality import keep_good
+from tidemill.llm.similar import similar
 from tidemill.llm.simhash import near_duplicates
 
 
@@ -27,8 +28,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; rows without an id stay."""
-    found = near_duplicates(docs, "doc_id", "text")
+    """The document with the smallest id of each component; rows without an id stay. Links are those of op5, and all pairs
+    of similarity 0.8 or more on five words, which fingerprints miss."""
+    found = saved(near_duplicates(docs, "doc_id", "text").select("doc_id", "component_id"))
+    root, name = F.col("component_id"), found.filter("doc_id is not null")
+    alike = similar(docs, "doc_id", "text")
+    ends = alike.join(name.select(F.col("doc_id").alias("src"), root.alias("u")).distinct(), "src").join(name.select(F.col("doc_id").alias("dst"), root.alias("v")).distinct(), "dst")
+    joined = components(ends.select("u", "v"), "u", "v")
+    found = found.join(joined, root == F.col("node"), "left").select("doc_id", F.coalesce("root", root).alias("component_id"))
     first = found.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 

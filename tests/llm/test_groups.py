@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import texts
-from tidemill.llm import common, line_dedup, packing, quality, queries, simhash, topk, url_filter
+from tidemill.llm import common, line_dedup, packing, quality, queries, similar, simhash, topk, url_filter
 
 WORD = files.path("word_bpe_49k.json")
 
@@ -358,6 +358,41 @@ def test_pipeline_by_its_stages(spark, sf_dir, tmp_path):
     assert key(last) == key(packed)
 
 
+def jaccard(a, b):
+    a, b = ({*zip(*(w[i:] for i in range(5)), strict=False)} if len(w) >= 5 else {tuple(w)} - {()} for w in (t.encode().lower().split() for t in (a, b)))
+    return len(a & b) / max(1, len(a | b))
+
+
+@pytest.mark.parametrize("crowd", [64, 3])
+def test_similar_connects_all_pairs(spark, crowd):
+    rng = np.random.default_rng(5)
+    rows, common = [(0, "One two"), (1, "one  two"), (2, ""), (3, None), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "a b c d e f g h j k")], " ".join(f"c{i}" for i in range(12))
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(20, 120)))]
+        for _ in range(4):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 1 + len(copy) // 20))):
+                copy[at] = "x" + str(rng.integers(0, 10**6))
+            rows.append((len(rows), " ".join(copy) + (" " + common if k % 2 else "")))
+    df = spark.createDataFrame([*rows, (None, rows[10][1])], "doc_id long, text string")
+    got = [(r.src, r.dst) for r in similar.similar(df, "doc_id", "text", crowd=crowd).collect()]
+    text = {i: t or "" for i, t in rows}
+    want = [(a, b) for a in text for b in range(a) if jaccard(text[a], text[b]) >= 0.8]
+    assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in got) and len(want) > 60
+    assert roots(list(text), got) == roots(list(text), want)
+
+
+def test_pipeline_keeps_no_near_copies(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    ids = (4, 3330, 1798, 8873)  # 0.8 or more alike, and more than 3 bits apart
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet").filter(F.col("doc_id").isin(*ids))
+    cut = pipeline.line_dedup(spark, docs, sf_dir)
+    text = {r.doc_id: r.text for r in cut.collect()}
+    assert all(jaccard(text[a], text[b]) >= 0.8 and bits(*(simhash.fingerprint(text[x].encode()) for x in (a, b))) > 3 for a, b in (ids[:2], ids[2:]))
+    assert {r.doc_id for r in pipeline.simhash_near_dedup(spark, cut, sf_dir).collect()} == {4, 1798}
+
+
 def test_pipeline_of_all_cases(docs, empty, spark, sf_dir):
     import corpus_pipeline as pipeline
 
