@@ -329,6 +329,41 @@ def test_a_common_line_makes_no_pairs(spark):
     assert out.agg(F.sum("n_removed")).first()[0] == 299
 
 
+def test_short_lines_go_with_their_block(spark):
+    """Short lines inside a block, and at its ends, first stand in a third document; one is repeated."""
+    a = "This line of a text has seven words."
+    b = "And so has this other line of it."
+    block = f"Les.\n{a}\nLes.\n\nTo to.\n{b}\nTo to."
+    rows = [(1, "Les.\nTo to.\nSome words of its own are here."), (2, block), (3, block), (4, f"Before the block is another line.\n{block}"), (5, "a\nb\nc\nd\ne\nf"), (6, "x\nb\nc\nd\ne\nf\ny"), (7, "a\nb\nc\nd\nf")]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert all(got[i].text == dict(rows)[i] for i in (1, 2, 5, 7))
+    assert lines(got[3].text) == [] and (got[3].n_removed, got[3].blocks) == (6, 1)
+    assert lines(got[4].text) == ["Before the block is another line."] and (got[4].n_removed, got[4].blocks) == (6, 1)
+    assert lines(got[6].text) == ["x", "y"]
+
+
+def test_windows_cover_every_block():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        words = [int(x) for x in rng.integers(1, 8, int(rng.integers(1, 12)))]
+        found = line_dedup.windows(words, 5)
+        for x in range(len(words)):
+            for y in range(x, len(words)):
+                if sum(words[x : y + 1]) >= 5:
+                    assert {p for a, b in found if x <= a and b <= y for p in range(a, b + 1)} == set(range(x, y + 1))
+
+
+def test_exact_copies_are_emptied(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    seen, copies = set(), []
+    for i, t in sorted(docs.select("doc_id", "text").collect()):
+        if len((t or "").split()) >= 5:
+            copies += [i] if t in seen else []
+            seen.add(t)
+    left = {r.doc_id: r.text for r in line_dedup.dedup(docs, "doc_id", "text").collect()}
+    assert copies and all(lines(left[i]) == [] for i in copies)
+
+
 # ---- pipeline
 
 
