@@ -428,6 +428,27 @@ def test_pipeline_keeps_no_near_copies(spark, sf_dir):
     assert {r.doc_id for r in pipeline.simhash_near_dedup(spark, cut, sf_dir).collect()} == {4, 1798}
 
 
+def test_pipeline_keeps_no_exact_copies(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    start = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")
+    first, ids = {}, [0, 653, 1227, 2131, 2159, 2437, 2700, 3261, 3404]
+    text = {r.doc_id: r.text for r in start.select("doc_id", "text").collect()}
+    for i in sorted(text):
+        first.setdefault(text[i], i)
+    # the copies, their originals, and the first holders of their lines
+    holders = {}
+    for i in sorted(text):
+        for x in lines(text[i] or ""):
+            holders.setdefault(x, i)
+    ids = {*ids, *(first[text[i]] for i in ids), *(holders[x] for i in ids for x in lines(text[i]))}
+    docs = start.filter(F.col("doc_id").isin(*ids))
+    for _, stage in pipeline.STAGES[1:]:
+        docs = stage(spark, docs, sf_dir)
+    left = {r.doc_id for r in docs.collect()}
+    assert len(ids) > 20 and not [i for i in left if first[text[i]] != i]
+
+
 def test_pipeline_of_all_cases(docs, empty, spark, sf_dir):
     import corpus_pipeline as pipeline
 
