@@ -323,6 +323,13 @@ def test_moved_blocks_go_too():
     assert line_dedup.cut(f"{a}\n\n{b}\nx", [(1, 1)]) == f"{a}\n\nx"
 
 
+def test_what_no_order_aligns_goes_too():
+    """P Q P against Q P Q: no line is unique in both, and neither end is common."""
+    both = lambda n: line_dedup.blocks([(1, "P", n, [0, 2], [1], 2), (1, "Q", n, [1], [0, 2], 2)], 5, 8)
+    assert both(5) == [(0, 1, 1)] and both(3) == [(0, 1, 1)] and both(2) == []
+    assert line_dedup.blocks([(1, "P", 9, [0, 4], [2], 2), (1, "Q", 9, [2], [0, 4], 2)], 5, 8) == [(0, 0, 1), (2, 2, 1)]
+
+
 def test_a_common_line_makes_no_pairs(spark):
     rows = [(i, f"A line that very many of the documents share.\nand number {i} says something of its own") for i in range(300)]
     out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
