@@ -405,6 +405,13 @@ def jaccard(a, b):
     return len(a & b) / max(1, len(a | b))
 
 
+def test_odd_bins_are_no_more_than_what_differs():
+    sets = [np.unique(x) for x in np.random.default_rng(9).integers(-(2**63), 2**63, (20, 900))]
+    for i, a in enumerate(sets):
+        for b in (sets[i - 1], np.unique([*a[i:], *sets[i - 1][:40]])):
+            assert int(np.bitwise_count((similar.odd_bins(a) ^ similar.odd_bins(b)).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_similar_connects_all_pairs(spark, crowd):
     rng = np.random.default_rng(5)

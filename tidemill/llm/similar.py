@@ -1,7 +1,9 @@
 """All pairs of texts whose sets of word shingles have a Jaccard similarity of 4/5 or more.
 
 A set is its shingles' 64-bit hashes in rising order. Of n of them, two sets that are alike share one at least of the
-first n - ceil(4n/5) + 1 of either, so only these meet (prefix filter); a pair is then verified over the whole sets.
+first n - ceil(4n/5) + 1 of either, so only these meet (prefix filter). Of a pair that met, the parities of how many
+hashes fall in each of ``BINS`` bins are compared: no two sets differ by fewer hashes than by odd bins, so none that is
+alike is lost. What stays is verified over the whole sets.
 Equal sets are one row from the start. A hash that more than ``crowd`` sets have in front is dealt anew with each later
 one of a front longer by one, as a pair of different sets that are alike shares two there.
 """
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import map_arrow, saved
 
+BINS = 1024
 STEPS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -41,12 +44,16 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 11) - (1 << 63)
 
 
+def odd_bins(s: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount(s & (BINS - 1), minlength=BINS).astype(np.uint8) & 1).view(np.int64)
+
+
 def front_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A set's key, size, and the hashes in front: one more than a pair has to share one of."""
+    """A set's key, size, the hashes in front (one more than a pair has to share one of), and its odd bins."""
     for b in batches:
         sets = [shingle_set(x or b"", width) for x in b.column(1).to_pylist()]
         fronts = [x[: len(x) - (4 * len(x) + 4) // 5 + 2] for x in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(fronts, pa.list_(pa.int64()))], ["id", "s", "n", "front"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (fronts, map(odd_bins, sets)))], ["id", "s", "n", "front", "odd"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -71,7 +78,7 @@ def met(nodes: DataFrame, crowd: int) -> DataFrame:
     more = saved(rows.join(counts.filter("c > 2").select("h", "c"), "h"))
     few = pairs(more.filter(F.col("c") <= crowd).select("h", "s", "n"), ["h"])
     hot = more.filter(F.col("c") > crowd).select("h", "s").join(nodes, "s")
-    dealt = saved(hot.select("h", "s", "n", F.explode(F.filter("front", lambda k: k > F.col("h"))).alias("k")))
+    dealt = hot.select("h", "s", "n", F.explode(F.filter("front", lambda k: k > F.col("h"))).alias("k"))
     return two.unionByName(few).unionByName(pairs(dealt, ["h", "k"])).distinct()
 
 
@@ -80,13 +87,16 @@ def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 64)
     of less. Rows without a key or a word are left out; rows with equal sets are linked to the smallest key among them."""
     kind = dict(df.dtypes)[key]
     data = df.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("data")).filter("id is not null and data is not null")
-    fronts = saved(map_arrow(data, __name__, "front_batches", f"id {kind}, s long, n int, front array<long>", width=width).filter("n > 0"))
+    fronts = saved(map_arrow(data, __name__, "front_batches", f"id {kind}, s long, n int, front array<long>, odd array<long>", width=width).filter("n > 0"))
     names = saved(fronts.groupBy("s").agg(F.min("id").alias("first")))
     equal = fronts.select("id", "s").join(names, "s").filter("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
 
     # different sets of fewer than four shingles are never that alike
-    nodes = saved(fronts.filter("n > 3").select("s", "n", "front").dropDuplicates(["s"]))
-    found = saved(met(nodes, crowd))
+    nodes = saved(fronts.filter("n > 3").select("s", "n", "front", "odd").dropDuplicates(["s"]))
+    end = lambda s, n, odd: nodes.select(F.col("s").alias(s), F.col("n").alias(n), F.col("odd").alias(odd))
+    close = met(nodes.select("s", "n", "front"), crowd).join(end("a", "m", "x"), "a").join(end("b", "n", "y"), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda d, x: d + x)
+    found = saved(close.filter((5 * F.least("m", "n") >= 4 * F.greatest("m", "n")) & (9 * differ <= F.col("m") + F.col("n"))).select("a", "b"))
     named = saved(found.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(names, "s"))
     wanted = data.join(named.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     sets = saved(map_arrow(wanted, __name__, "set_batches", "s long, whole array<long>", width=width).dropDuplicates(["s"]))
