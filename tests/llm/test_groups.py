@@ -405,14 +405,18 @@ def jaccard(a, b):
     return len(a & b) / max(1, len(a | b))
 
 
-def test_odd_bins_are_no_more_than_what_differs():
+def test_odd_bins_are_no_more_than_what_differs(spark):
     sets = [np.unique(x) for x in np.random.default_rng(9).integers(-(2**63), 2**63, (20, 900))]
-    for i, a in enumerate(sets):
-        for b in (sets[i - 1], np.unique([*a[i:], *sets[i - 1][:40]])):
-            assert int(np.bitwise_count((similar.odd_bins(a) ^ similar.odd_bins(b)).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+    pairs = [(a, b) for i, a in enumerate(sets) for b in (sets[i - 1], np.unique([*a[i:], *sets[i - 1][:40]]), np.unique([*a, *sets[i - 1][: 150 + i]]), a[:700], a[:4])]
+    ends = lambda s: (len(s), similar.odd_bins(s).tolist())
+    df = spark.createDataFrame([(k, *ends(a), *ends(b)) for k, (a, b) in enumerate(pairs)], "k int, n int, odd array<long>, m int, other array<long>")
+    x, y = df.select("k", "n", "odd").alias("x"), df.select(F.col("k").alias("j"), F.col("m").alias("n"), F.col("other").alias("odd")).alias("y")
+    seen = {r.k for r in x.join(y, (F.col("k") == F.col("j")) & similar.near("x", "y")).collect()}
+    want = {k for k, (a, b) in enumerate(pairs) if 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))}
+    assert want <= seen and len(want) > 20 and len(seen) < len(want) + 30
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
+@pytest.mark.parametrize("crowd", [256, 64, 3, 1])
 def test_similar_connects_all_pairs(spark, crowd):
     rng = np.random.default_rng(5)
     rows, common = [(0, "One two"), (1, "one  two"), (2, ""), (3, None), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "a b c d e f g h j k")], " ".join(f"c{i}" for i in range(12))

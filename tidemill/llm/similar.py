@@ -1,11 +1,17 @@
-"""All pairs of texts whose sets of word shingles have a Jaccard similarity of 4/5 or more.
-
-A set is its shingles' 64-bit hashes in rising order. Of n of them, two sets that are alike share one at least of the
-first n - ceil(4n/5) + 1 of either, so only these meet (prefix filter). Of a pair that met, the parities of how many
-hashes fall in each of ``BINS`` bins are compared: no two sets differ by fewer hashes than by odd bins, so none that is
-alike is lost. What stays is verified over the whole sets.
-Equal sets are one row from the start. A hash that more than ``crowd`` sets have in front is dealt anew with each later
-one of a front longer by one, as a pair of different sets that are alike shares two there.
+"""All pairs of texts whose sets of word shingles have a Jaccard similarity of 4/5 or more, up to connection.
+
+A set is its shingles' 64-bit hashes in rising order; equal sets are one row from the start. Of n hashes, two sets that are
+alike share one at least of the first n - ceil(4n/5) + 1 of either, in any order that both keep (prefix filter). Of that
+front no more than ``FRONT`` are taken: each of the least hashes of both sets together is in both with a chance of 4/5 or
+more, so a pair is missed with a chance below 0.2 ** FRONT, or 1e-44, far below that of two shingles' hashes being equal.
+
+Links need only connect. So each set meets the first one of each hash first, and later only sets that are not connected to
+it yet. A hash that more than ``crowd`` fronts hold is left out there: sets that hold one meet again by their whole sets,
+their fronts taken in an order in which what is frequent comes last. Then only sets whose rarer hashes are too few for a
+front, those that consist of frequent hashes for the most part, meet by frequent ones.
+
+Before whole sets are read, the parities of how many hashes fall in each of about n bins are compared: no two sets differ
+by fewer hashes than by odd bins, so none that is alike is lost.
 """
 
 from __future__ import annotations
@@ -15,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import map_arrow, saved
+from tidemill.llm.common import components, map_arrow, saved, union
 
-BINS = 1024
+FRONT = 64
 STEPS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -44,15 +50,21 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 11) - (1 << 63)
 
 
+def front_size(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1
+
+
 def odd_bins(s: np.ndarray) -> np.ndarray:
-    return np.packbits(np.bincount(s & (BINS - 1), minlength=BINS).astype(np.uint8) & 1).view(np.int64)
+    """Bits that say in which of 64, 128, ... bins (as many as hashes, or up to twice that) an odd number of hashes fall."""
+    bins = 64 << max(0, (len(s) - 1) // 64).bit_length()
+    return np.packbits(np.bincount(s & (bins - 1), minlength=bins).astype(np.uint8) & 1).view(np.int64)
 
 
 def front_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A set's key, size, the hashes in front (one more than a pair has to share one of), and its odd bins."""
+    """A set's key, size, the hashes in front and its odd bins."""
     for b in batches:
         sets = [shingle_set(x or b"", width) for x in b.column(1).to_pylist()]
-        fronts = [x[: len(x) - (4 * len(x) + 4) // 5 + 2] for x in sets]
+        fronts = [x[: min(FRONT, front_size(len(x)))] for x in sets]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (fronts, map(odd_bins, sets)))], ["id", "s", "n", "front", "odd"])
 
 
@@ -62,27 +74,36 @@ def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["s", "whole"])
 
 
-def met(nodes: DataFrame, crowd: int) -> DataFrame:
-    """(a, b), a < b: keys of the sets that share a hash in front and are near enough in size."""
-    near = (F.col("x.s") < F.col("y.s")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
+def folded(x: Column, y: Column) -> Column:
+    """Odd bins ``x``, in as many as ``y`` has if that is half."""
+    half = F.size(y)
+    return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
+
+
+def near(x: str, y: str) -> Column:
+    """Sizes and odd bins of rows ``x`` and ``y`` allow that they are alike."""
+    n, m, a, b = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.odd"), F.col(f"{y}.odd")
+    differ = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda d, k: d + k)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * differ <= n + m)
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """(a, b): each set of ``rows`` (h, s, n, odd) with the first one of each of its hashes, where they are near."""
+    first = rows.groupBy("h").agg(F.min_by(F.struct("s", "n", "odd"), "s").alias("f")).select("h", "f.*")
+    return first.alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.s") < F.col("y.s")) & near("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
 
-    def pairs(rows: DataFrame, by: list[str]) -> DataFrame:
-        x, y = rows.alias("x"), rows.alias("y")
-        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in by]
-        return x.join(y, [*same, near]).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
 
-    front = nodes.withColumn("front", F.expr("slice(front, 1, n - cast(floor((4 * n + 4) / 5) as int) + 1)"))
-    rows = front.select("s", "n", F.explode("front").alias("h"))
-    counts = saved(rows.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("a"), F.max("s").alias("b")).filter("c > 1"))
-    two = counts.filter("c = 2").select("a", "b")
-    more = saved(rows.join(counts.filter("c > 2").select("h", "c"), "h"))
-    few = pairs(more.filter(F.col("c") <= crowd).select("h", "s", "n"), ["h"])
-    hot = more.filter(F.col("c") > crowd).select("h", "s").join(nodes, "s")
-    dealt = hot.select("h", "s", "n", F.explode(F.filter("front", lambda k: k > F.col("h"))).alias("k"))
-    return two.unionByName(few).unionByName(pairs(dealt, ["h", "k"])).distinct()
+def across(rows: DataFrame) -> DataFrame:
+    """(a, b): near sets of ``rows`` (h, s, n, odd, root) that share a hash and no root. The commonest root of a hash has
+    most of its rows, and these don't meet each other."""
+    most = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
+    rows = rows.join(most.filter("roots > 1"), "h")
+    own, other = F.col("x.root") != F.col("y.root"), (F.col("y.root") == F.col("y.most")) | (F.col("x.s") < F.col("y.s"))
+    met = rows.filter("root <> most").alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & own & other & near("x", "y"))
+    return met.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 
-def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 64) -> DataFrame:
+def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256) -> DataFrame:
     """(src, dst): keys of rows whose texts are alike, enough of them that all pairs of 4/5 or more are connected, and none
     of less. Rows without a key or a word are left out; rows with equal sets are linked to the smallest key among them."""
     kind = dict(df.dtypes)[key]
@@ -92,15 +113,37 @@ def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 64)
     equal = fronts.select("id", "s").join(names, "s").filter("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
 
     # different sets of fewer than four shingles are never that alike
-    nodes = saved(fronts.filter("n > 3").select("s", "n", "front", "odd").dropDuplicates(["s"]))
-    end = lambda s, n, odd: nodes.select(F.col("s").alias(s), F.col("n").alias(n), F.col("odd").alias(odd))
-    close = met(nodes.select("s", "n", "front"), crowd).join(end("a", "m", "x"), "a").join(end("b", "n", "y"), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda d, x: d + x)
-    found = saved(close.filter((5 * F.least("m", "n") >= 4 * F.greatest("m", "n")) & (9 * differ <= F.col("m") + F.col("n"))).select("a", "b"))
-    named = saved(found.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(names, "s"))
-    wanted = data.join(named.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
-    sets = saved(map_arrow(wanted, __name__, "set_batches", "s long, whole array<long>", width=width).dropDuplicates(["s"]))
-    both = found.join(sets.select(F.col("s").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("whole").alias("y")), "b")
-    alike = both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-    alike = alike.join(named.select(F.col("s").alias("a"), F.col("first").alias("src")), "a").join(named.select(F.col("s").alias("b"), F.col("first").alias("dst")), "b")
-    return equal.unionByName(alike.select("src", "dst"))
+    nodes = saved(fronts.filter("n > 3").dropDuplicates(["s"]).select("s", "n", "front", "odd"))
+    rows = nodes.select("s", F.explode("front").alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    often = saved(rows.join(often, "h").select("h", "s", (F.col("c") > crowd).alias("hot")))
+    whole = lambda wanted: map_arrow(data.join(wanted.join(names, "s").select(F.col("first").alias("id")), "id", "left_semi"), __name__, "set_batches", "s long, whole array<long>", width=width).dropDuplicates(["s"])
+    again = saved(whole(often.filter("hot").select("s").distinct()))
+    end = nodes.select("s", "n", "odd")
+    cold = often.filter("not hot").select("h", "s").unionByName(_rare_first(again, crowd).filter("not hot").select("h", "s")).distinct()
+    cold, hot = saved(cold.join(end, "s")), saved(_rare_first(again, crowd).filter("hot").select("h", "s").join(end, "s"))
+
+    first = verified(saved(stars(cold).unionByName(stars(hot)).distinct()), whole)
+    roots = saved(components(first, "a", "b"))
+    rooted = lambda rows: rows.join(roots, rows["s"] == roots["node"], "left").select("h", "s", "n", "odd", F.coalesce("root", "s").alias("root"))
+    rest = saved(across(rooted(cold)).unionByName(across(rooted(hot))).distinct())
+    links = first.unionByName(verified(rest, whole))
+    links = links.join(names.select(F.col("s").alias("a"), F.col("first").alias("src")), "a").join(names.select(F.col("s").alias("b"), F.col("first").alias("dst")), "b")
+    return union([equal, links.select("src", "dst")])
+
+
+def _rare_first(sets: DataFrame, crowd: int) -> DataFrame:
+    """(h, s, hot): the hashes in front of whole ``sets`` (s, whole), those of over ``crowd`` of the sets last."""
+    rows = sets.select("s", F.explode("whole").alias("h"))
+    counts = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    rows = rows.join(counts, "h", "left").select("s", F.struct((F.coalesce("c", F.lit(1)) > crowd).alias("hot"), "h").alias("x"))
+    fronts = rows.groupBy("s").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a row a set
+    size = F.expr("size(xs) - cast(floor((4 * size(xs) + 4) / 5) as int) + 1")
+    return fronts.select("s", F.explode(F.slice("xs", F.lit(1), size)).alias("x")).select("x.h", "s", "x.hot")
+
+
+def verified(pairs: DataFrame, whole) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are alike."""
+    sets = saved(whole(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()))
+    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("whole").alias("y")), "b")
+    return saved(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
