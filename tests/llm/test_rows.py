@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html as htmllib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -146,6 +147,87 @@ def test_odd_pages(html, want):
     assert html_text.extract(html) == want
 
 
+HEAD_P = "<h1>Head</h1><p>First para, with words, and more words to read on a day.</p><p>Second para, that has, some commas, and words enough.</p>"
+HEAD_TEXT = "Head\nFirst para, with words, and more words to read on a day.\nSecond para, that has, some commas, and words enough."
+NAV, FOOT = "<nav><ul><li><a href=x>menu</a></li></ul></nav>", "<footer><p>Copyright, all rights reserved</p></footer>"
+READERS = '<section id="comments"><article class="comment"><p>so, good, so, long, so, many, commas, here, in, this, one, and it goes on and on and on, and on</p></article></section>'
+AROUND = {
+    "no end of head": f"<html><head><title>t</title><meta charset=utf-8><body>{NAV}<article>@</article>{FOOT}",
+    "no head's end, no body": f"<html><head><title>t</title>{NAV}<article>@</article>{FOOT}",
+    "no head": f"<title>t</title>{NAV}<article>@</article>{FOOT}",
+    "one form": f"<body><form action=x><input>{NAV}<div id=c>@</div>{FOOT}</form></body>",
+    "one form with an article": f"<body><form action=x><input>{NAV}<article>@</article>{FOOT}</form></body>",
+    "a class with social": f'<body>{NAV}<article class="social-science">@</article>{FOOT}',
+    "a class with sidebar": f'<body>{NAV}<div class="page-sidebar-left">@</div>{FOOT}',
+    "a class with share": f'<body>{NAV}<div class="share-price-report">@</div>{READERS}{FOOT}',
+    "comments in the article": f"<body>{NAV}<article>@{READERS}</article>{FOOT}",
+    "comments after it": f'<body>{NAV}<main>@</main><div class="comments">{READERS}</div>{FOOT}',
+    "an article as a comment": f'<body>{NAV}<main><article>@</article></main><div class="comments"><article><p>so, good, so, long, so, many, commas</p></article></div>{FOOT}',
+    "more comments than text": f"<body>{NAV}<div id=x>@{READERS}{READERS}{READERS}</div>{FOOT}",
+    "related articles": f'<body>{NAV}<article>@<div class="related"><article><h2>More</h2><p>x, y, z, and more teaser text, there</p></article></div></article>',
+    "an empty comment": f"<body><!-->{NAV}@<!-- z -->{FOOT}",
+    "a header with a slogan": '<body><header><h1>Site</h1><p>The slogan, of it</p></header><div class="social-layout">@</div>',
+    "many wrappers": "<body>" + '<div class="wrap sidebar-x">' * 80 + "@" + "</div>" * 80,
+    "an advert inside": f'<body>{NAV}<div id=c><div class=ad>Buy, buy, buy</div>@</div>{FOOT}',
+    "hidden parts": '<body><article>@<p hidden>no</p><p style="display: none">no</p></article>',
+}
+
+
+@pytest.mark.parametrize("name", AROUND)
+def test_frames_do_not_hide_the_article(name):
+    assert html_text.extract(AROUND[name].replace("@", HEAD_P)) == HEAD_TEXT
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><p>Take <math><mi>x</mi><mo>+</mo><mn>1</mn></math> now.</p></article>", "Take x+1 now."),
+        (f"<body>{NAV}<div id=c><section>{HEAD_P * 3}</section><section><p>Small one.</p><p>Another.</p></section></div>{FOOT}", "\n".join([HEAD_TEXT] * 3 + ["Small one.", "Another."])),
+        (f"<body>{NAV}<div id=c><div>{HEAD_P}</div><ul><li>one</li><li>two</li></ul><table><tr><td>a</td><td>b</td></tr></table></div>{FOOT}", HEAD_TEXT + "\none\ntwo\na\nb"),
+        (f'<body><article></article>{FOOT}<div class="cookie-notice"><p>cookies, and, so on</p></div>', ""),
+    ],
+)
+def test_parts_of_one_text(html, want):
+    assert html_text.extract(html) == want
+
+
+def test_pages_without_article_elements():
+    """Random pages of plain containers against the blocks that they were made of."""
+    rng = random.Random(12)
+    words = lambda least, most: " ".join(rng.choice(("alpha", "beta,", "gamma", "delta", "omega.")) for _ in range(rng.randrange(least, most)))
+
+    def part(depth: int) -> tuple[str, list[str]]:
+        html, texts = "", []
+        for _ in range(rng.randrange(2, 5)):
+            way = rng.randrange(6 if depth else 4)
+            if way < 2:
+                t = [words(12, 60)]
+                html += f"<p>{t[0]}" + rng.choice(("", "</p>"))
+            elif way == 2:
+                t = [words(2, 6), words(12, 60)]
+                html += f"<h2>{t[0]}</h2><p>{t[1]}</p>"
+            elif way == 3:
+                t = [words(8, 20) for _ in range(3)]
+                html += "<ul>" + "".join(f"<li>{x}" for x in t) + "</ul>"
+            else:
+                inner, t = part(depth - 1)
+                html += rng.choice(("<div>{}</div>", "<section>{}</section>", '<div class="box with-nav">{}</div>')).format(inner)
+            texts += t
+        return html, texts
+
+    for _ in range(300):
+        html, texts = part(3)
+        page = f'<body>{NAV}<div class="sidebar"><p>{words(5, 30)}</p></div><div id="x"><div class="ad">Buy, now.</div><h1>Title</h1>{html}<div class="share">Share this</div></div>{READERS}<form><input>Search, here</form>{FOOT}'
+        assert html_text.extract(page) == "\n".join(["Title", *texts])
+
+
+def test_extraction_is_linear():
+    n = 20_000
+    for html in ("<blockquote>" * n + "<p>a, b</p>", '<div class="nav">' * n + "<p>a, b</p>", '<section class="banner">' * n + "<main><p>a, b</p>"):
+        begun = time.process_time()
+        assert html_text.extract(html) == "a, b" and time.process_time() - begun < 5
+
+
 def test_long_and_deep_pages():
     assert html_text.extract("<div>" * 20_000 + "<p>deep text</p>") == "deep text"
     assert len(html_text.extract("<article>" + "<p>a, b</p>" * 30_000)) == 5 * 30_000 - 1

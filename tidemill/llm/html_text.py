@@ -1,15 +1,18 @@
 """HTML extraction by tree scoring.
 
-A page becomes a tree of elements. Each paragraph gives points for its length and its commas to its ancestors, less the
-farther they are; a container's points are discounted by the share of its text that is in links. The best container is
-kept, and those of its siblings that score or read like it. What only frames an article (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments of readers) is cut before scoring, by its tag, role or class.
+A page becomes a tree of elements. Each paragraph gives points for its length and its commas, less what of it is in links,
+to its ancestors, the farther the less; a container's points are discounted by the share of its text that is in links. The
+best container is kept, with those of its siblings that score or read like it, and its parents while they only gather
+parts of one text. Elements that frame an article (menus, headers, footers, sidebars, notices, adverts, forms, comments of
+readers), known by tag, role or class, are left out, unless the points say that they hold the page's text themselves.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -21,38 +24,54 @@ from tidemill.llm.common import map_arrow
 # Names of the HTML standard, and words that sites use for what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+HEAD = frozenset("head title meta link base script style noscript template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CUT = frozenset("nav footer aside form script style noscript template svg iframe button select textarea input object embed canvas head menu dialog math title noembed noframes audio video".split())
-ENDS_P = BLOCKS - {"html", "body"}
+SILENT = frozenset("script style noscript template svg iframe button select textarea input object embed canvas head title noembed noframes audio video annotation annotation-xml".split())
+FRAMES = frozenset("nav footer aside menu dialog".split())
+ENDS_P, P_FENCES = BLOCKS - {"html", "body"}, frozenset("button td th table object".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-AWAY = re.compile(
-    r"(?:^|.*[_-])(?:ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menus?|modal|nav|navbar|navigation|"
-    r"newsletter|notices?|notification|paywall|popup|promos?|promotion|recommended|related|replies|respond|share|sharing|sidebars?|signup|skip-link|social|sponsor(?:ed|s)?|subscribe|subscription|toolbar)(?:$|[_-].*)"
-    r"|widgets?(?:$|[_-].*)",
+AWAY = r"(?:^|.*[_-])(?:{})(?:$|[_-].*)"
+LAYOUT = re.compile(AWAY.format("footer|header|masthead|menus?|nav|navbar|navigation|sidebars?"), re.I)
+BARS = re.compile(AWAY.format("share|sharing|social|toolbar") + r"|widgets?(?:$|[_-].*)", re.I)
+STRANGE = re.compile(
+    AWAY.format(
+        "ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|gdpr|modal|newsletter|notices?|notification|paywall|popup|"
+        "promos?|promotion|recommended|related|replies|respond|signup|skip-link|sponsor(?:ed|s)?|subscribe|subscription"
+    ),
     re.I,
 )
 STATES = re.compile(r"(?:no|has|with|without|is|js|hide)[_-]|.*[_-](?:with|no|has)[_-]|(?:article|post|entry|content|story|page)[_-]*(?:header|title|heading)(?:$|[_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^>]*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!---?>|<!--.*?(?:--!?>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?/][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|([^\s=/"'>]+)""")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-
-HARD, SOFT = 2, 1
+#: Why an element may be left out: never read; a frame by tag or role, or strange to an article by class; laid out like a
+#: frame of the page by class; a bar or a form, which may be within an article.
+NEVER, FRAME, LAID_OUT, BAR = 4, 3, 2, 1
+#: A subtree that is laid out like a frame stays if it has so many times the points of the rest of the page.
+CARRIES = 4
+NONE = 1e-6
+PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
+HOLDERS = frozenset("div section article main html body form center fieldset details figure table tr tbody".split())
 
 
 class Node:
-    """An element. ``cut``: HARD if it is no part of an article by its tag or role, SOFT if by its class; ``main``: an element
-    that says it is the article."""
+    """An element. ``cut``: why it may be left out, 0 if it stays; ``main``: it says it is the article; ``size``, ``linked``,
+    ``commas`` and ``mass`` (points of the paragraphs below) are of its whole subtree; ``title``: that holds a main element or
+    heading (2), or an article (1)."""
 
-    __slots__ = ("tag", "up", "kids", "cut", "main", "score", "size", "linked", "order")
+    __slots__ = ("tag", "up", "kids", "cut", "main", "score", "size", "linked", "commas", "mass", "title", "order")
 
     def __init__(self, tag: str, up: Node | None, cut: int = 0, main: bool = False):
-        self.tag, self.up, self.kids, self.cut, self.main, self.score, self.size, self.linked, self.order = tag, up, [], cut, main, 0.0, 0, 0, 0
+        self.tag, self.up, self.kids, self.cut, self.main = tag, up, [], cut, main
+        self.score, self.size, self.linked, self.commas, self.mass, self.order = 0.0, 0, 0, 0, 0.0, 0
+        self.title = 2 if main and tag != "article" or tag == "h1" else int(main)
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -61,25 +80,44 @@ def attributes(source: str) -> dict[str, str]:
 
 def kind(tag: str, source: str, inside: bool) -> tuple[int, bool]:
     """(cut, main) of an element; ``inside``: within an article, where a header may hold the headline and stays."""
-    if tag in CUT or tag == "header" and not inside:
-        return HARD, False
+    if tag in SILENT:
+        return NEVER, False
+    cut = FRAME if tag in FRAMES or tag == "header" and not inside else BAR if tag == "form" else 0
     main = tag in ("article", "main")
     if not source or tag in ("html", "body"):
-        return 0, main
+        return cut, main
     a = attributes(source)
-    if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return HARD, False
-    main = main or a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody"
-    names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    if not (inside and tag in ("h1", "header")) and any(AWAY.fullmatch(n) and not STATES.match(n) for n in names):
-        return SOFT, False
-    return 0, main
+    role = a.get("role", "").lower()
+    if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
+        return NEVER, False
+    main = main or role == "main" or a.get("itemprop", "").lower() == "articlebody"
+    names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not STATES.match(n)]
+    if role in ROLES or any(map(STRANGE.fullmatch, names)):
+        cut = FRAME
+    elif cut <= BAR and not (inside and tag in ("h1", "header")):
+        cut = LAID_OUT if any(map(LAYOUT.fullmatch, names)) else BAR if any(map(BARS.fullmatch, names)) else cut
+    return cut, main
 
 
 def tree(html: str) -> Node:
-    """The tree of ``html``. Ends of p, li, td and the like may be missing; an end tag without a start is left out."""
+    """The tree of ``html``. Ends of p, li, td, head and the like may be missing; an end tag without a start is left out."""
     root = Node("html", None)
-    at, stack, open_count, inside, pos, n = root, [root], {}, 0, 0, len(html)
+    at, stack, open_at, inside, pos, n = root, [root], defaultdict(list), 0, 0, len(html)
+
+    def close_to(i: int) -> None:
+        nonlocal at, inside
+        while len(stack) > i:
+            gone = stack.pop()
+            open_at[gone.tag].pop()
+            inside -= gone.main
+        at = stack[-1]
+
+    def close(tags: set[str] | frozenset, fences: set[str] | frozenset = frozenset()) -> None:
+        """Closes the innermost open element of ``tags``, unless a fence stands between."""
+        last = lambda names: max((open_at[t][-1] for t in names if open_at[t]), default=0)
+        if (i := last(tags)) > last(fences):
+            close_to(i)
+
     while pos < n:
         m = TOKEN.match(html, pos)
         pos = m.end()
@@ -87,33 +125,27 @@ def tree(html: str) -> Node:
         if tag is None:
             text = m[0]
             if text[0] != "<" or text == "<":
+                if at.tag == "head" and not text.isspace():
+                    close({"head"})
                 at.kids.append(text)
             continue
         tag = tag.lower()
         if m[1]:
-            if open_count.get(tag):
-                while True:
-                    gone = stack.pop()
-                    open_count[gone.tag] -= 1
-                    inside -= gone.main
-                    if gone.tag == tag:
-                        break
-                at = stack[-1]
+            close({tag})
             continue
-        if tag in ("html", "body") and at is root:
+        if open_at["head"] and tag not in HEAD:
+            close({"head"})
+        if tag in ("html", "body") and (at is root or open_at["body"]):
             continue
-        if tag in ENDS_P and open_count.get("p"):
-            _close(stack, open_count, {"p"}, {"button", "td", "th", "table", "object"})
+        if tag in ENDS_P and open_at["p"]:
+            close({"p"}, P_FENCES)
         if tag in CLOSES:
-            _close(stack, open_count, CLOSES[tag], FENCES[tag])
-        at = stack[-1]
+            close(CLOSES[tag], FENCES[tag])
         if tag == "br":
             at.kids.append(" ")
             continue
         node = Node(tag, at, *kind(tag, m[3], inside > 0))
         at.kids.append(node)
-        if node.main:
-            _uncut(at)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -121,55 +153,93 @@ def tree(html: str) -> Node:
             pos = n if end is None else html.find(">", end.start()) + 1 or n
             continue
         if not m[3].endswith("/") or tag not in ("svg", "path"):
+            open_at[tag].append(len(stack))
             stack.append(node)
-            open_count[tag] = open_count.get(tag, 0) + 1
             inside += node.main
             at = node
     return root
 
 
-def _close(stack: list[Node], open_count: dict[str, int], tags: set[str], fences: set[str]) -> None:
-    """Closes the innermost open element of ``tags``, unless a fence stands between."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            for gone in stack[i:]:
-                open_count[gone.tag] -= 1
-            del stack[i:]
-            return
-        if stack[i].tag in fences:
-            return
-
-
-def _uncut(node: Node) -> None:
-    """What holds an article is no frame of it, whatever its class says; within a HARD cut nothing changes."""
-    up = []
-    while node is not None and len(up) < 64:
-        if node.cut == HARD:
-            return
-        up.append(node)
-        node = node.up
-    for x in up:
-        x.cut = 0
-
-
-def measure(root: Node) -> list[Node]:
-    """All kept elements in page order, with the sizes of their text and linked text set."""
+def own_text(x: Node) -> str:
+    return "".join(k for k in x.kids if isinstance(k, str))
+
+
+def points(x: Node) -> tuple[float, bool]:
+    """What ``x`` gives as a paragraph, and whether to itself (text that stands in a container) or to its parent."""
+    if x.tag in PARAGRAPHS:
+        size, commas, linked, to_self = x.size, x.commas, x.linked / x.size if x.size else 0, False
+    elif x.tag in HOLDERS and any(isinstance(k, str) and not k.isspace() for k in x.kids):
+        text = own_text(x)
+        size, commas, linked, to_self = len(text.strip()), text.count(","), 0, True
+    else:
+        return 0.0, False
+    return (1 + commas + min(size / 100, 3)) * (1 - linked) * (0.25 if x.tag == "li" else 1) if size else 0.0, to_self
+
+
+def measured(root: Node, least: int) -> list[Node]:
+    """The elements below ``root`` that are no or a lesser cut than ``least``, in page order, with what ``Node`` tells of their
+    subtrees and the scores that paragraphs give them."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         x.order = len(order)
         order.append(x)
-        todo += [k for k in reversed(x.kids) if not isinstance(k, str) and not k.cut]
+        x.size = x.linked = x.commas = 0
+        x.mass = x.score = 0.0
+        todo += [k for k in reversed(x.kids) if not isinstance(k, str) and k.cut < least]
     for x in reversed(order):
-        x.size += sum(len(k.split()) and len(k.strip()) for k in x.kids if isinstance(k, str))
+        for k in x.kids:
+            if isinstance(k, str):
+                x.size += len(k.strip())
+                x.commas += k.count(",")
         if x.tag == "a":
             x.linked = x.size
-        if x.up is not None:
-            x.up.size += x.size
-            x.up.linked += x.linked
+        own, to_self = points(x)
+        x.mass += own
+        to, far = x if to_self else x.up, 1
+        while own and to is not None and far <= 5:
+            to.score += own / (1 if far == 1 else 2 if far == 2 else 3 * (far - 1))
+            to, far = to.up, far + 1
+        if (up := x.up) is not None:
+            up.size, up.linked, up.commas, up.mass, up.title = up.size + x.size, up.linked + x.linked, up.commas + x.commas, up.mass + x.mass, max(up.title, x.title)
+    for x in order:
+        x.score *= 1 - x.linked / x.size if x.size else 0
     return order
 
 
+def settle(root: Node) -> None:
+    """Decides which elements that may be left out stay. One below ``FRAME`` does if it carries the text of the page: if
+    it has over ``CARRIES`` times the points of all that is in no such element. A frame does only if nothing else has points
+    and it holds the page's main element or main heading. Those with an article or heading come first, then the greatest; what
+    stays has its own such elements decided, too."""
+
+    def outermost(x: Node) -> tuple[float, list[tuple]]:
+        """Points below ``x`` that are in no element that may be left out, and these elements, as they are to be decided."""
+        free, found, todo = x.mass, [], [x]
+        while todo:
+            for k in todo.pop().kids:
+                if not isinstance(k, str) and k.cut != NEVER:
+                    if k.cut:
+                        free -= k.mass
+                        need = 1 + (k.cut == FRAME)
+                        found.append((2 * (k.title < need) + need, -k.mass, k.order, k))
+                    else:
+                        todo.append(k)
+        return free, found
+
+    free, waiting = outermost(root)
+    heapify(waiting)
+    while waiting:
+        x = heappop(waiting)[-1]
+        carries = x.mass > CARRIES * free + NONE if x.cut < FRAME else free <= NONE < x.mass and x.title == 2
+        if carries:
+            x.cut = 0
+            more, inner = outermost(x)
+            free += more
+            for k in inner:
+                heappush(waiting, k)
+
+
 def blocks(top: Node) -> list[str]:
     """The texts between block borders below ``top``, in page order, with single spaces."""
     out, now, todo = [], [], [top]
@@ -196,41 +266,37 @@ def blocks(top: Node) -> list[str]:
     return out
 
 
+def gathers(x: Node) -> bool:
+    """Whether ``x`` may gather parts of one text: it is not the page, and holds no frames of it."""
+    return x.tag not in ("html", "body") and not any(not isinstance(k, str) and (k.cut == LAID_OUT or k.cut and (k.tag in FRAMES or k.tag == "header")) for k in x.kids)
+
+
 def extract(html: str) -> str:
     """The main text of a page, blocks joined by newlines; '' if it has none."""
     root = tree(html)
-    order = measure(root)
-    for x in order:
-        if x.tag in ("p", "pre", "blockquote", "td", "li", "dd") or x.tag in ("div", "section", "article", "main", "html", "body") and any(isinstance(k, str) and not k.isspace() for k in x.kids):
-            own = "".join(k if isinstance(k, str) else "" for k in x.kids) if x.tag not in ("p", "pre", "blockquote", "li", "td", "dd") else None
-            size = x.size if own is None else len(own.strip())
-            commas = ",".join(blocks(x)).count(",") if own is None else own.count(",")
-            points = (1 + commas + min(size / 100, 3)) * (0.25 if x.tag == "li" else 1)
-            to, far = x if own is not None else x.up, 1
-            while to is not None and far <= 5:
-                to.score += points / (1 if far == 1 else 2 if far == 2 else 3 * (far - 1))
-                to, far = to.up, far + 1
-    best = None
-    for x in order:
-        x.score *= 1 - x.linked / x.size if x.size else 0
-        if x.score > 0 and (best is None or x.score + 25 * x.main > best.score + 25 * best.main):
-            best = x
+    measured(root, NEVER)
+    settle(root)
+    order = measured(root, BAR)
+    best = max((x for x in order if x.score > 0), key=lambda x: x.score + 25 * x.main, default=None)
     if best is None:
         whole = max((x for x in order if x.main and x.size), key=lambda x: x.size, default=root)
         return "\n".join(blocks(whole))
-    outer = best
-    while outer is not None and not outer.main:
-        outer = outer.up
-    best = outer or best
-    kept = [best]
-    for x in best.up.kids if best.up is not None else ():
-        if isinstance(x, str) or x.cut or x is best:
-            continue
-        density = x.linked / x.size if x.size else 1
-        alike = x.score >= max(10, 0.2 * best.score) and density < 0.5
-        prose = x.tag == "p" and (x.size > 80 and density < 0.25 or x.size and not density) or x.tag in ("h1", "h2") and x.size and density < 0.5
-        if alike or prose and not best.main:
-            kept.append(x)
+    x = best
+    while x is not None:  # the outermost of the elements around it that say they are the article
+        best, x = x if x.main else best, x.up
+    kept, at = [best], best
+    while not at.main and at.up is not None:
+        one_text = gathers(at.up)
+        for x in at.up.kids:
+            if isinstance(x, str) or x.cut or x is at or not x.size:
+                continue
+            density = x.linked / x.size
+            prose = x.tag == "p" and (x.size > 80 and density < 0.25 or not density) or x.tag in ("h1", "h2") and density < 0.5
+            if prose or density < 0.5 and (one_text or x.mass >= 0.2 * best.mass):
+                kept.append(x)
+        if not one_text:
+            break
+        at = at.up
     return "\n".join(text for x in sorted(kept, key=lambda x: x.order) for text in blocks(x))
 
 
