@@ -66,6 +66,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int = 300_000) -> DataFrame:
+    """``df``, a saved table of an id or two a row, marked to be broadcast if it has ``most`` rows at most, so that what it is
+    joined with stays where it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", rows_a_task: int = 50_000) -> DataFrame:
     """Connected components of an undirected graph: (node, root) with the smallest reachable node as root.
 

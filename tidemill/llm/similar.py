@@ -3,7 +3,7 @@
 A set is its shingles' 64-bit hashes in rising order; equal sets are one row from the start. Of n hashes, two sets that are
 alike share one at least of the first n - ceil(4n/5) + 1 of either, in any order that both keep (prefix filter). Of that
 front no more than ``FRONT`` are taken: each of the least hashes of both sets together is in both with a chance of 4/5 or
-more, so a pair is missed with a chance below 0.2 ** FRONT, or 1e-44, far below that of two shingles' hashes being equal.
+more, so a pair is missed with a chance below 0.2 ** FRONT, or 1e-22, less than that of two shingles' hashes being equal.
 
 Links need only connect. So each set meets the first one of each hash first, and later only sets that are not connected to
 it yet. A hash that more than ``crowd`` fronts hold is left out there: sets that hold one meet again by their whole sets,
@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, map_arrow, saved, union
+from tidemill.llm.common import components, map_arrow, saved, small, union
 
-FRONT = 64
+FRONT = 32
 STEPS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -117,7 +117,11 @@ def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256
     rows = nodes.select("s", F.explode("front").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     often = saved(rows.join(often, "h").select("h", "s", (F.col("c") > crowd).alias("hot")))
-    whole = lambda wanted: map_arrow(data.join(wanted.join(names, "s").select(F.col("first").alias("id")), "id", "left_semi"), __name__, "set_batches", "s long, whole array<long>", width=width).dropDuplicates(["s"])
+
+    def whole(wanted: DataFrame) -> DataFrame:
+        ids = small(saved(wanted.join(names, "s").select(F.col("first").alias("id"))))
+        return map_arrow(data.join(ids, "id", "left_semi"), __name__, "set_batches", "s long, whole array<long>", width=width).dropDuplicates(["s"])
+
     again = saved(whole(often.filter("hot").select("s").distinct()))
     end = nodes.select("s", "n", "odd")
     cold = often.filter("not hot").select("h", "s").unionByName(_rare_first(again, crowd).filter("not hot").select("h", "s")).distinct()
