@@ -8,7 +8,7 @@ import public_tokenizers as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, saved, shared_folder, table
+from tidemill.llm.common import components, saved, shared_folder, small, table
 from tidemill.llm.line_dedup import dedup
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality import keep_good
@@ -36,8 +36,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ends = alike.join(name.select(F.col("doc_id").alias("src"), root.alias("u")).distinct(), "src").join(name.select(F.col("doc_id").alias("dst"), root.alias("v")).distinct(), "dst")
     joined = components(ends.select("u", "v"), "u", "v")
     found = found.join(joined, root == F.col("node"), "left").select("doc_id", F.coalesce("root", root).alias("component_id"))
-    first = found.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).filter("not first").select("doc_id")
+    gone = small(saved(gone.withColumnRenamed("doc_id", "_gone")))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
