@@ -1,14 +1,15 @@
 """All pairs of texts whose sets of word shingles have a Jaccard similarity of 4/5 or more, up to connection.
 
 A set is its shingles' 64-bit hashes in rising order; equal sets are one row from the start. Of n hashes, two sets that are
-alike share one at least of the first n - ceil(4n/5) + 1 of either, in any order that both keep (prefix filter). Of that
-front no more than ``FRONT`` are taken: each of the least hashes of both sets together is in both with a chance of 4/5 or
-more, so a pair is missed with a chance below 0.2 ** FRONT, or 1e-22, less than that of two shingles' hashes being equal.
+alike share one at least of the first p = n - ceil(4n/5) + 1 of either, in any order that both keep (prefix filter). The
+first 2p are a set's front, but no more than ``FRONT``: each of the least hashes of both sets together is in both with a
+chance of 4/5 or more, so a pair is missed with a chance far below that of two shingles' hashes being equal.
 
 Links need only connect. So each set meets the first one of each hash first, and later only sets that are not connected to
-it yet. A hash that more than ``crowd`` fronts hold is left out there: sets that hold one meet again by their whole sets,
-their fronts taken in an order in which what is frequent comes last. Then only sets whose rarer hashes are too few for a
-front, those that consist of frequent hashes for the most part, meet by frequent ones.
+it yet. Hashes that more than ``crowd`` fronts hold are left out there. Sets with many of them in front (over a sixth, or
+any where the front is not cut) meet again by their whole sets: in an order in which what is frequent comes last, by the
+first p alone. Then only sets whose rarer hashes are too few for that, which consist of frequent ones for the most part,
+meet by frequent ones.
 
 Before whole sets are read, the parities of how many hashes fall in each of about n bins are compared: no two sets differ
 by fewer hashes than by odd bins, so none that is alike is lost.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import components, map_arrow, saved, small, union
 
-FRONT = 32
+FRONT = 48
 STEPS = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -64,7 +65,7 @@ def front_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
     """A set's key, size, the hashes in front and its odd bins."""
     for b in batches:
         sets = [shingle_set(x or b"", width) for x in b.column(1).to_pylist()]
-        fronts = [x[: min(FRONT, front_size(len(x)))] for x in sets]
+        fronts = [x[: min(FRONT, 2 * front_size(len(x)))] for x in sets]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in (fronts, map(odd_bins, sets)))], ["id", "s", "n", "front", "odd"])
 
 
@@ -122,10 +123,11 @@ def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256
         ids = small(saved(wanted.join(names, "s").select(F.col("first").alias("id"))))
         return map_arrow(data.join(ids, "id", "left_semi"), __name__, "set_batches", "s long, whole array<long>", width=width).dropDuplicates(["s"])
 
-    again = saved(whole(often.filter("hot").select("s").distinct()))
+    many = often.filter("hot").groupBy("s").agg(F.count("*").alias("c")).join(nodes.select("s", F.size("front").alias("e")), "s")
+    again = saved(_rare_first(whole(many.filter((F.col("e") < FRONT) | (6 * F.col("c") > F.col("e"))).select("s")), crowd))
     end = nodes.select("s", "n", "odd")
-    cold = often.filter("not hot").select("h", "s").unionByName(_rare_first(again, crowd).filter("not hot").select("h", "s")).distinct()
-    cold, hot = saved(cold.join(end, "s")), saved(_rare_first(again, crowd).filter("hot").select("h", "s").join(end, "s"))
+    cold = saved(often.filter("not hot").select("h", "s").unionByName(again.filter("not hot").select("h", "s")).distinct().join(end, "s"))
+    hot = saved(again.filter("hot").select("h", "s").join(end, "s"))
 
     first = verified(saved(stars(cold).unionByName(stars(hot)).distinct()), whole)
     roots = saved(components(first, "a", "b"))
