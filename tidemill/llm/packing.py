@@ -38,7 +38,7 @@ class Encoder:
 
     PIECES = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 
-    def __init__(self, path: str, most: int = 330_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
