@@ -166,44 +166,92 @@ def test_near_duplicates_of_the_table(spark, sf_dir):
 
 
 def brute(rows, k=5, every=50):
-    good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            v = [int(np.floor(256 * float(x))) for x in v]
+            good[i] = min(v, good.get(i, v))
     out = []
-    for q, a in good:
+    for q, a in good.items():
         if q % every == 0:
-            score = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:k]
+            score = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good.items() if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(score)]
     return sorted(out)
 
 
-def test_top_k_with_ties_and_odd_vectors(spark):
+@pytest.mark.parametrize("block", [8192, 64])
+def test_top_k_with_ties_and_odd_vectors(spark, block):
     rng = np.random.default_rng(7)
     same = [float(x) for x in rng.normal(size=8)]
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)] + [(900 + i, same) for i in range(150)]
     rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2050, [float("nan")] * 8), (2051, [float("inf")] * 8), (None, same), (2052, [3.0]), (2100, [0.0] * 8)]
+    rows += [(100, same), (900, same), (7, [9.0] * 8)]  # ids that repeat, with equal and with other vectors
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, block int")
     want = brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
-    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == want
+    assert sorted(tuple(r) for r in topk.top_k(df, block=block).collect()) == want
     assert topk.top_k(df.filter("false")).count() == 0
     few = df.filter("vec_id in (0, 1, 2)")
     assert topk.top_k(few).count() == 2
 
 
-def test_top_k_prunes_and_stays_exact():
+def clustered(n, spread=20):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16)) * 4000
-    data = np.floor(centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * 20)
-    ids = np.arange(3000)
-    got = topk.search(ids[:40], data[:40], ids, data, 5)
-    for q in range(40):
-        s = data @ data[q]
-        want = sorted((-int(x), int(i)) for x, i in zip(s, ids) if i != q)[:5]
-        assert sorted((-r.score, r.vec_id) for r in got[got.query_id == q].itertuples()) == want
+    return np.floor(centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 16)) * spread)
+
+
+def test_cover_trees():
+    """Covering, nesting and separation at each node, over clustered, even, repeated and few points."""
+    rng = np.random.default_rng(10)
+    for points in (clustered(3000), np.floor(rng.normal(size=(700, 2)) * 1000), np.floor(rng.normal(size=(300, 40)) * 100), np.ones((100, 3)), np.zeros((1, 2))):
+        t = topk.Tree(points)
+        assert sorted(t.order) == list(range(len(points)))
+        far = lambda x, y: np.sqrt(((x - y) ** 2).sum(-1))
+        for lo, hi, centre, radius, kids in t.nodes:
+            own = points[t.order[lo:hi]]
+            assert (own == centre).all(1).any() and far(own, centre).max() <= radius * (1 + 1e-12)
+            if kids:
+                spans = sorted(t.nodes[x][:2] for x in kids)
+                assert spans[0][0] == lo and spans[-1][1] == hi and all(a[1] == b[0] for a, b in pairwise(spans))
+                assert all(t.nodes[x][3] <= radius / 2 for x in kids)
+                middle = np.array([t.nodes[x][2] for x in kids])
+                assert len(kids) == 1 or min(np.delete(far(middle, c), i).min() for i, c in enumerate(middle)) > radius / 2
+    assert len(topk.Tree(clustered(3000)).nodes) > 12
+
+
+def test_top_k_prunes_and_stays_exact():
+    data = clustered(3000)
+    ids, block = np.arange(3000), topk.Block(np.arange(3000), data)
+    q, found, score = block.search(data[:40], np.full(40, -(2**63)), 5)
+    for at in range(40):
+        s = data @ data[at]
+        assert sorted(zip(-score[q == at], found[q == at])) == sorted((-int(x), int(i)) for x, i in zip(s, ids))[:5]
+    assert block.scored < 0.35 * 40 * 3000
+    assert not len(block.search(data[:40], np.full(40, 2**62), 5)[0])
+
+
+def test_top_k_sends_queries_to_few_blocks():
+    """On clustered data most blocks are ruled out before any vector is sent there, and no answer is lost."""
+    import pyarrow as pa
+
+    data = clustered(3000)
+    centres = data[::10][topk.net(data[::10], 40)[0]]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(data.tolist(), pa.list_(pa.float64()))], ["vec_id", "vec"])
+    (dealt,) = topk.cell_batches([rows], centres, 16)
+    cell, away = dealt.column(2).to_numpy(), dealt.column(3).to_numpy()
+    radii = np.array([away[cell == c].max(initial=0) for c in range(40)])
+    least = np.sort(data[:50] @ data.T, 1)[:, -6].astype(np.int64)
+    asks = pa.RecordBatch.from_arrays([*rows.slice(0, 50).columns, pa.array(least)], ["vec_id", "vec", "least"])
+    sent = {(q, c) for b in topk.next_batches([asks], centres, radii, np.ones(40, np.int64), 16) for q, c in zip(b.column(0).to_pylist(), b.column(3).to_pylist())}
+    first = (data[:50] @ centres.T).argmax(1)
+    assert all((q, int(cell[i])) in sent or cell[i] == first[q] for q in range(50) for i in np.flatnonzero(data @ data[q] >= least[q]))
+    assert sum((cell == c).sum() for _, c in sent) < 0.3 * 50 * 3000
 
 
 def test_top_k_beyond_doubles():
     big = np.array([[3e8, 1.0], [3e8, 2.0], [-3e8, 5.0]])
-    got = topk.search(np.array([0]), big[:1], np.arange(3), big, 2)
-    assert got.score.tolist() == [90000000000000002, -89999999999999995]
+    _, found, score = topk.Block(np.arange(3), big).search(big[:1], np.array([-(2**63)]), 3)
+    assert found.tolist() == [1, 0, 2] and score.tolist() == [90000000000000002, 90000000000000001, -89999999999999995]
 
 
 # ---- URLs

@@ -118,8 +118,8 @@ ORACLES = {
         from s join marked using (host, shape) join t5 using (host, segs)
     """,
     "op9_top_k": """
-        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
-                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        with v as (select vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as e from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
              s as (select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) as bigint) as score
                    from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0)
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
