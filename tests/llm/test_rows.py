@@ -101,7 +101,8 @@ def test_media_round_trip(data):
     p = media.padded(data)
     assert len(p) % 576 == 0 and len(p) >= 576 and p.startswith(data) and set(p[len(data) :]) <= {255}
     r = media.read(media.wrap(p))
-    assert r["payload"] == p and not r["bad"] and not r["skipped"] and r["samples"] == 1152 * (len(p) // 576 + 1) and r["vbr"]["frames"] == len(r["offsets"])
+    assert r["payload"] == p and not r["bad"] and not r["skipped"] and r["samples"] == 1152 * (len(p) // 576) and r["vbr"]["frames"] == len(r["offsets"])
+    assert all(media.header(media.wrap(p)[x : x + 4]) for x in r["offsets"]) and r["checked"] == len(r["offsets"]) + 1
 
 
 def test_media_resynchronises():
@@ -120,6 +121,72 @@ def test_media_resynchronises():
     assert media.read(cut)["payload"] == p[576:]
 
 
+def frame_of(h, body=b"", crc=None):
+    """A frame with this header, filled up with zeros; ``crc``: how many bits after the checksum it covers."""
+    size = media.header(h)[0]
+    if crc is not None:
+        body = media.crc16(h[2:] + body, 16 + crc).to_bytes(2, "big") + body
+    return (h + body).ljust(size, b"\0")
+
+
+LAYER_3, LAYER_2, LAYER_1 = (bytes([0xFF, b, 0x94, 0x00]) for b in (0xFB, 0xFC, 0xFE))  # the latter two with a CRC; 48 kHz
+
+
+def test_tables_in_front_are_no_sound():
+    sound = [frame_of(LAYER_3) for _ in range(5)]
+    lame = b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    xing = b"Xing" + (15).to_bytes(4, "big") + (5).to_bytes(4, "big") + (9000).to_bytes(4, "big") + bytes(range(100)) + bytes(4)
+    r = media.read(frame_of(LAYER_3, bytes(32) + xing + lame) + b"".join(sound))
+    assert r["vbr"] == {"kind": "Xing", "frames": 5, "bytes": 9000, "toc": list(range(100)), "before": 576, "after": 1000}
+    assert r["samples"] == 5 * 1152 - 1576 and r["offsets"] == [len(sound[0]) * k for k in range(1, 6)]
+    vbri = b"VBRI" + bytes(6) + (9000).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (3, 2, 2, 2, 100, 200, 300))
+    r = media.read(frame_of(LAYER_3, bytes(32) + vbri) + b"".join(sound))
+    assert r["vbr"] == {"kind": "VBRI", "bytes": 9000, "frames": 5, "each": 2, "table": [0, 200, 600]} and r["samples"] == 5 * 1152
+    r = media.read(b"".join(sound))
+    assert r["vbr"] == {} and r["samples"] == 5 * 1152 and r["offsets"][0] == 0
+
+
+def test_checksums_of_layers():
+    """Allocations by hand: Layer I has 4 bits a subband and channel; Layer II, 144 kbit/s a channel at 48 kHz, has 2 x 88 bits of
+    allocation (11 of 4, 12 of 3, 4 of 2 bits) and 2 more for each that isn't zero."""
+    first = bytes(range(1, 33))
+    second = (0b0101 << 172).to_bytes(22, "big") + b"\xc0" + bytes(9)
+    assert media.guarded_bits(frame_of(LAYER_1), media.header(LAYER_1)) == 256
+    for h, body, bits, samples in ((LAYER_1, first, 256, 384), (LAYER_2, second, 2 * 88 + 2, 1152)):
+        good = frame_of(h, body, bits)
+        r = media.read(good * 3)
+        assert (r["checked"], r["bad"], r["samples"]) == (3, 0, 3 * samples)
+        broken = bytearray(good)
+        broken[7] ^= 8
+        assert media.read(good + bytes(broken) + good)["bad"] == 1
+        tail = bytearray(good)
+        tail[-1] ^= 1  # not covered
+        assert media.read(bytes(tail) * 2)["bad"] == 0
+    joint = bytes([0xFF, 0xFE, 0x94, 0x40])  # one allocation for both channels from the fourth subband on
+    assert media.guarded_bits(frame_of(joint), media.header(joint)) == 4 * (32 + 4)
+
+
+def test_tags_of_all_versions():
+    def v3(name, body):
+        return name + len(body).to_bytes(4, "big") + b"\0\0" + body
+
+    def whole(version, body, flags=0):
+        return b"ID3" + bytes([version, 0, flags]) + bytes(len(body) >> s & 127 for s in (21, 14, 7, 0)) + body
+
+    album, sound = "x" * 200, frame_of(LAYER_3) * 2
+    frames = v3(b"TIT2", b"\1" + "Títle 日本".encode("utf-16")) + v3(b"TALB", b"\0" + album.encode()) + v3(b"TPE1", b"\2" + "Ärtist".encode("utf-16-be") + b"\0\0") + v3(b"APIC", b"\0" * 300)
+    want = {"TIT2": "Títle 日本", "TALB": album, "TPE1": "Ärtist"}
+    assert media.read(whole(3, frames) + sound)["tags"] == want
+    assert media.read(whole(3, (6).to_bytes(4, "big") + bytes(6) + frames, 64) + sound)["tags"] == want
+    assert media.read(whole(3, frames.replace(b"\xff", b"\xff\0"), 128) + sound)["tags"] == want
+    short = b"TT2" + (5).to_bytes(3, "big") + b"\0four" + b"TP1" + (3).to_bytes(3, "big") + b"\0me"
+    assert media.read(whole(2, short) + sound)["tags"] == {"TT2": "four", "TP1": "me"}
+    assert media.read(media.tag({"TIT2": "ü" * 100, "TPE1": "a\0b"}) + sound)["tags"] == {"TIT2": "ü" * 100, "TPE1": "a/b"}
+    last = b"TAG" + b"t".ljust(30, b"\0") + b"a".ljust(30) + bytes(65)
+    r = media.read(whole(3, frames[:-40]) + sound + last)
+    assert r["tags"]["ID3v1"] == "t" and r["tags"]["ID3v1.artist"] == "a" and r["skipped"] == 0 and r["samples"] == 2304
+
+
 def test_media_of_all_cases(docs, empty):
     run = lambda d: media.probe(media.encode(d, "doc_id", "text"), "doc_id")
     got = {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in run(docs).collect()}

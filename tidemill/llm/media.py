@@ -31,19 +31,22 @@ KBITS = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Fixed values of Layer II: bits of the allocation of each subband, by how much a channel may use; the last is MPEG-2's.
+ALLOCATIONS = {"a": (4,) * 11 + (3,) * 12 + (2,) * 4, "b": (4,) * 11 + (3,) * 12 + (2,) * 7, "c": (4,) * 2 + (3,) * 6, "d": (4,) * 2 + (3,) * 10, "2": (4,) * 4 + (3,) * 7 + (2,) * 19}
+# Fixed values of ID3v2: encodings of text by their first byte.
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 #: 224 kbit/s at 48 kHz, stereo, with a CRC: 672 bytes a frame, of which 4 + 2 + 32 come before the ancillary data.
 HEADER = bytes([0xFF, 0xFA, 0xC4, 0x00])
 FRAME, SIDE = 672, 32
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The CRC of MPEG audio: polynomial 0x8005, start 0xFFFF, no reflection."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The CRC of MPEG audio over the first ``bits`` of ``data``: polynomial 0x8005, start 0xFFFF, no reflection."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    for i in range(8 * len(data) if bits is None else bits):
+        top = crc >> 15 ^ data[i >> 3] >> (7 - (i & 7)) & 1
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if top else crc << 1 & 0xFFFF
     return crc
 
 
@@ -62,6 +65,28 @@ def header(h: bytes) -> tuple | None:
     return size, samples, hz, kbits * 1000, side, not h[1] & 1, version, layer, 1 if mono else 2
 
 
+def guarded_bits(frame: bytes, h: tuple) -> int:
+    """How many bits after header and CRC the CRC covers: Layer III's side information, Layer I's allocations, Layer II's
+    allocations and which scale factors follow."""
+    channels, mode, extension = h[8], frame[3] >> 6, frame[3] >> 4 & 3
+    if h[7] == 3:
+        return 8 * h[4]
+    bound = 4 * (extension + 1) if mode == 1 else 32
+    if h[7] == 1:
+        return 4 * (32 + (bound if channels == 2 else 0))
+    rate, hz = h[3] // channels // 1000, h[2]
+    name = "2" if h[6] != 3 else ("d" if hz == 32000 else "c") if rate <= 48 else "a" if hz == 48000 or rate <= 80 else "b"
+    bits, at, used = int.from_bytes(frame[6:], "big"), 0, 0
+    n = 8 * (len(frame) - 6)
+    for k, wide in enumerate(ALLOCATIONS[name]):
+        for _ in range(channels if k < bound else 1):
+            if at + wide > n:
+                return n
+            used += bool(bits >> (n - at - wide) & ((1 << wide) - 1)) * (1 if k < bound else channels)
+            at += wide
+    return at + 2 * used
+
+
 def guarded(side: bytes) -> bytes:
     return HEADER + struct.pack(">H", crc16(HEADER[2:] + side)) + side
 
@@ -83,9 +108,9 @@ def padded(data: bytes) -> bytes:
 def wrap(payload: bytes) -> bytes:
     """The stream that holds ``payload``, a positive multiple of 576 bytes."""
     n = len(payload) // UNIT
-    front = tag({"TENC": "tidemill", "TLEN": str((n + 1) * 24)})
-    toc = bytes(min(255, 256 * (i * (n + 1) // 100) // (n + 1)) for i in range(100))
-    info = b"Info" + struct.pack(">III", 7, n + 1, (n + 1) * FRAME) + toc
+    front = tag({"TENC": "tidemill", "TLEN": str(n * 24)})
+    toc = bytes(256 * (1 + i * n // 100) // (n + 1) for i in range(100))
+    info = b"Info" + struct.pack(">III", 7, n, (n + 1) * FRAME) + toc
     rest = bytes(FRAME - len(PLAIN) - UNIT)
     parts = [front, PLAIN + info + bytes(FRAME - len(PLAIN) - len(info))]
     for i in range(n):
@@ -98,62 +123,121 @@ def sound(data: bytes, at: int) -> tuple | None:
     h = header(data[at : at + 4])
     if not h or at + h[0] > len(data):
         return None
-    if h[5] and h[7] == 3:
-        good = struct.unpack(">H", data[at + 4 : at + 6])[0] == crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h[4]])
+    if h[5]:
+        if h[0] < 6 + h[4]:
+            return None
+        bits = guarded_bits(data[at : at + h[0]] if h[7] == 2 else data[at : at + 4], h)
+        good = struct.unpack(">H", data[at + 4 : at + 6])[0] == crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits + 7) // 8], 16 + bits)
         return h if good else None
-    end = at + h[0]
-    return h if end == len(data) or header(data[end : end + 4]) or data[end : end + 3] == b"TAG" else None
+    return h if follows(data, at + h[0]) else None
+
+
+def follows(data: bytes, end: int) -> bool:
+    return end == len(data) or header(data[end : end + 4]) is not None or data[end : end + 3] in (b"TAG", b"ID3")
+
+
+def synchsafe(x: bytes) -> int:
+    return sum((b & 127) << s for b, s in zip(x, range(7 * len(x) - 7, -1, -7), strict=True))
+
+
+def id3_text(body: bytes) -> str:
+    """The text of a frame: its encoding, then one string or several, which are put together by slashes."""
+    text = body[1:].decode(ENCODINGS[body[0]], "replace") if body and body[0] < 4 else ""
+    return "/".join(x.lstrip("\ufeff") for x in text.rstrip("\0").split("\0"))
+
+
+def id3(data: bytes, at: int) -> tuple[int, dict[str, str]]:
+    """(where the ID3v2 tag at ``at`` ends, its text frames), of versions 2.2, 2.3 and 2.4; no tag ends where it begins. Frames
+    that are compressed or encrypted, and a tag of another version, are passed over."""
+    if data[at : at + 3] != b"ID3" or at + 10 > len(data):
+        return at, {}
+    version, flags, tags = data[at + 3], data[at + 5], {}
+    end = min(len(data), at + 10 + synchsafe(data[at + 6 : at + 10]) + (10 if version == 4 and flags & 16 else 0))
+    body, p = data[at + 10 : end], 0
+    if version < 4 and flags & 128:
+        body = body.replace(b"\xff\0", b"\xff")
+    if version > 2 and flags & 64:
+        p = synchsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    name, head = (3, 6) if version == 2 else (4, 10)
+    while 2 <= version <= 4 and p + head <= len(body) and body[p : p + name].isalnum():
+        size = synchsafe(body[p + 4 : p + 8]) if version == 4 else int.from_bytes(body[p + name : p + head - 2 * (version > 2)], "big")
+        own, form = body[p + head : p + head + size], body[p + 9] if version > 2 else 0
+        if version == 4:
+            own = own[(form >> 6 & 1) + 4 * (form & 1) :]
+            own = own.replace(b"\xff\0", b"\xff") if form & 2 or flags & 128 else own
+        elif version == 3:
+            own = own[form >> 5 & 1 :]
+        if body[p] == 84 and not form & (0x0C if version == 4 else 0xC0):
+            tags[body[p : p + name].decode("ascii", "replace")] = id3_text(own)
+        p += head + size
+    return end, tags
+
+
+def seek_table(frame: bytes, h: tuple) -> dict | None:
+    """What a first frame tells of the stream, or None if it is one of sound: a Xing or Info table (positions for each percent
+    of the time, the samples that the encoder put before and after), or a VBRI table (bytes to each entry)."""
+    side = 4 + 2 * h[5] + h[4]
+    if h[7] == 3 and frame[side : side + 4] in (b"Info", b"Xing") and len(frame) >= side + 8:
+        flags, p, out = struct.unpack(">I", frame[side + 4 : side + 8])[0], side + 8, {"kind": frame[side : side + 4].decode()}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[name] = int.from_bytes(frame[p : p + 4], "big")
+                p += 4
+        if flags & 4:
+            out["toc"] = list(frame[p : p + 100])
+            p += 100
+        p += 4 * (flags >> 3 & 1)
+        if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf"):
+            both = int.from_bytes(frame[p + 21 : p + 24], "big")
+            out["before"], out["after"] = both >> 12, both & 4095
+        return out
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, wide, each = struct.unpack(">IIHHHH", frame[46:62])
+        steps = [scale * int.from_bytes(frame[62 + wide * i : 62 + wide * (i + 1)], "big") for i in range(min(entries, (len(frame) - 62) // max(1, wide)))]
+        return {"kind": "VBRI", "bytes": size, "frames": frames, "each": each, "table": [sum(steps[:i]) for i in range(len(steps))]}
+    return None
 
 
 def read(data: bytes) -> dict:
     """Frames and tags of ``data``. Bytes that belong to no frame are counted as skipped; a frame whose CRC is wrong is
-    counted as bad and left out. No frame at all gives zeros and empty lists."""
-    tags, vbr, at, end = {}, {}, 0, len(data)
-    if data[:3] == b"ID3" and end >= 10:
-        at = min(end, 10 + sum((data[6 + i] & 127) << s for i, s in enumerate((21, 14, 7, 0))))
-        p = 10
-        while p + 10 <= at and data[p : p + 4].isalnum():
-            size = sum((data[p + 4 + i] & 127) << s for i, s in enumerate((21, 14, 7, 0)))
-            if data[p : p + 1] == b"T":
-                tags[data[p : p + 4].decode("latin-1")] = data[p + 11 : min(at, p + 10 + size)].decode("utf-8", "replace")
-            p += 10 + size
-    offsets, payload, samples, hz, skipped, bad, checked, rates, first, start = [], [], 0, 0, 0, 0, 0, set(), True, at
-    body = data
+    counted as bad and left out. ``offsets`` are the places of the frames of sound in ``data``; ``samples`` is what these hold,
+    less what the table in front says the encoder put before and after. No frame at all gives zeros and empty lists."""
+    at, tags = id3(data, 0)
+    vbr, end, offsets, payload, samples, hz, skipped, bad, checked, rates, first = {}, len(data), [], [], 0, 0, 0, 0, 0, set(), True
     while at < end:
-        h = sound(body, at)
-        if h is None and end - at == 128 and body[at : at + 3] == b"TAG":
-            tags["ID3v1"] = body[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")
+        h = sound(data, at)
+        if h is None and data[at : at + 3] == b"TAG" and end - at == 128:
+            for name, lo, hi in (("", 3, 33), (".artist", 33, 63), (".album", 63, 93), (".year", 93, 97)):
+                if text := data[at + lo : at + hi].split(b"\0")[0].decode("latin-1").rstrip():
+                    tags["ID3v1" + name] = text
             break
         if h is None:
-            weak = header(body[at : at + 4])
-            if weak and at + weak[0] <= end and (at + weak[0] == end or header(body[at + weak[0] : at + weak[0] + 4])):
+            after, more = id3(data, at)
+            if after > at:
+                tags, at = {**more, **tags}, after
+                continue
+            weak = header(data[at : at + 4])
+            if weak and at + weak[0] <= end and follows(data, at + weak[0]):
                 bad += 1
                 at += weak[0]
                 continue
-            nxt = body.find(b"\xff", at + 1)
-            nxt = end if nxt < 0 else nxt
+            found = [x for x in (data.find(b"\xff", at + 1), data.find(b"ID3", at + 1), end - 128 if data[end - 128 : end - 125] == b"TAG" else -1) if x > at]
+            nxt = min(found, default=end)
             skipped += nxt - at
             at = nxt
             continue
-        side = at + 4 + 2 * h[5] + h[4]
-        if first and h[7] == 3 and body[side : side + 4] in (b"Info", b"Xing"):
-            flags, p = struct.unpack(">I", body[side + 4 : side + 8])[0], side + 8
-            vbr["kind"] = body[side : side + 4].decode()
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    vbr[name] = struct.unpack(">I", body[p : p + 4])[0]
-                    p += 4
-            if flags & 4:
-                vbr["toc"] = body[p : p + 100]
-        elif first and body[at + 36 : at + 40] == b"VBRI":
-            vbr = {"kind": "VBRI", "bytes": struct.unpack(">I", body[at + 46 : at + 50])[0], "frames": struct.unpack(">I", body[at + 50 : at + 54])[0]}
-        else:
-            payload.append(body[side : side + UNIT])
+        frame = data[at : at + h[0]]
+        vbr = seek_table(frame, h) or {} if first else vbr
+        checked += h[5]
+        if not (first and vbr):
+            side = 4 + 2 * h[5] + h[4]
+            payload.append(frame[side : side + UNIT])
+            offsets.append(at)
+            samples, hz = samples + h[1], h[2]
+            rates.add(h[3])
         first = False
-        offsets.append(at - start)
-        samples, hz, checked = samples + h[1], h[2], checked + h[5]
-        rates.add(h[3])
         at += h[0]
+    samples = max(0, samples - vbr.get("before", 0) - vbr.get("after", 0))
     return {"tags": tags, "vbr": vbr, "offsets": offsets, "samples": samples, "hz": hz, "skipped": skipped, "bad": bad, "checked": checked, "rates": sorted(rates), "payload": b"".join(payload)}
 
 
@@ -190,14 +274,16 @@ PROBED = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "med
 
 
 def encode(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_bytes, media) of every row: its text, or binary, as an MPEG audio stream. Null counts as empty; equal
-    texts give equal streams; other columns are not read. An empty table gives an empty one."""
+    """(key, n_bytes, media) of every row: its text, or binary, as an MPEG audio stream. Null counts as empty; equal texts give
+    equal streams; repeated rows are each encoded; other columns, whatever their names, are not read. An empty table gives an
+    empty one."""
     return map_arrow(df.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("data")), __name__, "encode_batches", f"id {dict(df.dtypes)[key]}, n_bytes long, media binary").withColumnRenamed("id", key)
 
 
 def probe(media: DataFrame, key: str, column: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
-    """What ``read`` finds in each stream, with the payload's length and digests. A damaged stream gives what its sound
-    frames hold, a null or empty one zeros."""
+    """What ``read`` finds in each stream, with the payload's length and digests: exact ``seconds``, and ``offsets`` of the
+    frames of sound. A damaged stream gives what its sound frames hold, a null or empty one zeros; repeated rows are each
+    read; other columns, whatever their names, are not. An empty table gives an empty one."""
     rows = media.select(F.col(key).alias("id"), F.col(n_bytes).alias("n_bytes"), F.coalesce(column, F.lit(b"")).alias("media"))
     schema = f"id {dict(media.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, offsets array<long>, bad long, skipped long"
     return map_arrow(rows, __name__, "probe_batches", schema).withColumnRenamed("id", key)

@@ -24,7 +24,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.media import encode, probe
 
     out = probe(encode(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "offsets")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
