@@ -464,8 +464,8 @@ def test_odd_bins_are_no_more_than_what_differs(spark):
     assert want <= seen and len(want) > 20 and len(seen) < len(want) + 30
 
 
-@pytest.mark.parametrize("crowd", [256, 64, 3, 1])
-def test_similar_connects_all_pairs(spark, crowd):
+@pytest.mark.parametrize(("crowd", "most"), [(256, 10), (3, 10**6), (3, 0), (1, 10**6)])
+def test_similar_connects_all_pairs(spark, crowd, most):
     rng = np.random.default_rng(5)
     rows, common = [(0, "One two"), (1, "one  two"), (2, ""), (3, None), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "a b c d e f g h j k")], " ".join(f"c{i}" for i in range(12))
     for k in range(40):
@@ -476,7 +476,7 @@ def test_similar_connects_all_pairs(spark, crowd):
                 copy[at] = "x" + str(rng.integers(0, 10**6))
             rows.append((len(rows), " ".join(copy) + (" " + common if k % 2 else "")))
     df = spark.createDataFrame([*rows, (None, rows[10][1])], "doc_id long, text string")
-    got = [(r.src, r.dst) for r in similar.similar(df, "doc_id", "text", crowd=crowd).collect()]
+    got = [(r.src, r.dst) for r in similar.similar(df, "doc_id", "text", crowd=crowd, most=most).collect()]
     text = {i: t or "" for i, t in rows}
     want = [(a, b) for a in text for b in range(a) if jaccard(text[a], text[b]) >= 0.8]
     assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in got) and len(want) > 60

@@ -104,9 +104,10 @@ def across(rows: DataFrame) -> DataFrame:
     return met.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 
-def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256) -> DataFrame:
+def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256, most: int = 1_000_000) -> DataFrame:
     """(src, dst): keys of rows whose texts are alike, enough of them that all pairs of 4/5 or more are connected, and none
-    of less. Rows without a key or a word are left out; rows with equal sets are linked to the smallest key among them."""
+    of less. Rows without a key or a word are left out; rows with equal sets are linked to the smallest key among them; other
+    columns are not read; an empty table gives an empty one."""
     kind = dict(df.dtypes)[key]
     data = df.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("data")).filter("id is not null and data is not null")
     fronts = saved(map_arrow(data, __name__, "front_batches", f"id {kind}, s long, n int, front array<long>, odd array<long>", width=width).filter("n > 0"))
@@ -124,7 +125,7 @@ def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256
         return map_arrow(data.join(ids, "id", "left_semi"), __name__, "set_batches", "s long, whole array<long>", width=width).dropDuplicates(["s"])
 
     many = often.filter("hot").groupBy("s").agg(F.count("*").alias("c")).join(nodes.select("s", F.size("front").alias("e")), "s")
-    again = saved(_rare_first(whole(many.filter((F.col("e") < FRONT) | (6 * F.col("c") > F.col("e"))).select("s")), crowd))
+    again = saved(_rare_first(whole(many.filter((F.col("e") < FRONT) | (6 * F.col("c") > F.col("e"))).select("s")), crowd, most))
     end = nodes.select("s", "n", "odd")
     cold = saved(often.filter("not hot").select("h", "s").unionByName(again.filter("not hot").select("h", "s")).distinct().join(end, "s"))
     hot = saved(again.filter("hot").select("h", "s").join(end, "s"))
@@ -138,11 +139,30 @@ def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256
     return union([equal, links.select("src", "dst")])
 
 
-def _rare_first(sets: DataFrame, crowd: int) -> DataFrame:
-    """(h, s, hot): the hashes in front of whole ``sets`` (s, whole), those of over ``crowd`` of the sets last."""
+def rare_first_batches(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys, fronts, marks = [], [], []
+        for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.array(x, np.int64)
+            often = np.isin(x, hot.value, assume_unique=True)
+            by = np.argsort(often, kind="stable")[: front_size(len(x))]
+            keys.append(np.full(len(by), s))
+            fronts.append(x[by])
+            marks.append(often[by])
+        cols = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((fronts, np.int64), (keys, np.int64), (marks, bool))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "s", "hot"])
+
+
+def _rare_first(sets: DataFrame, crowd: int, most: int = 1_000_000) -> DataFrame:
+    """(h, s, hot): the hashes in front of whole ``sets`` (s, whole), those of over ``crowd`` of the sets last. Up to ``most``
+    such hashes are sent to all tasks; if there are more, they are joined."""
+    sets = saved(sets)
     rows = sets.select("s", F.explode("whole").alias("h"))
-    counts = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    rows = rows.join(counts, "h", "left").select("s", F.struct((F.coalesce("c", F.lit(1)) > crowd).alias("hot"), "h").alias("x"))
+    counts = saved(rows.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > crowd).select("h"))
+    if counts.count() <= most:
+        hot = sets.sparkSession.sparkContext.broadcast(np.array([r.h for r in counts.collect()], np.int64))
+        return map_arrow(sets, __name__, "rare_first_batches", "h long, s long, hot boolean", hot=hot)
+    rows = rows.join(counts.withColumn("hot", F.lit(True)), "h", "left").select("s", F.struct(F.coalesce("hot", F.lit(False)).alias("hot"), "h").alias("x"))
     fronts = rows.groupBy("s").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a row a set
     size = F.expr("size(xs) - cast(floor((4 * size(xs) + 4) / 5) as int) + 1")
     return fronts.select("s", F.explode(F.slice("xs", F.lit(1), size)).alias("x")).select("x.h", "s", "x.hot")
