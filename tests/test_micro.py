@@ -83,16 +83,37 @@ def test_cusum():
     assert parts.steps([0], r[:1], [1.0], [0.0]) == [] and parts.steps([1, 2, 3], r[1:], [1.0] * 3, [0.0] * 3) == [(0, 1), (1, -1)]
 
 
-def test_weighted_deviation():
+@pytest.mark.parametrize("span", [3, 10])
+def test_weighted_deviation(spark, span):
+    """Against pandas, with nulls at the start, within and across the borders of blocks."""
     import numpy as np
     import pandas as pd
 
-    from tidemill.operators.features import Ewma
+    from tidemill.operators.features import with_ewma
 
-    x = np.random.default_rng(0).normal(size=80)
-    x[[0, 1, 20, 21, 50]] = np.nan
-    e = Ewma(10, "x", "v", [])
-    assert np.allclose([e.next(float(v)) for v in x], pd.Series(x).ewm(span=10, adjust=False).std(), equal_nan=True)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=3500) + 1000
+    x[[0, 1, 20, 21, 50, 149, 150, 1650, *range(1400, 1440)]] = np.nan
+    rows = [(p, D(2024, 1, 1) + timedelta(minutes=i), None if v != v else float(v) * k) for p, k in (("a", 1), ("b", 3)) for i, v in enumerate(x)]
+    got = with_ewma(spark.createDataFrame([*rows, ("c", D(2024, 1, 1), None)], "pair string, ts timestamp_ntz, r double"), "r", span).toPandas()
+    want = pd.Series(x).ewm(span=span, adjust=False).std()
+    for p, k in (("a", 1), ("b", 3)):
+        own = got[got.pair == p].sort_values("ts")[f"ewma_{span}"].to_numpy(float)
+        assert np.allclose(own, want * k, rtol=1e-7, equal_nan=True)
+    assert got[got.pair == "c"][f"ewma_{span}"].isna().all() and len(got) == 7001
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from tidemill.frames import exact_quantile
+
+    rng = np.random.default_rng(1)
+    sets = {"ties": [0.0] * 500 + [1.0] * 3, "few": [3.0], "two": [1.0, 2.0], "many": rng.normal(size=5000).tolist(), "null": [None, None]}
+    df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "pair string, x double")
+    for share in (0.0, 0.05, 0.5, 0.99, 1.0):
+        got = {r.pair: r["_q"] for r in exact_quantile(df, "x", share, accuracy=100).collect()}
+        assert got == pytest.approx({k: np.quantile(v, share) for k, v in sets.items() if k != "null"})
 
 
 @settings(max_examples=60, deadline=None)

@@ -33,18 +33,18 @@ def minutes_after(ts: Column, n: Column | int) -> Column:
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(n) if isinstance(n, int) else n.cast("int"))
 
 
-def with_position(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, name: str = "pos") -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, name: str = "pos", ties: Sequence[str] = ()) -> DataFrame:
     """``df`` with each row's place (from 0) within its key by ``ts``.
 
     Numbered within (key, day) and shifted by the counts of the days before, so that a key with most of the rows is
-    many tasks' work. Ties in ``ts`` within a key are numbered in any order.
+    many tasks' work. Ties in ``ts`` within a key are numbered by ``ties``, else in any order.
     """
     day = F.to_date(F.col(ts))
     rows = df.withColumn("_day", day)
     counts = rows.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(ts)) - 1
+    own = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(ts, *ties)) - 1
     return rows.withColumn("_own", own).join(base, [*keys, "_day"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_own", "_base")
 
 
@@ -59,22 +59,28 @@ def running_sum(df: DataFrame, x: Column, name: str, keys: Sequence[str] = KEYS,
     return rows.withColumn("_own", own).join(base, [*keys, "_day"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_x", "_own", "_base")
 
 
-def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str, Column]], keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
-    """``df`` with the columns that ``build`` makes from a window that reads at most ``back`` rows before a row.
+def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str, Column] | tuple[dict[str, Column], ...]], keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
+    """``df`` with the columns that ``build`` makes from a window that reads at most ``back`` rows before a row; of several
+    sets of columns the later may use the earlier, and each row's place ``_pos`` if there is a ``block``.
 
     With ``block``, each key's rows are dealt in blocks of that many, each preceded by a copy of the ``back`` rows before
     it, so a history of one key is spread over as many tasks as it has blocks. Same values either way.
     """
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        made = build(w)
+        for columns in made if isinstance(made, tuple) else (made,):
+            rows = rows.withColumns(columns)
+        return rows
+
     if block is None:
-        w = ordered(keys, ts)
-        return df.withColumns(build(w))
+        return add(df, ordered(keys, ts))
     if back > block:
         raise ValueError("a block must hold the rows that a window looks back")
     rows = with_position(df, keys, ts, "_pos").withColumn("_b", F.floor(F.col("_pos") / block))
     also = F.when(F.col("_pos") % block >= block - back, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array("_b"))
     dealt = rows.withColumn("_in", F.explode(also))
     w = Window.partitionBy(*keys, "_in").orderBy("_pos")
-    return dealt.withColumns(build(w)).filter("_in = _b").drop("_pos", "_b", "_in")
+    return add(dealt, w).filter("_in = _b").drop("_pos", "_b", "_in")
 
 
 def in_order(df: DataFrame, machine: str, schema: str, keys: Sequence[str] = KEYS, ts: str = TS, **given) -> DataFrame:
@@ -103,6 +109,28 @@ def in_order(df: DataFrame, machine: str, schema: str, keys: Sequence[str] = KEY
     return df.repartition(*keys).sortWithinPartitions(*keys, ts).mapInPandas(run, schema)
 
 
+def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KEYS, accuracy: int = 10_000) -> DataFrame:
+    """(key, _q): the exact quantile of ``x``, between neighbours in proportion, null without a value.
+
+    A sketch of bounded size says where it lies, values below are only counted, and no more than a small share of a key's
+    values, those about the place, are put in order by one task.
+    """
+    rows = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    edge = 4 / accuracy  # the sketch is right to 1 / accuracy, and ranks among accuracy values or more to as much again
+    near = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [max(0.0, share - edge), min(1.0, share + edge)], accuracy).alias("_e"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))
+    low = F.when((F.col("_n") <= accuracy) | F.lit(share <= edge), F.col("_a")).otherwise(F.col("_e")[0])
+    high = F.when((F.col("_n") <= accuracy) | F.lit(share >= 1 - edge), F.col("_z")).otherwise(F.col("_e")[1])
+    near = near.select(*keys, "_n", low.alias("_low"), high.alias("_high"))
+    at = (F.col("_n") - 1) * F.lit(share)
+    joined = rows.join(near, [*keys])
+    below = joined.groupBy(*keys).agg(F.count_if(F.col("_x") < F.col("_low")).alias("_below"))
+    some = joined.filter(F.col("_x").between(F.col("_low"), F.col("_high"))).groupBy(*keys, "_n", "_x").agg(F.count("*").alias("_c")).join(below, [*keys])
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x"))
+    some = some.withColumn("_upto", upto)
+    a, b = (F.min(F.when(F.col("_upto") > f(at), F.col("_x"))) for f in (F.floor, F.ceil))
+    return some.groupBy(*keys, "_n").agg(a.alias("_a"), b.alias("_b")).select(*keys, (F.col("_a") + (at - F.floor(at)) * (F.col("_b") - F.col("_a"))).alias("_q"))
+
+
 def full(value: Callable, x: Column, w: WindowSpec, size: int, least: int | None = None) -> Column:
     """An aggregate over the last ``size`` rows, null unless ``least`` (default all) of them have a value."""
     rows = w.rowsBetween(-(size - 1), 0)

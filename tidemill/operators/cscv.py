@@ -59,11 +59,13 @@ def average_rank(column: str, keys: Sequence[str], down: bool = False):
 def overfitting(results: DataFrame, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """(key, PBO, perf_degradation, prob_loss, ks_stat, ks_pval): the share of relative ranks above one half, the rank
     correlation of performance in and out of sample, the share of losses, and the distance of the relative ranks from a
-    seeded uniform sample of as many."""
+    seeded uniform sample of as many, drawn by a hash of the seed and the combination."""
     x = results.withColumns({"_a": average_rank("perf_IS", keys), "_b": average_rank("perf_OOS", keys)})
     share = lambda c: F.avg(c.cast("double"))
     out = x.groupBy(*keys).agg(share(F.col("relative_rank_OOS") > 0.5).alias("PBO"), F.corr("_a", "_b").alias("perf_degradation"), share(F.col("perf_OOS") < 0).alias("prob_loss"), F.count("*").alias("_n"))
-    both = results.select(*keys, F.explode(F.array(F.struct(F.col("relative_rank_OOS").alias("v"), F.lit(1).alias("own")), F.struct(F.rand(seed).alias("v"), F.lit(0).alias("own")))).alias("x")).select(*keys, "x.*")
+    # a number in [0, 1) from the first 52 bits of a hash, the same however the rows are dealt
+    uniform = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "combo")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    both = results.select(*keys, F.explode(F.array(F.struct(F.col("relative_rank_OOS").alias("v"), F.lit(1).alias("own")), F.struct(uniform.alias("v"), F.lit(0).alias("own")))).alias("x")).select(*keys, "x.*")
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
     gap = both.withColumn("_g", F.abs(F.sum("own").over(w) - F.sum(1 - F.col("own")).over(w)))
     ks = gap.groupBy(*keys).agg((F.max("_g") / (F.count("*") / 2)).alias("ks_stat"))

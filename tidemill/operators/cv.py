@@ -1,13 +1,14 @@
 """Cross-validation splits as tables: walk-forward, combinatorial purged, and what they are made of.
 
 A split table is normalised: one row (fold, role, row_idx) for each use of a row. Block limits, folds and combinations
-follow from the number of rows, so they are literals of the plan; purging is an anti-join with the test runs of a fold,
-a table of at most folds times blocks rows.
+follow from the number of rows, so they are literals of the plan, and so are the times of the test runs, read once as a row
+a block: rows are purged where they are scanned, without a join or shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,51 +65,45 @@ def cpcv(df: DataFrame, n: int, blocks: int = 6, most: int | None = None, purge:
     if drop_remainder and n % blocks:
         raise ValueError("blocks do not cover all rows")
     combos = list(combinations(range(blocks), blocks // 2))
-    block = block_of(F.col(index), n, blocks)
-    role = F.array(*(F.struct(F.lit(k + 1).alias("fold"), F.when(block.isin(*c), "train").otherwise("test").alias("role")) for k, c in enumerate(combos)))
-    timed = purge is not None
-    keep = [F.col(t0).alias("_t0"), F.col(t_end).alias("_te")] if timed else []
-    rows = df.select(F.explode(role).alias("x"), F.col(index).alias("row_idx"), *keep).select("x.*", "row_idx", *(("_t0", "_te") if timed else ()))
-    bounds = block_bounds(n, blocks)
-    train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-    if timed:
-        runs = []
-        for k, c in enumerate(combos):
-            out = [b for b in range(blocks) if b not in c and bounds[b][0] < bounds[b][1]]
-            for b in out:
-                if b - 1 in out:
-                    runs[-1] = (*runs[-1][:2], bounds[b][1] - 1)
-                else:
-                    runs.append((k + 1, bounds[b][0], bounds[b][1] - 1))
-        limits = df.sparkSession.createDataFrame(runs, "fold int, _a long, _b long")  # folds x blocks rows at most
-        at = df.select(F.col(index).alias("_i"), F.col(t0).alias("_t0"), F.col(t_end).alias("_te"))
-        starts = F.broadcast(limits).join(at, at["_i"] == limits["_a"]).select("fold", "_a", "_b", F.col("_t0").alias("_from"))
-        if end == "max":
-            stops = F.broadcast(limits).join(at, (at["_i"] >= limits["_a"]) & (at["_i"] <= limits["_b"])).groupBy("fold", "_a").agg(F.max("_te").alias("_to"))
+    block, bounds, i = block_of(F.col(index), n, blocks), block_bounds(n, blocks), F.col(index)
+    tests = [[b for b in range(blocks) if b not in c and bounds[b][0] < bounds[b][1]] for c in combos]
+    lost = [F.lit(False) for _ in combos]
+    if purge is not None:
+        cut = df.select(block.alias("_b"), i.alias("_i"), F.col(t0).alias("_t0"), F.col(t_end).alias("_te"))
+        ends = cut.groupBy("_b").agg(F.min_by("_t0", "_i"), F.max("_te") if end == "max" else F.max_by("_te", "_i"))
+        ends = {r[0]: r[1:] for r in ends.collect()}  # a row a block
+        time = lambda t, by=0.0: F.lit(t + timedelta(seconds=by)).cast("timestamp_ntz")
+        for k, own in enumerate(tests):
+            for run in _neighbours([b for b in own if b in ends]):
+                start, stop = ends[run[0]][0], max(ends[b][1] for b in run) if end == "max" else ends[run[-1]][1]
+                hit = (F.col(t0) <= time(stop, purge)) & (F.col(t_end) >= time(start, -purge))
+                if embargo > 0:
+                    hit = hit | (F.col(t0) > time(stop)) & (F.col(t0) <= time(stop, embargo))
+                lost[k] = lost[k] | F.coalesce(hit, F.lit(False))
+    else:
+        for k, own in enumerate(tests):
+            for b in own if purge_rows else ():
+                lost[k] = lost[k] | i.between(bounds[b][0] - purge_rows, bounds[b][1] - 1 + purge_rows)
+            if embargo_share and own:
+                start = min(bounds[own[-1]][1], n - 1)
+                lost[k] = lost[k] | i.between(start, min(start + int(n * embargo_share), n - 1))
+    trains = [block.isin(*c) & ~gone for c, gone in zip(combos, lost, strict=True)]
+    counts = df.agg(*(F.count_if(x) for x in trains)).first()
+    folds = [k for k, count in enumerate(counts) if count][:most]
+    use = [F.when(~block.isin(*combos[k]), F.struct(F.lit(f + 1).alias("fold"), F.lit("test").alias("role"))).when(trains[k], F.struct(F.lit(f + 1).alias("fold"), F.lit("train").alias("role"))) for f, k in enumerate(folds)]
+    none = F.struct(F.lit(0).alias("fold"), F.lit("").alias("role"))
+    return df.select(F.explode(F.filter(F.array(*use, F.when(F.lit(False), none)), lambda x: x.isNotNull())).alias("x"), i.alias("row_idx")).select("x.*", "row_idx")
+
+
+def _neighbours(numbers: list[int]) -> list[list[int]]:
+    """Runs of neighbouring numbers."""
+    out: list[list[int]] = []
+    for x in numbers:
+        if out and out[-1][-1] == x - 1:
+            out[-1].append(x)
         else:
-            stops = F.broadcast(limits).join(at, at["_i"] == limits["_b"]).select("fold", "_a", F.col("_te").alias("_to"))
-        spans = starts.join(stops, ["fold", "_a"]).select(F.col("fold").alias("_fold"), "_from", "_to")
-        pad = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(purge)))
-        hit = (F.col("_t0") <= F.col("_to") + pad) & (F.col("_te") >= F.col("_from") - pad)
-        if embargo > 0:
-            hit = hit | (F.col("_t0") > F.col("_to")) & (F.col("_t0") <= F.col("_to") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(embargo))))
-        train = train.join(F.broadcast(spans), (F.col("fold") == F.col("_fold")) & hit, "left_anti")
-    elif purge_rows or embargo_share:
-        hit = F.lit(False)
-        for k, c in enumerate(combos):
-            tests = [b for b in range(blocks) if b not in c and bounds[b][0] < bounds[b][1]]
-            own = F.lit(False)
-            for b in tests if purge_rows else ():
-                own = own | F.col("row_idx").between(bounds[b][0] - purge_rows, bounds[b][1] - 1 + purge_rows)
-            if embargo_share and tests:
-                start = min(bounds[tests[-1]][1], n - 1)
-                own = own | F.col("row_idx").between(start, min(start + int(n * embargo_share), n - 1))
-            hit = hit | (F.col("fold") == k + 1) & own
-        train = train.filter(~hit)
-    both = train.select("fold", "role", "row_idx").unionByName(test.select("fold", "role", "row_idx"))
-    full = train.select("fold").distinct().select(F.col("fold").alias("_f"), F.row_number().over(Window.orderBy("fold")).alias("_n"))  # a row a fold
-    full = full if most is None else full.filter(F.col("_n") <= most)
-    return both.join(F.broadcast(full), F.col("fold") == F.col("_f")).select(F.col("_n").alias("fold"), "role", "row_idx")
+            out.append([x])
+    return out
 
 
 def split_lists(splits: DataFrame) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, full, in_order, look_back
+from tidemill.frames import KEYS, TS, full, look_back
 
 TINY = 1e-8
 
@@ -27,49 +26,37 @@ def with_returns(df: DataFrame, price: str = "log_mid", vol: int = 60, keys: Seq
     return look_back(df, vol, lambda w: {f"vol_{vol}": full(F.stddev_samp, F.col("ret_1"), w, vol)}, keys, ts, block)
 
 
-class Ewma:
-    """The exponentially weighted deviation of one ordered series, unbiased, with weights (1 - a) ** k and a = 2 / (span + 1).
-
-    Leading NaN only delay the start. At a NaN within, the last value holds and older weights decay one step further.
-    """
-
-    def __init__(self, span: int, x: str, name: str, columns: list[str]):
-        self.a, self.x, self.name, self.columns = 2 / (span + 1), x, name, columns
-        self.mean = self.var = 0.0
-        self.squares = self.old = 1.0
-        self.begun, self.value = False, float("nan")
-
-    def next(self, v: float) -> float:
-        if not self.begun:
-            if v == v:
-                self.mean, self.begun = v, True
-            return self.value
-        self.old *= 1 - self.a
-        if v == v:
-            share, gap = self.a / (self.old + self.a), v - self.mean
-            self.var = (1 - share) * (self.var + share * gap * gap)
-            self.mean += share * gap
-            self.squares = (1 - share) ** 2 * self.squares + share**2
-            self.old = 1.0
-            self.value = max(0.0, self.var / (1 - self.squares)) ** 0.5 if self.squares < 1 else float("nan")
-        return self.value
-
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows[self.columns].copy()
-        out[self.name] = [None if v != v else v for v in map(self.next, rows[self.x].tolist())]
-        return out
-
-
 def with_ewma(df: DataFrame, x: str = "ret_1", span: int = 50, name: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """``df`` with the exponentially weighted deviation of ``x`` by time within each key, null where undefined.
+    """``df`` with the exponentially weighted deviation of ``x`` by time within each key, unbiased, null where undefined. Weights
+    are a * (1 - a) ** k with a = 2 / (span + 1), and (1 - a) ** k for the first value. Leading nulls only delay the start; at a
+    null within, the last value holds and older weights decay one step further.
 
-    A recurrence, so each key is read in order by one task, batch by batch, as (key, time, value) alone.
+    The recurrence is affine, so running sums of values and squares by weights that grow with time give it. A key's rows
+    are dealt in blocks short enough for such weights, each after the rows before it that still weigh 1e-17.
     """
-    name = name or f"ewma_{span}"
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in (*keys, ts)) + f", {name} double"
-    rows = df.select(*keys, ts, F.col(x).cast("double").alias(x))
-    vol = in_order(rows, f"{__name__}.Ewma", schema, keys, ts, span=span, x=x, name=name, columns=[*keys, ts])
-    return df.join(vol, [*keys, ts], "left")
+    a, c = 2 / (span + 1), F.col(x).cast("double")
+    back, block = math.ceil(39.2 / a), max(math.ceil(39.2 / a), math.ceil(300 / a))
+
+    def terms(w) -> dict[str, Column]:
+        before = F.last(F.when(c.isNotNull(), F.col("_pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return {"_gap": F.col("_pos") - before, "_x": c - F.first(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))}
+
+    def sums(w) -> dict[str, Column]:
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        old = F.pow(F.lit(1 - a), F.col("_gap"))
+        decay = F.when(c.isNotNull() & F.col("_gap").isNotNull(), F.ln(old / (old + a)))
+        share = F.when(F.col("_gap").isNull(), 1.0).otherwise(a / (old + a))
+        weight = F.when(c.isNotNull(), share * F.exp(-F.coalesce(F.sum(decay).over(upto), F.lit(0.0))))
+        return {"_w": weight}
+
+    def value(w) -> dict[str, Column]:
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        total, mean = F.sum("_w").over(upto), F.sum(F.col("_w") * F.col("_x")).over(upto)
+        squares, same = F.sum(F.col("_w") * F.col("_x") * F.col("_x")).over(upto), F.sum(F.col("_w") * F.col("_w")).over(upto)
+        var = (squares / total - mean / total * mean / total) / (1 - same / total / total)
+        return {name or f"ewma_{span}": F.when(F.count(c).over(upto) > 1, F.sqrt(F.greatest(var, F.lit(0.0))))}
+
+    return look_back(df, back, lambda w: (terms(w), sums(w), value(w)), keys, ts, block).drop("_gap", "_x", "_w")
 
 
 def with_ewma_tail(df: DataFrame, x: str = "ret_1", span: int = 50, tail: int = 1000, name: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, running_sum, with_position
+from tidemill.frames import KEYS, TS, exact_quantile, running_sum, with_position
 from tidemill.storage import saved
 
 
@@ -85,11 +85,12 @@ def sample_weights(bars: DataFrame, intervals: DataFrame, r: str = "ret_1", cap:
     at_s = sums.select(*keys, F.col("_pos").alias("_s"), (F.col("_sum") - F.col("_a")).alias("_before"))
     at_e = sums.select(*keys, F.col("_pos").alias("_e"), F.col("_sum").alias("_upto"))
     x = x.join(at_s, [*keys, "_s"]).join(at_e, [*keys, "_e"]).withColumn("_w", F.abs(F.col("_upto") - F.col("_before")))
-    own = Window.partitionBy(*keys)  # of intervals, not bars
-    x = x.withColumns({"_n": F.count("*").over(own), "_total": F.sum("_w").over(own)}).withColumn("_w", F.when(F.col("_total") > 0, F.col("_w") * F.col("_n") / F.col("_total")).otherwise(1.0))
-    x = x.withColumn("_top", F.percentile("_w", F.lit(cap)).over(own)).withColumn("_w", F.least("_w", "_top"))
-    x = x.withColumn("_cut", F.sum("_w").over(own))
-    return x.select(*keys, "t0", "t_end", F.when(F.col("_cut") > 0, F.col("_w") * F.col("_n") / F.col("_cut")).otherwise(F.col("_w")).alias("weight"))
+    x = saved(x.select(*keys, "t0", "t_end", "_w"))
+    top = exact_quantile(x, "_w", cap, keys)  # scaling keeps the order, so the cut is scaled with the rest
+    per = x.join(top, [*keys]).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_w").alias("_total"), F.sum(F.least("_w", "_q")).alias("_cut"), F.first("_q").alias("_q"))
+    x = x.join(per, [*keys])
+    low = F.least("_w", "_q")
+    return x.select(*keys, "t0", "t_end", F.when(F.col("_total") <= 0, 1.0).when(F.col("_cut") > 0, low * F.col("_n") / F.col("_cut")).otherwise(low * F.col("_n") / F.col("_total")).alias("weight"))
 
 
 def payoffs(events: DataFrame, exits: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import cv, report
@@ -51,7 +51,6 @@ def analyse(spark: SparkSession, path: str, blocks: int = 8, most: int | None =
     m, splits = spark.read.parquet(f"{path}/M"), spark.read.parquet(f"{path}/splits")
     first = splits.filter("scheme = 'WF' and fold = 1").select("base", "scheme", F.array_min("test_idx").alias("_first"))
     m = m.join(first, ["base", "scheme"], "left").filter(F.col("row_idx") >= F.coalesce("_first", F.lit(0)))
-    w = Window.partitionBy("base", "scheme").orderBy("row_idx")
-    m = m.withColumn("row_idx", F.dense_rank().over(w) - 1).withColumn("pair", pair_of_base(F.col("base")))
+    m = m.withColumn("row_idx", F.col("row_idx") - F.coalesce("_first", F.lit(0))).withColumn("pair", pair_of_base(F.col("base")))
     metrics = saved(stages.analyse(m.select("base", "pair", "scheme", "row_idx", "t0", "strategy", "ret"), ("base", "pair", "scheme"), blocks, most))
     return {"metrics": metrics, "best_strategies": report.best_strategies(metrics), "models": report.model_summary(metrics), "best_cases": report.best_cases(metrics), "robustness": report.robustness(metrics)}

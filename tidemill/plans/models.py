@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -28,9 +28,10 @@ def feature_columns(df: DataFrame, compat: bool = False) -> list[str]:
 
 
 def classifiers(trees: int = 300, weight_sum: float = 1.0) -> dict:
-    """Scaled logistic regression (its L2 share is 1 over the sum of weights) and boosted trees, one against the rest."""
-    gbt = GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-    return {"logit_cls": LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", family="multinomial", maxIter=1000, regParam=1 / max(1.0, weight_sum)), "gbt_cls": OneVsRest(classifier=gbt, featuresCol="x", labelCol="y")}
+    """Scaled logistic regression (its L2 share is 1 over the sum of weights), and boosted trees of the lowest class against the
+    rest, as only its probability is used."""
+    gbt = GBTClassifier(featuresCol="x", labelCol="lowest", weightCol="w", maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    return {"logit_cls": LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", family="multinomial", maxIter=1000, regParam=1 / max(1.0, weight_sum)), "gbt_cls": gbt}
 
 
 def regressors(trees: int = 300) -> dict:
@@ -43,11 +44,11 @@ def strategies(names: Sequence[str]) -> list[str]:
 
 
 def assembled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``rows`` complete in ``columns``, as a vector ``raw``, with the class y = label + 1 and the weight w (1 if missing)."""
+    """``rows`` complete in ``columns``, as a vector ``raw``, with the class y = label + 1, whether it is the lowest, and the weight w (1 if missing)."""
     rows = rows.dropna(subset=[*columns, "fwd_log_ret", "label"])
     out = VectorAssembler(inputCols=list(columns), outputCol="raw").transform(rows)
     weight = F.coalesce("weight", F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)
-    return out.withColumns({"y": (F.col("label") + 1).cast("double"), "w": weight})
+    return out.withColumns({"y": (F.col("label") + 1).cast("double"), "lowest": (F.col("label") == -1).cast("double"), "w": weight})
 
 
 def score_fold(data: DataFrame, splits: DataFrame, fold: int, name: str, model, keep: Sequence[str]) -> DataFrame:
@@ -59,7 +60,7 @@ def score_fold(data: DataFrame, splits: DataFrame, fold: int, name: str, model,
     if name == "logit_cls":
         score = vector_to_array("probability")[0]
     elif name == "gbt_cls":
-        score = F.when(F.col("prediction") == 0, 1.0).otherwise(0.0)
+        score = vector_to_array("probability")[1]
     else:
         score = F.col("prediction")
     return out.select(*keep, "role", F.lit(fold).alias("fold"), F.lit(name).alias("model"), score.alias("score"))
@@ -71,7 +72,7 @@ def run_scheme(rows: DataFrame, splits: DataFrame, folds: Sequence[int], columns
 
     A fold's model is fitted once and scores once; thresholds join the scores as a row a fold.
     """
-    data = assembled(rows, columns).select("row_idx", "t0", "fwd_log_ret", "raw", "y", "w")
+    data = assembled(rows, columns).select("row_idx", "t0", "fwd_log_ret", "raw", "y", "lowest", "w")
     data = saved(data)
     total = data.agg(F.sum("w")).first()[0] or 1.0
     made = {**classifiers(trees, total), **regressors(trees)}

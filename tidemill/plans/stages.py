@@ -20,6 +20,7 @@ class FeatureParams:
     horizon: int = 60
     minutes: int = 1
     vol: int = 60
+    ewma: int = 50
     k: float = 5.0
     spacing_minutes: int = 15
     barrier: float = 5.0
@@ -48,7 +49,7 @@ def feature_stage(joined: DataFrame, p: FeatureParams = FeatureParams(), start=N
     room for the horizon and labelled on all session bars; a pair without events has no rows."""
     vol = f"vol_{p.vol}"
     span = joined if start is None else joined.filter(F.col(TS).between(start, end))
-    bars = saved(features.with_returns(features.with_mid(span), vol=p.vol, block=p.block))
+    bars = saved(features.with_ewma(features.with_returns(features.with_mid(span), vol=p.vol, block=p.block), span=p.ewma))
     floor = events.sigma_floor(bars, vol)
     eligible = bars.join(floor, [*KEYS]).filter(events.in_session_with_runway(F.col(TS), p.horizon, p.minutes, p.start, p.end))
     found = events.cusum_events(eligible, sigma=vol, k=p.k, spacing_seconds=60 * p.spacing_minutes, floor="floor")

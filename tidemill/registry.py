@@ -7,16 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.frames import TS, ordered
+from tidemill.frames import TS, running_sum, with_position
 from tidemill.operators import clean, cscv, cv, events, features, labels, montecarlo, quotes, report, stats
 from tidemill.operators.costs import classified_return, selected_return, takes, thresholds
 from tidemill.plans import adapters as a
-from tidemill.plans import models, stages
-from tidemill.sources.sinks import rounded
-from tidemill.storage import saved
+from tidemill.plans import backtest, models, stages
+from tidemill.sources import bars
+from tidemill.sources.bars import quotes_from_events
+from tidemill.sources.sinks import observed, rounded, sheet_name, wide, write_csv, write_parquet
+from tidemill.storage import new_folder, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,18 +60,28 @@ FEAT = f"""{QUOTES},
         from rets window w as (partition by pair order by ts rows between 19 preceding and current row))"""
 SESS = f"""{FEAT}, sess as (select *, row_number() over (partition by pair order by ts) - 1 as pos, cast(ts as date) as d from feat
     where hour(ts) between 8 and 17 and log_mid is not null and vol_20 is not null)"""
-LABELS = f"""{SESS}, caps as (select pair, d, max(pos) as cap from sess group by all), lasts as (select pair, max(pos) as final from sess group by all),
-    ev as (select pair, ts as t0, pos as i, least(final, pos + 6, greatest(cap, pos)) as j, log_mid + greatest(vol_20, 1e-12) as up, log_mid - greatest(vol_20, 1e-12) as down
-        from sess join caps using (pair, d) join lasts using (pair) where abs(ret_1) > vol_20),
+
+
+def labels_sql(horizon: int, chosen: str, before: str = "") -> str:
+    return f"""{SESS}{before}, caps as (select pair, d, max(pos) as cap from sess group by all), lasts as (select pair, max(pos) as final from sess group by all),
+    ev as (select pair, ts as t0, pos as i, least(final, pos + {horizon}, greatest(cap, pos)) as j, log_mid + greatest(vol_20, 1e-12) as up, log_mid - greatest(vol_20, 1e-12) as down
+        from sess join caps using (pair, d) join lasts using (pair) where {chosen}),
     met as (select ev.pair, t0, b.pos, b.ts, case when b.log_mid >= up then 1 when b.log_mid <= down then -1 end as side
         from ev join sess b on b.pair = ev.pair and b.pos > i and b.pos <= j),
     lab as (select ev.pair, ev.t0, coalesce(max_by(met.ts, met.pos), ev.t0) as t1_vert,
         coalesce(min_by(met.ts, met.pos) filter (where side is not null), max_by(met.ts, met.pos), ev.t0) as t_end,
         coalesce(min_by(side, met.pos) filter (where side is not null), 0) as label
         from ev left join met on met.pair = ev.pair and met.t0 = ev.t0 group by ev.pair, ev.t0)"""
-COVER = f"""{LABELS}, full_pos as (select *, row_number() over (partition by pair order by ts) - 1 as p from feat),
+
+
+LABELS = labels_sql(6, "abs(ret_1) > vol_20")
+COVER_OF = """, full_pos as (select *, row_number() over (partition by pair order by ts) - 1 as p from feat),
     iv as (select lab.*, a.p as s, b.p as e from lab join full_pos a on a.pair = lab.pair and a.ts = t0 join full_pos b on b.pair = lab.pair and b.ts = t_end where b.p >= a.p),
     cover as (select f.pair, f.ts, f.p as pos, count(iv.t0) as concurrency, any_value(f.ret_1) as r from full_pos f left join iv on iv.pair = f.pair and f.p between s and e group by all)"""
+COVER = LABELS + COVER_OF
+WEIGHTS = """, raw as (select iv.pair, t0, t_end, abs(sum(coalesce(r, 0) / concurrency)) as w from iv join cover c on c.pair = iv.pair and c.pos between s and e group by iv.pair, t0, t_end),
+    sc as (select *, w * count(*) over (partition by pair) / sum(w) over (partition by pair) as w1 from raw), tp as (select pair, quantile_cont(w1, 0.99) as top from sc group by pair), cl as (select sc.*, least(w1, top) as w2 from sc join tp using (pair)),
+    wt as (select pair, t0, t_end, round(w2 * count(*) over (partition by pair) / sum(w2) over (partition by pair), 6) as weight from cl)"""
 MATRIX = """m as (select e.event_id - (select min(event_id) from events) as row_idx, e.ts as t0, k.strategy, case when e.event_type = k.strategy then (e.value - 50) / 10000 else 0.0 end as ret
     from events e, (select distinct event_type as strategy from events) k)"""
 DAILY = f"""{MATRIX}, days as (select cast(t0 as date) as day, strategy, sum(ret) as ret from m group by all),
@@ -203,10 +215,11 @@ def returns_vol_by_blocks(spark, sf):
     return features.with_returns(x, vol=20, block=100).select("pair", TS, "ret_1", "ret_5", "vol_20")
 
 
-EWMA = f"""with recursive {FEAT}, o as (select pair, ts, ret_1 as x, row_number() over (partition by pair order by ts) as n from feat where ret_1 is not null),
+EWMA_OF = f""", o as (select pair, ts, ret_1 as x, row_number() over (partition by pair order by ts) as n from feat where ret_1 is not null),
     e as (select pair, ts, n, x as mean, 0.0::double as v, 1.0::double as q from o where n = 1
-      union all select o.pair, o.ts, o.n, e.mean + 2.0 / 51 * (o.x - e.mean), (1 - 2.0 / 51) * (e.v + 2.0 / 51 * (o.x - e.mean) * (o.x - e.mean)), (1 - 2.0 / 51) * (1 - 2.0 / 51) * e.q + 2.0 / 51 * 2.0 / 51 from e join o on o.pair = e.pair and o.n = e.n + 1)
-    select feat.pair, feat.ts, round(case when e.n > 1 then sqrt(e.v / (1 - e.q)) end, {DIGITS}) as ewma_50 from feat left join e on e.pair = feat.pair and e.ts = feat.ts"""
+      union all select o.pair, o.ts, o.n, e.mean + 2.0 / 51 * (o.x - e.mean), (1 - 2.0 / 51) * (e.v + 2.0 / 51 * (o.x - e.mean) * (o.x - e.mean)), (1 - 2.0 / 51) * (1 - 2.0 / 51) * e.q + 2.0 / 51 * 2.0 / 51 from e join o on o.pair = e.pair and o.n = e.n + 1),
+    ew as (select feat.pair, feat.ts, round(case when e.n > 1 then sqrt(e.v / (1 - e.q)) end, {DIGITS}) as ewma_50 from feat left join e on e.pair = feat.pair and e.ts = feat.ts)"""
+EWMA = f"with recursive {FEAT}{EWMA_OF} select * from ew"
 
 
 @query(EWMA)
@@ -280,8 +293,11 @@ def _cusum(spark, sf):
     return rows, events.cusum_events(rows, sigma="vol_20", k=1.0, spacing_seconds=7200, floor="floor")
 
 
-CUSUM = f"""{FEAT}, fl as (select pair, quantile_cont(vol_20, 0.05) as floor from feat group by pair),
-    el as (select feat.pair, ts, ret_1 as r, greatest(vol_20, floor) as h from feat join fl using (pair) where vol_20 is not null and hour(ts) between 8 and 17 and hour(ts) * 60 + minute(ts) + 120 <= 1080),
+
+
+def cusum_sql(runway: int) -> str:
+    return f""", fl as (select pair, quantile_cont(vol_20, 0.05) as floor from feat group by pair),
+    el as (select feat.pair, ts, ret_1 as r, greatest(vol_20, floor) as h from feat join fl using (pair) where vol_20 is not null and hour(ts) between 8 and 17 and hour(ts) * 60 + minute(ts) + {runway} <= 1080),
     ok as (select *, row_number() over (partition by pair order by ts) as n from el where r is not null and h > 0),
     st as (select pair, 0::bigint as n, 0.0::double as up, 0.0::double as down, null::timestamp as last, null::timestamp as ts, 0 as way, false as out from (select distinct pair from ok)
       union all select pair, n, case when way = 0 then u else 0 end, case when way = 0 then d else 0 end, case when fire then ts else last end, ts, way, fire from (
@@ -291,6 +307,9 @@ CUSUM = f"""{FEAT}, fl as (select pair, quantile_cont(vol_20, 0.05) as floor fro
     cus as (select pair, ts, way as direction from st where out)"""
 
 
+CUSUM = FEAT + cusum_sql(120)
+
+
 @query(f"with recursive {CUSUM} select pair, ts, direction from cus", None)
 def cusum_events(spark, sf):
     return _cusum(spark, sf)[1]
@@ -356,9 +375,7 @@ def concurrency_stats(spark, sf):
 
 
 @query(
-    f"""with {COVER}, raw as (select iv.pair, t0, t_end, abs(sum(coalesce(r, 0) / concurrency)) as w from iv join cover c on c.pair = iv.pair and c.pos between s and e group by iv.pair, t0, t_end),
-    sc as (select *, w * count(*) over (partition by pair) / sum(w) over (partition by pair) as w1 from raw), tp as (select pair, quantile_cont(w1, 0.99) as top from sc group by pair), cl as (select sc.*, least(w1, top) as w2 from sc join tp using (pair))
-    select pair, t0, t_end, round(w2 * count(*) over (partition by pair) / sum(w2) over (partition by pair), 6) as weight from cl""",
+    f"with {COVER}{WEIGHTS} select * from wt",
     6,
 )
 def sample_weights(spark, sf):
@@ -391,7 +408,27 @@ def score_jumps(spark, sf):
     return report.score_jumps(bars, found.withColumnRenamed("t0", TS))
 
 
-@query()
+def tidy_sql(section: str, sql: str, metrics: str) -> str:
+    names = metrics.split()
+    return f"select pair, '{section}' as section, unnest([{', '.join(repr(n) for n in names)}]) as metric, unnest([{', '.join(f'cast({n} as double)' for n in names)}]) as value from ({sql})"
+
+
+DIAGNOSED = " union all ".join(
+    tidy_sql(*x)
+    for x in (
+        ("events per day", f"with {LABELS}, d as (select pair, cast(t0 as date) as day, count(*) as n from lab group by 1, 2) select pair, count(*) as days, quantile_cont(n, 0.5) as median, quantile_cont(n, 0.25) as q1, quantile_cont(n, 0.75) as q3, quantile_cont(n, 0.75) - quantile_cont(n, 0.25) as iqr from d group by pair", "days median q1 q3 iqr"),
+        ("minutes between events", f"with {LABELS}, g as (select pair, date_diff('second', lag(t0) over (partition by pair order by t0), t0) / 60 as gap from lab) select pair, {', '.join(f'quantile_cont(gap, {p}) as q{round(100 * p):02d}' for p in (0.1, 0.25, 0.5, 0.75, 0.9))} from g group by pair", "q10 q25 q50 q75 q90"),
+        ("concurrency", ORACLES["concurrency_stats"], "bars mean p50 p90"),
+        ("labels", ORACLES["label_shares"], "n pct_up pct_none pct_down"),
+        ("holding", ORACLES["holding_times"], "q10 q25 q50 q75 q90 share_upto_1m"),
+        ("no hit", ORACLES["nohit_check"], "n at_vertical at_start"),
+        ("side", ORACLES["score_label_corr"], "side_missing n score_label_corr"),
+        ("score jumps", ORACLES["score_jumps"], "q10 q25 q50 q75 q90 n"),
+    )
+)
+
+
+@query(f"select pair, section, metric, round(value, 6) as value from ({DIAGNOSED})", 6)
 def label_diagnostics(spark, sf):
     bars, found = _scored(spark, sf)
     return report.diagnostics(bars, found)
@@ -460,9 +497,9 @@ def cpcv_counts(spark, sf):
     return cv.test_counts(cv.cpcv(x, x.count(), 6, 12))
 
 
-@query("with i as (select distinct user_id % 5 as g, event_id as row_idx from events where event_id % 7 < 4), r as (select *, row_idx - row_number() over (partition by g order by row_idx) as k from i) select g, min(row_idx) as start, max(row_idx) as stop from r group by g, k", None)
+@query("with i as (select distinct user_id % 5 as g, event_id as row_idx from events where value < 55), r as (select *, row_idx - row_number() over (partition by g order by row_idx) as k from i) select g, min(row_idx) as start, max(row_idx) as stop from r group by g, k", None)
 def contiguous_runs(spark, sf):
-    e = a.table(spark, sf, "events").filter("event_id % 7 < 4").select((F.col("user_id") % 5).alias("g"), F.col("event_id").alias("row_idx"))
+    e = a.table(spark, sf, "events").filter("value < 55").select((F.col("user_id") % 5).alias("g"), F.col("event_id").alias("row_idx"))
     return cv.contiguous_runs(e, ["g"])
 
 
@@ -482,10 +519,47 @@ def overlap_report(spark, sf):
     return cv.overlaps(x, cv.cpcv(x, x.count(), 6, 12, purge=300, embargo=3600))
 
 
-@query()
+WF_SQL = "f as (select k as fold, n - (6 - k) * (n // 6) as a, n - (5 - k) * (n // 6) as b from n, range(1, 6) r(k)), wf as (select cast(fold as int) as fold, case when row_idx < a then 'train' else 'test' end as role, row_idx, t0, t_end from x, f where row_idx < b)"
+
+
+@query(f"with {ROWS}, {WF_SQL} select fold, {', '.join(f"""string_agg(row_idx::varchar, ',' order by row_idx) filter (where role = '{r}') as {r}_idx, min(row_idx) filter (where role = '{r}') as {r}_start, max(row_idx) filter (where role = '{r}') as {r}_end, cast(count(*) filter (where role = '{r}') as int) as n_{r}""" for r in ('train', 'test'))} from wf group by fold", None)
 def split_lists(spark, sf):
     x = _rows(spark, sf)
-    return cv.split_lists(cv.walk_forward(x, x.count()))
+    out = cv.split_lists(cv.walk_forward(x, x.count()))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("train_idx", "test_idx")})
+
+
+@query(f"with {ROWS}, {WF_SQL} select fold, role, row_idx from wf", None)
+def split_files(spark, sf):
+    """Splits written with one list as JSON text and one as an array, read again and taken apart."""
+    x, path = _rows(spark, sf), new_folder(spark, "splits")
+    lists = cv.split_lists(cv.walk_forward(x, x.count())).select("fold", F.to_json("train_idx").alias("train_idx"), "test_idx")
+    write_parquet(lists, path, ("fold",))
+    of = lambda role: F.struct(F.lit(role).alias("role"), F.col(f"{role}_idx").alias("rows"))
+    back = bars.read_splits(spark, path).select("fold", F.explode(F.array(of("train"), of("test"))).alias("x"))
+    return back.select(F.col("fold").cast("int").alias("fold"), "x.role", F.explode("x.rows").alias("row_idx"))
+
+
+TAKEN = "bt as (select x.row_idx, t0, t_end, (e.value - 50) / 1000 as pay, cast(e.user_id % 3 - 1 as bigint) as side, e.value > 60 as take from x join events e on e.event_id = x.row_idx + (select min(event_id) from events))"
+
+
+def cells_sql(section: str, item: str, metrics: str, source: str) -> str:
+    names = metrics.split()
+    return f"select '{section}' as section, {item} as item, unnest([{', '.join(repr(n) for n in names)}]) as metric, unnest([{', '.join(f'cast({n} as double)' for n in names)}]) as value from {source}"
+
+
+@query(
+    f"""with {ROWS}, {WF_SQL}, {TAKEN}, d as (select count(pay) as n, avg(pay) as mean, stddev_samp(pay) as std, min(pay) as min, quantile_cont(pay, 0.25) as p25, quantile_cont(pay, 0.5) as p50, quantile_cont(pay, 0.75) as p75, max(pay) as max, avg(case when pay > 0 then 1.0 else 0 end) as share_above_zero from bt),
+    sd as (select side, count(*) as n, count(*) filter (where take) as taken from bt group by side), st as (select *, n / sum(n) over () as share, taken / sum(taken) over () as share_taken, taken / n as take_rate from sd),
+    sp as (select fold, min(t0) as f, max_by(t_end, row_idx) as t from wf where role = 'test' and fold <= 3 group by fold), ov as (select sp.fold, 0 as shared_rows, count(*) filter (where wf.t0 <= t and wf.t_end >= f) as overlapping from sp join wf on wf.fold = sp.fold and wf.role = 'train' group by sp.fold),
+    r as ({cells_sql('payoff', "''", 'n mean std min p25 p50 p75 max share_above_zero', 'd')} union all {cells_sql('side', 'side::varchar', 'n taken share share_taken take_rate', 'st')} union all {cells_sql('fold', 'fold::varchar', 'shared_rows overlapping', 'ov')})
+    select section, item, metric, round(value, 8) as value from r"""
+)
+def backtest_report(spark, sf):
+    x, e = _rows(spark, sf), a.table(spark, sf, "events")
+    first = e.agg(F.min("event_id")).first()[0] or 0
+    rows = x.join(e.select((F.col("event_id") - first).alias("row_idx"), ((F.col("value") - 50) / 1000).alias("pay"), (F.col("user_id") % 3 - 1).alias("side"), (F.col("value") > 60).alias("take")), "row_idx")
+    return report.backtest_report(rows, F.col("take"), cv.walk_forward(x, x.count()), "pay")
 
 
 # ---- costs and returns
@@ -594,7 +668,13 @@ def dsr_argument(spark, sf):
     return stats.strategy_metrics(a.return_matrix(spark, sf)).select("strategy", "dsr_argument")
 
 
-@query()
+def phi_sql(x: str) -> str:
+    """The normal distribution as the series of odd powers over double factorials."""
+    term = f"exp((2 * k + 1) * ln(greatest(abs({x}), 1e-300)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))"
+    return f"case when abs({x}) > 7 then (sign({x}) + 1) / 2 else 0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: {term})) end"
+
+
+@query(f"with {METRICS} select strategy, round(sharpe, 6) as sharpe, round({phi_sql('dsr_argument')}, 6) as dsr from met".replace("* Z)", f"* {Z5})"), 6)
 def deflated_sharpe(spark, sf):
     return stats.strategy_metrics(a.return_matrix(spark, sf)).select("strategy", "sharpe", "dsr")
 
@@ -604,6 +684,12 @@ CSCV = f"""{MATRIX}, n as (select count(*) as n from events), blk as (select m.*
     perf as (select combo, strategy, sum(s) filter (where block in (a, b, c, d)) / sum(parts.c) filter (where block in (a, b, cmb.c, d)) as perf_IS, sum(s) filter (where block not in (a, b, cmb.c, d)) / sum(parts.c) filter (where block not in (a, b, cmb.c, d)) as perf_OOS from parts, cmb group by combo, strategy),
     rk as (select *, rank() over (partition by combo order by perf_OOS desc) + (count(*) over (partition by combo, perf_OOS) - 1) / 2 as r, count(*) over (partition by combo) as k, row_number() over (partition by combo order by perf_IS desc, strategy) as f from perf),
     res as (select combo, strategy as best_IS, perf_IS, perf_OOS, least(greatest(r / (k + 1), 1e-8), 1 - 1e-8) as relative_rank_OOS from rk where f = 1)""".replace("block in (a, b, c, d)", "block in (a, b, cmb.c, d)")
+KS = """ks as (select max(abs(g)) / (count(*) / 2) as ks_stat, count(*) // 2 as n from (select sum(own) over (order by v) - sum(1 - own) over (order by v) as g from (
+        select relative_rank_OOS as v, 1 as own from res union all select cast('0x' || substr(md5('42:' || combo), 1, 13) as bigint) / pow(2::double, 52) as v, 0 as own from res))),
+    kz as (select *, (sqrt(n / 2.0) + 0.12 + 0.11 / sqrt(n / 2.0)) * ks_stat as z from ks),
+    kp as (select ks_stat, case when z > 0.2 then least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2 * k * k * z * z))))) else 1.0 end as ks_pval from kz),
+    zr as (select *, rank() over (order by perf_IS) + (count(*) over (partition by perf_IS) - 1) / 2 as ra, rank() over (order by perf_OOS) + (count(*) over (partition by perf_OOS) - 1) / 2 as rb from res),
+    ov as (select avg(case when relative_rank_OOS > 0.5 then 1.0 else 0 end) as PBO, corr(ra, rb) as perf_degradation, avg(case when perf_OOS < 0 then 1.0 else 0 end) as prob_loss, any_value(ks_stat) as ks_stat, any_value(ks_pval) as ks_pval from zr, kp)"""
 
 
 @query(f"with {CSCV} select cast(combo as int) as combo, best_IS, {rnd('perf_IS', 'perf_OOS', 'relative_rank_OOS')}, round(ln(relative_rank_OOS / (1 - relative_rank_OOS)), 8) as logit from res")
@@ -611,17 +697,16 @@ def cscv_combos(spark, sf):
     return cscv.cscv(a.return_matrix(spark, sf), a.table(spark, sf, "events").count()).drop("name")
 
 
-@query(
-    f"""with {CSCV}, z as (select *, rank() over (order by perf_IS) + (count(*) over (partition by perf_IS) - 1) / 2 as ra, rank() over (order by perf_OOS) + (count(*) over (partition by perf_OOS) - 1) / 2 as rb from res)
-    select round(avg(case when relative_rank_OOS > 0.5 then 1.0 else 0 end), 6) as PBO, round(corr(ra, rb), 6) as perf_degradation, round(avg(case when perf_OOS < 0 then 1.0 else 0 end), 6) as prob_loss from z""",
-    6,
-)
+@query(f"with {CSCV}, {KS} select {rnd('PBO', 'perf_degradation', 'prob_loss', 'ks_stat', 'ks_pval', digits=6)} from ov", 6)
 def pbo(spark, sf):
     found = cscv.cscv(a.return_matrix(spark, sf), a.table(spark, sf, "events").count())
-    return cscv.overfitting(found).select("PBO", "perf_degradation", "prob_loss")
+    return cscv.overfitting(found)
 
 
-@query()
+@query(
+    f"with {METRICS}, {CSCV.removeprefix(MATRIX + ', ')}, {KS} select 'all' as pair, 'WF' as scheme, strategy, n_trades, {rnd('hit_rate', 'mean_evt_ret', 'std_evt_ret', 'sharpe', 'sortino', 'skew', 'kurt', digits=6)}, T_daily, round(dsr_argument, 6) as dsr_argument, round({phi_sql('dsr_argument')}, 6) as dsr, {rnd('PBO', 'perf_degradation', 'prob_loss', 'ks_stat', 'ks_pval', digits=6)} from met, ov".replace("* Z)", f"* {Z5})"),
+    6,
+)
 def scheme_analysis(spark, sf):
     m = a.return_matrix(spark, sf).withColumns({"pair": F.lit("all"), "scheme": F.lit("WF")})
     return stages.analyse(m)
@@ -657,7 +742,12 @@ def minbtl_bound(spark, sf):
     return montecarlo.min_backtest_curve(spark).select("n", "bound")
 
 
-@query()
+ROOTS = f"""with recursive p as (select n, q, case when q = 1 then 1 - 1 / n else 1 - 1 / (n * exp(1)) end as p from range(2, 1001) r(n), range(1, 3) s(q)),
+    b as (select n, q, p, 0 as i, -1.0::double as lo, 5.0::double as hi from p union all select n, q, p, i + 1, case when {phi_sql('(lo + hi) / 2')} < p then (lo + hi) / 2 else lo end, case when {phi_sql('(lo + hi) / 2')} < p then hi else (lo + hi) / 2 end from b where i < 42),
+    z as (select n, max(lo) filter (where q = 1) as z1, max(lo) filter (where q = 2) as z2 from b where i = 42 group by n)"""
+
+
+@query(f"{ROOTS} select r.n, round(pow((1 - 0.5772156649015329) * z1 + 0.5772156649015329 * z2, 2), 6) as min_years, round(2 * ln(r.n), 6) as bound from range(1, 1001) r(n) left join z on z.n = r.n", 6)
 def minbtl_curve(spark, sf):
     return montecarlo.min_backtest_curve(spark)
 
@@ -674,17 +764,181 @@ def max_sharpe_curve(spark, sf):
 
 @query(f"with {BARS} select pair, ts, round(exp(sum(ln(1 + (close - 50) / 10000)) over (partition by pair order by ts)) - 1, 6) as equity from bars", 6)
 def cumulative_return(spark, sf):
-    return a.bars(spark, sf).select("pair", TS, stats.cumulative_return((F.col("close") - 50) / 10000, ordered()).alias("equity"))
+    bars = running_sum(a.bars(spark, sf), F.log1p((F.col("close") - 50) / 10000), "total")
+    return bars.select("pair", TS, (F.exp("total") - 1).alias("equity"))
 
 
 # ---- whole stages
 
 
-@query()
+CHAIN = labels_sql(4, "(pair, ts) in (select pair, ts from cus)", cusum_sql(240))
+PARAMS = stages.FeatureParams(horizon=4, minutes=60, vol=20, k=1.0, spacing_minutes=120, barrier=1.0, lookback=5)
+SIDED = """, hours as (select *, log_mid - lag(log_mid, 5) over (partition by pair order by ts) as move from feat where hour(ts) between 8 and 17),
+    sided as (select *, case when abs(side_score) >= 0.5 then sign(side_score)::double end as side from (select *, case when move is not null and vol_20 <> 0 then greatest(-3, least(3, -move / (vol_20 * sqrt(5)))) end as side_score from hours))"""
+
+
+def chain_sql(where: str = "true") -> str:
+    return f"""with recursive {CHAIN}{COVER_OF}{WEIGHTS}{EWMA_OF}{SIDED} select l.pair, l.t0 as ts, round(ret_1, 8) as ret_1, round(vol_20, 8) as vol_20, ewma_50, round(side_score, 8) as side_score, side, t1_vert, l.t_end, cast(label as int) as label, weight
+    from lab l join sided s on s.pair = l.pair and s.ts = l.t0 left join ew on ew.pair = l.pair and ew.ts = l.t0 left join wt on wt.pair = l.pair and wt.t0 = l.t0 where {where}"""
+
+
+def _chain(spark, sf, start=None, end=None):
+    out = stages.feature_stage(a.quotes(spark, sf), PARAMS, start, end)
+    return out.select("pair", TS, "ret_1", "vol_20", "ewma_50", "side_score", "side", "t1_vert", "t_end", F.col("label").cast("int"), F.round("weight", 6).alias("weight"))
+
+
+@query(chain_sql())
 def labelled_events(spark, sf):
     """Joined bars to labelled, weighted events, by the sampler with state."""
-    p = stages.FeatureParams(horizon=4, minutes=60, vol=20, k=1.0, spacing_minutes=120, barrier=1.0, lookback=5)
-    return stages.feature_stage(a.quotes(spark, sf), p).select("pair", TS, "side_score", "side", "t1_vert", "t_end", F.col("label").cast("int"), "weight")
+    return _chain(spark, sf)
+
+
+@query(chain_sql().replace("from events e group by 1, 2)", "from events e where date_trunc('hour', e.ts) between timestamp '2024-01-05' and timestamp '2024-01-20' group by 1, 2)"))
+def labelled_events_in_range(spark, sf):
+    """The same over a span of time alone."""
+    return _chain(spark, sf, F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+CLEANED = f"""{bars_sql(15)}, w as (select * from bars where {WEEK} and low > 0), sd as (select *, 'BID' as side from w union all select pair, ts, {', '.join(f'{c} + {ASK} as {c}' for c in ('open', 'high', 'low', 'close'))}, 'ASK' from w),
+    sm as (select *, coalesce(close = lag(close) over (partition by pair, side order by ts), false) as same from sd), rr as (select *, sum(case when same then 0 else 1 end) over (partition by pair, side order by ts) as run from sm),
+    cb as (select pair, side, ts, open, high, low, close from (select *, count(*) over (partition by pair, side, run) as size from rr) where not (same and size >= 60))"""
+
+
+def gap_parts_sql(source: str, key: str) -> str:
+    parts = " union all ".join(f"select {key}, '{n}' as part, x + interval '15 minutes' as start, y - interval '15 minutes' as stop, cast(greatest(floor(s / 900) - 1, 0) as bigint) as n from gp where s > {lo} and s <= {hi}" for n, lo, hi in (("short gap", 900, 172800), ("long gap", 172800, 10**9)))
+    return f"gp as (select *, date_diff('second', x, y) as s from (select {key}, lag(ts) over (partition by {key} order by ts) as x, ts as y from {source})), pt as (select {key}, 'bars' as part, min(ts) as start, max(ts) as stop, count(*) as n from {source} group by {key} union all {parts})"
+
+
+def _parts(out: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    span = out["bars"].groupBy(*keys).agg(F.min(TS).alias("start"), F.max(TS).alias("stop"), F.count("*").alias("n")).select(*keys, F.lit("bars").alias("part"), "start", "stop", "n")
+    for name, part in (("short_gaps", "short gap"), ("long_gaps", "long gap")):
+        span = span.unionByName(out[name].select(*keys, F.lit(part).alias("part"), F.col("gap_start").alias("start"), F.col("gap_end").alias("stop"), F.col("gap_missing").cast("long").alias("n")))
+    return span.unionByName(out["invalid_blocks"].select(*keys, F.lit("invalid").alias("part"), "start", F.col("end").alias("stop"), F.col("n_rows").alias("n")))
+
+
+def _raw(spark, sf):
+    return quotes_from_events(a.table(spark, sf, "events"), 15).withColumn("ordinal", F.lit(1))
+
+
+@query(f"with {CLEANED}, {gap_parts_sql('cb', 'pair, side')} select * from pt", None)
+def clean_stage(spark, sf):
+    """Raw bars of both sides to clean ones, with their gaps and invalid blocks (no clean bar is in one)."""
+    return _parts(stages.clean_stage(_raw(spark, sf), 15), ["pair", "side"])
+
+
+@query(f"with {CLEANED}, jb as (select b.pair, b.ts from cb b join cb k on k.pair = b.pair and k.ts = b.ts and b.side = 'BID' and k.side = 'ASK'), {gap_parts_sql('jb', 'pair')} select * from pt", None)
+def join_stage(spark, sf):
+    """Clean bars of both sides to joined ones, with their gaps and invalid blocks."""
+    return _parts(stages.join_stage(stages.clean_stage(_raw(spark, sf), 15)["bars"], 15), ["pair"])
+
+
+# ---- sources and sinks
+
+CODE = "'PX' || chr(cast(65 + cast(substr(pair, 2, 3) as int) as int)) || '_USD'"
+
+
+def _code():
+    return F.concat(F.lit("PX"), F.char(65 + F.substring("pair", 2, 3).cast("int")), F.lit("_USD"))
+
+
+def _csv_files(spark, sf, name: str) -> str:
+    """Bars as CSV, a folder for each pair and side as vendors name their files; the ask side's files have no open price."""
+    path, rows = new_folder(spark, name), quotes_from_events(a.table(spark, sf, "events"))
+    rows = rows.withColumn("timestamp", F.date_format(TS, "yyyy-MM-dd HH:mm:ss"))
+    for side, columns in (("BID", ("timestamp", "open", "high", "low", "close")), ("ASK", ("timestamp", "high", "low", "close"))):
+        named = rows.filter(F.col("side") == side).select(F.concat(_code(), F.lit(f"_{side}_2024")).alias("file"), *columns)
+        named.write.mode("append").partitionBy("file").option("header", True).csv(path)
+    return path
+
+
+@query(f"with {QUOTES} select {CODE} as pair, 'BID' as side, ts, open_bid as open, high_bid as high, low_bid as low, close_bid as close from q", None)
+def csv_bars(spark, sf):
+    """CSV files of one kind by a glob; pair and side from their names."""
+    return bars.read_bars(spark, f"{_csv_files(spark, sf, 'csv')}/*_BID_*").drop("ordinal")
+
+
+@query(f"with {QUOTES} select {CODE} as pair, 'BID' as side, ts, open_bid as open, high_bid as high, low_bid as low, close_bid as close from q union all select {CODE}, 'ASK', ts, null, high_ask, low_ask, close_ask from q", None)
+def csv_bars_mixed(spark, sf):
+    """CSV files of different headers together; what a file has no column for is null."""
+    return bars.read_bars(spark, f"{_csv_files(spark, sf, 'csv')}/*", mixed=True).drop("ordinal")
+
+
+@query(f"with {BARS}, k as (select distinct {CODE} as pair, cast(substr(pair, 2, 3) as int) as p from bars) select pair, case when p % 3 = 0 then 'BID' else 'ASK,BID' end as sides, p % 3 <> 0 as complete from k", None)
+def paired_sides(spark, sf):
+    """Which pairs have both sides, where every third has but one."""
+    rows = quotes_from_events(a.table(spark, sf, "events")).filter((F.col("side") == "BID") | (F.substring("pair", 2, 3).cast("int") % 3 != 0))
+    return bars.paired_sides(rows.withColumn("pair", _code())).withColumn("sides", F.array_join("sides", ","))
+
+
+FILES = "fl as (select distinct user_id % 7 as k, event_type as kind from events)"
+
+
+@query(f"with {FILES} select 'EUR_' || upper(substr(kind, 1, 3)) as pair, case when k % 2 = 0 then 'BID' else 'ASK' end as side, k, kind from fl", None)
+def names_of_files(spark, sf):
+    """Pair and side from paths of both ways of naming, some in small letters."""
+    e = a.table(spark, sf, "events").select((F.col("user_id") % 7).alias("k"), F.col("event_type").alias("kind")).distinct()
+    code, side = F.substring("kind", 1, 3), F.when(F.col("k") % 2 == 0, "bid").otherwise("ASK")
+    path = F.when(F.col("k") < 4, F.concat(F.lit("in/eur"), code, F.lit("_"), side, F.lit("_2007.csv"))).otherwise(F.concat(F.lit("in/x_EUR_"), F.upper(code), F.lit("_"), side, F.lit(".csv")))
+    return e.select(bars.pair_of(path).alias("pair"), bars.side_of(path).alias("side"), "k", "kind")
+
+
+def _artefacts(spark, sf):
+    e = a.table(spark, sf, "events").select((F.col("user_id") % 7).alias("k"), F.col("event_type").alias("kind")).distinct()
+    base = F.concat(F.lit("out/EUR_"), F.upper(F.substring("kind", 1, 3)), F.lit("_v"), F.col("k"))
+    ends = F.array(*map(F.lit, ("_WF_M.parquet", "_WF_splits.parquet", "_CPCV_counts", "_notes.txt")))
+    return e.select("k", F.explode(F.transform(ends, lambda x: F.concat(base, x))).alias("path")).filter("k % 3 <> 0 or path not like '%_M.parquet'").drop("k")
+
+
+ARTEFACTS = {"WF_M": "_WF_M.parquet", "WF_splits": "_WF_splits.parquet", "CPCV_counts": "_CPCV_counts"}
+NAMED = ", ".join((f"'out/' || base || '{ARTEFACTS[n]}'" if n in ARTEFACTS else "cast(null as varchar)") + f" as {n}" for s in ("WF", "CPCV") for n in (f"{s}_M", f"{s}_splits", f"{s}_counts", f"{s}_results"))
+
+
+@query(f"with {FILES}, b as (select 'EUR_' || upper(substr(kind, 1, 3)) || '_v' || k as base from fl where k % 3 <> 0) select base, {NAMED}, substr(base, 1, 7) as pair from b", None)
+def backtest_discovery(spark, sf):
+    """Which backtests are complete enough, from the paths of all artefacts."""
+    return bars.discover_backtests(_artefacts(spark, sf))
+
+
+@query(f"with {BARS}, u as (select * from bars union all select * from bars) select pair, 'parquet' as way, ts, open, high, low, close from bars union all select pair, 'csv', ts, open, high, low, close from bars", None)
+def written_tables(spark, sf):
+    """Bars written as Parquet by pair and as CSV, and both read again."""
+    path, rows = new_folder(spark, "tables"), a.bars(spark, sf)
+    write_parquet(rows, f"{path}/parquet")
+    write_csv(rows, f"{path}/csv")
+    text = spark.read.option("header", True).schema(rows.schema).csv(f"{path}/csv").withColumn("way", F.lit("csv"))
+    return spark.read.parquet(f"{path}/parquet").withColumn("way", F.lit("parquet")).unionByName(text).select("pair", "way", TS, "open", "high", "low", "close")
+
+
+WIDE = ", ".join(f"max(ret) filter (where strategy = '{k}') as {k}" for k in a.STRATEGIES)
+
+
+@query(f"with {MATRIX} select row_idx, t0, {WIDE} from m group by row_idx, t0", None)
+def wide_returns(spark, sf):
+    return wide(a.return_matrix(spark, sf), ["row_idx", "t0"], "strategy", "ret", list(a.STRATEGIES))
+
+
+@query(r"select event_id, substr(regexp_replace(event_type || ':/' || event_id || '?[' || ts || ']*', '[:\\/?*\[\]]', '_', 'g'), 1, 31) as sheet, round(value / 3, 6) as third from events")
+def sheets(spark, sf):
+    """Names of worksheets, and figures rounded as metric tables are."""
+    e, ts = a.table(spark, sf, "events"), F.date_format(TS, "yyyy-MM-dd HH:mm:ss")
+    name = F.concat("event_type", F.lit(":/"), "event_id", F.lit("?["), ts, F.lit("]*"))
+    return rounded(e.select("event_id", sheet_name(name).alias("sheet"), (F.col("value") / 3).alias("third")), 6)
+
+
+@query("select count(*) as rows, count(*) filter (where value > 60) as large from events", None)
+def observed_run(spark, sf):
+    """Counts that a run reports of itself."""
+    df, seen = observed(a.table(spark, sf, "events"), "run", rows=F.count("*"), large=F.count_if(F.col("value") > 60))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["large"])], "rows long, large long")
+
+
+@query("select event_id, cast(ts as timestamp) + interval '5 hours' as ts, case when event_id % 3 = 0 then null else value end as value from events", None)
+def checked_times(spark, sf):
+    """Times of another zone, columns without values left out, no cell filled up."""
+    e = a.table(spark, sf, "events").select("event_id", F.date_format(TS, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(TS), F.when(F.col("event_id") % 3 == 0, "none").otherwise(F.col("value").cast("string")).alias("value"), F.lit(None).cast("double").alias("empty"))
+    e = clean.numeric(clean.strict_time(clean.parse_time(e, TS, "America/New_York"), TS), ["value"], None)
+    return clean.without_empty_columns(e, ["value", "empty"])
 
 
 def _modelled(spark, sf):
@@ -692,8 +946,7 @@ def _modelled(spark, sf):
     joined = a.quotes(spark, sf)
     labelled = stages.feature_stage(joined, p)
     x = stages.modelling_rows(labelled.withColumn("side", F.coalesce("side", F.lit(1.0))), joined)
-    w = Window.orderBy("t0", "pair")
-    return saved(x.drop("row_idx").withColumn("row_idx", F.row_number().over(w) - 1))  # one model over all pairs: few events
+    return saved(with_position(x.drop("row_idx"), (), "t0", "row_idx", ("pair",)))  # one model over all pairs
 
 
 @query()
@@ -705,7 +958,14 @@ def fold_scores(spark, sf):
     return models.run_scheme(x, cv.walk_forward(x, n, 2), (1, 2), columns).select("row_idx", "t0", "fold", "strategy", "ret", "taken")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of large moves, counted by pair and label: events to bars, features, barriers, one aggregate."""
-    return _labels(spark, sf_dir).groupBy("pair", "label").agg(F.count("*").alias("n"))
+@query()
+def scheme_returns(spark, sf):
+    """Both schemes of splits with all four models, thresholds, costs, means over folds and counts; small in folds and trees."""
+    out = backtest.run_models(_modelled(spark, sf), "ALL_x", folds=2, blocks=4, most=2, purge=3600, least=20, columns=["ret_1", "ret_5", "vol_20", "ewma_50", "SP"], trees=3)
+    return out["M"].select("scheme", "row_idx", "t0", "strategy", "ret", "n")
+
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled events counted by pair and label: events to bars, both sides joined, features, CUSUM samples, triple barriers,
+    weights, one aggregate."""
+    return _chain(spark, sf_dir).groupBy("pair", "label").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,31 +10,40 @@ from tidemill.frames import floor_minutes
 OHLC = ("open", "high", "low", "close")
 
 
+def _name(path: Column) -> Column:
+    """The name of a file, or of the folder whose part files a writer made, in capitals."""
+    return F.upper(F.regexp_extract(path, r"([^/]+?)(?:/part-[^/]*)?$", 1))
+
+
 def pair_of(path: Column) -> Column:
     """'XXX_YYY' from a path with 'XXXYYY_BID' or 'XXX_YYY_BID' (or ASK) in its name; an error if there is neither."""
-    name = F.upper(F.regexp_extract(path, r"([^/]+)$", 1))
+    name = _name(path)
     a, b = F.regexp_extract(name, r"([A-Z]{3})_?([A-Z]{3})_(?:BID|ASK)", 1), F.regexp_extract(name, r"([A-Z]{3})_?([A-Z]{3})_(?:BID|ASK)", 2)
     return F.when(a != "", F.concat_ws("_", a, b)).otherwise(F.raise_error(F.concat(F.lit("no pair and side in "), path)).cast("string"))
 
 
 def side_of(path: Column) -> Column:
-    side = F.regexp_extract(F.upper(F.regexp_extract(path, r"([^/]+)$", 1)), r"_(BID|ASK)(?:_|\.|$)", 1)
+    side = F.regexp_extract(_name(path), r"_(BID|ASK)(?:_|\.|$)", 1)
     return F.when(side != "", side).otherwise(F.raise_error(F.concat(F.lit("no side in "), path)).cast("string"))
 
 
 def read_bars(spark: SparkSession, path: str | list[str], time: str = "timestamp", mixed: bool = False) -> DataFrame:
     """All CSV files under ``path`` (a glob) as (pair, side, ts, OHLC, ordinal). Columns are found by name and only these
     are read; a missing price is null; times that do not parse, and NaN, become null; ``ordinal`` is the source order.
-    Files are taken to have one header; ``mixed`` first looks for each file's own, and reads those alike together."""
+    Files are taken to have one header; with ``mixed`` each row's cells are named by the header of its own file, a table of a
+    row a file, and cells are taken to hold no commas."""
     if mixed:
-        heads = spark.read.text(path).filter(F.col("value").contains(time)).select("value", F.col("_metadata.file_path").alias("file"))
-        alike = heads.groupBy("file").agg(F.min("value").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files")).collect()
-        parts = [read_bars(spark, r.files, time) for r in alike]
-        return reduce(DataFrame.unionByName, parts)
-    raw = spark.read.option("header", True).csv(path)
-    price = [F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None)).alias(c) if c in raw.columns else F.lit(None).cast("double").alias(c) for c in OHLC]
-    at = F.col("_metadata.file_path")
-    return raw.select(pair_of(at).alias("pair"), side_of(at).alias("side"), F.expr(f"try_cast(`{time}` as timestamp_ntz)").alias("ts"), *price, F.monotonically_increasing_id().alias("ordinal"))
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("at"))
+        names = F.transform(F.split("value", ","), lambda x: F.trim(x))
+        heads = lines.filter(F.array_contains(names, time)).groupBy("at").agg(F.min(names).alias("names"))
+        raw = lines.filter(~F.array_contains(names, time)).withColumn("ordinal", F.monotonically_increasing_id()).join(heads, "at")
+        cells = F.split("value", ",")
+        raw = raw.select("at", "ordinal", *(F.get(cells, F.array_position("names", c).cast("int") - 1).alias(c) for c in (time, *OHLC)))
+    else:
+        raw = spark.read.option("header", True).csv(path)
+        raw = raw.select(*(F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in (time, *OHLC)), F.col("_metadata.file_path").alias("at"), F.monotonically_increasing_id().alias("ordinal"))
+    price = [F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")).alias(c) for c in OHLC]
+    return raw.select(pair_of(F.col("at")).alias("pair"), side_of(F.col("at")).alias("side"), F.expr(f"try_cast(`{time}` as timestamp_ntz)").alias("ts"), *price, "ordinal")
 
 
 def paired_sides(bars: DataFrame) -> DataFrame:

@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, where several parts of a plan read it.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is taken.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the session's ``spark.checkpoint.dir``. Where that is unset, a local
+    session gets a temporary one, and a cluster an error, as its executors would not see it."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        context.setCheckpointDir(given or tempfile.mkdtemp("-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that isn't there yet, in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, where several parts of a plan read it: the lineage is cut, and a lost
+    executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
