@@ -300,6 +300,55 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert sum(r.keep for r in rows if r.quality == 1) == sum(r.quality for r in rows)
 
 
+def test_posteriors_by_hand(spark):
+    """Counts, priors and posteriors over the operator's own evidence, each document's share taken out of its sites' counts."""
+    rng = np.random.default_rng(11)
+    hosts, paths = ["a", "b", "c", None, "e"], ["x", "y", None]
+    rows = [(i, "word, " * int(rng.integers(0, 40)) + "# | !" * int(rng.integers(0, 3)), hosts[int(rng.integers(0, 4))], paths[int(rng.integers(0, 3))]) for i in range(300)] + [(300, "alone, here.", "e", "x"), (5, "again, five.", "a", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = {i: int(rng.random() < (0.9 if rows[i][2] == "a" else 0.5)) for i in range(0, 200)}
+    out = quality.classify(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()
+    by_text = defaultdict(list)
+    for i, t, h, p in rows:
+        by_text[i].append((h, p, t))
+    model = quality.fit(np.array([quality.features(min(by_text[i], key=lambda x: quality.features(x[2]))[2]) for i in sorted(labels)]), np.array([labels[i] for i in sorted(labels)]))
+    e = []
+    for i, t, h, p in rows:
+        x = quality.score([t], model)[0]
+        e.append((i, h, p, x, labels.get(i, x)))
+    n_h, g_h, n_p, g_p = (Counter() for _ in range(4))
+    for _, h, p, _, v in e:
+        n_h[h] += 1
+        g_h[h] += v
+        n_p[h, p] += 1
+        g_p[h, p] += v
+    m = (sum(g_h.values()) + 1) / (len(e) + 2)
+
+    def prior(n, g, around):
+        spread = sum(n[k] * (g[k] / n[k] - around(k)) ** 2 for k in n)
+        inside = sum(n[k] * around(k) * (1 - around(k)) for k in n)
+        spread -= inside / sum(n.values()) * len(n)
+        return min(1000.0, max(2.0, inside / spread)) if spread > 0 else 1000.0
+
+    a = prior(n_h, g_h, lambda k: m)
+    b = prior(n_p, g_p, lambda k: (g_h[k[0]] + a * m) / (n_h[k[0]] + a))
+    want = []
+    for i, h, p, x, v in e:
+        of_host = (g_h[h] - v + a * m) / (n_h[h] - 1 + a)
+        site = min(0.999, max(0.001, (g_p[h, p] - v + b * of_host) / (n_p[h, p] - 1 + b)))
+        odds = np.log(x / (1 - x)) + np.log(site / (1 - site)) - np.log(m / (1 - m))
+        want.append((i, x, site, 1 / (1 + np.exp(-odds))))
+    assert np.allclose(sorted((r.doc_id, r.p_doc, r.p_site, r.p) for r in out), sorted(want), atol=1e-7)
+    assert all(r.keep == (r.p >= 0.5) for r in out)
+
+
+def test_the_fit_draws_the_same_rows(spark):
+    rows = [(i, f"text {i}, " * (i % 7), "a", "x") for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    models = [quality.document_model(d, x, "doc_id", "text", 50) for d, x in ((docs, labels), (docs.repartition(7), labels.orderBy(F.desc("doc_id"))))]
+    assert models[0] == models[1]
+
+
 def test_quality_of_all_cases(docs, empty, spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (6, 0), (7, None), (99, 1), (None, 0)], "doc_id long, quality int")
     assert quality.classify(docs, labels).count() == docs.count()

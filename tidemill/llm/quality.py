@@ -2,8 +2,9 @@
 
 A logistic model over surface features gives each document its own evidence. Labels, and for unlabelled documents that
 evidence, are counted per host and per path of a host; a host's share of good documents is shrunk towards the global
-share, a path's towards its host's, by prior weights estimated from how much hosts (paths) differ. A document's verdict
-adds its own log odds and what its path's log odds differ from the global ones.
+share, a path's towards its host's, by prior weights estimated from how much hosts (paths) differ. What a document itself
+adds to its path's and host's counts is taken out before its path's posterior is formed, so that no document testifies
+twice. Its verdict adds its own log odds and what that posterior's log odds differ from the global ones.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROOT, saved, short_batches
+from tidemill.llm.common import ROOT, saved, short_batches, small
 
 #: Most labelled rows that the document model is fitted on; they are drawn by a hash of their ids.
 FIT_ROWS = 20_000
@@ -89,8 +90,10 @@ def document_model(docs: DataFrame, labels: DataFrame, key: str, text: str, most
     known = labels.filter("quality is not null").groupBy(key).agg(F.max("quality").alias("quality"))
     n = known.count()
     if n > most:  # by a hash of the id, so the draw is the same whatever the order of rows
-        known = known.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(most)
-    rows = docs.select(key, text).join(F.broadcast(known), key).select(_udf("feature_series", "array<double>")(F.col(text)).alias("x"), "quality").limit(most).collect()
+        draw = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 40))
+        known = known.filter(draw < int((1 << 40) * min(1.0, 1.1 * most / n + 1e-3))).orderBy(draw, key).limit(most)
+    rows = docs.select(key, text).join(F.broadcast(known), key).select(key, _udf("feature_series", "array<double>")(F.col(text)).alias("x"), "quality")
+    rows = rows.groupBy(key).agg(F.min("x").alias("x"), F.max("quality").alias("quality")).orderBy(key).select("x", "quality").collect()  # ``most`` at most
     return fit(np.array([r[0] for r in rows] or np.zeros((0, 1)), float), np.array([r[1] for r in rows], float))
 
 
@@ -109,25 +112,30 @@ def weight(groups: DataFrame, share: str, around: Column | float) -> float:
     return float(min(1000.0, max(2.0, inside / spread))) if spread > 0 else 1000.0
 
 
-def sites(docs: DataFrame, labels: DataFrame, model: dict, key: str, text: str, host: str, path: str) -> tuple[DataFrame, float, DataFrame]:
-    """((host_, path_, p_site), global share, scored rows): the shrunk share of good documents of each path, to be broadcast
-    if there are ``SITES`` at most."""
-    scored = saved(docs.select(F.col(key).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), _udf("score", "double", model=model)(F.col(text)).alias("p_doc")))
-    known = labels.filter("quality is not null").groupBy(F.col(key).alias("id")).agg(F.max("quality").alias("quality"))
-    seen = scored.join(known, "id", "left").withColumn("e", F.coalesce(F.col("quality").cast("double"), "p_doc"))
+def clipped(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))
+
+
+def judged(docs: DataFrame, labels: DataFrame, model: dict, key: str, text: str, host: str, path: str) -> DataFrame:
+    """(id, host, path, p_doc, p_site, p) of each row of ``docs``."""
+    scored = docs.select(F.col(key).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), _udf("score", "double", model=model)(F.col(text)).alias("p_doc"))
+    known = labels.filter("quality is not null").groupBy(F.col(key).alias("id")).agg(F.max("quality").cast("double").alias("quality"))
+    seen = saved(scored.join(small(saved(known)), "id", "left").withColumn("e", F.coalesce("quality", "p_doc")))
     paths = saved(seen.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("good")))
     n, good = paths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0.0))).first()
     m = float(min(0.999, max(0.001, (good + 1) / (n + 2))))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("share", F.col("good") / F.col("n"))
     a = weight(hosts, "share", m)
-    hosts = hosts.select(F.col("host").alias("host_"), ((F.col("good") + a * m) / (F.col("n") + a)).alias("m"))
-    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).withColumn("share", F.col("good") / F.col("n"))
-    b = weight(both, "share", F.col("m"))
-    out = both.select("host", "path", ((F.col("good") + b * F.col("m")) / (F.col("n") + b)).alias("p_site"))
-    out = out.select(F.col("host").alias("host_"), F.col("path").alias("path_"), F.least(F.greatest("p_site", F.lit(0.001)), F.lit(0.999)).alias("p_site"))
-    if paths.count() <= SITES:  # so few rows go to every task, and documents stay where they are
-        out = F.broadcast(out)
-    return out, m, scored
+    hosts = hosts.select(F.col("host").alias("host_"), F.col("n").alias("n_host"), F.col("good").alias("good_host"))
+    both = saved(paths.join(hosts, F.col("host").eqNullSafe(F.col("host_"))).drop("host_"))
+    b = weight(both.withColumns({"share": F.col("good") / F.col("n"), "m": (F.col("good_host") + a * m) / (F.col("n_host") + a)}), "share", F.col("m"))
+    site = both.select(F.col("host").alias("host_"), F.col("path").alias("path_"), "n", "good", "n_host", "good_host")
+    if both.count() <= SITES:  # so few rows go to every task, and documents stay where they are
+        site = F.broadcast(site)
+    out = seen.join(site, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
+    of_host = (F.col("good_host") - F.col("e") + a * m) / (F.col("n_host") - 1 + a)
+    out = out.withColumn("p_site", clipped((F.col("good") - F.col("e") + b * of_host) / (F.col("n") - 1 + b)))
+    return out.select("id", "host", "path", "p_doc", "p_site", verdict(F.col("p_doc"), F.col("p_site"), m).alias("p"))
 
 
 def verdict(p_doc: Column, p_site: Column, m: float) -> Column:
@@ -137,20 +145,19 @@ def verdict(p_doc: Column, p_site: Column, m: float) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", keep_at: float = 0.5, most: int = FIT_ROWS) -> DataFrame:
     """(key, p_doc, p_site, p, keep) of every row of ``docs``: its own evidence, its path's posterior, both combined.
 
-    ``labels`` has (key, quality). Null texts count as empty; a null host or path is a site like any other; equal texts
-    of a path get equal verdicts. Without labels the evidence is even, and all is kept; an empty table gives an empty one.
+    ``labels`` has (key, quality). Null texts count as empty; a null host or path is a site like any other; equal texts of a
+    path with equal labels get equal verdicts, repeated rows one each. Without labels the evidence is even, and all is kept;
+    an empty table gives an empty one; other columns are not read.
     """
-    model = document_model(docs, labels, key, text, most)
-    site, m, scored = sites(docs, labels, model, key, text, host, path)
-    out = scored.join(site, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
-    out = out.withColumn("p", verdict(F.col("p_doc"), F.col("p_site"), m))
+    out = judged(docs, labels, document_model(docs, labels, key, text, most), key, text, host, path)
     return out.select(F.col("id").alias(key), "p_doc", "p_site", "p", (F.col("p") >= keep_at).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", keep_at: float = 0.5, most: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
-    model = document_model(docs, labels, key, text, most)
-    site, m, _ = sites(docs, labels, model, key, text, host, path)
-    rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("host"), F.col(path).alias("path"), _udf("score", "double", model=model)(F.col(text)).alias("p_doc"))
-    rows = rows.join(site, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
-    return rows.filter(verdict(F.col("p_doc"), F.col("p_site"), m) >= keep_at).select("row.*")
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns. Texts are scored once; then rows are told apart by
+    key, host and path, and among repeated ones of these by their own score: a key goes with a site if all its rows do."""
+    out = judged(docs, labels, document_model(docs, labels, key, text, most), key, text, host, path)
+    gone = out.groupBy("id", "host", "path").agg(F.max("p").alias("p")).filter(F.col("p") < keep_at)
+    gone = small(saved(gone.select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path"))), 100_000)
+    same = docs[key].eqNullSafe(gone["_id"]) & docs[host].eqNullSafe(gone["_host"]) & docs[path].eqNullSafe(gone["_path"])
+    return docs.join(gone, same, "left_anti")
