@@ -47,6 +47,8 @@ def test_ids_equal_tiktoken(ranks):
         ids = CODEC.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == ranks.encode_ordinary(text)
         assert CODEC.decode(ids) == text.encode()
+        e = CODEC.library.encode(text, add_special_tokens=False)
+        assert list(zip(*(x.tolist() for x in CODEC.offsets(ids, text.encode())))) == e.offsets and e.ids == np.frombuffer(ids, "<u4").tolist()
 
 
 def test_latin_texts_equal_the_libraries(ranks):
@@ -59,8 +61,15 @@ def test_latin_texts_equal_the_libraries(ranks):
 
 
 def test_offsets_cover_split_characters():
-    spans = CODEC.offsets("a😀é")
-    assert spans[0][1:] == (0, 1) and {c for _, a, b in spans for c in range(a, b)} == {0, 1, 2}
+    starts, ends = CODEC.offsets(CODEC.encode("a😀é"), "a😀é".encode())
+    assert (starts[0], ends[0]) == (0, 1) and {c for a, b in zip(starts, ends) for c in range(a, b)} == {0, 1, 2}
+    assert [len(x) for x in CODEC.offsets(b"", b"")] == [0, 0]
+
+
+def test_tables_of_bytes_are_each_others_reverse():
+    everything = bytes(range(256))
+    ids = np.array([CODEC.names.index(c) for c in map(CODEC.letters.__getitem__, everything)], "<u4").tobytes()
+    assert CODEC.decode(ids) == everything
 
 
 def test_token_counts_of_all_cases(docs, empty):
@@ -74,7 +83,8 @@ def test_token_counts_of_all_cases(docs, empty):
 def test_byte_bpe_of_all_cases(docs, empty, ranks):
     run = lambda d: byte_bpe.round_trip(d, "doc_id", "text", files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN)
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    want = sorted(((i, len(e := ranks.encode_ordinary(t)), sha(np.array(e, "<u4").tobytes()), sha(t.encode())) for i, t in texts(docs)), key=str)
+    spans = lambda t: np.array(CODEC.library.encode(t, add_special_tokens=False).offsets, "<i8").reshape(-1, 2).T.tobytes()
+    want = sorted(((i, len(e := ranks.encode_ordinary(t)), sha(np.array(e, "<u4").tobytes()), sha(t.encode()), sha(spans(t))) for i, t in texts(docs)), key=str)
     assert sorted((tuple(r) for r in run(docs).collect()), key=str) == want
     assert run(empty).count() == 0
     there = byte_bpe.encode(docs.filter("doc_id <> 9"), "doc_id", "text", files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN)

@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by the tokenizers library, from a file of ranks.
 
 A rank file tells which byte strings are tokens, not which pairs made them, so every cut of a token into two tokens
-becomes a merge, ordered by the token's rank. Bytes go through the byte-to-character table on the way in; decoding
-takes each id's bytes from the reversed table and joins them, so characters split between tokens come out whole.
+becomes a merge, ordered by the token's rank. Bytes go through the byte-to-character table on the way in; decoding joins
+the tokens' characters and takes them back through the reversed table, so characters split between tokens come out whole.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         letters = byte_letters()
         name = lambda t: "".join(map(letters.__getitem__, t))
-        self.table = [b""] * (max(ranks.values()) + 1)
+        self.names = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.table[rank] = token
-        merges = [(name(t[:i]), name(t[i:])) for t in self.table for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+            self.names[rank] = name(token)
+        self.lengths, self.back = np.array([len(x) for x in self.names], np.int64), {ord(c): b for b, c in letters.items()}
+        merges = [(name(t[:i]), name(t[i:])) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.library = Tokenizer(models.BPE({name(t): r for t, r in ranks.items()}, merges))
         self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.letters, self.latin = letters, latin_pattern(pattern)
@@ -69,12 +70,15 @@ class Codec:
         return self.whole(text)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of tokens: their characters, through the reversed byte table."""
+        return "".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist())).translate(self.back).encode("latin-1")
 
-    def offsets(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, first character, character after the last); a character split between tokens belongs to each of them."""
-        e = self.library.encode(text, add_special_tokens=False)
-        return [(i, *o) for i, o in zip(e.ids, e.offsets, strict=True)]
+    def offsets(self, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The first character of each token of a text's UTF-8 ``data``, and the one after its last; a character split between
+        tokens belongs to each of them."""
+        ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+        at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # which character a byte belongs to, from 1
+        return at[np.r_[0, ends[:-1]].astype(np.int64)[: len(ends)]] - 1, at[ends - 1]
 
 
 @lru_cache(2)
@@ -85,20 +89,24 @@ def codec(path: str, pattern: str) -> Codec:
 def digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     c, sha = codec(path, pattern), lambda x: hashlib.sha256(x).hexdigest()
     for b in batches:
-        n, made, back = [], [], []
+        n, made, back, spans = [], [], [], []
         for text in b.column(1).to_pylist():
             ids = c.encode(text or "")
+            data = c.decode(ids)
             n.append(len(ids) // 4)
             made.append(sha(ids))
-            back.append(sha(c.decode(ids)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            back.append(sha(data))
+            spans.append(sha(np.array(c.offsets(ids, data), "<i8").tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (made, back, spans))], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"])
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     c = codec(path, pattern)
     for b in batches:
-        spans = [c.offsets(x or "") for x in b.column(1).to_pylist()]
-        cols = [pa.array([[s[i] for s in x] for x in spans], pa.list_(pa.int64())) for i in range(3)]
+        texts = [x or "" for x in b.column(1).to_pylist()]
+        ids = [c.encode(x) for x in texts]
+        spans = [c.offsets(i, x.encode()) for i, x in zip(ids, texts, strict=True)]
+        cols = [pa.array(x, pa.list_(pa.int64())) for x in ([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], [s[0] for s in spans], [s[1] for s in spans])]
         yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "ids", "starts", "ends"])
 
 
@@ -125,6 +133,8 @@ def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFr
 
 
 def round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every row: digests of its ids and of what they decode to. Null counts
-    as empty; repeated rows are each encoded; other columns are not read."""
-    return _map(df, key, text, "digest_batches", "n_tokens long, ids_sha256 string, decoded_sha256 string", path, pattern)
+    """(key, n_tokens, ids_sha256, decoded_sha256, offsets_sha256) of every row: digests of its ids, of what they decode to, and
+    of the tokens' first characters and those after their last (all of either, as little-endian 64-bit integers). Null counts
+    as empty; repeated rows are each encoded; other columns, whatever their names, are not read; an empty table gives an
+    empty one."""
+    return _map(df, key, text, "digest_batches", "n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string", path, pattern)
