@@ -427,6 +427,57 @@ def test_what_no_order_aligns_goes_too():
     assert line_dedup.blocks([(1, "P", 9, [0, 4], [2], 2), (1, "Q", 9, [2], [0, 4], 2)], 5, 8) == [(0, 0, 1), (2, 2, 1)]
 
 
+def common_runs(a, b, least=5):
+    """Places of ``b`` in runs of lines that ``a`` has too, of ``least`` words or more, and the runs."""
+    out, runs = set(), set()
+    length = {}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j]:
+                n = length[i, j] = length.get((i - 1, j - 1), 0) + 1
+                if sum(len(x.split()) for x in b[j - n + 1 : j + 1]) >= least:
+                    out.update(range(j - n + 1, j + 1))
+                    runs.add(tuple(b[j - n + 1 : j + 1]))
+    return out, runs
+
+
+def test_all_pairs_by_brute_force(spark, sf_dir):
+    """Every pair of documents: what a later one shares with an earlier one in runs of five words or more is gone, but for what
+    it repeats more often than the earlier one; recall is 1 here, and nothing else goes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: lines(r.text or "") for r in docs.collect()}
+    left = {r.doc_id: Counter(lines(r.text or "")) for r in line_dedup.dedup(docs, "doc_id", "text").collect()}
+    due = gone = 0
+    for j in sorted(text):
+        places, most = set(), Counter()
+        for i in sorted(text):
+            if i < j:
+                own = common_runs(text[i], text[j])[0]
+                places |= own
+                most |= Counter(x for x in text[i] if x in {text[j][p] for p in own})
+        want, lost = Counter(text[j][p] for p in places) & most, Counter(text[j]) - left[j]
+        assert not lost - want
+        due, gone = due + sum(want.values()), gone + sum((want & lost).values())
+    assert due > 100 and gone >= 0.99 * due
+
+
+def test_links_through_third_documents(spark):
+    """The third is a copy of the second, whose first line the first document has."""
+    rows = [(1, "ab cd"), (2, "ab cd\nef gh\nij kl"), (3, "ab cd\nef gh\nij kl"), (4, "ef gh\nij kl\nmn op"), (5, "x\nef gh\nij kl\nmn op")]
+    df = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, _cuts int, CUTS int, cut_id int")
+    out = line_dedup.dedup(df, "doc_id", "text")
+    got = {r.doc_id: lines(r.text) for r in out.collect()}
+    assert got == {1: ["ab cd"], 2: lines(rows[1][1]), 3: [], 4: lines(rows[3][1]), 5: ["x"]}
+    assert out.columns == [*df.columns, "n_lines", "n_removed", "blocks"] and {(r["_cuts"], r["CUTS"], r["cut_id"]) for r in out.collect()} == {(7, 8, 9)}
+
+
+def test_an_owner_with_many_repeats(spark):
+    line, n = "one line of just seven words here", 3 * line_dedup.PLACES
+    rows = [(1, "\n".join([line] * n)), (2, f"{line}\n{line}"), (3, "\n".join([line] * (n + 2))), (4, f"own words\n{line}")]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, 2, n, 1] and lines(got[4].text) == ["own words"]
+
+
 def test_a_common_line_makes_no_pairs(spark):
     rows = [(i, f"A line that very many of the documents share.\nand number {i} says something of its own") for i in range(300)]
     out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
