@@ -62,3 +62,16 @@ def test_backtests_are_written_found_and_analysed(spark, rows, tmp_path):
     text = report.backtest_report(df, F.col("a") > 0.5, cv.walk_forward(df, 240, 2)).collect()
     assert {r.section for r in text} == {"payoff", "side", "fold"}
     assert {r.value for r in text if r.metric == "shared_rows"} == {0.0}
+
+
+def test_boosted_classes_score_by_probability(rows):
+    """Under a tenth of the rows are of the lowest class: the threshold stays a probability, and few rows are sold."""
+    df, x, y, _ = rows
+    cut = float(np.quantile(y, 0.08))
+    df = df.withColumn("label", F.when(F.col("fwd_log_ret") < cut, -1).when(F.col("fwd_log_ret") > 0.2, 1).otherwise(0))
+    out = models.run_scheme(df, cv.walk_forward(df, 240, 1), (1,), ["a", "b"], trees=60, models=("gbt_cls",)).collect()
+    taken = sum(r.taken for r in out)
+    assert len(out) == 120 and 0 < taken < 40
+    data = models.assembled(df, ["a", "b"])
+    got = models.score_fold(data, cv.walk_forward(df, 240, 1), 1, "gbt_cls", models.classifiers(60)["gbt_cls"], ("row_idx",)).collect()
+    assert len({round(r.score, 6) for r in got}) > 2 and all(0 < r.score < 1 for r in got)

@@ -32,10 +32,12 @@ def with_ewma(df: DataFrame, x: str = "ret_1", span: int = 50, name: str | None
     null within, the last value holds and older weights decay one step further.
 
     The recurrence is affine, so running sums of values and squares by weights that grow with time give it. A key's rows
-    are dealt in blocks short enough for such weights, each after the rows before it that still weigh 1e-17.
+    are dealt in blocks short enough for such weights, each after the rows before it that still weigh 1e-17. After so many nulls
+    in a row that all older weights together are below 1e-10, the next value's figure has fewer than six digits.
     """
     a, c = 2 / (span + 1), F.col(x).cast("double")
-    back, block = math.ceil(39.2 / a), max(math.ceil(39.2 / a), math.ceil(300 / a))
+    rate = -math.log1p(-a)  # weights grow by exp(rate) a row, and their squares must stay below 1e308
+    back, block = math.ceil(39.2 / rate), math.ceil(250 / rate)
 
     def terms(w) -> dict[str, Column]:
         before = F.last(F.when(c.isNotNull(), F.col("_pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))

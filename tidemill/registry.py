@@ -917,7 +917,7 @@ def wide_returns(spark, sf):
     return wide(a.return_matrix(spark, sf), ["row_idx", "t0"], "strategy", "ret", list(a.STRATEGIES))
 
 
-@query(r"select event_id, substr(regexp_replace(event_type || ':/' || event_id || '?[' || ts || ']*', '[:\\/?*\[\]]', '_', 'g'), 1, 31) as sheet, round(value / 3, 6) as third from events")
+@query(r"select event_id, substr(regexp_replace(event_type || ':/' || event_id || '?[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ']*', '[:\\/?*\[\]]', '_', 'g'), 1, 31) as sheet, round(value / 3, 6) as third from events")
 def sheets(spark, sf):
     """Names of worksheets, and figures rounded as metric tables are."""
     e, ts = a.table(spark, sf, "events"), F.date_format(TS, "yyyy-MM-dd HH:mm:ss")
