@@ -96,11 +96,13 @@ def stars(rows: DataFrame) -> DataFrame:
 
 def across(rows: DataFrame) -> DataFrame:
     """(a, b): near sets of ``rows`` (h, s, n, odd, root) that share a hash and no root. The commonest root of a hash has
-    most of its rows, and these don't meet each other."""
+    most of its rows, and these don't meet each other. Where rows have all hashes of their set (f), two meet at the first
+    that they share alone."""
     most = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
     rows = rows.join(most.filter("roots > 1"), "h")
     own, other = F.col("x.root") != F.col("y.root"), (F.col("y.root") == F.col("y.most")) | (F.col("x.s") < F.col("y.s"))
-    met = rows.filter("root <> most").alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & own & other & near("x", "y"))
+    once = F.get(F.array_intersect("x.f", "y.f"), F.lit(0)) == F.col("x.h") if "f" in rows.columns else F.lit(True)
+    met = rows.filter("root <> most").alias("x").join(rows.alias("y"), (F.col("x.h") == F.col("y.h")) & own & other & near("x", "y") & once)
     return met.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 
@@ -128,11 +130,12 @@ def similar(df: DataFrame, key: str, text: str, width: int = 5, crowd: int = 256
     again = saved(_rare_first(whole(many.filter((F.col("e") < FRONT) | (6 * F.col("c") > F.col("e"))).select("s")), crowd, most))
     end = nodes.select("s", "n", "odd")
     cold = saved(often.filter("not hot").select("h", "s").unionByName(again.filter("not hot").select("h", "s")).distinct().join(end, "s"))
-    hot = saved(again.filter("hot").select("h", "s").join(end, "s"))
+    hot = again.filter("hot").groupBy("s").agg(F.sort_array(F.collect_list("h")).alias("f"))  # of one set's front
+    hot = saved(hot.select("s", "f", F.explode("f").alias("h")).join(end, "s"))
 
     first = verified(saved(stars(cold).unionByName(stars(hot)).distinct()), whole)
     roots = saved(components(first, "a", "b"))
-    rooted = lambda rows: rows.join(roots, rows["s"] == roots["node"], "left").select("h", "s", "n", "odd", F.coalesce("root", "s").alias("root"))
+    rooted = lambda rows: rows.join(roots, rows["s"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "s").alias("root"))
     rest = saved(across(rooted(cold)).unionByName(across(rooted(hot))).distinct())
     links = first.unionByName(verified(rest, whole))
     links = links.join(names.select(F.col("s").alias("a"), F.col("first").alias("src")), "a").join(names.select(F.col("s").alias("b"), F.col("first").alias("dst")), "b")
