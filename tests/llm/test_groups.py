@@ -289,6 +289,62 @@ def test_templates_are_rejected_by_purity(spark):
     assert {got[i].template for i, u in enumerate(urls) if "/spam/" in u} == {"/spam/*"}
 
 
+def test_deep_branches_are_told_apart(spark):
+    """Good and bad pages differ at the ninth segment alone; a path of many thousand segments is taken whole."""
+    urls = [f"http://h.site/a/b/c/d/e/f/g/h/{'good' if i % 2 else 'spam'}/page-{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(80)]
+    urls += ["http://h.site/" + "x/" * 8_000, "http://h.site/" + "x/" * 8_000 + "y", "http://other.site/" + "z/" * 3_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("/spam/" in u)) for i, u in enumerate(urls[:80])], "page_id long, bad int")
+    got = {r.page_id: r for r in url_filter.judge(pages, labels).collect()}
+    assert all((got[i].verdict == "block") == ("/spam/" in u) for i, u in enumerate(urls)) and got[0].template != got[1].template
+
+
+def test_inner_branches_merge(spark):
+    """Two branches alike in all their own merge; the third stays, as do the branches of one that differ among themselves."""
+    urls, bad = [], []
+    for branch, share in (("a", (0, 0)), ("b", (0, 0)), ("c", (1, 1)), ("d", (0, 1))):
+        for part, b in zip(("x", "y"), share):
+            for i in range(30):
+                urls.append(f"http://h.site/{branch}/{part}/{i}")
+                bad.append(b)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame(list(enumerate(bad)), "page_id long, bad int")).collect()
+    name = {(urls[r.page_id].split("/")[3], urls[r.page_id].split("/")[4]): r.template for r in got}
+    assert name["c", "x"] == name["c", "y"] == "/c/*" and name["d", "x"] == "/d/x/{n}" and name["d", "y"] == "/d/y/{n}"
+    assert name["a", "x"] == name["a", "y"] and all((r.verdict == "block") == bool(bad[r.page_id]) for r in got)
+
+
+def test_many_rules_are_joined(spark):
+    rng = np.random.default_rng(13)
+    rules = [(("block", "allow")[int(rng.integers(2))], h, p) for h in ("com", "a.com", "b.a.com", "org", "") for p in ("/", "/x", "/x/y", "")]
+    rows = [(h, p) for h in ("com", "a.com", "xa.com", "c.b.a.com", "b.org", "", "de") for p in ("", "/", "/x", "/x/y/z", "/w")]
+    u = spark.createDataFrame([*rows, rows[0]], "host string, path string")
+    key = lambda d: sorted(((r.host, r.path, r.rule, r.say) for r in d.collect()), key=str)
+    assert key(url_filter.with_rule(u, rules, most=0)) == key(url_filter.with_rule(u, rules))
+
+
+def test_url_filter_equals_its_sql(spark, tmp_path):
+    """Random trees of paths, with words, numbers, variable segments and ends at every level."""
+    import duckdb
+
+    rng = np.random.default_rng(14)
+    words = ["news", "shop", "tag", "user"] + [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    pages = []
+    for i in range(1500):
+        parts = [words[int(min(rng.geometric(0.3) - 1, 3))] if rng.random() < 0.7 else words[int(rng.integers(40))] for _ in range(int(rng.integers(0, 5)))]
+        pages.append((i, f"http://{('a', 'b', 'c')[int(min(2, rng.geometric(0.6) - 1))]}.site/{'/'.join([*parts, str(i)] if rng.random() < 0.6 else parts)}"))
+    labels = [(i, int(rng.random() < (0.2 if "shop" in u else 0.9))) for i, u in pages if rng.random() < 0.7]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    c = duckdb.connect()
+    for t in ("pages", "labels"):
+        c.sql(f"create view {t} as from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = queries.op1_url_filter(spark, str(tmp_path)).toPandas(), c.sql(queries.ORACLES["op1_url_filter"]).df()
+    got, want = (x[sorted(want.columns)].sort_values("page_id").reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want) == 1500 and all(((got[k] == want[k]) | got[k].isna() & want[k].isna()).all() for k in want.columns)
+    assert got.template.nunique() > 10
+
+
 # ---- quality
 
 

@@ -95,27 +95,50 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_
 RULES_SQL = [(h + p, say, f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')") for say, h, p in sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))]
 RULE_SQL, SAY_SQL = (" ".join(f"when {fits} then '{x[k]}'" for *x, fits in RULES_SQL) for k in (0, 1))
 
+
+
+def templates_sql(steps: int) -> str:
+    """Steps down the tree of paths, a merge from its deepest nodes up, and shares from its top down: enough steps for paths
+    that part ``steps`` times."""
+    j = lambda x, y: f"concat_ws('/', nullif({x}, ''), nullif({y}, ''))"
+    out = ["r0 as (select *, '' as node, shape as rest, []::varchar[] as ups from paths)"]
+    for k in range(steps):
+        out += [
+            f"g{k} as (select host, node, count(*) as c, min(rest) as lo, max(rest) as hi from r{k} group by all)",
+            f"l{k} as (select r.*, c, coalesce(nullif(list_position(list_transform(range(1, greatest(len(lo), len(hi)) + 1), lambda i: coalesce(lo[i] = hi[i], false)), false), 0) - 1, len(lo)) as lcp from r{k} r join g{k} using (host, node))",
+            f"s{k} as (select *, {j('node', "array_to_string(case when c = 1 then rest else rest[1:lcp] end, '/')")} as name, case when c > 1 then rest[lcp + 1] end as seg from l{k})",
+            f"v{k} as (select host, name, count(seg) as kids, sum(n) filter (where seg is not null) as seen, max((seg is null)::int) as ended from (select host, name, seg, sum(n) as n from s{k} group by all) group by all)",
+            f"w{k} as (select s.*, vary, case when c > 1 and (case when vary then 1 else kids end) + ended > 1 then list_append(ups, name) else ups end as more from s{k} s join (select *, coalesce(kids >= 8 and seen < 4 * kids, false) as vary from v{k}) using (host, name))",
+            f"r{k + 1} as (select host, shape, n, lab, bad, {j('name', "case when vary then '*' else seg end")} as node, rest[lcp + 2:] as rest, more as ups from w{k} where seg is not null)",
+        ]
+    out.append("placed as (select host, shape, name, lab, bad, case when len(ups) = 0 then [''] else ups end as ups from (" + " union all ".join(f"select host, shape, name, lab, bad, more as ups from w{k} where seg is null" for k in range(steps)) + "))")
+    out.append("leaf as (select host, name, ups, sum(lab) as lab, sum(bad) as bad from placed group by all)")
+    out.append(f"nodes as (select host, i - 1 as depth, ups[i] as node, case when i > 1 then ups[i - 1] end as parent, sum(lab) as lab, sum(bad) as bad from leaf, range(1, {steps + 1}) t(i) where i <= len(ups) group by all)")
+    out.append("base as (select (sum(bad) + 1) / (sum(lab) + 4) as base from leaf)")
+    alike = "lab = 0 or lab_up > lab and abs(bad / greatest(lab, 1) - (bad_up - bad) / greatest(lab_up - lab, 1)) <= 1.96::double * sqrt((bad_up + 1) / (lab_up + 2) * (1 - (bad_up + 1) / (lab_up + 2)) * (1 / greatest(lab, 1) + 1 / greatest(lab_up - lab, 1)))"
+    for d in range(steps - 1, -1, -1):
+        inner = f" union all select host, parent, node, false, lab, bad, one from nodes join m{d + 1} using (host, node) where depth = {d + 1}" if d < steps - 1 else ""
+        out.append(f"c{d} as (select host, ups[len(ups)] as parent, name as child, true as leaf, lab, bad, true as one from leaf where len(ups) = {d + 1}{inner})")
+        out.append(f"k{d} as (select host, parent, child, leaf, one and ({alike}) as merged from c{d} join (select host, node as parent, lab as lab_up, bad as bad_up from nodes where depth = {d}) using (host, parent))")
+        out.append(f"m{d} as (select host, parent as node, bool_and(merged) as one from k{d} group by all)")
+    out.append("p0 as (select host, node, (bad + 8.0 * base) / (lab + 8.0) as p, node as top, (bad + 8.0 * base) / (lab + 8.0) as ptop from nodes, base where depth = 0)")
+    for d in range(1, steps):
+        out.append(f"p{d} as (select x.host, x.node, (x.bad + 8.0 * y.p) / (x.lab + 8.0) as p, case when merged then y.top else x.node end as top, case when merged then y.ptop else (x.bad + 8.0 * y.p) / (x.lab + 8.0) end as ptop from nodes x join p{d - 1} y on y.host = x.host and y.node = x.parent join k{d - 1} k on k.host = x.host and k.parent = x.parent and k.child = x.node and not leaf where depth = {d})")
+    out.append("pn as (" + " union all ".join(f"select * from p{d}" for d in range(steps)) + "), kn as (" + " union all ".join(f"select * from k{d}" for d in range(steps)) + ")")
+    out.append(f"judged as (select l.host, l.name, l.ups, '/' || case when merged then {j('top', "'*'")} else l.name end as template, round(1 - case when merged then ptop else (l.bad + 8.0 * p) / (l.lab + 8.0) end, 9)::double as purity from leaf l join pn on pn.host = l.host and pn.node = l.ups[len(l.ups)] join kn on kn.host = l.host and kn.parent = l.ups[len(l.ups)] and kn.child = l.name and kn.leaf)")
+    return ",\n        ".join(out)
+
+
 ORACLES = {
     "op1_url_filter": rf"""
         with r as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
         u as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
-        p as (select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: case when regexp_full_match(s, '[0-9a-fA-F-]{{8,}}') then '{{id}}' else regexp_replace(s, '\d+', '{{n}}', 'g') end) as parts from u),
-        s as (select page_id, host, path, case when len(parts) > 8 then list_append(parts[1:8], '**') else parts end as shape from p),
+        s as (select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: case when regexp_full_match(s, '[0-9a-fA-F-]{{8,}}') then '{{id}}' else regexp_replace(s, '\d+', '{{n}}', 'g') end) as shape from u),
         known as (select page_id, max(1 - quality) as bad from u join labels on doc_id = try_cast(nullif(regexp_extract(path, '(\d{{1,18}})(?:\.html|/)?$', 1), '') as bigint) group by page_id),
         paths as (select host, shape, count(*) as n, count(bad) as lab, coalesce(sum(bad), 0) as bad from s left join known using (page_id) group by host, shape),
-        nodes as (select host, shape, n, i, shape[i] as seg, array_to_string(shape[1:i - 1], '/') as parent from paths, range(1, 10) t(i) where i <= len(shape)),
-        child as (select host, i, parent, seg, sum(n) as n from nodes group by all),
-        vary as (select host, i, parent from child group by all having count(*) >= 8 and sum(n) < 4 * count(*)),
-        wild as (select a.host, a.shape, list(case when v.host is null then seg else '*' end order by a.i) as segs from nodes a left join vary v on v.host = a.host and v.i = a.i and v.parent = a.parent group by a.host, a.shape),
-        marked as (select p.*, coalesce(w.segs, p.shape) as segs from paths p left join wild w on w.host = p.host and w.shape = p.shape),
-        leaf as (select host, segs, array_to_string(segs[1:greatest(len(segs) - 1, 0)], '/') as up, sum(lab) as lab, sum(bad) as bad from marked group by host, segs),
-        base as (select (sum(bad) + 1) / (sum(lab) + 4) as base from leaf),
-        t1 as (select *, sum(lab) over h as lab_host, sum(bad) over h as bad_host, sum(lab) over x as lab_up, sum(bad) over x as bad_up from leaf window h as (partition by host), x as (partition by host, up)),
-        t2 as (select *, (bad_host + 8.0 * base) / (lab_host + 8.0) as p_host from t1, base), t3 as (select *, (bad_up + 8.0 * p_host) / (lab_up + 8.0) as p_up, (bad_up + 1) / (lab_up + 2) as pooled, lab_up - lab as rest from t2),
-        t4 as (select *, lab = 0 or rest > 0 and abs(bad / greatest(lab, 1) - (bad_up - bad) / greatest(rest, 1)) <= 1.96::double * sqrt(pooled * (1 - pooled) * (1 / greatest(lab, 1) + 1 / greatest(rest, 1))) as alike from t3),
-        t5 as (select host, segs, '/' || ltrim(case when alike and len(segs) > 0 then concat_ws('/', up, '*') else array_to_string(segs, '/') end, '/') as template, round(1 - case when alike then p_up else (bad + 8.0 * p_up) / (lab + 8.0) end, 9)::double as purity from t4)
+        {templates_sql(6)}
         select page_id, host, path, template, purity, case {RULE_SQL} end as rule, case {SAY_SQL} when purity <= 0.5 then 'block' else 'allow' end as verdict
-        from s join marked using (host, shape) join t5 using (host, segs)
+        from s join placed using (host, shape) join judged using (host, name, ups)
     """,
     "op9_top_k": """
         with v as (select vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as e from embeddings
