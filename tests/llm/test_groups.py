@@ -77,6 +77,28 @@ def test_too_long_a_piece():
         packing.plan({101: 1}, packing.Capacity(100))
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [packing.Capacity(100, 3), packing.Capacity(100, 50, 2500), packing.Capacity(100, 4, 3000)])
+def test_tables_are_packed_under_all_limits(spark, capacity, score):
+    """Limits on documents and cost that bind, over a table of pieces with ties and repeated rows."""
+    rng = np.random.default_rng(15)
+    most = int(min(100, capacity.cost**0.5))
+    rows = [(int(rng.integers(0, 400)), int(k % 3), 0, int(min(most, rng.geometric(0.06))), k) for k in range(1500)] + [(7, 0, 0, 5, 1)] * 3 + [(None, 0, 0, 5, 1)]
+    out = packing.pack(spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long"), capacity, score).collect()
+    assert Counter((r.id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == Counter(rows)
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    full = Counter()
+    for x in bins.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in pairwise(x))
+        used = (sum(n for _, n in x), len(x), sum(n * n for _, n in x))
+        assert used[0] <= capacity.tokens and used[1] <= capacity.documents and used[2] <= capacity.cost
+        full.update(k for k, (u, c) in enumerate(zip(used, (capacity.tokens, capacity.documents, capacity.cost))) if u >= 0.9 * c)
+    assert full[1] + full[2] > 0.5 * len(bins)  # not the tokens, but the other limits fill most sequences
+
+
 def test_packing_of_all_cases(docs, empty):
     library = Tokenizer.from_file(WORD)
     out = packing.pack_documents(docs, "doc_id", "text", WORD).collect()

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The folder above the package, for Python workers that were started without it on their path.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tidemill.frames import ROOT
+from tidemill.plans.adapters import table
+from tidemill.storage import new_folder, saved
+
+__all__ = ["ROOT", "TEXT_ROWS", "Memo", "components", "map_arrow", "new_folder", "saved", "shipped", "short_batches", "small", "table", "union", "written"]
 #: Rows in an Arrow batch that carries texts; keeps a batch of very long texts within a worker's memory.
 TEXT_ROWS = 256
 
@@ -44,36 +44,13 @@ def map_arrow(df: DataFrame, module: str, name: str, schema: str, rows: int = TE
     return df.mapInArrow(shipped(module, name, **params), schema)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back: the lineage is cut, and a lost executor costs nothing.
-
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests) a temporary one is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """As ``saved``, as a table of Parquet files: what the optimizer knew of ``df`` is forgotten, too."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small(df: DataFrame, most: int = 300_000) -> DataFrame:
     """``df``, a saved table of an id or two a row, marked to be broadcast if it has ``most`` rows at most, so that what it is
     joined with stays where it is."""

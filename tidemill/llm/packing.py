@@ -203,5 +203,7 @@ def pack(rows: DataFrame, capacity: Capacity, score: str = "norm", spread: int =
 
 
 def pack_documents(df: DataFrame, key: str, text: str, path: str, capacity: Capacity = Capacity(), end: int = 1) -> DataFrame:
-    """(key, piece, start, length, ids_crc32, sequence_id, offset) for all of ``df``; see ``pieces`` and ``pack``."""
+    """(key, piece, start, length, ids_crc32, sequence_id, offset) for all of ``df``; see ``pieces`` and ``pack``. Null counts as
+    empty: one piece of the end id. Repeated rows are each packed; other columns, whatever their names, are not read; an
+    empty table gives an empty one."""
     return pack(pieces(df, key, text, path, capacity.tokens, end), capacity).withColumnRenamed("id", key)
