@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, saved, shared_folder, small, table
+from tidemill.llm.common import components, new_folder, saved, small, table
 from tidemill.llm.line_dedup import dedup
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality import keep_good
@@ -17,19 +15,22 @@ from tidemill.llm.simhash import near_duplicates
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps."""
+    """The documents that the classifier keeps, with all their columns. Null texts count as empty ones; a null source or language
+    is a site like any other; equal texts of a site go together, and repeated rows. An empty table stays empty."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines of earlier ones; those that had nothing else go."""
+    """The documents without lines of earlier ones; those that had nothing else go. Null texts and rows without an id stay as
+    they are; of ties the smallest id keeps a line; repeated rows lose nothing to each other. An empty table stays empty."""
     out = dedup(docs, "doc_id", "text").filter("n_removed = 0 or n_removed < n_lines")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component; rows without an id stay. Links are those of op5, and all pairs
-    of similarity 0.8 or more on five words, which fingerprints miss."""
+    of similarity 0.8 or more on five words, which fingerprints miss. Null and empty texts are one component; repeated rows stay
+    or go together. An empty table stays empty."""
     found = saved(near_duplicates(docs, "doc_id", "text").select("doc_id", "component_id"))
     root, name = F.col("component_id"), found.filter("doc_id is not null")
     alike = similar(docs, "doc_id", "text")
@@ -42,6 +43,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens. A null text is a piece of the end token alone; ties and repeated
+    rows each have their place. An empty table gives an empty one."""
     return pack_documents(docs, "doc_id", "text", files.path("word_bpe_49k.json"))
 
 
@@ -52,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs, out = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, out = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
