@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS, TS = ("pair",), "ts"
+#: Rows of one key that a task has of a long history; operators that look back take it unless told otherwise.
+BLOCK = 100_000
 #: The folder above the package, for Python workers that were started without it on their path.
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, look_back, minutes_after, running_sum, seconds
+from tidemill.frames import BLOCK, KEYS, TS, look_back, minutes_after, running_sum, seconds
 from tidemill.sources.bars import OHLC
 
 
@@ -56,7 +56,7 @@ def last_of_each(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     return picked.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(df.columns)
 
 
-def without_stale(df: DataFrame, price: str = "close", longest: int = 60, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
+def without_stale(df: DataFrame, price: str = "close", longest: int = 60, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
     """Of a run of ``longest`` rows or more with one price, only the first row; as it is if there is no such column."""
     if price not in df.columns:
         return df
@@ -66,7 +66,7 @@ def without_stale(df: DataFrame, price: str = "close", longest: int = 60, keys:
     return rows.withColumn("_size", size).filter(~(F.col("_same") & (F.col("_size") >= longest))).drop("_same", "_run", "_size")
 
 
-def gaps(df: DataFrame, above: int, upto: int | None, step: int = 1, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
+def gaps(df: DataFrame, above: int, upto: int | None, step: int = 1, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
     """Spans between neighbours more than ``above`` and at most ``upto`` minutes apart: first and last missing bar, how
     many bars of ``step`` minutes are missing, and the seconds between the neighbours."""
     rows = look_back(df.select(*keys, ts), 1, lambda w: {"_a": F.lag(ts).over(w)}, keys, ts, block).withColumnRenamed(ts, "_b").withColumn("gap_seconds", seconds(F.col("_a"), F.col("_b")))
@@ -90,7 +90,7 @@ def invalid_blocks(df: DataFrame, columns: Sequence[str] = OHLC, step: int = 1,
     return found.filter(F.col("is_invalid") & (F.col("seconds") >= least * 60)).drop("_day", "_block")
 
 
-def clean_bars(raw: DataFrame, keys: Sequence[str] = ("pair", "side"), ts: str = TS, ordinal: str = "ordinal", longest: int = 60, block: int | None = None) -> DataFrame:
+def clean_bars(raw: DataFrame, keys: Sequence[str] = ("pair", "side"), ts: str = TS, ordinal: str = "ordinal", longest: int = 60, block: int | None = BLOCK) -> DataFrame:
     """Trading week, then last of duplicate times, then sane prices, then no stale runs: the order matters."""
     rows = last_of_each(raw.filter(F.col(ts).isNotNull() & in_fx_week(F.col(ts))), [*keys, ts], ordinal)
     return without_stale(rows.filter(sane()), longest=longest, keys=keys, ts=ts, block=block).drop(ordinal)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, full, look_back
+from tidemill.frames import BLOCK, KEYS, TS, full, look_back
 
 TINY = 1e-8
 
@@ -20,10 +20,10 @@ def with_mid(df: DataFrame) -> DataFrame:
     return df.withColumn("log_mid", F.ln(F.nullif(F.col("close_mid"), F.lit(0.0))))
 
 
-def with_returns(df: DataFrame, price: str = "log_mid", vol: int = 60, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
+def with_returns(df: DataFrame, price: str = "log_mid", vol: int = 60, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
     """ret_1 and ret_5 (differences of ``price`` by rows) and vol (sample deviation of ret_1 over ``vol`` full rows)."""
-    df = look_back(df, 5, lambda w: {f"ret_{k}": F.col(price) - F.lag(price, k).over(w) for k in (1, 5)}, keys, ts, block)
-    return look_back(df, vol, lambda w: {f"vol_{vol}": full(F.stddev_samp, F.col("ret_1"), w, vol)}, keys, ts, block)
+    made = lambda w: ({f"ret_{k}": F.col(price) - F.lag(price, k).over(w) for k in (1, 5)}, {f"vol_{vol}": full(F.stddev_samp, F.col("ret_1"), w, vol)})
+    return look_back(df, max(5, vol), made, keys, ts, block)
 
 
 def with_ewma(df: DataFrame, x: str = "ret_1", span: int = 50, name: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
@@ -61,7 +61,7 @@ def with_ewma(df: DataFrame, x: str = "ret_1", span: int = 50, name: str | None
     return look_back(df, back, lambda w: (terms(w), sums(w), value(w)), keys, ts, block).drop("_gap", "_x", "_w")
 
 
-def with_ewma_tail(df: DataFrame, x: str = "ret_1", span: int = 50, tail: int = 1000, name: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
+def with_ewma_tail(df: DataFrame, x: str = "ret_1", span: int = 50, tail: int = 1000, name: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
     """As ``with_ewma`` for values without nulls inside, from the last ``tail`` values alone: with span 50 what is older
     weighs below 1e-17. JVM only, and with ``block`` a long history is many tasks' work."""
     a = 2 / (span + 1)
@@ -75,7 +75,7 @@ def with_ewma_tail(df: DataFrame, x: str = "ret_1", span: int = 50, tail: int =
     return look_back(df, tail, made, keys, ts, block)
 
 
-def event_features(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None, vol: str = "vol_60") -> DataFrame:
+def event_features(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK, vol: str = "vol_60") -> DataFrame:
     """Features of events in event time: the frames are over the rows of ``df``, whatever time lies between them.
 
     From what columns there are: ret_1 (absolute, deviation of 20, ratios), ret_5 momentum, the volatility's lag, change and
@@ -118,7 +118,7 @@ def event_features(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, bloc
     return df.withColumns(rows)
 
 
-def momentum_side(df: DataFrame, lookback: int = 60, floor: float = 0.5, clip: float = 3.0, vol: str = "vol_60", price: str = "log_mid", keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None, sign: float = 1.0) -> DataFrame:
+def momentum_side(df: DataFrame, lookback: int = 60, floor: float = 0.5, clip: float = 3.0, vol: str = "vol_60", price: str = "log_mid", keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK, sign: float = 1.0) -> DataFrame:
     """side_score: the move of ``lookback`` rows over its expected deviation, clipped; side: its sign, null within the
     dead zone of ``floor``."""
     move = lambda w: {"_move": F.col(price) - F.lag(price, lookback).over(w)}
@@ -127,7 +127,7 @@ def momentum_side(df: DataFrame, lookback: int = 60, floor: float = 0.5, clip: f
     return df.withColumn("side", F.when(F.abs("side_score") >= floor, F.signum("side_score")))
 
 
-def reversion_side(df: DataFrame, lookback: int = 20, floor: float = 0.5, clip: float = 3.0, vol: str = "vol_60", price: str = "log_mid", keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
+def reversion_side(df: DataFrame, lookback: int = 20, floor: float = 0.5, clip: float = 3.0, vol: str = "vol_60", price: str = "log_mid", keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
     """As ``momentum_side`` against the move."""
     return momentum_side(df, lookback, floor, clip, vol, price, keys, ts, block, -1.0)
 

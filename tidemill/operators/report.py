@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.frames import KEYS, TS, seconds
@@ -109,6 +109,23 @@ def diagnostics(bars: DataFrame, events: DataFrame, keys: Sequence[str] = KEYS,
     return out
 
 
+def diagnostics_of_files(spark: SparkSession, events: str, bars: str, time: str = "t0", keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+    """``diagnostics`` of labelled events that were written, by the bars they were sampled from. Rows whose ``time`` is null
+    don't count; a file without that column or a label is an error."""
+    found = spark.read.parquet(events)
+    if missing := {time, "label"} - set(found.columns):
+        raise ValueError(f"no {', '.join(sorted(missing))} in {events}")
+    rows = found.filter(F.col(time).isNotNull()).withColumn("t0", F.col(time).cast("timestamp_ntz"))
+    ends = [F.col(c).cast("timestamp_ntz").alias(c) if c in rows.columns else F.lit(None).cast("timestamp_ntz").alias(c) for c in ("t_end", "t1_vert")]
+    sides = [F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in ("side", "side_score")]
+    return diagnostics(spark.read.parquet(bars), rows.select(*keys, "t0", *ends, "label", *sides), keys, ts)
+
+
+def preview(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows, as reports show them."""
+    return df.orderBy(*order).limit(n)
+
+
 def deciles(df: DataFrame, score: str, outcome: str, tie: str, keys: Sequence[str] = (), n: int = 10) -> DataFrame:
     """(key, bucket, n, mean score, mean outcome): rows in ``n`` buckets of equal size by ``score``, ties by ``tie``."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS
+from tidemill.frames import BLOCK, KEYS, TS
 from tidemill.operators import clean, cscv, events, features, labels, quotes, stats
 from tidemill.storage import saved
 
@@ -27,17 +27,17 @@ class FeatureParams:
     lookback: int = 15
     start: int = 8
     end: int = 18
-    block: int | None = None
+    block: int | None = BLOCK
 
 
-def clean_stage(raw: DataFrame, step: int = 1, block: int | None = None) -> dict[str, DataFrame]:
+def clean_stage(raw: DataFrame, step: int = 1, block: int | None = BLOCK) -> dict[str, DataFrame]:
     """Cleaned bars of each side with their short (to two days) and long gaps and invalid blocks."""
     keys = ("pair", "side")
     bars = saved(clean.clean_bars(raw, keys, block=block))
     return {"bars": bars, "short_gaps": clean.gaps(bars, step, 2880, step, keys, block=block), "long_gaps": clean.gaps(bars, 2880, None, step, keys, block=block), "invalid_blocks": clean.invalid_blocks(bars, step=step, keys=keys)}
 
 
-def join_stage(bars: DataFrame, step: int = 1, block: int | None = None) -> dict[str, DataFrame]:
+def join_stage(bars: DataFrame, step: int = 1, block: int | None = BLOCK) -> dict[str, DataFrame]:
     """Bid and ask bars of every pair that has both, with their gaps and invalid blocks."""
     joined = saved(quotes.join_sides(bars))
     prices = [c for c in joined.columns if c.endswith(("_bid", "_ask"))]

@@ -439,6 +439,12 @@ def events_per_day(spark, sf):
     return report.events_per_day(a.table(spark, sf, "events"), keys=["event_type"])
 
 
+@query("with d as (select event_type, cast(ts as date) as day, count(*) as n from events group by 1, 2) select * from d order by n desc, event_type, day limit 10", None)
+def busiest_days(spark, sf):
+    days = a.table(spark, sf, "events").groupBy("event_type", F.to_date(TS).alias("day")).agg(F.count("*").alias("n"))
+    return report.preview(days, (F.desc("n"), "event_type", "day"))
+
+
 @query("select event_type, count(value) as n, round(avg(value), 8) as mean, round(stddev_samp(value), 8) as std, round(min(value), 8) as min, round(quantile_cont(value, 0.25), 8) as p25, round(quantile_cont(value, 0.5), 8) as p50, round(quantile_cont(value, 0.75), 8) as p75, round(max(value), 8) as max from events group by event_type")
 def value_summary(spark, sf):
     return report.describe(a.table(spark, sf, "events"), "value", ["event_type"])
@@ -519,6 +525,16 @@ def overlap_report(spark, sf):
     return cv.overlaps(x, cv.cpcv(x, x.count(), 6, 12, purge=300, embargo=3600))
 
 
+@query(f"select pair, section, metric, round(value, 6) as value from ({DIAGNOSED})", 6)
+def diagnostics_of_file(spark, sf):
+    """The same from a file of labelled events and one of bars."""
+    bars, found = _scored(spark, sf)
+    path = new_folder(spark, "labelled")
+    write_parquet(found, f"{path}/events")
+    write_parquet(bars.select("pair", TS, "side_score"), f"{path}/bars")
+    return report.diagnostics_of_files(spark, f"{path}/events", f"{path}/bars")
+
+
 WF_SQL = "f as (select k as fold, n - (6 - k) * (n // 6) as a, n - (5 - k) * (n // 6) as b from n, range(1, 6) r(k)), wf as (select cast(fold as int) as fold, case when row_idx < a then 'train' else 'test' end as role, row_idx, t0, t_end from x, f where row_idx < b)"
 
 
@@ -754,12 +770,12 @@ def minbtl_curve(spark, sf):
 
 @query()
 def max_sharpe_mc(spark, sf):
-    return montecarlo.max_sharpe(spark, 200, 20, 500)
+    return montecarlo.max_sharpe(spark, 10_000, 20, 1_700, 1_700 / 3)
 
 
 @query()
 def max_sharpe_curve(spark, sf):
-    return montecarlo.max_sharpe_curve(spark, (2, 5, 10, 20), 100, 250)
+    return montecarlo.max_sharpe_curve(spark, (*range(1, 11), 50, 100, 150, 200, 300, 400), 100, 1_700, periods=1_700 / 3)
 
 
 @query(f"with {BARS} select pair, ts, round(exp(sum(ln(1 + (close - 50) / 10000)) over (partition by pair order by ts)) - 1, 6) as equity from bars", 6)

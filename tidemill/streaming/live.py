@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemill.frames import TS
+from tidemill.operators.events import Cusum
 
 EVENTS = "pair string, ts timestamp, direction int"
 STATE = "up double, down double, last double"
@@ -26,22 +27,13 @@ def cusum_events(stream: DataFrame, r: str = "ret_1", sigma: str = "vol_60", k:
     last event are the state, so a restart goes on where it stopped."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, down, last = state.get if state.exists else (0.0, 0.0, float("nan"))
-        out = []
-        for b in [pd.concat(list(batches)).sort_values(TS, kind="stable")]:
-            for at, x, s in zip(b[TS], b["_r"], b["_s"], strict=True):
-                h = k * max(s, floor) if x == x and s == s else 0.0
-                if not 0 < h < float("inf"):
-                    continue
-                up, down = max(0.0, up + x), min(0.0, down + x)
-                way = 1 if up > h else -1 if down < -h else 0
-                if way:
-                    up = down = 0.0
-                    if not at.timestamp() - last < spacing_seconds:
-                        out.append((key[0], at, way))
-                        last = at.timestamp()
-        state.update((up, down, last))
-        yield pd.DataFrame(out, columns=["pair", "ts", "direction"])
+        machine = Cusum(k, spacing_seconds, [])
+        if state.exists:
+            machine.up, machine.down, machine.last = state.get
+        b = pd.concat(list(batches)).sort_values(TS, kind="stable")
+        found = machine.steps([at.timestamp() for at in b[TS]], b["_r"].tolist(), b["_s"].tolist(), [floor] * len(b))
+        state.update((machine.up, machine.down, machine.last))
+        yield pd.DataFrame([(key[0], b[TS].iloc[i], way) for i, way in found], columns=["pair", "ts", "direction"])
 
     rows = stream.select("pair", F.col(TS).cast("timestamp").alias(TS), F.col(r).cast("double").alias("_r"), F.col(sigma).cast("double").alias("_s"))
     return rows.groupBy("pair").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
