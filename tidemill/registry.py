@@ -335,7 +335,7 @@ BARRIERS = labels.Barriers(6, 1.0, 1.0, vol="vol_20")
 
 
 def _labels(spark, sf):
-    frame = a.session_frame(spark, sf)
+    frame = saved(a.session_frame(spark, sf))
     return labels.triple_barrier(frame, a.large_moves(frame), BARRIERS)
 
 
