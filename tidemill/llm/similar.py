@@ -3,7 +3,8 @@
 A set is its shingles' 64-bit hashes in rising order; equal sets are one row from the start. Of n hashes, two sets that are
 alike share one at least of the first p = n - ceil(4n/5) + 1 of either, in any order that both keep (prefix filter). The
 first 2p are a set's front, but no more than ``FRONT``: each of the least hashes of both sets together is in both with a
-chance of 4/5 or more, so a pair is missed with a chance far below that of two shingles' hashes being equal.
+chance of 4/5 or more, so a pair is missed with a chance of 0.2 ** 48, far below that of two shingles' hashes being equal
+(and below 1e-11 where as many as a sixth of them are frequent and left out, as below).
 
 Links need only connect. So each set meets the first one of each hash first, and later only sets that are not connected to
 it yet. Hashes that more than ``crowd`` fronts hold are left out there. Sets with many of them in front (over a sixth, or
