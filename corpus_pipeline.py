@@ -12,6 +12,7 @@ from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality import keep_good
 from tidemill.llm.similar import similar
 from tidemill.llm.simhash import near_duplicates
+from tidemill.storage import removed
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs, out = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again, and those of the stage
+    before are deleted."""
+    docs, out, before = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{out}/{name}"
     return docs

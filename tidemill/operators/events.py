@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, in_order, seconds
+from tidemill.frames import KEYS, TS, exact_quantile, in_order, seconds
 
 
 def in_session(ts: Column, start: int = 8, end: int = 18) -> Column:
@@ -24,7 +24,7 @@ def in_session_with_runway(ts: Column, horizon: int, minutes: int = 1, start: in
 
 def sigma_floor(df: DataFrame, sigma: str, share: float = 0.05, keys: Sequence[str] = KEYS) -> DataFrame:
     """(key, floor): the exact quantile of ``sigma`` over the key's whole history."""
-    return df.groupBy(*keys).agg(F.percentile(sigma, F.lit(share)).alias("floor"))
+    return exact_quantile(df, sigma, share, keys).withColumnRenamed("_q", "floor")
 
 
 class Cusum:

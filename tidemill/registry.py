@@ -288,7 +288,7 @@ def eligibility(spark, sf):
 
 
 def _cusum(spark, sf):
-    bars = a.feature_bars(spark, sf)
+    bars = saved(a.feature_bars(spark, sf))
     rows = bars.join(events.sigma_floor(bars, "vol_20"), ["pair"]).filter(events.in_session_with_runway(F.col(TS), 2, 60))
     return rows, events.cusum_events(rows, sigma="vol_20", k=1.0, spacing_seconds=7200, floor="floor")
 

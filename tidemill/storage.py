@@ -25,8 +25,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, where several parts of a plan read it: the lineage is cut, and a lost
-    executor costs nothing."""
+    executor costs nothing. Spark deletes it when it is no longer referred to, if the session is started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
