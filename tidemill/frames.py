@@ -50,6 +50,17 @@ def with_position(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, name:
     return rows.withColumn("_own", own).join(base, [*keys, "_day"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_own", "_base")
 
 
+def with_previous(df: DataFrame, columns: dict[str, str], keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+    """``df`` with (new name -> column) of the row before each by ``ts`` within its key: by (key, day), and for a day's first row
+    from a table of each day's last."""
+    rows = df.withColumn("_day", F.to_date(F.col(ts)))
+    last = rows.groupBy(*keys, "_day").agg(F.max_by(F.struct(*columns.values()), ts).alias("_last"))
+    last = last.select(*keys, "_day", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("_before"))
+    own = Window.partitionBy(*keys, "_day").orderBy(ts)
+    rows = rows.withColumns({"_n": F.row_number().over(own), **{name: F.lag(c).over(own) for name, c in columns.items()}}).join(last, [*keys, "_day"])
+    return rows.withColumns({name: F.when(F.col("_n") > 1, F.col(name)).otherwise(F.col("_before")[c]) for name, c in columns.items()}).drop("_day", "_n", "_before")
+
+
 def running_sum(df: DataFrame, x: Column, name: str, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """``df`` with the sum of ``x`` over a key's rows up to each by ``ts``: within (key, day), on top of the sums of the days
     before. Nulls count as zero."""
