@@ -112,8 +112,9 @@ def test_exact_quantiles(spark):
     sets = {"ties": [0.0] * 500 + [1.0] * 3, "few": [3.0], "two": [1.0, 2.0], "many": rng.normal(size=5000).tolist(), "null": [None, None]}
     df = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "pair string, x double")
     for share in (0.0, 0.05, 0.5, 0.99, 1.0):
-        got = {r.pair: r["_q"] for r in exact_quantile(df, "x", share, accuracy=100).collect()}
-        assert got == pytest.approx({k: np.quantile(v, share) for k, v in sets.items() if k != "null"})
+        for most in (0, 10**6):
+            got = {r.pair: r["_q"] for r in exact_quantile(df, "x", share, accuracy=100, most=most).collect()}
+            assert got == pytest.approx({k: np.quantile(v, share) for k, v in sets.items() if k != "null"})
 
 
 @settings(max_examples=60, deadline=None)

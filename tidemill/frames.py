@@ -122,13 +122,15 @@ def in_order(df: DataFrame, machine: str, schema: str, keys: Sequence[str] = KEY
     return df.repartition(*keys).sortWithinPartitions(*keys, ts).mapInPandas(run, schema)
 
 
-def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KEYS, accuracy: int = 10_000) -> DataFrame:
-    """(key, _q): the exact quantile of ``x``, between neighbours in proportion, null without a value.
+def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KEYS, accuracy: int = 10_000, most: int = 1_000_000) -> DataFrame:
+    """(key, _q): the exact quantile of ``x``, between neighbours in proportion, for each key with a value.
 
-    A sketch of bounded size says where it lies, values below are only counted, and no more than a small share of a key's
+    Where no key has more than ``most`` values one aggregation holds them. Else a sketch of bounded size says where it lies, values below are only counted, and no more than a small share of a key's
     values, those about the place, are put in order by one task.
     """
     rows = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= most:
+        return rows.groupBy(*keys).agg(F.percentile("_x", F.lit(share)).alias("_q"))
     edge = 4 / accuracy  # the sketch is right to 1 / accuracy, and ranks among accuracy values or more to as much again
     near = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [max(0.0, share - edge), min(1.0, share + edge)], accuracy).alias("_e"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))
     low = F.when((F.col("_n") <= accuracy) | F.lit(share <= edge), F.col("_a")).otherwise(F.col("_e")[0])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.frames import BLOCK, KEYS, TS, look_back, minutes_after, running_sum, seconds, with_previous
 from tidemill.sources.bars import OHLC
+from tidemill.storage import saved
 
 
 def parse_time(df: DataFrame, column: str, tz: str = "UTC") -> DataFrame:
@@ -100,4 +101,5 @@ def invalid_blocks(df: DataFrame, columns: Sequence[str] = OHLC, step: int = 1,
 def clean_bars(raw: DataFrame, keys: Sequence[str] = ("pair", "side"), ts: str = TS, ordinal: str = "ordinal", longest: int = 60, block: int | None = BLOCK) -> DataFrame:
     """Trading week, then last of duplicate times, then sane prices, then no stale runs: the order matters."""
     rows = last_of_each(raw.filter(F.col(ts).isNotNull() & in_fx_week(F.col(ts))), [*keys, ts], ordinal)
-    return without_stale(rows.filter(sane()), longest=longest, keys=keys, ts=ts, block=block).drop(ordinal)
+    rows = saved(rows.filter(sane()))  # read several times from here on
+    return without_stale(rows, longest=longest, keys=keys, ts=ts, block=block).drop(ordinal)
