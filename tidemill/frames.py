@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemill.storage import saved
+
 KEYS, TS = ("pair",), "ts"
 #: Rows of one key that a task has of a long history; operators that look back take it unless told otherwise.
 BLOCK = 100_000
@@ -89,7 +91,7 @@ def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str,
         return add(df, ordered(keys, ts))
     if back > block:
         raise ValueError("a block must hold the rows that a window looks back")
-    rows = with_position(df, keys, ts, "_pos").withColumn("_b", F.floor(F.col("_pos") / block))
+    rows = with_position(saved(df), keys, ts, "_pos").withColumn("_b", F.floor(F.col("_pos") / block))
     also = F.when(F.col("_pos") % block >= block - back, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array("_b"))
     dealt = rows.withColumn("_in", F.explode(also))
     w = Window.partitionBy(*keys, "_in").orderBy("_pos")
