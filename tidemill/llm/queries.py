@@ -84,13 +84,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_counts, op4_packing, op5_simhash, op6_quality, op7_line_dedup, op8_byte_bpe, op9_top_k, op10_html_text, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_counts, op4_packing, op5_simhash, op6_quality, op7_line_dedup, op8_byte_bpe, op9_top_k, op10_html_text, op13_source_divergence, pipeline)}
 
 RULES_SQL = [(h + p, say, f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')") for say, h, p in sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))]
 RULE_SQL, SAY_SQL = (" ".join(f"when {fits} then '{x[k]}'" for *x, fits in RULES_SQL) for k in (0, 1))
@@ -148,4 +154,20 @@ ORACLES = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
         from s qualify rank <= 5
     """,
+    "op13_source_divergence": r"""
+        with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+        w as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+        keep as (select lang, term, count(*) as all_n from w group by all having count(distinct id) >= 10),
+        c as (select lang, source, term, count(*) as n from w join keep using (lang, term) group by all),
+        v as (select lang, count(*) as v, sum(all_n) as all_size from keep group by all),
+        g as (select distinct lang, source from d),
+        s as (select lang, source, coalesce(sum(n), 0) as size from g left join c using (lang, source) group by all),
+        full_ as (select s.lang, s.source, k.term, coalesce(n, 0) as n, 1 + (1000000000 * (coalesce(n, 0) + 2)::hugeint) // (size + 2 * v)::hugeint as p, 1 + (1000000000 * (all_n + 2)::hugeint) // (all_size + 2 * v)::hugeint as q
+                  from s join keep k on k.lang = s.lang join v on v.lang = s.lang left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+        f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from full_ a join full_ b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+        pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+        term as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from full_ where n > 0 and p > q),
+        both_ as (select * from pair union all select * from term)
+        select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from both_ qualify part = 'pair' or rank <= 10
+    """,
 }
