@@ -84,6 +84,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id is given the next label first."""
+    from tidemill.llm.negatives import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.divergence import audit
 
@@ -96,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_counts, op4_packing, op5_simhash, op6_quality, op7_line_dedup, op8_byte_bpe, op9_top_k, op10_html_text, op13_source_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_counts, op4_packing, op5_simhash, op6_quality, op7_line_dedup, op8_byte_bpe, op9_top_k, op10_html_text, op11_hard_negatives, op13_source_divergence, pipeline)}
 
 RULES_SQL = [(h + p, say, f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')") for say, h, p in sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))]
 RULE_SQL, SAY_SQL = (" ".join(f"when {fits} then '{x[k]}'" for *x, fits in RULES_SQL) for k in (0, 1))
@@ -154,6 +163,15 @@ ORACLES = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
         from s qualify rank <= 5
     """,
+    "op11_hard_negatives": """
+        with v as (select vec_id, min(case when vec_id % 7 = 0 then (label + 1) % 10 else label end) as label, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as e from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 group by vec_id),
+             s as (select a.vec_id as anchor_id, d.vec_id, a.label = d.label as same, cast(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * d.e[i])) as bigint) as score
+                   from v a join v d on a.vec_id <> d.vec_id where a.vec_id % 100 = 0),
+             p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank, vec_id as negative_id, positive_score, score as negative_score
+        from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score qualify rank <= 5
+    """,
     "op13_source_divergence": r"""
         with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
         w as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
