@@ -93,6 +93,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors.withColumn("label", moved))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.divergence import audit
 
@@ -105,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_counts, op4_packing, op5_simhash, op6_quality, op7_line_dedup, op8_byte_bpe, op9_top_k, op10_html_text, op11_hard_negatives, op13_source_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_media_columns, op3_token_counts, op4_packing, op5_simhash, op6_quality, op7_line_dedup, op8_byte_bpe, op9_top_k, op10_html_text, op11_hard_negatives, op12_language, op13_source_divergence, pipeline)}
 
 RULES_SQL = [(h + p, say, f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')") for say, h, p in sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))]
 RULE_SQL, SAY_SQL = (" ".join(f"when {fits} then '{x[k]}'" for *x, fits in RULES_SQL) for k in (0, 1))
