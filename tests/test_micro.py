@@ -224,3 +224,41 @@ def test_discovery(spark):
 
 def test_sheet_names(spark):
     assert spark.range(1).select(sheet_name(F.lit("a/b:c" + "x" * 40))).first()[0] == ("a_b_c" + "x" * 40)[:31]
+
+
+def test_times_with_zones_are_instants(spark):
+    from datetime import datetime as d
+
+    from tidemill.operators import clean
+
+    cells = ["2024-01-01T10:00:00+02:00", "2024-01-01 05:00:00+05:00", "2024-01-01T10:00:00Z", "2024-01-01 10:00", "2024-01-01", "2024-01-01 10:00:00-0830", "x", None, "2024-11-03 01:30:00 America/New_York"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, t string")
+    want = {0: d(2024, 1, 1, 8), 1: d(2024, 1, 1), 2: d(2024, 1, 1, 10), 3: d(2024, 1, 1, 10), 4: d(2024, 1, 1), 5: d(2024, 1, 1, 18, 30), 8: d(2024, 11, 3, 5, 30)}
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):  # the session's zone changes nothing
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert {r.i: r.t for r in clean.parse_time(df, "t").collect()} == want
+            east = {r.i: r.t for r in clean.parse_time(df, "t", "Asia/Tokyo").collect()}
+            assert east == {**want, 3: d(2024, 1, 1, 1), 4: d(2023, 12, 31, 15)}
+            stored = df.select("i", F.expr("timestamp_micros(1730619000000000L)").alias("t"))  # in an hour that New York repeats
+            assert {r.t for r in clean.strict_time(stored, "t").collect()} == {d(2024, 11, 3, 7, 30)}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_row_numbers_that_are_none_are_an_error(spark):
+    from tidemill.sources.bars import index_list
+
+    df = spark.createDataFrame([("[1, 2]",), ("(3,4,)",), ("",), (None,), ("[5.0, 6]",)], "x string")
+    assert [r[0] for r in df.select(index_list(F.col("x"))).collect()] == [[1, 2], [3, 4], [], [], [5, 6]]
+    with pytest.raises(Exception, match="no row number: x"):
+        spark.createDataFrame([("[1,x,3]",)], "x string").select(index_list(F.col("x"))).collect()
+
+
+def test_artefacts_of_published_names(spark):
+    from tidemill.sources.bars import discover_backtests
+
+    paths = [f"out/EUR_USD_a_{s}.parquet" for s in ("WF_split", "WF_M", "WF_results", "CPCV_split", "CPCV_M", "CPCV_counts")]
+    row = discover_backtests(spark.createDataFrame([(p,) for p in paths], "path string")).first()
+    assert (row.base, row.pair, row.WF_splits, row.CPCV_splits, row.CPCV_results) == ("EUR_USD_a", "EUR_USD", paths[0], paths[3], None)

@@ -8,20 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.frames import BLOCK, KEYS, TS, look_back, minutes_after, running_sum, seconds, with_previous
+from tidemill.functions.times import utc_time
 from tidemill.sources.bars import OHLC
 from tidemill.storage import saved
 
 
 def parse_time(df: DataFrame, column: str, tz: str = "UTC") -> DataFrame:
-    """``column`` as a timestamp in UTC; rows where it does not parse are dropped."""
-    at = F.expr(f"try_cast(`{column}` as timestamp_ntz)")
-    at = at if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), at)
-    return df.withColumn(column, at).filter(F.col(column).isNotNull())
+    """``column`` as a timestamp in UTC; rows where it does not parse are dropped. A value with a zone or offset is an instant;
+    others are of ``tz``."""
+    return df.withColumn(column, utc_time(df, column, tz)).filter(F.col(column).isNotNull())
 
 
-def strict_time(df: DataFrame, column: str) -> DataFrame:
-    """``column`` as a timestamp; a value that does not parse is an error."""
-    at = F.expr(f"try_cast(`{column}` as timestamp_ntz)")
+def strict_time(df: DataFrame, column: str, tz: str = "UTC") -> DataFrame:
+    """As ``parse_time``, but nulls stay, and a value that does not parse is an error."""
+    at = utc_time(df, column, tz)
     bad = F.raise_error(F.concat(F.lit("no time: "), F.col(column).cast("string"))).cast("timestamp_ntz")
     return df.withColumn(column, F.when(F.col(column).isNull() | at.isNotNull(), at).otherwise(bad))
 

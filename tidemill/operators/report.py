@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.frames import KEYS, TS, seconds
+from tidemill.functions.times import utc_time
 from tidemill.operators.labels import concurrency
 
 
@@ -115,8 +116,8 @@ def diagnostics_of_files(spark: SparkSession, events: str, bars: str, time: str
     found = spark.read.parquet(events)
     if missing := {time, "label"} - set(found.columns):
         raise ValueError(f"no {', '.join(sorted(missing))} in {events}")
-    rows = found.filter(F.col(time).isNotNull()).withColumn("t0", F.col(time).cast("timestamp_ntz"))
-    ends = [F.col(c).cast("timestamp_ntz").alias(c) if c in rows.columns else F.lit(None).cast("timestamp_ntz").alias(c) for c in ("t_end", "t1_vert")]
+    rows = found.filter(F.col(time).isNotNull()).withColumn("t0", utc_time(found, time))
+    ends = [utc_time(rows, c).alias(c) if c in rows.columns else F.lit(None).cast("timestamp_ntz").alias(c) for c in ("t_end", "t1_vert")]
     sides = [F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in ("side", "side_score")]
     return diagnostics(spark.read.parquet(bars), rows.select(*keys, "t0", *ends, "label", *sides), keys, ts)
 

@@ -103,9 +103,17 @@ def bars_15min(spark, sf):
     return a.bars(spark, sf, 15)
 
 
-@query("select event_id, try_cast(case when event_id % 10 = 0 then 'x' || ts else cast(ts as varchar) end as timestamp) as ts, coalesce(try_cast(case when event_id % 7 = 0 then 'n/a' else event_id::varchar end as double), 0) as value from events where event_id % 10 <> 0", None)
+def zoned(ts, k):
+    """A time as text: of no zone, in UTC, half past five east, or eight west as files write it in short, by ``k`` from 0 to 3."""
+    text = lambda hours, minutes, zone: F.concat(F.date_format(ts + F.make_dt_interval(F.lit(0), F.lit(hours), F.lit(minutes)), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(zone))
+    return F.when(k == 0, text(0, 0, "")).when(k == 1, F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit("T"), F.date_format(ts, "HH:mm:ss.SSSSSS"), F.lit("Z"))).when(k == 2, text(5, 30, "+05:30")).otherwise(text(-8, 0, "-0800"))
+
+
+@query("select event_id, ts, coalesce(try_cast(case when event_id % 7 = 0 then 'n/a' else event_id::varchar end as double), 0) as value from events where event_id % 10 <> 0", None)
 def parsed_times(spark, sf):
-    e = a.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), F.col("ts").cast("string"))).otherwise(F.col("ts").cast("string")).alias("ts"), F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("value"))
+    """Times of several zones, with offsets and without, in one column."""
+    e, at = a.table(spark, sf, "events"), zoned(F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 4)
+    e = e.select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), at)).otherwise(at).alias("ts"), F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("value"))
     return clean.numeric(clean.parse_time(e, "ts"), ["value"])
 
 
@@ -860,7 +868,7 @@ def _code():
 def _csv_files(spark, sf, name: str) -> str:
     """Bars as CSV, a folder for each pair and side as vendors name their files; the ask side's files have no open price."""
     path, rows = new_folder(spark, name), quotes_from_events(a.table(spark, sf, "events"))
-    rows = rows.withColumn("timestamp", F.date_format(TS, "yyyy-MM-dd HH:mm:ss"))
+    rows = rows.withColumn("timestamp", zoned(F.col(TS), F.hour(TS) % 4))
     for side, columns in (("BID", ("timestamp", "open", "high", "low", "close")), ("ASK", ("timestamp", "high", "low", "close"))):
         named = rows.filter(F.col("side") == side).select(F.concat(_code(), F.lit(f"_{side}_2024")).alias("file"), *columns)
         named.write.mode("append").partitionBy("file").option("header", True).csv(path)
@@ -901,11 +909,11 @@ def names_of_files(spark, sf):
 def _artefacts(spark, sf):
     e = a.table(spark, sf, "events").select((F.col("user_id") % 7).alias("k"), F.col("event_type").alias("kind")).distinct()
     base = F.concat(F.lit("out/EUR_"), F.upper(F.substring("kind", 1, 3)), F.lit("_v"), F.col("k"))
-    ends = F.array(*map(F.lit, ("_WF_M.parquet", "_WF_splits.parquet", "_CPCV_counts", "_notes.txt")))
+    ends = F.array(*map(F.lit, ("_WF_M.parquet", "_WF_split.parquet", "_CPCV_counts", "_notes.txt")))
     return e.select("k", F.explode(F.transform(ends, lambda x: F.concat(base, x))).alias("path")).filter("k % 3 <> 0 or path not like '%_M.parquet'").drop("k")
 
 
-ARTEFACTS = {"WF_M": "_WF_M.parquet", "WF_splits": "_WF_splits.parquet", "CPCV_counts": "_CPCV_counts"}
+ARTEFACTS = {"WF_M": "_WF_M.parquet", "WF_splits": "_WF_split.parquet", "CPCV_counts": "_CPCV_counts"}
 NAMED = ", ".join((f"'out/' || base || '{ARTEFACTS[n]}'" if n in ARTEFACTS else "cast(null as varchar)") + f" as {n}" for s in ("WF", "CPCV") for n in (f"{s}_M", f"{s}_splits", f"{s}_counts", f"{s}_results"))
 
 
@@ -949,10 +957,10 @@ def observed_run(spark, sf):
     return spark.createDataFrame([(seen.get["rows"], seen.get["large"])], "rows long, large long")
 
 
-@query("select event_id, cast(ts as timestamp) + interval '5 hours' as ts, case when event_id % 3 = 0 then null else value end as value from events", None)
+@query("select event_id, cast(ts as timestamp) + case when event_id % 2 = 0 then interval '5 hours' else interval '0 hours' end as ts, case when event_id % 3 = 0 then null else value end as value from events", None)
 def checked_times(spark, sf):
-    """Times of another zone, columns without values left out, no cell filled up."""
-    e = a.table(spark, sf, "events").select("event_id", F.date_format(TS, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(TS), F.when(F.col("event_id") % 3 == 0, "none").otherwise(F.col("value").cast("string")).alias("value"), F.lit(None).cast("double").alias("empty"))
+    """Times of another zone, but for those that name their own; columns without values left out, no cell filled up."""
+    e = a.table(spark, sf, "events").select("event_id", F.concat(F.date_format(TS, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.when(F.col("event_id") % 2 == 0, "").otherwise("Z")).alias(TS), F.when(F.col("event_id") % 3 == 0, "none").otherwise(F.col("value").cast("string")).alias("value"), F.lit(None).cast("double").alias("empty"))
     e = clean.numeric(clean.strict_time(clean.parse_time(e, TS, "America/New_York"), TS), ["value"], None)
     return clean.without_empty_columns(e, ["value", "empty"])
 

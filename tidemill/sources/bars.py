@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.frames import floor_minutes
+from tidemill.functions.times import utc_time
 
 OHLC = ("open", "high", "low", "close")
 
@@ -29,7 +30,8 @@ def side_of(path: Column) -> Column:
 
 def read_bars(spark: SparkSession, path: str | list[str], time: str = "timestamp", mixed: bool = False) -> DataFrame:
     """All CSV files under ``path`` (a glob) as (pair, side, ts, OHLC, ordinal). Columns are found by name and only these
-    are read; a missing price is null; times that do not parse, and NaN, become null; ``ordinal`` is the source order.
+    are read; a missing price is null; times become UTC (those without a zone are taken to be it); times that do not parse, and
+    NaN, become null; ``ordinal`` is the source order.
     Files are taken to have one header; with ``mixed`` each row's cells are named by the header of its own file, a table of a
     row a file, and cells are taken to hold no commas."""
     if mixed:
@@ -43,7 +45,7 @@ def read_bars(spark: SparkSession, path: str | list[str], time: str = "timestamp
         raw = spark.read.option("header", True).csv(path)
         raw = raw.select(*(F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in (time, *OHLC)), F.col("_metadata.file_path").alias("at"), F.monotonically_increasing_id().alias("ordinal"))
     price = [F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double")).alias(c) for c in OHLC]
-    return raw.select(pair_of(F.col("at")).alias("pair"), side_of(F.col("at")).alias("side"), F.expr(f"try_cast(`{time}` as timestamp_ntz)").alias("ts"), *price, "ordinal")
+    return raw.select(pair_of(F.col("at")).alias("pair"), side_of(F.col("at")).alias("side"), utc_time(raw, time).alias("ts"), *price, "ordinal")
 
 
 def paired_sides(bars: DataFrame) -> DataFrame:
@@ -52,10 +54,12 @@ def paired_sides(bars: DataFrame) -> DataFrame:
 
 
 def index_list(cell: Column) -> Column:
-    """A list of row numbers from JSON or bracketed, comma-separated text; an empty or null cell is an empty list."""
+    """A list of row numbers from JSON or bracketed, comma-separated text; an empty or null cell is an empty list, and a part
+    that is no number an error, as a split that loses rows would not show it."""
     text = F.trim(cell)
-    loose = F.filter(F.transform(F.split(F.regexp_replace(text, r"[\[\](){}\s]", ""), ","), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
-    return F.coalesce(F.from_json(text, "array<bigint>"), loose, F.array().cast("array<bigint>"))
+    parts = F.filter(F.split(F.regexp_replace(text, r"[\[\](){}\s]", ""), ","), lambda x: x != "")
+    number = lambda x: F.coalesce(x.try_cast("bigint"), x.try_cast("double").cast("bigint"), F.raise_error(F.concat(F.lit("no row number: "), x)).cast("bigint"))
+    return F.coalesce(F.transform(parts, number), F.array().cast("array<bigint>"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +77,8 @@ def pair_of_base(base: Column) -> Column:
 def discover_backtests(files: DataFrame, path: str = "path") -> DataFrame:
     """From a table of paths: (base, pair) and the path, or null, of each artefact of a backtest that has a return matrix."""
     name = F.regexp_extract(path, r"([^/]+?)(?:\.parquet)?/?$", 1)
-    parts = files.select(F.col(path).alias("path"), F.regexp_extract(name, r"^(.*)_(WF|CPCV)_(M|splits|counts|results)$", 1).alias("base"), F.regexp_extract(name, r"_(WF|CPCV)_(?:M|splits|counts|results)$", 1).alias("scheme"), F.regexp_extract(name, r"_(?:WF|CPCV)_(M|splits|counts|results)$", 1).alias("kind"))
+    of = lambda k: F.regexp_extract(name, r"^(.*)_(WF|CPCV)_(M|split|counts|results)s?$", k)
+    parts = files.select(F.col(path).alias("path"), of(1).alias("base"), of(2).alias("scheme"), F.when(of(3) == "split", "splits").otherwise(of(3)).alias("kind"))
     kinds = [F.max(F.when((F.col("scheme") == s) & (F.col("kind") == k), F.col("path"))).alias(f"{s}_{k}") for s in ("WF", "CPCV") for k in ("M", "splits", "counts", "results")]
     found = parts.filter("base <> ''").groupBy("base").agg(*kinds).filter("WF_M is not null or CPCV_M is not null")
     return found.withColumn("pair", pair_of_base(F.col("base")))
