@@ -83,12 +83,12 @@ def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def tile(groups: pd.DataFrame, rows: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
+def tile(groups: pd.DataFrame, rows: pd.DataFrame, i: int, j: int, block: int) -> pd.DataFrame:
     """(a, b, value) for each group of block ``i`` against each of block ``j``: what the terms of ``rows`` (g, term, n, heavy) add
     to the value that all terms would have if no group had any. ``groups`` are (g, n, terms) of both blocks."""
     sides, p0, at = [], [], []
     for k in (i, j):
-        own = groups[groups.g // GROUPS == k].sort_values("g")
+        own = groups[groups.g // block == k].sort_values("g")
         sides.append(own)
         p0.append(share(np.full(len(own), 2), own.size_.to_numpy()))
         at.append({g: x for x, g in enumerate(own.g)})
@@ -96,8 +96,8 @@ def tile(groups: pd.DataFrame, rows: pd.DataFrame, i: int, j: int) -> pd.DataFra
     out = np.zeros_like(base)
     code = pd.factorize(rows.term)[0]
     post = []
-    for k, block in enumerate((i, j)):
-        mine = (rows.g // GROUPS == block).to_numpy()
+    for k, own in enumerate((i, j)):
+        mine = (rows.g // block == own).to_numpy()
         g = rows.g[mine].map(at[k]).to_numpy(np.int64)
         post.append((g, code[mine], rows.n[mine].to_numpy(np.int64), rows.heavy[mine].to_numpy(bool)))
     # heavy terms: dense tiles, one group of the first block against all of the second
@@ -136,7 +136,7 @@ def tile(groups: pd.DataFrame, rows: pd.DataFrame, i: int, j: int) -> pd.DataFra
     return pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "value": out.ravel(), "base": base.ravel()})
 
 
-def _tiles():
+def _tiles(block: int):
     root = ROOT
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +148,7 @@ def _tiles():
 
         lang, i, j, k = key
         told = rows.term.isna()
-        out = tile(rows[told], rows[~told], i, j)
+        out = tile(rows[told], rows[~told], i, j, block)
         if k == 0:  # what all terms have in common is added once a pair of blocks
             out.value += int(rows.terms.iloc[0]) * out.base
         return out[out.a < out.b].assign(lang=lang)[["lang", "a", "b", "value"]]
@@ -156,7 +156,7 @@ def _tiles():
     return run
 
 
-def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 10, top: int = 10) -> DataFrame:
+def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least: int = 10, top: int = 10, block: int = GROUPS, bucket: int = TERMS, heavy: int = HEAVY) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each group (lang, source) is from the other sources of its language
     (part ``pair``, all of them), and the ``top`` terms that it has oftener than its language (part ``term``).
 
@@ -164,7 +164,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     of its documents. Shares of terms are whole billionths, smoothed by two. Null texts, languages and sources count as empty
     ones; an empty text makes its group occur, and a row is a document, repeated or not. A language that keeps no term has
     pairs of value zero and no terms; equal values go by the bytes of the item. Other columns are not read, whatever their
-    names. An empty table gives an empty one. Counts must stay below 9e15.
+    names. An empty table gives an empty one. Counts must stay below 9e15. A tile holds ``block`` by ``block`` groups and about
+    ``bucket`` terms, of which those are heavy that at least one in ``heavy`` groups has; none of these changes a result.
     """
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
     counts = map_arrow(rows, __name__, "count_batches", "lang string, source string, term string, n long, docs long")
@@ -178,7 +179,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("group_n", "terms", "lang_n")))
     groups = groups.withColumn("g", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     last = F.max("g").over(Window.partitionBy("lang"))
-    groups = saved(groups.withColumns({"groups": last + 1, "blocks": F.floor(last / GROUPS).cast("int") + 1, "size_": F.col("group_n") + 2 * F.col("terms"), "lang_size": F.col("lang_n") + 2 * F.col("terms")}))
+    groups = saved(groups.withColumns({"groups": last + 1, "blocks": F.floor(last / block).cast("int") + 1, "size_": F.col("group_n") + 2 * F.col("terms"), "lang_size": F.col("lang_n") + 2 * F.col("terms")}))
     few = small(groups)
 
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -186,13 +187,13 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     told = told.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     told = told.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top)
 
-    heavy = F.col("spread") * HEAVY >= F.col("groups")
-    many = few.withColumn("buckets", F.ceil(F.greatest("terms", F.lit(1)) / TERMS).cast("int"))
-    posts = kept.join(many, ["lang", "source"]).select("lang", "g", "blocks", "size_", "terms", "term", "n", heavy.alias("heavy"), F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("k"))
+    dense = F.col("spread") * heavy >= F.col("groups")
+    many = few.withColumn("buckets", F.ceil(F.greatest("terms", F.lit(1)) / bucket).cast("int"))
+    posts = kept.join(many, ["lang", "source"]).select("lang", "g", "blocks", "size_", "terms", "term", "n", dense.alias("heavy"), F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("k"))
     named = many.filter("terms > 0").select("lang", "g", "blocks", "size_", "terms", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("heavy"), F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("k"))
-    dealt = posts.unionByName(named).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.floor(F.col("g") / GROUPS).cast("int"))
+    dealt = posts.unionByName(named).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("y", F.floor(F.col("g") / block).cast("int"))
     dealt = dealt.select("lang", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "k", "g", "size_", "terms", "term", "n", "heavy")
-    found = dealt.groupBy("lang", "i", "j", "k").applyInPandas(_tiles(), "lang string, a long, b long, value long")
+    found = dealt.groupBy("lang", "i", "j", "k").applyInPandas(_tiles(block), "lang string, a long, b long, value long")
     found = saved(found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
     # a language without terms has tiles without rows: its pairs are zero
     bare = few.filter("terms = 0").select("lang", F.col("g").cast("long").alias("a"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("b"), F.lit(0).cast("long").alias("value"))
