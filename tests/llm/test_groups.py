@@ -490,53 +490,81 @@ def test_lines_go_only_where_an_earlier_document_has_them(spark, sf_dir):
     assert missed <= again  # only a line's second use within a document may stay
 
 
+def shared_runs(text, other, least=5):
+    """The rows of ``pair_blocks`` for two lists of lines, by comparing all runs of ``text`` with all of ``other``."""
+    words = lambda x: [len(y.split()) for y in x]
+    mine, there = ({(tuple(t[x : y + 1])): [] for x, y in line_dedup.windows(words(t), least)} for t in (text, other))
+    for t, at in ((text, mine), (other, there)):
+        for x, y in sorted(line_dedup.windows(words(t), least)):
+            at[tuple(t[x : y + 1])].append(x)
+    return [(p, words(run), list(run), q, 2) for run, at in mine.items() if run in there for p, q in zip(at, there[run])]
+
+
+def cuts_of(text, other, least=5):
+    return line_dedup.pair_blocks(shared_runs(text, other, least), least, 8)
+
+
 def test_moved_blocks_go_too():
-    a, b = "one two three four five", "six seven eight nine ten"
-    rows = lambda order: [(1, h, 5, [order.index(h)], [p], 2) for p, h in enumerate(range(40))]
-    assert [x[:2] for x in line_dedup.blocks(rows([*range(20, 40), *range(20)]), 5, 8)] == [(0, 19), (20, 39)]
-    assert len(line_dedup.blocks(rows(list(range(39, -1, -1))), 5, 8)) == 40
-    assert line_dedup.cut(f"{a}\n\n{b}\nx", [(1, 1)]) == f"{a}\n\nx"
-
-
-def test_what_no_order_aligns_goes_too():
-    """P Q P against Q P Q: no line is unique in both, and neither end is common."""
-    both = lambda n: line_dedup.blocks([(1, "P", n, [0, 2], [1], 2), (1, "Q", n, [1], [0, 2], 2)], 5, 8)
-    assert both(5) == [(0, 1, 1)] and both(3) == [(0, 1, 1)] and both(2) == []
-    assert line_dedup.blocks([(1, "P", 9, [0, 4], [2], 2), (1, "Q", 9, [2], [0, 4], 2)], 5, 8) == [(0, 0, 1), (2, 2, 1)]
-
-
-def common_runs(a, b, least=5):
-    """Places of ``b`` in runs of lines that ``a`` has too, of ``least`` words or more, and the runs."""
-    out, runs = set(), set()
-    length = {}
-    for i in range(len(a)):
-        for j in range(len(b)):
-            if a[i] == b[j]:
-                n = length[i, j] = length.get((i - 1, j - 1), 0) + 1
-                if sum(len(x.split()) for x in b[j - n + 1 : j + 1]) >= least:
-                    out.update(range(j - n + 1, j + 1))
-                    runs.add(tuple(b[j - n + 1 : j + 1]))
-    return out, runs
-
-
-def test_all_pairs_by_brute_force(spark, sf_dir):
-    """Every pair of documents: what a later one shares with an earlier one in runs of five words or more is gone, but for what
-    it repeats more often than the earlier one; recall is 1 here, and nothing else goes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    order = lambda it: [f"line number {p} of these lines" for p in it]
+    assert sorted(cuts_of(order([*range(20, 40), *range(20)]), order(range(40)))) == [(0, 19), (20, 39)]
+    assert len(cuts_of(order(range(39, -1, -1)), order(range(40)))) == 40
+    assert line_dedup.cut("one two three four five\n\nsix seven eight nine ten\nx", [(1, 1)]) == "one two three four five\n\nx"
+
+
+def test_without_unique_lines_occurrences_count():
+    """P Q P against Q P Q: no line is unique in both, and neither end is common; each has a P and a Q of the other's."""
+    p, q = "P " * 5, "Q " * 5
+    assert sorted(cuts_of([p, q, p], [q, p, q])) == [(0, 0), (1, 1)]
+    a, b = ([(i, x) for i, x in enumerate(t)] for t in ("PQP", "QPQ"))
+    assert line_dedup.patience(a, b) == [(1, 0), (2, 1)]
+    assert cuts_of([p, "x", p], ["y", p, "z"]) == [(0, 0)] and cuts_of([p], ["P " * 4]) == []
+
+
+def test_long_reversed_documents_are_aligned_in_time():
+    import time
+
+    text, at = [f"line {i} has five words" for i in range(20_000)], time.time()
+    rows = [(i, [5], [i], 19_999 - i, 2) for i in range(20_000)]
+    assert len(line_dedup.pair_blocks(rows, 5, 8)) == len(text) and time.time() - at < 5
+
+
+def test_nothing_goes_but_what_is_aligned(spark, monkeypatch):
+    """The blocks come from the alignment alone, and from lines that the run's first document doesn't own, too."""
+    a, b, c = ([f"{w} line number {i} of this text" for i in range(4)] for w in "abc")
+    rows = [(1, a), (2, b), (3, a + c + b), (4, c + ["x"] + a)]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(df, "doc_id", "text").collect()}
+    assert got == {1: 0, 2: 0, 3: 8, 4: 8}
+    of = lambda partner, owner, run, at, there: (partner, owner, at, [7] * len(run), run, there, 2)
+    both = [of(3, 3, [1, 2], 0, 9), of(3, 1, [5, 6], 7, 2), of(1, 1, [5, 6], 7, 0)]
+    assert line_dedup.document_blocks(both, 5, 8) == [(0, 1, 3), (7, 8, 1)]
+    monkeypatch.setattr(line_dedup, "aligned", lambda *_: [])
+    assert line_dedup.document_blocks(both, 5, 8) == []
+
+
+@pytest.mark.parametrize("size, least", [("sf0.001", 1.0), ("sf0.01", 0.999)])
+def test_all_pairs_by_brute_force(spark, sf_dir, size, least):
+    """Every pair of documents that share a run is aligned by the same diff. Of the lines that go then, each as often as it goes
+    for one of the earlier documents, all go in sf0.001, and all but one in a thousand in sf0.01; nothing else goes."""
+    docs = spark.read.parquet(f"{sf_dir}/../{size}/documents.parquet")
     text = {r.doc_id: lines(r.text or "") for r in docs.collect()}
-    left = {r.doc_id: Counter(lines(r.text or "")) for r in line_dedup.dedup(docs, "doc_id", "text").collect()}
-    due = gone = 0
+    cuts = {r.id: {p for c in r.cuts for p in range(c["first"], c["last"] + 1)} for r in line_dedup.find_blocks(docs, "doc_id", "text").collect()}
+    holders, due, gone = {}, 0, 0
     for j in sorted(text):
+        words = [len(x.split()) for x in text[j]]
+        runs = {tuple(text[j][x : y + 1]) for x, y in line_dedup.windows(words, 5)}
+        earlier = {i for run in runs for i in holders.get(run, ())}
         places, most = set(), Counter()
-        for i in sorted(text):
-            if i < j:
-                own = common_runs(text[i], text[j])[0]
-                places |= own
-                most |= Counter(x for x in text[i] if x in {text[j][p] for p in own})
-        want, lost = Counter(text[j][p] for p in places) & most, Counter(text[j]) - left[j]
-        assert not lost - want
-        due, gone = due + sum(want.values()), gone + sum((want & lost).values())
-    assert due > 100 and gone >= 0.99 * due
+        for i in earlier:
+            own = {p for x, y in cuts_of(text[j], text[i]) for p in range(x, y + 1)}
+            places |= own
+            most |= Counter(text[j][p] for p in own)
+        for run in runs:
+            holders.setdefault(run, []).append(j)
+        lost = cuts.get(j, set())
+        assert lost <= places, (j, sorted(lost - places))
+        due, gone = due + sum(most.values()), gone + sum((most & Counter(text[j][p] for p in lost)).values())
+    assert due > 100 and gone >= least * due, (gone, due)
 
 
 def test_links_through_third_documents(spark):
@@ -550,7 +578,7 @@ def test_links_through_third_documents(spark):
 
 
 def test_an_owner_with_many_repeats(spark):
-    line, n = "one line of just seven words here", 3 * line_dedup.PLACES
+    line, n = "one line of just seven words here", 3000
     rows = [(1, "\n".join([line] * n)), (2, f"{line}\n{line}"), (3, "\n".join([line] * (n + 2))), (4, f"own words\n{line}")]
     got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, 2, n, 1] and lines(got[4].text) == ["own words"]
@@ -693,6 +721,15 @@ def test_pipeline_keeps_no_exact_copies(spark, sf_dir):
     assert len(ids) > 20 and not [i for i in left if first[text[i]] != i]
 
 
+def test_line_stage_leaves_columns_alone(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, "a line of more than five words", 77, "x", 1.5), (2, "a line of more than five words\nb", 78, "y", 2.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed string, blocks double").withColumn("n_chars", F.length("text").cast("long"))
+    out = pipeline.line_dedup(spark, df, sf_dir)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(*rows[0], 30), (2, "b", *rows[1][2:], 1)]
+
+
 def test_pipeline_of_all_cases(docs, empty, spark, sf_dir):
     import corpus_pipeline as pipeline
 

@@ -1,12 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Every window (a shortest run of lines with enough words for a block, or the whole text) points to the first document that
-has it, so a document meets those earlier ones that own a part of any block it shares, and a line in a million documents
-makes a million pairs, not a million squared. A pair is aligned by patience diff over the lines of those windows, short
-and common ones among them: lines that occur once in either anchor the longest increasing chain, gaps between anchors are
-aligned the same way. Blocks that are contiguous in both are deleted from the later document; what did not fit into the
-common order (blocks that were moved) is aligned anew without them. Rare lines and common
-ones take the same way; how rare a line is only decides which of a pair's anchors are tried first.
+Documents overlap where they share a run of lines with enough words for a block (mostly a single line; short lines need
+their neighbours). Each such run is known by its hash, and a document's partners are the first documents that have its
+shared runs, as often as it has them, so a line in a million documents makes a million pairs, not a million squared.
+Partners are met in the order of the rarest run that led to them, and one whose runs have all gone by then is not met.
+
+A document and its partner are aligned whole, by patience diff over all lines of the runs that both have, whoever else has
+them: lines that occur once in either anchor the longest increasing chain (rare ones first), what is equal before and
+behind an anchor follows, and gaps between anchors are aligned in the same way; in a gap without such lines the
+occurrences of a line count one by one. What this order leaves out (blocks that were moved) is aligned in further orders.
+Aligned lines that go on in both documents are a block, and blocks of enough words are deleted from the later document.
+Nothing else is.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import struct
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -27,10 +31,6 @@ from tidemill.llm.common import ROOT, map_arrow, saved
 
 #: A line that isn't blank as Python's strip() sees it.
 FILLED = r"(?U)[^\s\x1c-\x1f]"
-#: How often what is left of a pair is aligned anew, before its lines are taken in any order.
-PASSES = 16
-#: Places of one window in its owner that are sent to later documents; how many there are in all is sent besides.
-PLACES = 1024
 
 
 def line_hash(line: str, seed: int = 7) -> int:
@@ -67,24 +67,25 @@ def windows(words: list[int], least: int) -> set[tuple[int, int]]:
 
 
 def line_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """A row for each different window of each text, blank lines aside: its hashes (two, 128 bits in all), its places among the
-    others, and its lines' words and, if several, hashes."""
+    """A row for each window of each text, blank lines aside: its hashes (two, 128 bits in all), how often it occurred before, its
+    place, and its lines' words and, if several, hashes."""
     for b in batches:
-        rows, hashes, checks, places, words, inner = [], [], [], [], [], []
+        rows, hashes, checks, before, places, words, inner = [], [], [], [], [], [], []
         for i, text in enumerate(b.column(1).to_pylist()):
             lines = [x for x in map(str.strip, (text or "").split("\n")) if x]
-            hs, gs, ws, at = [line_hash(x) for x in lines], [line_hash(x, 8) for x in lines], [len(x.split()) for x in lines], defaultdict(list)
+            hs, gs, ws, seen = [line_hash(x) for x in lines], [line_hash(x, 8) for x in lines], [len(x.split()) for x in lines], Counter()
             for x, y in sorted(windows(ws, least)):
-                at[run_hash(hs[x : y + 1]), run_hash(gs[x : y + 1]), y - x].append(x)
-            for (h, g, n), ks in at.items():
+                h, g = run_hash(hs[x : y + 1]), run_hash(gs[x : y + 1])
                 rows.append(i)
                 hashes.append(h)
                 checks.append(g)
-                places.append(ks)
-                words.append(ws[ks[0] : ks[0] + n + 1])
-                inner.append(hs[ks[0] : ks[0] + n + 1] if n else None)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, (hashes, checks, places, words, inner), kinds)], ["id", "h", "g", "at", "words", "inner"])
+                before.append(seen[h, g])
+                places.append(x)
+                words.append(ws[x : y + 1])
+                inner.append(hs[x : y + 1] if y > x else None)
+                seen[h, g] += 1
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, (hashes, checks, before, places, words, inner), kinds)], ["id", "h", "g", "k", "at", "words", "inner"])
 
 
 def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,6 +106,16 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def numbered(lines: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """(line, how often it occurred before) -> place in the list."""
+    seen: Counter = Counter()
+    out = {}
+    for p, (_, x) in enumerate(lines):
+        out[x, seen[x]] = p
+        seen[x] += 1
+    return out
+
+
 def patience(a: list[tuple[int, int]], b: list[tuple[int, int]], rare: frozenset | set = frozenset()) -> list[tuple[int, int]]:
     """Places aligned between two lists of (place, line), rising in both. Anchors among ``rare`` lines are tried first."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -121,10 +132,14 @@ def patience(a: list[tuple[int, int]], b: list[tuple[int, int]], rare: frozenset
         ca, cb = Counter(x for _, x in a[i:j]), Counter(x for _, x in b[k:n])
         once = {x for x, c in ca.items() if c == 1 and cb.get(x) == 1}
         once = once & rare or once
-        if not once:
+        if once:
+            where = {x: p for p, (_, x) in enumerate(b[k:n], k) if x in once}
+            anchors = chain([(p, where[x]) for p, (_, x) in enumerate(a[i:j], i) if x in once])
+        else:
+            there = numbered(b[k:n])
+            anchors = chain(sorted((i + p, k + there[x]) for x, p in numbered(a[i:j]).items() if x in there))
+        if not anchors:
             continue
-        where = {x: p for p, (_, x) in enumerate(b[k:n], k) if x in once}
-        anchors = chain([(p, where[x]) for p, (_, x) in enumerate(a[i:j], i) if x in once])
         for (p, q), (r, s) in zip([(i - 1, k - 1), *anchors], [*anchors, (j, n)], strict=True):
             if r < j:
                 out.append((a[r][0], b[s][0]))
@@ -143,86 +158,53 @@ def runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def leftover(a: dict[int, int], b: dict[int, int], words: dict[int, int], least: int) -> list[tuple[int, int]]:
-    """(first, last) place of runs of ``least`` words or more in ``a`` (place -> line) that ``b`` has too, in any order;
-    each place of ``b`` counts once."""
-
-    def start(x: dict[int, int], p: int) -> tuple[int, ...]:
-        out, n = [], 0
-        while n < least and p in x:
-            out.append(x[p])
-            n, p = n + words[x[p]], p + 1
-        return tuple(out) if n >= least else ()
-
-    at, out, end = defaultdict(list), [], -1
-    for q in sorted(b, reverse=True):
-        at[start(b, q)].append(q)
-    for p in sorted(a):
-        key = start(a, p) if p > end else ()
-        while key and at.get(key):
-            q = at[key].pop()
-            if all(q + i in b for i in range(len(key))):
-                first = p
-                while p in a and q in b and a[p] == b[q]:
-                    del b[q]
-                    p, q = p + 1, q + 1
-                end = p - 1
-                out.append((first, end))
-                break
-    return out
-
-
-def blocks(lines: list[tuple[int, int, int, list[int], list[int], int]], least: int, few: int) -> list[tuple[int, int, int]]:
-    """(first place, last place, owner) of the blocks to delete, from (owner, hash, words, places, owner's places, documents)."""
-    by_owner, found = defaultdict(list), []
-    for line in lines:
-        by_owner[line[0]].append(line)
-    for owner, own in by_owner.items():
-        words = {p: w for _, _, w, ps, _, _ in own for p in ps}
-        a = sorted((p, h) for _, h, _, ps, _, _ in own for p in ps)
-        b = sorted((p, h) for _, h, _, _, ps, _ in own for p in ps)
-        rare = {h for _, h, _, _, _, n in own if n <= few}
-        for _ in range(PASSES):
-            aligned = patience(a, b, rare)
-            found += [(x, y, owner) for x, y in runs(aligned) if sum(words[p] for p in range(x, y + 1)) >= least]
-            gone, there = {p for p, _ in aligned}, {q for _, q in aligned}
-            a, b = [x for x in a if x[0] not in gone], [x for x in b if x[0] not in there]
-            if not aligned or not a or not b:
-                break
-        if a and b:  # what is left stands in no common order: run by run
-            found += [(x, y, owner) for x, y in leftover(dict(a), dict(b), {h: w for _, h, w, _, _, _ in own}, least)]
-    return sorted(found)
-
-
-def window_blocks(rows: list[tuple[int, int, list[int], list[int], list[int] | None, list[int], int, int]], least: int, few: int) -> list[tuple[int, int, int]]:
-    """As ``blocks``, each line in one block at most, from windows (owner, hash, places, words, lines' hashes if several,
-    owner's first places, how many it has, documents): the lines of a pair's windows are aligned, and a window goes as often
-    as the owner has it."""
-    lines: dict = {}
-    for owner, h, at, words, inner, owner_at, _, n in rows:
-        for k, (x, w) in enumerate(zip(inner or [h], words, strict=True)):
-            line = lines.setdefault((owner, x), [w, set(), set(), n])
-            line[1].update(p + k for p in at)
-            line[2].update(p + k for p in owner_at)
-            line[3] = min(line[3], n)
-    found = blocks([(owner, x, w, sorted(ps), sorted(qs), n) for (owner, x), (w, ps, qs, n) in lines.items()], least, few)
-    gone = {p for x, y, _ in found for p in range(x, y + 1)}
-    for owner, _, at, words, _, _, owner_n, _ in sorted(rows, key=lambda r: -len(r[3])):
-        stay = [p for p in at if not gone.issuperset(range(p, p + len(words)))]
-        for p in stay[: max(0, min(len(at), owner_n) - len(at) + len(stay))]:
-            found.append((p, p + len(words) - 1, owner))
-            gone.update(range(p, p + len(words)))
+def aligned(a: list[tuple[int, int]], b: list[tuple[int, int]], rare: frozenset | set = frozenset()) -> list[tuple[int, int]]:
+    """Runs (first, last) of places of ``a`` that go on in ``b`` too: of the patience diff of both, and of what it leaves out.
+    The rest is paired by line and occurrence; in how many further rising orders such pairs fit makes no difference to their
+    runs, as each order of all keeps a run together. A place counts once on either side."""
+    first = patience(a, b, rare)
+    gone, there = {p for p, _ in first}, {q for _, q in first}
+    left, right = [x for x in a if x[0] not in gone], [x for x in b if x[0] not in there]
+    at = numbered(right)
+    rest = sorted((left[p][0], right[at[x]][0]) for x, p in numbered(left).items() if x in at)
+    return runs(first) + runs(rest)
+
+
+def pair_blocks(rows: list[tuple[int, list[int], list[int], int, int]], least: int, few: int) -> list[tuple[int, int]]:
+    """The blocks (first, last) of ``least`` words or more that a document has in common with a partner, from the runs of lines
+    that both have: (place, words of the lines, hashes of the lines, place in the partner, documents that have it)."""
+    a, b, words, shared = {}, {}, {}, {}
+    for at, ws, hs, there, n in rows:
+        for k, (w, h) in enumerate(zip(ws, hs, strict=True)):
+            a[at + k], words[at + k], b[there + k] = h, w, h
+            shared[h] = min(n, shared.get(h, n))
+    rare = {h for h, n in shared.items() if n <= few}
+    return [(x, y) for x, y in aligned(sorted(a.items()), sorted(b.items()), rare) if sum(words[p] for p in range(x, y + 1)) >= least]
+
+
+def document_blocks(rows: list[tuple[int, int, int, list[int], list[int], int, int]], least: int, few: int) -> list[tuple[int, int, int]]:
+    """(first, last, partner) of the blocks to delete, each line in one at most, from (partner, first document of the run, *as
+    for pair_blocks*) of all partners."""
+    of, found, gone = defaultdict(list), [], set()
+    for partner, owner, *row in rows:
+        of[partner].append((owner, *row))
+    for partner, own in sorted(of.items(), key=lambda x: (min(r[-1] for r in x[1] if r[0] == x[0]), x[0])):
+        led = (range(at, at + len(ws)) for owner, at, ws, *_ in own if owner == partner)
+        if not all(gone.issuperset(places) for places in led):
+            for x, y in pair_blocks([r[1:] for r in own], least, few):
+                found.append((x, y, partner))
+                gone.update(range(x, y + 1))
     out, end = [], -1
-    for x, y, owner in sorted(found, key=lambda c: (c[0], -c[1], c[2])):
+    for x, y, partner in sorted(found, key=lambda c: (c[0], -c[1], c[2])):
         if y > end:
-            out.append((max(x, end + 1), y, owner))
+            out.append((max(x, end + 1), y, partner))
             end = y
     return out
 
 
 def block_batches(batches: Iterator[pa.RecordBatch], least: int, few: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [window_blocks([(x["owner"], x["h"], x["at"], x["words"], x["inner"], x["owner_at"], x["owner_n"], x["n"]) for x in row], least, few) for row in b.column(1).to_pylist()]
+        out = [document_blocks([(x["partner"], x["owner"], x["at"], x["words"], x["inner"] or [x["h"]], x["there"], x["n"]) for x in row], least, few) for row in b.column(1).to_pylist()]
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("owner", b.column(1).type.value_type.field("owner").type)]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[dict(zip(("first", "last", "owner"), x, strict=True)) for x in r] for r in out], kind)], ["id", "cuts"])
 
@@ -262,16 +244,25 @@ def _cut_udf():
 
 def find_blocks(df: DataFrame, key: str, text: str, least: int = 5, few: int = 8) -> DataFrame:
     """(id, cuts): for each document with something to delete, the blocks (first, last, owner) of its lines, counted
-    without blank ones, and the earlier document that has them. A block needs ``least`` words in all; lines that ``few``
-    documents or fewer share are rare."""
+    without blank ones, and the earlier document that it was aligned with. A block needs ``least`` words in all; lines that
+    ``few`` documents or fewer share are rare.
+
+    Rows without a key or a text take no part. Rows that repeat a key are one document to each other and give a row each.
+    Documents without a shared run give none, so an empty table gives an empty one. Other columns are not read.
+    """
+    kind = dict(df.dtypes)[key]
     lines = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    lines = saved(map_arrow(lines, __name__, "line_batches", f"id {dict(df.dtypes)[key]}, h long, g long, at array<int>, words array<int>, inner array<long>", least=least))
-    shared = saved(lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("owner")).filter("n > 1"))
-    met = saved(lines.join(shared, ["h", "g"]))
-    owned = met.filter("id = owner").groupBy("h", "g").agg(F.first(F.struct(F.slice("at", 1, PLACES).alias("owner_at"), F.size("at").alias("owner_n"))).alias("o"))
-    later = met.filter("id <> owner").join(saved(owned.select("h", "g", "o.*")), ["h", "g"])
-    per = later.groupBy("id").agg(F.collect_list(F.struct("owner", "h", "at", "words", "inner", "owner_at", "owner_n", "n")).alias("lines"))
-    cuts = map_arrow(per, __name__, "block_batches", f"id {dict(df.dtypes)[key]}, cuts array<struct<first: int, last: int, owner: {dict(df.dtypes)[key]}>>", least=least, few=few)
+    lines = saved(map_arrow(lines, __name__, "line_batches", f"id {kind}, h long, g long, k int, at int, words array<int>, inner array<long>", least=least))
+    run = ["h", "g", "k"]
+    shared = saved(lines.groupBy(run).agg(F.count("*").alias("n"), F.min("id").alias("owner")).filter("n > 1"))
+    met = saved(lines.join(shared, run))
+    pairs = met.filter("id <> owner").select("id", F.col("owner").alias("partner")).distinct()
+    # all runs of a document that a partner may have: none that it would have been the first to have, had it any
+    asked = met.join(pairs, "id").filter("owner <= partner")
+    held = met.groupBy("id", *run).agg(F.min("at").alias("there")).withColumnRenamed("id", "partner")
+    both = asked.join(held, ["partner", *run])
+    per = both.groupBy("id").agg(F.collect_list(F.struct("partner", "owner", "h", "at", "words", "inner", "there", "n")).alias("lines"))
+    cuts = map_arrow(per, __name__, "block_batches", f"id {kind}, cuts array<struct<first: int, last: int, owner: {kind}>>", least=least, few=few)
     return cuts.filter(F.size("cuts") > 0)
 
 
@@ -282,12 +273,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def dedup(df: DataFrame, key: str, text: str, least: int = 5, few: int = 8) -> DataFrame:
-    """``df`` with its text cut, and (n_lines, n_removed, blocks) besides: lines that aren't blank, how many of them went,
-    and in how many blocks. Columns of ``df`` that have these names are replaced.
+def dedup(df: DataFrame, key: str, text: str, least: int = 5, few: int = 8, names: Sequence[str] = ("n_lines", "n_removed", "blocks")) -> DataFrame:
+    """``df`` with its text cut, and three columns of ``names`` besides: lines that aren't blank, how many of them went, and in
+    how many blocks. Columns of ``df`` that have these names are replaced.
 
     The first document by key keeps a line; later ones lose it where it aligns. Null texts stay null, and a document all
-    of whose lines went has an empty text; rows without a key stay as they are, as do lines repeated within a document.
+    of whose lines went has an empty text; rows without a key stay as they are, as do lines that a document has oftener than
+    the earlier one, and runs of short lines that the alignment breaks up into less than ``least`` words.
     Rows that repeat a key are one document to each other: they lose nothing to each other. An empty table stays empty.
     """
     cuts = find_blocks(df, key, text, least, few)
@@ -295,7 +287,7 @@ def dedup(df: DataFrame, key: str, text: str, least: int = 5, few: int = 8) -> D
     cuts = cuts.select(F.col("id").alias(own), F.col("cuts").alias(found))
     out = df.join(cuts, F.col(key) == F.col(own), "left")
     filled = F.size(F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(FILLED)))
-    out = out.withColumn("n_lines", F.coalesce(filled, F.lit(0)).cast("long"))
+    out = out.withColumn(names[0], F.coalesce(filled, F.lit(0)).cast("long"))
     gone = F.aggregate(F.coalesce(found, F.array()), F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    out = out.withColumn("n_removed", gone).withColumn("blocks", F.coalesce(F.size(found), F.lit(0)).cast("long"))
+    out = out.withColumn(names[1], gone).withColumn(names[2], F.coalesce(F.size(found), F.lit(0)).cast("long"))
     return out.withColumn(text, _cut_udf()(F.col(text), F.col(found))).drop(own, found)
