@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import components, new_folder, saved, small, table
-from tidemill.llm.line_dedup import dedup
+from tidemill.llm.line_dedup import dedup, fresh
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality import keep_good
 from tidemill.llm.similar import similar
@@ -24,7 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines of earlier ones; those that had nothing else go. Null texts and rows without an id stay as
     they are; of ties the smallest id keeps a line; repeated rows lose nothing to each other. An empty table stays empty."""
-    out = dedup(docs, "doc_id", "text").filter("n_removed = 0 or n_removed < n_lines")
+    lines, gone, blocks = (fresh(docs, n) for n in ("_lines", "_gone", "_blocks"))
+    out = dedup(docs, "doc_id", "text", names=(lines, gone, blocks)).filter((F.col(gone) == 0) | (F.col(gone) < F.col(lines)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
