@@ -197,6 +197,53 @@ def test_tags_of_all_versions():
     assert r["tags"]["ID3v1"] == "t" and r["tags"]["ID3v1.artist"] == "a" and r["skipped"] == 0 and r["samples"] == 2304
 
 
+def test_the_last_frame_counts_whatever_follows():
+    """Ten frames without a checksum, and then padding or tags; an APE tag with a header, and one that only its footer tells of."""
+    sound = frame_of(LAYER_3) * 10
+    item = lambda k, v: len(v).to_bytes(4, "little") + bytes(4) + k + b"\0" + v
+    body = item(b"Title", b"t\xc3\xa9") + item(b"Year", b"2001")
+    head = lambda flags: b"APETAGEX" + b"".join(x.to_bytes(4, "little") for x in (2000, len(body) + 32, 2, flags)) + bytes(8)
+    fields = b"LYRICSBEGIN" + b"IND00002" + b"10" + b"LYR00004" + b"la\r\n"
+    lyric = fields + f"{len(fields):06}".encode() + b"LYRICS200"
+    old = b"LYRICSBEGINla laLYRICSEND"
+    last = b"TAG" + b"t".ljust(125, b"\0")
+    names = {"APE.Title": "té", "APE.Year": "2001"}
+    for tail, tags, skipped in (
+        (b"", {}, 0), (bytes(500), {}, 500), (b"\x07" * 40, {}, 40), (head(1 << 31 | 1 << 29) + body + head(1 << 31), names, 0), (body + head(0), names, 0),
+        (lyric, {"LYRICS.IND": "10", "LYRICS.LYR": "la\r\n"}, 0), (old + last, {"LYRICS.LYR": "la la", "ID3v1": "t"}, 0), (body + head(0) + last, {**names, "ID3v1": "t"}, 0), (body + head(0) + lyric + last, {**names, "LYRICS.IND": "10", "LYRICS.LYR": "la\r\n", "ID3v1": "t"}, 0),
+    ):
+        r = media.read(sound + tail)
+        assert (len(r["offsets"]), r["samples"], r["tags"], r["skipped"], r["bad"]) == (10, 11520, tags, skipped, 0), tail
+    assert len(media.read(frame_of(LAYER_3) + lyric)["offsets"]) == 1
+
+
+def test_rates_that_change_add_up():
+    other = bytes([0xFF, 0xFB, 0x90, 0x00])
+    assert media.header(other)[2] == 44100
+    r = media.read(frame_of(other) * 10 + frame_of(LAYER_3) * 10)
+    assert r["lengths"] == [[44100, 11520], [48000, 11520]] and r["seconds"] == pytest.approx(11520 / 44100 + 11520 / 48000)
+    assert "samples=11520/44100+11520/48000;" in media.feature(r)
+
+
+def test_free_format():
+    """Frames of 1000 bytes, every third padded by one, which no bit rate of the tables gives."""
+    head = lambda pad: bytes([0xFF, 0xFB, 0x04 | pad << 1, 0x00])
+    sound = b"".join((head(i % 3 == 0) + bytes(32)).ljust(1000 + (i % 3 == 0), b"\7") for i in range(12))
+    for tail in (b"", bytes(300)):
+        r = media.read(b"xx" + sound + tail)
+        assert len(r["offsets"]) == 12 and r["samples"] == 12 * 1152 and r["skipped"] == 2 + len(tail) and r["offsets"][:3] == [2, 1003, 2003]
+    assert media.read(head(0) + bytes(500))["offsets"] == []
+
+
+@pytest.mark.parametrize("unit", [b"\xff", b"\0", b"ID3", b"TAG", b"\xff\xfb\x90\x00", b"\xff\xfa\x90\x00", b"\xff\xfb\x00\x00", b"APETAGEX", b"LYRICSBEGIN", b"\xff\xfb", b"ID3\x04\0\0\0\0\0\0", b"\xff\xfb\x00\x00" + b"\1" * 60])
+def test_reading_is_linear(unit):
+    import time
+
+    data, at = unit * (1_000_000 // len(unit)), time.perf_counter()
+    media.read(data)
+    assert time.perf_counter() - at < 5
+
+
 def test_media_of_all_cases(docs, empty):
     run = lambda d: media.probe(media.encode(d, "doc_id", "text"), "doc_id")
     got = {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in run(docs).collect()}

@@ -9,6 +9,7 @@ variable-bitrate table, verifies checksums and returns the exact duration and th
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -52,14 +53,16 @@ def crc16(data: bytes, bits: int | None = None) -> int:
 
 @lru_cache(4096)
 def header(h: bytes) -> tuple | None:
-    """(frame bytes, samples, Hz, bit/s, side bytes, has CRC, version bits, layer, channels), or None if it is none."""
+    """(frame bytes, samples, Hz, bit/s, side bytes, has CRC, version bits, layer, channels), or None if it is none. A frame of
+    free format has no bytes and bit/s of its own."""
     if len(h) < 4 or h[0] != 0xFF or h[1] & 0xE0 != 0xE0:
         return None
     version, layer, rate, hertz = h[1] >> 3 & 3, 4 - (h[1] >> 1 & 3), h[2] >> 4, h[2] >> 2 & 3
-    if version == 1 or layer == 4 or rate in (0, 15) or hertz == 3:
+    if version == 1 or layer == 4 or rate == 15 or hertz == 3:
         return None
     kbits, hz, pad, mono = KBITS[1 if version == 3 else 2, layer][rate], HERTZ[version][hertz], h[2] >> 1 & 1, h[3] >> 6 == 3
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
+    pad *= 1 if rate else 0
     size = (12000 * kbits // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hz + pad
     side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
     return size, samples, hz, kbits * 1000, side, not h[1] & 1, version, layer, 1 if mono else 2
@@ -118,9 +121,53 @@ def wrap(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def sound(data: bytes, at: int) -> tuple | None:
-    """The header at ``at`` if its frame is whole, and its CRC is right or, without one, another header or the end follows."""
+#: Where a search for the next frame, tag or table may stop: the first bytes of a header that ``header`` takes, or a mark.
+MARK = re.compile(
+    b"\xff[\xe2-\xe7\xf2-\xf7\xfa-\xff][" + b"".join(re.escape(bytes([x])) for x in range(0xF0) if x >> 2 & 3 != 3) + b"]|ID3|APETAGEX|LYRICSBEGIN", re.DOTALL
+)
+#: No frame is longer, so the next header of a frame of free format is looked for so far.
+LONGEST = 8192
+
+
+def free_size(data: bytes, at: int, h: tuple) -> int:
+    """Bytes, without padding, of the frame of free format at ``at``: up to the next header that is like it, if another such
+    header or the end follows as far behind that one; 0 if there is none."""
+    slot = 4 if h[7] == 1 else 1
+    pad = lambda p: (data[p + 2] >> 1 & 1) * slot
+    like = lambda p: (x := header(data[p : p + 4])) is not None and x[0] == 0 and (x[2], x[4:8]) == (h[2], h[4:8])
+    p = at + 6 + h[4]
+    while (p := data.find(data[at : at + 2], p, at + LONGEST)) > 0:
+        if like(p):
+            size = p - at - pad(at)
+            after = p + size + pad(p)
+            if after == len(data) or like(after):
+                return size
+        p += 1
+    return 0
+
+
+def sized(data: bytes, at: int, free: dict | None) -> tuple | None:
+    """The header at ``at`` with its frame's bytes, or None; ``free`` remembers those of free formats, and is None where the
+    stream is known to have none."""
     h = header(data[at : at + 4])
+    if h is None or h[0]:
+        return h
+    if free is None:
+        return None
+    kind = (h[2], *h[4:8])
+    if kind not in free:
+        size = free_size(data, at, h)
+        if not size:
+            return None
+        free[kind] = size
+    size = free[kind] + (data[at + 2] >> 1 & 1) * (4 if h[7] == 1 else 1)
+    return (size, h[1], h[2], 8 * size * h[2] // h[1], *h[4:])
+
+
+def sound(data: bytes, at: int, free: dict | None, before: tuple | None) -> tuple | None:
+    """The header at ``at`` if its frame is whole, and its CRC is right or, without one, it is like the frame just ``before``,
+    or another header, a tag or the end follows."""
+    h = sized(data, at, free)
     if not h or at + h[0] > len(data):
         return None
     if h[5]:
@@ -129,11 +176,69 @@ def sound(data: bytes, at: int) -> tuple | None:
         bits = guarded_bits(data[at : at + h[0]] if h[7] == 2 else data[at : at + 4], h)
         good = struct.unpack(">H", data[at + 4 : at + 6])[0] == crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits + 7) // 8], 16 + bits)
         return h if good else None
-    return h if follows(data, at + h[0]) else None
+    like = before is not None and (before[2], before[6:]) == (h[2], h[6:])
+    return h if like or follows(data, at + h[0]) else None
 
 
 def follows(data: bytes, end: int) -> bool:
-    return end == len(data) or header(data[end : end + 4]) is not None or data[end : end + 3] in (b"TAG", b"ID3")
+    return end == len(data) or header(data[end : end + 4]) is not None or data[end : end + 3] in (b"TAG", b"ID3", b"APE", b"LYR")
+
+
+def ape(data: bytes, at: int) -> tuple[int, dict[str, str]]:
+    """(where the APE tag whose header stands at ``at`` ends, its items of text); one that isn't whole ends where it begins."""
+    size, items, flags = struct.unpack("<III", data[at + 12 : at + 24]) if data[at : at + 8] == b"APETAGEX" and at + 32 <= len(data) else (0, 0, 0)
+    end = at + 32 + size
+    if not flags >> 29 & 1 or end > len(data):
+        return at, {}
+    return end, ape_items(data, at + 32, end - (32 if not flags >> 30 & 1 else 0), items)
+
+
+def ape_items(data: bytes, p: int, end: int, items: int) -> dict[str, str]:
+    out = {}
+    while items and p + 8 < end:
+        size, flags = struct.unpack("<II", data[p : p + 8])
+        stop = data.find(b"\0", p + 8, end)
+        if stop < 0 or stop + 1 + size > end:
+            break
+        if flags >> 1 & 3 == 0:
+            out["APE." + data[p + 8 : stop].decode("ascii", "replace")] = data[stop + 1 : stop + 1 + size].decode("utf-8", "replace").replace("\0", "/")
+        p, items = stop + 1 + size, items - 1
+    return out
+
+
+def lyrics(data: bytes, at: int) -> tuple[int, dict[str, str]]:
+    """(where the Lyrics3 tag at ``at`` ends, its fields), of both versions; one that isn't whole ends where it begins."""
+    if data[at : at + 11] != b"LYRICSBEGIN":
+        return at, {}
+    p, out = at + 11, {}
+    while data[p : p + 3].isalnum() and data[p + 3 : p + 8].isdigit():
+        size = int(data[p + 3 : p + 8])
+        out["LYRICS." + data[p : p + 3].decode()] = data[p + 8 : p + 8 + size].decode("latin-1")
+        p += 8 + size
+    if data[p : p + 6].isdigit() and int(data[p : p + 6]) == p - at and data[p + 6 : p + 15] == b"LYRICS200":
+        return p + 15, out
+    end = data.find(b"LYRICSEND", at, at + 5120)  # the first version is no longer
+    return (end + 9, {"LYRICS.LYR": data[at + 11 : end].decode("latin-1")}) if end > 0 else (at, {})
+
+
+def id3v1(data: bytes, at: int) -> tuple[int, dict[str, str]]:
+    if data[at : at + 3] != b"TAG" or len(data) - at != 128:
+        return at, {}
+    fields = {"ID3v1" + name: data[at + lo : at + hi].split(b"\0")[0].decode("latin-1").rstrip() for name, lo, hi in (("", 3, 33), (".artist", 33, 63), (".album", 63, 93), (".year", 93, 97))}
+    return len(data), {k: v for k, v in fields.items() if v}
+
+
+def bare_ape(data: bytes) -> tuple[int, int, dict[str, str]]:
+    """(begin, end, items) of an APE tag without a header, which only its footer at the end tells of; else an empty range."""
+    end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
+    if data[max(0, end - 15) : end][-9:] == b"LYRICS200" and data[end - 15 : end - 9].isdigit():
+        end -= 15 + int(data[end - 15 : end - 9])
+    foot = end - 32
+    if foot < 0 or data[foot : foot + 8] != b"APETAGEX":
+        return 0, 0, {}
+    size, items, flags = struct.unpack("<III", data[foot + 12 : foot + 24])
+    at = end - size
+    return (at, end, ape_items(data, at, foot, items)) if at >= 0 and size >= 32 and not flags >> 31 & 1 else (0, 0, {})
 
 
 def synchsafe(x: bytes) -> int:
@@ -199,30 +304,34 @@ def seek_table(frame: bytes, h: tuple) -> dict | None:
 
 
 def read(data: bytes) -> dict:
-    """Frames and tags of ``data``. Bytes that belong to no frame are counted as skipped; a frame whose CRC is wrong is
+    """Frames and tags of ``data``. Bytes that belong to no frame or tag are counted as skipped; a frame whose CRC is wrong is
     counted as bad and left out. ``offsets`` are the places of the frames of sound in ``data``; ``samples`` is what these hold,
-    less what the table in front says the encoder put before and after. No frame at all gives zeros and empty lists."""
+    less what the table in front says the encoder put before and after, in all and by rate (``lengths``); ``hz`` is the rate of
+    the last. No frame at all gives zeros and empty lists. Time is linear in the bytes, whatever they are."""
     at, tags = id3(data, 0)
-    vbr, end, offsets, payload, samples, hz, skipped, bad, checked, rates, first = {}, len(data), [], [], 0, 0, 0, 0, 0, set(), True
+    vbr, end, offsets, payload, lengths, skipped, bad, checked, rates, first = {}, len(data), [], [], [], 0, 0, 0, set(), True
+    free: dict | None = {}
+    before: tuple | None = None
+    bare = bare_ape(data)
     while at < end:
-        h = sound(data, at)
-        if h is None and data[at : at + 3] == b"TAG" and end - at == 128:
-            for name, lo, hi in (("", 3, 33), (".artist", 33, 63), (".album", 63, 93), (".year", 93, 97)):
-                if text := data[at + lo : at + hi].split(b"\0")[0].decode("latin-1").rstrip():
-                    tags["ID3v1" + name] = text
-            break
+        h = sound(data, at, free, before)
         if h is None:
-            after, more = id3(data, at)
+            before = None
+            after, more = next(((x, y) for f in (id3, id3v1, ape, lyrics) for x, y in (f(data, at),) if x > at), (at, {}))
+            if at == bare[0] < bare[1]:
+                after, more = bare[1], bare[2]
             if after > at:
                 tags, at = {**more, **tags}, after
                 continue
-            weak = header(data[at : at + 4])
+            weak = sized(data, at, free)
             if weak and at + weak[0] <= end and follows(data, at + weak[0]):
                 bad += 1
                 at += weak[0]
                 continue
-            found = [x for x in (data.find(b"\xff", at + 1), data.find(b"ID3", at + 1), end - 128 if data[end - 128 : end - 125] == b"TAG" else -1) if x > at]
-            nxt = min(found, default=end)
+            mark = MARK.search(data, at + 1)
+            nxt = mark.start() if mark else end
+            for place in (bare[0], end - 128 if data[-128:-125] == b"TAG" else 0):
+                nxt = place if at < place < nxt else nxt
             skipped += nxt - at
             at = nxt
             continue
@@ -233,19 +342,29 @@ def read(data: bytes) -> dict:
             side = 4 + 2 * h[5] + h[4]
             payload.append(frame[side : side + UNIT])
             offsets.append(at)
-            samples, hz = samples + h[1], h[2]
+            if not lengths or lengths[-1][0] != h[2]:
+                lengths.append([h[2], 0])
+            lengths[-1][1] += h[1]
             rates.add(h[3])
-        first = False
+        first, before = False, h
+        free = free or None  # a stream is of free format from its first frame on, or not at all
         at += h[0]
-    samples = max(0, samples - vbr.get("before", 0) - vbr.get("after", 0))
-    return {"tags": tags, "vbr": vbr, "offsets": offsets, "samples": samples, "hz": hz, "skipped": skipped, "bad": bad, "checked": checked, "rates": sorted(rates), "payload": b"".join(payload)}
+    for places, cut in ((lengths, vbr.get("before", 0)), (lengths[::-1], vbr.get("after", 0))):
+        for x in places:
+            gone = min(cut, x[1])
+            x[1], cut = x[1] - gone, cut - gone
+    return {
+        "tags": tags, "vbr": vbr, "offsets": offsets, "samples": sum(n for _, n in lengths), "hz": lengths[-1][0] if lengths else 0, "lengths": lengths, "seconds": sum(n / hz for hz, n in lengths),
+        "skipped": skipped, "bad": bad, "checked": checked, "rates": sorted(rates), "payload": b"".join(payload),
+    }
 
 
 def feature(r: dict) -> str:
     """A short text of what ``read`` found: counts, exact duration in samples, bit rates and a digest of all seek offsets."""
     offsets = hashlib.sha256(struct.pack(f"<{len(r['offsets'])}q", *r["offsets"])).hexdigest()[:16]
+    length = "+".join(f"{n}/{hz}" for hz, n in r["lengths"]) or "0/0"
     return (
-        f"frames={len(r['offsets'])};samples={r['samples']}/{r['hz']};bps={','.join(map(str, r['rates']))};crc={r['checked']}"
+        f"frames={len(r['offsets'])};samples={length};bps={','.join(map(str, r['rates']))};crc={r['checked']}"
         f";bad={r['bad']};skipped={r['skipped']};vbr={r['vbr'].get('kind', '')}:{r['vbr'].get('frames', 0)};seek={offsets}"
     )
 
@@ -264,7 +383,7 @@ def probe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for media in b.column(2).to_pylist():
             r = read(media)
             p = r["payload"]
-            out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(r), r["samples"] / r["hz"] if r["hz"] else 0.0, r["offsets"], r["bad"], r["skipped"]))
+            out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(r), r["seconds"], r["offsets"], r["bad"], r["skipped"]))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
         cols = [pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * len(kinds), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], PROBED)
