@@ -352,6 +352,53 @@ def test_extraction_is_linear():
         assert html_text.extract(html) == "a, b" and time.process_time() - begun < 5
 
 
+def story(n=6):
+    return "".join(f"<p>The story goes on, and on, and on, in sentence number {i} of it.</p>" for i in range(n))
+
+
+def told(n=6):
+    return "\n".join(f"The story goes on, and on, and on, in sentence number {i} of it." for i in range(n))
+
+
+@pytest.mark.parametrize("tag", ["<p title=it's>{}", "<h2 title=Editor's>{}", "<p title=a\"b'c>{}", "<p data-x='a>b' title=\"c>d\">{}", "<p title = it's class=x>{}", "<p =x>{}", "<p a=>{}"])
+def test_quotes_in_attributes(tag):
+    html = f"<article>{story()}{tag.format('First of them.')}</{tag[1 : 2 + (tag[1] == 'h')]}></article>"
+    assert html_text.extract(html) == told() + "\nFirst of them."
+
+
+@pytest.mark.parametrize("part", ['<div class="commentBody"><p>{}</p></div>', '<div id="userComments"><p>{}</p></div>', '<div class="siteFooter"><p>{}</p></div>', '<div class="adBox"><p>{}</p></div>', '<ins class="adsbygoogle"><p>{}</p></ins>'])
+def test_names_in_camel_case(part):
+    text = "Something else, here, and there, that is no part of it, not at all."
+    for html in (f"<body><article>{story()}</article>{part.format(text)}</body>", f"<body><div>{story()}{part.format(text)}</div></body>"):
+        assert html_text.extract(html) == told()
+    assert "Cool" in html_text.extract(f'<body><article><div class="headlineBox"><p>Cool, text, here.</p></div>{story()}</article></body>')
+
+
+@pytest.mark.parametrize("frame", ['<div class="reader-responses">{}</div>', '<ol class="responses">{}</ol>', '<section id="discussion">{}</section>', "<ul>{}</ul>"])
+def test_comments_by_their_make_up(frame):
+    item = "li" if frame[1] in "ou" else "div"
+    notes = "".join(f"<{item}><span class='userName'>Ann {i}</span> <time>1 May</time><p>Well said, I think, and so does everyone, number {i}.</p></{item}>" for i in range(4))
+    for html in (f"<body><article>{story()}</article>{frame.format(notes)}</body>", f"<body><div class=content>{story()}</div>{frame.format(notes)}</body>"):
+        assert html_text.extract(html) == told()
+    results = f"<article>{story()}<section id='discussion'><p>We discuss, at length, what this means.</p><p>And more, of it, here.</p></section></article>"
+    assert html_text.extract(results) == told() + "\nWe discuss, at length, what this means.\nAnd more, of it, here."
+
+
+def test_articles_side_by_side():
+    other = story().replace("story", "tale")
+    teaser = "<article><a href=x>Read this, too</a></article>"
+    assert html_text.extract(f"<body><article>{story()}</article><article>{other}</article>{teaser}</body>") == told() + "\n" + told().replace("story", "tale")
+
+
+@pytest.mark.parametrize("unit", ["</x", "<a '", '<a b="', "<a =", "<!--", "<!", "<", "</", "<a b='", "<p ", "<?x", "<li><ul class=responses>", "<a b=c"])
+def test_pages_are_parsed_in_linear_time(unit):
+    import time
+
+    at = time.perf_counter()
+    html_text.extract(unit * 60_000)
+    assert time.perf_counter() - at < 6
+
+
 def test_long_and_deep_pages():
     assert html_text.extract("<div>" * 20_000 + "<p>deep text</p>") == "deep text"
     assert len(html_text.extract("<article>" + "<p>a, b</p>" * 30_000)) == 5 * 30_000 - 1

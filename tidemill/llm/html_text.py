@@ -39,16 +39,22 @@ LAYOUT = re.compile(AWAY.format("footer|header|masthead|menus?|nav|navbar|naviga
 BARS = re.compile(AWAY.format("share|sharing|social|toolbar") + r"|widgets?(?:$|[_-].*)", re.I)
 STRANGE = re.compile(
     AWAY.format(
-        "ads?|adverts?|advertisements?|adsense|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|gdpr|modal|newsletter|notices?|notification|paywall|popup|"
+        "ads?|adverts?|advertisements?|adsense|adsbygoogle|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|disclaimer|gdpr|modal|newsletter|notices?|notification|paywall|popup|"
         "promos?|promotion|recommended|related|replies|respond|signup|skip-link|sponsor(?:ed|s)?|subscribe|subscription"
     ),
     re.I,
 )
+#: Words that are said of readers' comments and of parts of articles alike: what is in there decides.
+DEBATE = re.compile(AWAY.format("responses?|discussions?|reactions?|opinions?|reviews?|feedback|threads?|conversations?|posts?|messages?|replies"), re.I)
+BYLINE = re.compile(AWAY.format("authors?|by|byline|user|username|nick(?:name)?|name|date|time|timestamp|posted|avatar|permalink|meta|commenter"), re.I)
 STATES = re.compile(r"(?:no|has|with|without|is|js|hide)[_-]|.*[_-](?:with|no|has)[_-]|(?:article|post|entry|content|story|page)[_-]*(?:header|title|heading)(?:$|[_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 
-TOKEN = re.compile(r"<!---?>|<!--.*?(?:--!?>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?/][^>]*>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|([^\s=/"'>]+)""")
+# Attributes by the states of the HTML standard: quotes count only where a value begins.
+ATTRIBUTES = r"""(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)?|=)*+"""
+TOKEN = re.compile(rf"<!---?>|<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|[^<]+|<", re.S)
+ATTRIBUTE = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Why an element may be left out: never read; a frame by tag or role, or strange to an article by class; laid out like a
@@ -64,39 +70,42 @@ HOLDERS = frozenset("div section article main html body form center fieldset det
 class Node:
     """An element. ``cut``: why it may be left out, 0 if it stays; ``main``: it says it is the article; ``size``, ``linked``,
     ``commas`` and ``mass`` (points of the paragraphs below) are of its whole subtree; ``title``: that holds a main element or
-    heading (2), or an article (1)."""
+    heading (2), or an article (1); ``debate``: its class or id may speak of comments; ``signed``: it is, or holds, a line that
+    says who wrote something or when."""
 
-    __slots__ = ("tag", "up", "kids", "cut", "main", "score", "size", "linked", "commas", "mass", "title", "order")
+    __slots__ = ("tag", "up", "kids", "cut", "main", "debate", "signed", "inside", "score", "size", "linked", "commas", "mass", "title", "order")
 
-    def __init__(self, tag: str, up: Node | None, cut: int = 0, main: bool = False):
-        self.tag, self.up, self.kids, self.cut, self.main = tag, up, [], cut, main
+    def __init__(self, tag: str, up: Node | None, cut: int = 0, main: bool = False, debate: bool = False, signed: bool = False, inside: bool = False):
+        self.tag, self.up, self.kids, self.cut, self.main, self.debate, self.signed, self.inside = tag, up, [], cut, main, debate, signed, inside
         self.score, self.size, self.linked, self.commas, self.mass, self.order = 0.0, 0, 0, 0, 0.0, 0
         self.title = 2 if main and tag != "article" or tag == "h1" else int(main)
 
 
 def attributes(source: str) -> dict[str, str]:
-    return {(a or e).lower(): unescape(b or c or d) for a, b, c, d, e in reversed(ATTRIBUTE.findall(source))}
+    return {a.lower(): unescape(b or c or d) for a, b, c, d in reversed(ATTRIBUTE.findall(source))}
 
 
-def kind(tag: str, source: str, inside: bool) -> tuple[int, bool]:
-    """(cut, main) of an element; ``inside``: within an article, where a header may hold the headline and stays."""
+def kind(tag: str, source: str, inside: bool) -> tuple[int, bool, bool, bool]:
+    """(cut, main, debate, signed) of an element; ``inside``: within an article, where a header may hold the headline and stays."""
+    signed = tag in ("time", "cite")
     if tag in SILENT:
-        return NEVER, False
+        return NEVER, False, False, False
     cut = FRAME if tag in FRAMES or tag == "header" and not inside else BAR if tag == "form" else 0
     main = tag in ("article", "main")
     if not source or tag in ("html", "body"):
-        return cut, main
+        return cut, main, False, signed
     a = attributes(source)
     role = a.get("role", "").lower()
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")):
-        return NEVER, False
+        return NEVER, False, False, False
     main = main or role == "main" or a.get("itemprop", "").lower() == "articlebody"
-    names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if not STATES.match(n)]
+    names = [CAMEL.sub("-", n) for n in f"{a.get('class', '')} {a.get('id', '')}".split()]
+    names = [n for n in names if not STATES.match(n)]
     if role in ROLES or any(map(STRANGE.fullmatch, names)):
         cut = FRAME
     elif cut <= BAR and not (inside and tag in ("h1", "header")):
         cut = LAID_OUT if any(map(LAYOUT.fullmatch, names)) else BAR if any(map(BARS.fullmatch, names)) else cut
-    return cut, main
+    return cut, main, any(map(DEBATE.fullmatch, names)), signed or any(map(BYLINE.fullmatch, names))
 
 
 def tree(html: str) -> Node:
@@ -144,7 +153,7 @@ def tree(html: str) -> Node:
         if tag == "br":
             at.kids.append(" ")
             continue
-        node = Node(tag, at, *kind(tag, m[3], inside > 0))
+        node = Node(tag, at, *kind(tag, m[3], inside > 0), inside > 0)
         at.kids.append(node)
         if tag in VOID:
             continue
@@ -160,6 +169,23 @@ def tree(html: str) -> Node:
     return root
 
 
+def debates(root: Node) -> None:
+    """Marks as frames what is made up as readers' comments are: elements outside of the article, or whose class or id may speak of
+    comments, that hold little but two or more items of one tag, each with a line that says who wrote it or when."""
+    order = [root]
+    for x in order:
+        order += [k for k in x.kids if not isinstance(k, str) and k.cut < FRAME]
+    for x in reversed(order):
+        x.signed = x.signed or any(not isinstance(k, str) and k.signed and not k.main for k in x.kids)
+    for x in order[1:]:
+        if x.cut >= FRAME or x.main or not (x.debate or not x.inside and x.tag in ("ol", "ul")):
+            continue
+        items = [k for k in x.kids if not isinstance(k, str) and k.tag in ("li", "div", "article", "section", "blockquote", "dl", "p") and k.cut < FRAME]
+        signed = [k for k in items if k.signed]
+        if len(signed) >= 2 and 2 * len(signed) > len(items) and len({k.tag for k in signed}) == 1:
+            x.cut = FRAME
+
+
 def own_text(x: Node) -> str:
     return "".join(k for k in x.kids if isinstance(k, str))
 
@@ -274,6 +300,7 @@ def gathers(x: Node) -> bool:
 def extract(html: str) -> str:
     """The main text of a page, blocks joined by newlines; '' if it has none."""
     root = tree(html)
+    debates(root)
     measured(root, NEVER)
     settle(root)
     order = measured(root, BAR)
@@ -285,6 +312,8 @@ def extract(html: str) -> str:
     while x is not None:  # the outermost of the elements around it that say they are the article
         best, x = x if x.main else best, x.up
     kept, at = [best], best
+    if best.main and best.up is not None:  # articles beside the best are parts of the page's text
+        kept += [x for x in best.up.kids if not isinstance(x, str) and x is not best and x.main and not x.cut and x.size and x.linked < 0.5 * x.size and x.mass >= 0.2 * best.mass]
     while not at.main and at.up is not None:
         one_text = gathers(at.up)
         for x in at.up.kids:
@@ -308,6 +337,7 @@ def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page. Null or empty html, or a page without an article, gives an empty text; a
-    page is parsed whole whatever its length; repeated rows are each extracted; other columns are not read."""
+    page is parsed whole whatever its length; repeated rows, and null ids and urls, are each extracted; other columns, whatever
+    their names, are not read. An empty table gives an empty one."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     return map_arrow(rows, __name__, "extract_batches", f"page_id {dict(pages.dtypes)[key]}, url string, text string, n_chars long").withColumnRenamed("page_id", key).withColumnRenamed("url", url)
