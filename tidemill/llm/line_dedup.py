@@ -259,7 +259,7 @@ def find_blocks(df: DataFrame, key: str, text: str, least: int = 5, few: int = 8
     pairs = met.filter("id <> owner").select("id", F.col("owner").alias("partner")).distinct()
     # all runs of a document that a partner may have: none that it would have been the first to have, had it any
     asked = met.join(pairs, "id").filter("owner <= partner")
-    held = met.groupBy("id", *run).agg(F.min("at").alias("there")).withColumnRenamed("id", "partner")
+    held = saved(met.groupBy("id", *run).agg(F.min("at").alias("there"))).withColumnRenamed("id", "partner")  # a join of saved tables can be split where a key is hot
     both = asked.join(held, ["partner", *run])
     per = both.groupBy("id").agg(F.collect_list(F.struct("partner", "owner", "h", "at", "words", "inner", "there", "n")).alias("lines"))
     cuts = map_arrow(per, __name__, "block_batches", f"id {kind}, cuts array<struct<first: int, last: int, owner: {kind}>>", least=least, few=few)
