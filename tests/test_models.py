@@ -42,7 +42,7 @@ def test_classifier_beats_the_share_of_classes(rows):
 
 def test_scheme_gives_a_return_for_each_test_row(rows):
     df, *_ = rows
-    out = models.run_scheme(df, cv.walk_forward(df, 240, 2), (1, 2), ["a", "b"], trees=2, models=("logit_cls", "lin_reg", "gbt_reg")).groupBy("strategy").count().collect()
+    out = models.run_scheme(df, cv.walk_forward(df, 240, 2), ["a", "b"], trees=2, models=("logit_cls", "lin_reg", "gbt_reg")).groupBy("strategy").count().collect()
     assert {r.strategy: r["count"] for r in out} == {n: 160 for n in ("logit_cls", *(f"{m}__q{q}" for m in ("lin_reg", "gbt_reg") for q in (70, 80, 90, 95)))}
 
 
@@ -69,7 +69,7 @@ def test_boosted_classes_score_by_probability(rows):
     df, x, y, _ = rows
     cut = float(np.quantile(y, 0.08))
     df = df.withColumn("label", F.when(F.col("fwd_log_ret") < cut, -1).when(F.col("fwd_log_ret") > 0.2, 1).otherwise(0))
-    out = models.run_scheme(df, cv.walk_forward(df, 240, 1), (1,), ["a", "b"], trees=60, models=("gbt_cls",)).collect()
+    out = models.run_scheme(df, cv.walk_forward(df, 240, 1), ["a", "b"], trees=20, models=("gbt_cls",)).collect()
     taken = sum(r.taken for r in out)
     assert len(out) == 120 and 0 < taken < 40
     data = models.assembled(df, ["a", "b"])

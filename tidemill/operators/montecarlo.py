@@ -48,8 +48,13 @@ def min_backtest_length(n: int, target: float) -> float | None:
     return None if z is None else (z / target) ** 2
 
 
+def with_min_backtest(df: DataFrame, n: str = "n", target: float = 1.0) -> DataFrame:
+    """``df`` with (min_years, bound) for ``n`` strategies that were tried: null ``min_years`` for fewer than two."""
+    tried = F.col(n).cast("double")
+    years = F.when(tried > 1, F.pow(normal.expected_max_of(tried) / target, F.lit(2.0)))
+    return df.withColumns({"min_years": years, "bound": 2 * F.ln(tried) / target**2})
+
+
 def min_backtest_curve(spark: SparkSession, target: float = 1.0, most: int = 1000) -> DataFrame:
     """(n, min_years, bound) for n from 1; null min_years for n = 1."""
-    n = F.col("n").cast("double")
-    rows = spark.range(1, most + 1).withColumnRenamed("id", "n")
-    return rows.select("n", F.when(F.col("n") > 1, F.pow(normal.expected_max_of(n) / target, F.lit(2.0))).alias("min_years"), (2 * F.ln(n) / target**2).alias("bound"))
+    return with_min_backtest(spark.range(1, most + 1).withColumnRenamed("id", "n"), "n", target)

@@ -25,8 +25,7 @@ def run_models(rows: DataFrame, base: str, costs: Costs = Costs(), folds: int =
     out: dict[str, list[DataFrame]] = {"M": [], "splits": [], "results": []}
     for scheme, splits in (("WF", cv.walk_forward(rows, n, folds)), ("CPCV", cv.cpcv(rows, n, blocks, most, purge=purge, embargo=embargo))):
         splits = saved(splits)
-        of = [r[0] for r in splits.select("fold").distinct().orderBy("fold").collect()]  # a row a fold
-        returns = saved(models.run_scheme(rows, splits, of, columns, costs, trees, names))
+        returns = saved(models.run_scheme(rows, splits, columns, costs, trees, names))
         named = lambda x, s=scheme: x.select(F.lit(base).alias("base"), F.lit(s).alias("scheme"), "*")
         tested = cv.accumulate(returns, ("row_idx", "strategy")).select("row_idx", "strategy", "ret", "n")
         grid = rows.select("row_idx", "t0", F.explode(F.array(*map(F.lit, models.strategies(names)))).alias("strategy"))

@@ -1,4 +1,4 @@
-"""Models per fold on pyspark.ml: logistic and least-squares, boosted trees for classes and for returns."""
+"""Models of a backtest: of all folds at once, or of one fold by ``pyspark.ml``."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.costs import Costs, classified_return, selected_return, takes, thresholds
 from tidemill.operators.cv import gather
+from tidemill.plans import boosting, folds
 from tidemill.storage import saved
 
 QUANTILES = (0.7, 0.8, 0.9, 0.95)
@@ -28,7 +29,7 @@ def feature_columns(df: DataFrame, compat: bool = False) -> list[str]:
 
 
 def classifiers(trees: int = 300, weight_sum: float = 1.0) -> dict:
-    """Scaled logistic regression (its L2 share is 1 over the sum of weights), and boosted trees of the lowest class against the
+    """Scaled logistic regression (its L2 share is 1 over the sum of the weights of the rows that it is fitted on), and boosted trees of the lowest class against the
     rest, as only its probability is used."""
     gbt = GBTClassifier(featuresCol="x", labelCol="lowest", weightCol="w", maxIter=trees, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
     return {"logit_cls": LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", family="multinomial", maxIter=1000, regParam=1 / max(1.0, weight_sum)), "gbt_cls": gbt}
@@ -66,29 +67,26 @@ def score_fold(data: DataFrame, splits: DataFrame, fold: int, name: str, model,
     return out.select(*keep, "role", F.lit(fold).alias("fold"), F.lit(name).alias("model"), score.alias("score"))
 
 
-def run_scheme(rows: DataFrame, splits: DataFrame, folds: Sequence[int], columns: Sequence[str], costs: Costs = Costs(), trees: int = 20, models: Sequence[str] = ("logit_cls", "lin_reg"), compat: bool = False) -> DataFrame:
+def run_scheme(rows: DataFrame, splits: DataFrame, columns: Sequence[str], costs: Costs = Costs(), trees: int = 300, models: Sequence[str] = ("logit_cls", "lin_reg"), compat: bool = False) -> DataFrame:
     """(row_idx, t0, fold, strategy, ret, taken) of the test rows of each fold: a classifier sells where the probability of a
     fall passes the 90th percentile of its training rows, a regressor buys where its prediction passes each of several.
 
-    A fold's model is fitted once and scores once; thresholds join the scores as a row a fold.
+    Models of all folds are fitted together and every row is scored once for all its folds, so the number of jobs depends
+    on models, trees and Newton steps, not on folds. Thresholds join the scores as a row a fold and model.
     """
-    data = assembled(rows, columns).select("row_idx", "t0", "fwd_log_ret", "raw", "y", "lowest", "w")
-    data = saved(data)
-    total = data.agg(F.sum("w")).first()[0] or 1.0
-    made = {**classifiers(trees, total), **regressors(trees)}
-    out = None
-    for fold in folds:
-        for name in models:
-            scored = score_fold(data, splits, fold, name, made[name], ("row_idx", "t0", "fwd_log_ret"))
-            sells = name.endswith("_cls")
-            limit = thresholds(scored.filter("role = 'train'"), ["fold"], [0.9] if sells else QUANTILES, "score")
-            test = scored.filter("role = 'test'").join(F.broadcast(limit), "fold")  # a row a quantile
-            if sells:
-                signal = F.when(F.col("score") >= F.col("threshold"), -1).otherwise(0)
-                ret, strategy = classified_return(signal, F.col("fwd_log_ret"), F.col("t0"), costs), F.lit(name)
-            else:
-                ret = selected_return(takes(F.col("score"), F.col("threshold"), compat), F.col("fwd_log_ret"), F.col("t0"), costs)
-                strategy = F.concat(F.lit(f"{name}__q"), F.round(F.col("q") * 100).cast("int"))
-            part = test.select("row_idx", "t0", "fold", strategy.alias("strategy"), ret.alias("ret"), (ret != 0).alias("taken"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    table, of = folds.folded(rows, splits, columns)
+    forest = None
+    if of and any(m.startswith("gbt") for m in models):
+        known = folds.Statistics(table, len(of), len(columns))
+        forest = boosting.boosted(table, len(of), len(columns), known.mean_return, boosting.Settings(rounds=trees))
+    scores = saved(folds.scored(table, of, len(columns), models, forest))
+    sells, by = F.col("model").endswith("_cls"), ["fold", "model"]
+    train, test = scores.filter("role = 'train'"), scores.filter("role = 'test'")
+    limit = thresholds(train.filter(sells), by, [0.9], "score").unionByName(thresholds(train.filter(~sells), by, QUANTILES, "score"))
+    test = test.join(F.broadcast(limit), by)  # a row a fold, model and quantile
+    signal = F.when(F.col("score") >= F.col("threshold"), -1).otherwise(0)
+    sold = classified_return(signal, F.col("fwd_log_ret"), F.col("t0"), costs)
+    bought = selected_return(takes(F.col("score"), F.col("threshold"), compat), F.col("fwd_log_ret"), F.col("t0"), costs)
+    name = F.when(sells, F.col("model")).otherwise(F.concat("model", F.lit("__q"), F.round(F.col("q") * 100).cast("int")))
+    out = test.select("row_idx", "t0", "fold", name.alias("strategy"), F.when(sells, sold).otherwise(bought).alias("ret"))
+    return out.withColumn("taken", F.col("ret") != 0)

@@ -14,7 +14,7 @@ from tidemill.frames import TS, running_sum, with_position
 from tidemill.operators import clean, cscv, cv, events, features, labels, montecarlo, quotes, report, stats
 from tidemill.operators.costs import classified_return, selected_return, takes, thresholds
 from tidemill.plans import adapters as a
-from tidemill.plans import backtest, models, stages
+from tidemill.plans import backtest, folds, models, stages
 from tidemill.sources import bars
 from tidemill.sources.bars import quotes_from_events
 from tidemill.sources.sinks import observed, rounded, sheet_name, wide, write_csv, write_parquet
@@ -761,29 +761,49 @@ def robustness(spark, sf):
     return report.robustness(a.scenario_metrics(spark, sf))
 
 
-@query("select n, round(2 * ln(n), 6) as bound from range(1, 1001) r(n)", 6)
+TRIED = "tried as (select user_id, count(*) as n from events group by user_id)"
+
+
+def _tried(spark, sf):
+    """How many trades each user has tried."""
+    return a.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"with {TRIED} select user_id, n, round(2 * ln(n), 6) as bound from tried", 6)
 def minbtl_bound(spark, sf):
-    return montecarlo.min_backtest_curve(spark).select("n", "bound")
+    return montecarlo.with_min_backtest(_tried(spark, sf)).drop("min_years")
 
 
-ROOTS = f"""with recursive p as (select n, q, case when q = 1 then 1 - 1 / n else 1 - 1 / (n * exp(1)) end as p from range(2, 1001) r(n), range(1, 3) s(q)),
-    b as (select n, q, p, 0 as i, -1.0::double as lo, 5.0::double as hi from p union all select n, q, p, i + 1, case when {phi_sql('(lo + hi) / 2')} < p then (lo + hi) / 2 else lo end, case when {phi_sql('(lo + hi) / 2')} < p then hi else (lo + hi) / 2 end from b where i < 42),
-    z as (select n, max(lo) filter (where q = 1) as z1, max(lo) filter (where q = 2) as z2 from b where i = 42 group by n)"""
+ROOTS = f"""with recursive {TRIED}, p as (select n, q, case when q = 1 then 1 - 1 / n else 1 - 1 / (n * exp(1)) end as p from (select distinct n from tried where n > 1) r, range(1, 3) s(q)),
+    b as (select n, q, p, 0 as i, -1.0::double as lo, 6.0::double as hi from p union all select n, q, p, i + 1, case when {phi_sql('(lo + hi) / 2')} < p then (lo + hi) / 2 else lo end, case when {phi_sql('(lo + hi) / 2')} < p then hi else (lo + hi) / 2 end from b where i < 44),
+    z as (select n, max(lo) filter (where q = 1) as z1, max(lo) filter (where q = 2) as z2 from b where i = 44 group by n)"""
 
 
-@query(f"{ROOTS} select r.n, round(pow((1 - 0.5772156649015329) * z1 + 0.5772156649015329 * z2, 2), 6) as min_years, round(2 * ln(r.n), 6) as bound from range(1, 1001) r(n) left join z on z.n = r.n", 6)
+@query(f"{ROOTS} select user_id, t.n, round(pow((1 - 0.5772156649015329) * z1 + 0.5772156649015329 * z2, 2), 6) as min_years, round(2 * ln(t.n), 6) as bound from tried t left join z on z.n = t.n", 6)
 def minbtl_curve(spark, sf):
-    return montecarlo.min_backtest_curve(spark)
+    return montecarlo.with_min_backtest(_tried(spark, sf))
+
+
+def _market(spark, sf) -> tuple[int, int, float]:
+    """(strategies, steps, steps a year) of the table: kinds of trades of each pair, and hours with a bar."""
+    bars = a.bars(spark, sf).agg(F.count_distinct(TS).alias("steps"), F.min(TS).alias("a"), F.max(TS).alias("z")).first()
+    kinds = a.table(spark, sf, "events").select(F.col("user_id") % 7, "event_type").distinct().count()
+    years = max(1, ((bars.z or bars.a) - bars.a).days) / 365 if bars.steps else 1.0
+    return max(1, kinds), max(2, bars.steps), max(2, bars.steps) / years
 
 
 @query()
 def max_sharpe_mc(spark, sf):
-    return montecarlo.max_sharpe(spark, 10_000, 20, 1_700, 1_700 / 3)
+    """The best of as many skill-less strategies as the table has kinds of trades, over as many steps as it has bars."""
+    kinds, steps, periods = _market(spark, sf)
+    return montecarlo.max_sharpe(spark, 2_000, kinds, steps, periods)
 
 
 @query()
 def max_sharpe_curve(spark, sf):
-    return montecarlo.max_sharpe_curve(spark, (*range(1, 11), 50, 100, 150, 200, 300, 400), 100, 1_700, periods=1_700 / 3)
+    """The same for more and more strategies."""
+    _, steps, periods = _market(spark, sf)
+    return montecarlo.max_sharpe_curve(spark, (*range(1, 11), 50, 100, 150, 200, 300, 400), 100, steps, periods=periods)
 
 
 @query(f"with {BARS} select pair, ts, round(exp(sum(ln(1 + (close - 50) / 10000)) over (partition by pair order by ts)) - 1, 6) as equity from bars", 6)
@@ -973,19 +993,67 @@ def _modelled(spark, sf):
     return saved(with_position(x.drop("row_idx"), (), "t0", "row_idx", ("pair",)))  # one model over all pairs
 
 
+TRIED_ROWS = """a as (select event_id - (select min(event_id) from events) as row_idx, value / 100 as x1, (user_id % 97) / 97.0::double as x2, hour(ts) / 24.0::double as x3, 0.5 + (user_id % 5) / 4.0::double as w,
+    0.3 * (value / 100) - 0.2 * ((user_id % 97) / 97.0::double) + ((event_id * 7919) % 1000) / 1000.0::double - 0.5 as r from events),
+    u as (select 'WF' as scheme, fold, role, row_idx from wf union all select 'CPCV', fold, role, row_idx from cut),
+    t as (select scheme, fold, role, row_idx, [x1, x2, x3, 1.0::double] as v, w, r from u join a using (row_idx))"""
+NORMAL = "m0 as (select scheme, fold, i, j, sum(w * v[i] * case when j = 5 then r else v[j] end) as g from t, range(1, 5) p(i), range(1, 6) q(j) where role = 'train' group by scheme, fold, i, j)" + "".join(
+    f""", m{k} as (select x.scheme, x.fold, x.i, x.j, case when x.i = {k} then x.g / p.g else x.g - y.g * z.g / p.g end as g from m{k - 1} x join m{k - 1} p on p.scheme = x.scheme and p.fold = x.fold and p.i = {k} and p.j = {k}
+    join m{k - 1} y on y.scheme = x.scheme and y.fold = x.fold and y.i = x.i and y.j = {k} join m{k - 1} z on z.scheme = x.scheme and z.fold = x.fold and z.i = {k} and z.j = x.j)""" for k in range(1, 5)
+)
+
+
+def _trials(spark, sf):
+    """Events as rows to learn from: three features, a return that two of them tell something of, a weight."""
+    e, x = a.table(spark, sf, "events"), _rows(spark, sf)
+    first = e.agg(F.min("event_id")).first()[0] or 0
+    x1, x2 = F.col("value") / 100, (F.col("user_id") % 97) / F.lit(97.0)
+    r = 0.3 * x1 - 0.2 * x2 + ((F.col("event_id") * 7919) % 1000) / F.lit(1000.0) - 0.5
+    rows = e.select((F.col("event_id") - first).alias("row_idx"), x1.alias("x1"), x2.alias("x2"), (F.hour("ts") / F.lit(24.0)).alias("x3"), (0.5 + (F.col("user_id") % 5) / F.lit(4.0)).alias("weight"), r.alias("fwd_log_ret"), F.when(F.abs(r) > 0.2, F.signum(r)).otherwise(0).cast("int").alias("label"))
+    return rows.join(x, "row_idx")
+
+
+def _schemes(rows, n: int):
+    """Both schemes of splits at the published sizes: 5 walk-forward folds, 12 of the 20 combinations of 6 blocks."""
+    both = (("WF", cv.walk_forward(rows, n, 5)), ("CPCV", cv.cpcv(rows, n, 6, 12, purge=300, embargo=3600)))
+    return [(name, saved(splits)) for name, splits in both]
+
+
+@query(f"with {PURGED}, {WF_SQL}, {TRIED_ROWS}, {NORMAL}, k as (select scheme, fold, {', '.join(f'max(g) filter (where i = {i}) as b{i}' for i in range(1, 5))} from m4 where j = 5 group by scheme, fold) select scheme, fold, row_idx, round(v[1] * b1 + v[2] * b2 + v[3] * b3 + b4, 6) as score from t join k using (scheme, fold) where role = 'test'", 6)
+def linear_folds(spark, sf):
+    """Weighted least squares of all 17 folds of both schemes: what they say of their test rows."""
+    rows, out, columns = saved(_trials(spark, sf)), None, ["x1", "x2", "x3"]
+    for name, splits in _schemes(rows, rows.count()):
+        table, of = folds.folded(rows, splits, columns)
+        part = folds.scored(table, of, len(columns), ["lin_reg"]).filter("role = 'test'").select(F.lit(name).alias("scheme"), "fold", "row_idx", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def softmax_folds(spark, sf):
+    """Softmax regressions of all 17 folds: the probability of a fall for each test row."""
+    rows, out, columns = saved(_trials(spark, sf)), None, ["x1", "x2", "x3"]
+    for name, splits in _schemes(rows, rows.count()):
+        table, of = folds.folded(rows, splits, columns)
+        part = folds.scored(table, of, len(columns), ["logit_cls"]).filter("role = 'test'").select(F.lit(name).alias("scheme"), "fold", "row_idx", "score")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query()
 def fold_scores(spark, sf):
-    """Linear models over walk-forward folds: returns of the test events of each strategy."""
+    """Linear models over the 5 walk-forward folds: returns of the test events of each strategy."""
     x = _modelled(spark, sf)
     columns = ["ret_1", "ret_5", "vol_20", "ret_1_to_vol_20", "SP", "VBP"]
     n = x.count()
-    return models.run_scheme(x, cv.walk_forward(x, n, 2), (1, 2), columns).select("row_idx", "t0", "fold", "strategy", "ret", "taken")
+    return models.run_scheme(x, cv.walk_forward(x, n), columns).select("row_idx", "t0", "fold", "strategy", "ret", "taken")
 
 
 @query()
 def scheme_returns(spark, sf):
-    """Both schemes of splits with all four models, thresholds, costs, means over folds and counts; small in folds and trees."""
-    out = backtest.run_models(_modelled(spark, sf), "ALL_x", folds=2, blocks=4, most=2, purge=3600, least=20, columns=["ret_1", "ret_5", "vol_20", "ewma_50", "SP"], trees=3)
+    """Both schemes of splits with all four models, thresholds, costs, means over folds and counts; all 17 folds, few trees."""
+    out = backtest.run_models(_modelled(spark, sf), "ALL_x", purge=3600, least=20, columns=["ret_1", "ret_5", "vol_20", "ewma_50", "SP"], trees=3)
     return out["M"].select("scheme", "row_idx", "t0", "strategy", "ret", "n")
 
 
