@@ -96,3 +96,31 @@ def test_times(spark):
         clean.strict_time(rows, "t").collect()
     x = clean.without_empty_columns(clean.numeric(spark.createDataFrame([("1", "a"), ("NaN", "b")], "u string, v string"), ["u", "v"], None), ["u", "v"])
     assert x.columns == ["u"]
+
+
+@pytest.mark.parametrize("k, spacing, block", [(1.5, 0.0, 24), (3.0, 7 * 3600.0, 100), (40.0, 0.0, 150), (1e9, 0.0, 200), (2.0, 5400.0, 100_000)])
+def test_blocks_of_cusum_equal_one_walk(spark, k, spacing, block):
+    """Random series with missing values and thresholds of zero; with a large ``k`` states are carried through many blocks."""
+    from tidemill.operators import events
+
+    rng, start, rows, want = np.random.default_rng(int(k)), datetime(2024, 1, 1), [], []
+    for pair in ("A", "B"):
+        n = 500 if pair == "A" else 40
+        r = rng.normal(size=n) + (0.3 if k > 3 else 0.0)
+        s = np.where(rng.random(n) < 0.05, 0.0, rng.uniform(0.5, 1.5, n))
+        r[rng.random(n) < 0.05] = np.nan
+        times = [start + timedelta(hours=int(h)) for h in np.cumsum(rng.integers(1, 4, n))]
+        rows += [(pair, t, float(x), float(v)) for t, x, v in zip(times, r, s)]
+        found = events.Cusum(k, spacing, []).steps([t.timestamp() for t in times], r.tolist(), s.tolist(), [0.0] * n)
+        want += [(pair, times[i], way) for i, way in found]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "pair string, ts timestamp_ntz, ret_1 double, vol_60 double")
+    got = events.cusum_events(df, k=k, spacing_seconds=spacing, block=block).collect()
+    assert sorted(tuple(x) for x in got) == sorted(want) and (len(want) > 3 or k == 1e9)
+
+
+def test_blocks_of_a_long_key_are_many_groups(spark):
+    from tidemill.frames import with_block
+
+    df = spark.range(20_000).select(F.lit("A").alias("pair"), (F.timestamp_seconds(F.col("id") * 600)).cast("timestamp_ntz").alias("ts"))
+    sizes = [r["count"] for r in with_block(df, block=1000).groupBy("_b").count().collect()]
+    assert len(sizes) >= 17 and max(sizes) <= 1000 + 144

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -98,30 +98,92 @@ def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str,
     return add(dealt, w).filter("_in = _b").drop("_pos", "_b", "_in")
 
 
-def in_order(df: DataFrame, machine: str, schema: str, keys: Sequence[str] = KEYS, ts: str = TS, **given) -> DataFrame:
-    """The rows that a state machine ('module.Class') makes of each key's rows in the order of ``ts``.
+def with_block(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, block: int = BLOCK, name: str = "_b") -> DataFrame:
+    """``df`` with the number, from 0 and rising with ``ts``, of the block of its row: whole days of its key, the next block
+    beginning with the first day after every ``block`` rows. Days are counted first; what is joined is a row a key and day."""
+    day = F.to_date(F.col(ts))
+    days = df.groupBy(*keys, day.alias("_day")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "_day", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / block).cast("int").alias(name))
+    return df.withColumn("_day", day).join(days, [*keys, "_day"]).drop("_day")
+
+
+def _machine(name: str, given: dict, root: str):
+    import importlib
+    import sys
+
+    if root not in sys.path:
+        sys.path.insert(0, root)
+    module, _, kind = name.rpartition(".")
+    return getattr(importlib.import_module(module), kind)(**given)
+
+
+def in_blocks(df: DataFrame, machine: str, out: dict[str, str], keys: Sequence[str] = KEYS, ts: str = TS, block: int = BLOCK, **given) -> DataFrame:
+    """(keys, ts, out): what a state machine ('module.Class') makes of each key's rows in the order of ``ts``, the blocks of a
+    key at once.
 
-    A key's rows are one partition, sorted by the JVM (which spills), and reach the machine batch by batch: memory is that of
-    a batch, however long a key's history is. ``Class(**given)`` is made anew for each key; its ``feed`` takes the next rows of
-    the key as a pandas frame and returns a frame of ``schema``.
+    ``Class(**given)`` has a state to begin with, ``start`` (a tuple of numbers), and ``walk(rows, state)``, which yields the
+    state after each row of a pandas frame and its output (a tuple, or None). Every block is walked from ``start`` first. What
+    a block ends with is what the next should have begun with, so blocks that began with something else are walked anew
+    beside their first walk, up to the row where both states are equal: from there on the first walk was right. Blocks whose
+    end changes by that pass it on, until none does. A machine that forgets (as one that resets does) meets its first walk
+    soon; one that never does costs as many rounds as it has blocks. Results are those of one walk over all rows.
     """
-    root, columns = ROOT, list(keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import importlib
-        import sys
-
-        if root not in sys.path:
-            sys.path.insert(0, root)
-        module, _, name = machine.rpartition(".")
-        make, state, now = getattr(importlib.import_module(module), name), None, None
-        for b in batches:
-            for key, rows in b.groupby(columns, sort=False, dropna=False):
-                if state is None or str(key) != now:
-                    state, now = make(**given), str(key)
-                yield state.feed(rows)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, ts).mapInPandas(run, schema)
+    root, kinds, columns = ROOT, dict(df.dtypes), list(keys)
+    head = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", _b int"
+    schema = f"{head}, _i long, {ts} {kinds[ts]}, {', '.join(f'{c} {k}' for c, k in out.items())}, _state array<double>, _met boolean"
+    names = [*columns, "_b", "_i", ts, *out, "_state", "_met"]
+
+    def made(key: tuple, found: list, end: tuple, size: int, met: bool) -> pd.DataFrame:
+        """Outputs, and a last row without a time that tells the state at the end, and where the walks met if they did."""
+        rows = [(*key, i, at, *o, None, None) for i, at, o in found]
+        rows.append((*key, size, None, *(None for _ in out), list(map(float, end)), met))
+        return pd.DataFrame(rows, columns=names)
+
+    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m, rows = _machine(machine, given, root), rows.sort_values(ts, kind="stable")
+        found, state, times = [], m.start, rows[ts].tolist()
+        for i, (state, o) in enumerate(m.walk(rows, m.start)):  # noqa: B007
+            if o is not None:
+                found.append((i, times[i], o))
+        return made(key, found, state, len(rows), False)
+
+    def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m, rows = _machine(machine, given, root), rows.sort_values(ts, kind="stable")
+        state, times, found = tuple(rows["_carry"].iloc[0]), rows[ts].tolist(), []
+        for i, ((state, o), (other, _)) in enumerate(zip(m.walk(rows, state), m.walk(rows, m.start), strict=True)):
+            if o is not None:
+                found.append((i, times[i], o))
+            if state == other:
+                return made(key, found, state, i, True)
+        return made(key, found, state, len(rows), False)
+
+    start = F.array(*map(F.lit, map(float, _machine(machine, given, root).start)))
+    rows = saved(with_block(df, keys, ts, block))
+    walked = saved(rows.groupBy(*keys, "_b").applyInPandas(first, schema))
+    ends = walked.filter("_state is not null").select(*keys, "_b", F.col("_state").alias("_end"))
+    ends = saved(ends.withColumns({"_first": F.col("_end"), "_begun": start, "_round": F.lit(0)}))
+    order, corrected, round_ = Window.partitionBy(*keys).orderBy("_b"), None, 0
+    while True:
+        due = ends.withColumn("_carry", F.coalesce(F.lag("_end").over(order), start)).filter(F.col("_carry") != F.col("_begun"))
+        due = saved(due.select(*keys, "_b", "_carry"))
+        if not due.limit(1).count():
+            break
+        round_ += 1
+        redone = saved(rows.join(due, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(again, schema).withColumn("_round", F.lit(round_)))
+        corrected = redone if corrected is None else corrected.unionByName(redone)
+        told = redone.filter("_state is not null").select(*keys, "_b", F.col("_state").alias("_new"), F.col("_met").alias("_as_first")).join(due, [*keys, "_b"])
+        now = F.when(F.col("_new").isNull(), F.col("_end")).when(F.col("_as_first"), F.col("_first")).otherwise(F.col("_new"))
+        ends = saved(
+            ends.join(told, [*keys, "_b"], "left").select(*keys, "_b", now.alias("_end"), "_first", F.coalesce("_carry", "_begun").alias("_begun"), F.when(F.col("_new").isNotNull(), round_).otherwise(F.col("_round")).alias("_round"))
+        )
+    found = walked.filter("_state is null")
+    if corrected is not None:
+        last = corrected.join(ends.select(*keys, "_b", "_round"), [*keys, "_b", "_round"])  # of each block the last walk
+        upto = last.filter("_state is not null").select(*keys, "_b", F.when(F.col("_met"), F.col("_i")).otherwise(F.lit(1 << 62)).alias("_upto"))
+        kept = found.join(upto, [*keys, "_b"], "left").filter(F.col("_upto").isNull() | (F.col("_i") > F.col("_upto")))
+        found = kept.select(*keys, ts, *out).unionByName(last.filter("_state is null").select(*keys, ts, *out))
+    return found.select(*keys, ts, *out)
 
 
 def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KEYS, accuracy: int = 10_000, most: int = 1_000_000) -> DataFrame:

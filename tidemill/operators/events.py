@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, exact_quantile, in_order, seconds
+from tidemill.frames import BLOCK, KEYS, TS, exact_quantile, in_blocks, seconds
 
 
 def in_session(ts: Column, start: int = 8, end: int = 18) -> Column:
@@ -54,25 +54,54 @@ class Cusum:
         self.up, self.down = up, down
         return out
 
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
-        at = (rows[self.columns[-1]] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        found = self.steps(at, rows["_r"].tolist(), rows["_s"].tolist(), rows["_f"].tolist())
-        out = rows.iloc[[i for i, _ in found]][self.columns].copy()
-        out["direction"] = [d for _, d in found]
-        return out
 
+class Resets:
+    """Where the sums pass their threshold, for ``in_blocks``: (direction,) of each, kept back by the spacing or not."""
+
+    start = (0.0, 0.0)
+
+    def __init__(self, k: float):
+        self.k = k
+
+    def walk(self, rows: pd.DataFrame, state: tuple[float, float]) -> Iterator[tuple[tuple[float, float], tuple[int] | None]]:
+        machine = Cusum(self.k, 0.0, [])
+        machine.up, machine.down = state
+        for row in zip(rows["_r"].tolist(), rows["_s"].tolist(), rows["_f"].tolist(), strict=True):
+            machine.last = None
+            way = machine.steps([0.0], *([x] for x in row))
+            yield (machine.up, machine.down), (way[0][1],) if way else None
+
+
+class Spaced:
+    """Events that are ``spacing`` seconds or more after the last that counted, for ``in_blocks``."""
 
-def cusum_events(df: DataFrame, r: str = "ret_1", sigma: str = "vol_60", k: float = 3.0, spacing_seconds: float = 0.0, floor: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+    start = (float("-inf"),)
+
+    def __init__(self, spacing: float):
+        self.spacing = spacing
+
+    def walk(self, rows: pd.DataFrame, state: tuple[float]) -> Iterator[tuple[tuple[float], tuple[int] | None]]:
+        (last,) = state
+        for at, way in zip(rows["_at"].tolist(), rows["direction"].tolist(), strict=True):
+            counts = at - last >= self.spacing
+            last = at if counts else last
+            yield (last,), (way,) if counts else None
+
+
+def cusum_events(df: DataFrame, r: str = "ret_1", sigma: str = "vol_60", k: float = 3.0, spacing_seconds: float = 0.0, floor: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS, block: int = BLOCK) -> DataFrame:
     """(key, ts, direction): where the running sum of ``r`` passes ``k`` times ``sigma`` (at least ``floor``, a column).
 
-    State is carried over days and never forgotten, so each key is read in order by one task, batch by batch.
-    Rows with a missing value are passed over; so are those with a threshold of zero, which leave the sums as they are.
+    State is carried over days and never forgotten; still a key's blocks of ``block`` rows are many tasks' work (``in_blocks``),
+    as are its events when those that come too soon are left out. Rows with a missing value are passed over; so are those
+    with a threshold of zero, which leave the sums as they are.
     """
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, ts)) + ", direction int"
     rows = df.select(*keys, ts, F.col(r).cast("double").alias("_r"), F.col(sigma).cast("double").alias("_s"), (F.col(floor).cast("double") if floor else F.lit(0.0)).alias("_f"))
-
-    return in_order(rows, f"{__name__}.Cusum", schema, keys, ts, k=k, spacing=spacing_seconds, columns=[*keys, ts])
+    found = in_blocks(rows, f"{__name__}.Resets", {"direction": "int"}, keys, ts, block, k=k)
+    if spacing_seconds <= 0:
+        return found
+    zero = F.lit("1970-01-01").cast(dict(df.dtypes)[ts])
+    found = found.withColumn("_at", F.timestamp_diff("MICROSECOND", zero, F.col(ts)) / 1e6)
+    return in_blocks(found, f"{__name__}.Spaced", {"direction": "int"}, keys, ts, block, spacing=spacing_seconds)
 
 
 def filter_stats(df: DataFrame, eligible: Column, events: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
