@@ -26,12 +26,32 @@ def bars(spark):
     return df.cache()
 
 
-def test_positions_and_sums(bars):
-    x = frames.running_sum(frames.with_position(bars), F.col("close"), "total").orderBy("pair", "ts").toPandas()
+@pytest.mark.parametrize("block", [25, 1000, None])
+def test_positions_and_sums(bars, block):
+    x = frames.running_sum(frames.with_position(bars, block=block), F.col("close"), "total", block=block).orderBy("pair", "ts").toPandas()
     for _, g in x.groupby("pair"):
         assert g.pos.tolist() == list(range(len(g))) and np.allclose(g.total, g.close.cumsum())
 
 
+def test_lengths_of_keys_are_counted_once(spark, bars):
+    first = frames.longest(bars)
+    assert first == bars.groupBy("pair").count().agg(F.max("count")).first()[0]
+    made = features.with_returns(bars.withColumn("log_mid", F.ln("close")), vol=20)
+    assert made._longest == {("pair",): first}
+    spark.sparkContext.setJobGroup("none", "none")
+    frames.running_sum(features.momentum_side(made, vol="vol_20"), F.col("close"), "s")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("none")) <= 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("back, block", [(1, 10), (30, 40), (200, 90), (700, 300)])
+def test_days_are_dealt_with_what_is_before(bars, back, block):
+    """A window that reads far back, over blocks that are smaller than that, sees the rows that the whole key shows it."""
+    build = lambda w: {"n": F.count("*").over(w.rowsBetween(-back, 0)), "s": F.sum("close").over(w.rowsBetween(-back, 0))}
+    a, b = (frames.look_back(bars, back, build, block=x).orderBy("pair", "ts").select("n", "s").toPandas() for x in (None, block))
+    assert len(a) == len(b) and np.allclose(a, b)
+
+
 @pytest.mark.parametrize("block", [25, 300])
 def test_blocks_give_what_whole_keys_give(bars, block):
     x = bars.withColumn("log_mid", F.ln("close"))
@@ -39,8 +59,6 @@ def test_blocks_give_what_whole_keys_give(bars, block):
     assert np.allclose(whole, parts, equal_nan=True)
     a, b = (clean.gaps(bars, 10, None, 10, block=n).orderBy("pair", "gap_start").toPandas() for n in (None, block))
     assert a.equals(b)
-    with pytest.raises(ValueError):
-        features.with_returns(x, vol=20, block=10)
 
 
 def test_stale_filter_settles(bars):

@@ -37,65 +37,80 @@ def minutes_after(ts: Column, n: Column | int) -> Column:
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(n) if isinstance(n, int) else n.cast("int"))
 
 
-def with_position(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, name: str = "pos", ties: Sequence[str] = ()) -> DataFrame:
+def longest(df: DataFrame, keys: Sequence[str] = KEYS) -> int:
+    """The most rows that a key of ``df`` has; counted once, and remembered for frames that ``alike`` makes of it."""
+    known = getattr(df, "_longest", {})
+    if tuple(keys) not in known:
+        known[tuple(keys)] = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        df._longest = known
+    return known[tuple(keys)]
+
+
+def alike(out: DataFrame, df: DataFrame) -> DataFrame:
+    """``out``, which has no more rows of any key than ``df``: what is known of the lengths of keys holds for it, too."""
+    out._longest = dict(getattr(df, "_longest", {}))
+    return out
+
+
+def _days(df: DataFrame, keys: Sequence[str], ts: str, total: Column, before: str) -> DataFrame:
+    """(keys, _day, before): what ``total`` is over a key's earlier days."""
+    days = df.groupBy(*keys, F.to_date(F.col(ts)).alias("_day")).agg(total.alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    return days.select(*keys, "_day", "_n", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias(before))
+
+
+def with_position(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, name: str = "pos", ties: Sequence[str] = (), block: int | None = BLOCK) -> DataFrame:
     """``df`` with each row's place (from 0) within its key by ``ts``.
 
-    Numbered within (key, day) and shifted by the counts of the days before, so that a key with most of the rows is
-    many tasks' work. Ties in ``ts`` within a key are numbered by ``ties``, else in any order.
+    Where a key has more than ``block`` rows they are numbered within (key, day) and shifted by the counts of the days
+    before, so that a key with most of the rows is many tasks' work. Ties in ``ts`` within a key are numbered by ``ties``, else
+    in any order.
     """
-    day = F.to_date(F.col(ts))
-    rows = df.withColumn("_day", day)
-    counts = rows.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    if block is None or longest(df, keys) <= block:
+        return alike(df.withColumn(name, F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ts, *ties)) - 1), df)
+    base = _days(df, keys, ts, F.count("*"), "_base").drop("_n")
     own = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(ts, *ties)) - 1
-    return rows.withColumn("_own", own).join(base, [*keys, "_day"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_own", "_base")
-
+    out = df.withColumn("_day", F.to_date(F.col(ts))).withColumn("_own", own).join(base, [*keys, "_day"])
+    return alike(out.withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_own", "_base"), df)
 
-def with_previous(df: DataFrame, columns: dict[str, str], keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """``df`` with (new name -> column) of the row before each by ``ts`` within its key: by (key, day), and for a day's first row
-    from a table of each day's last."""
-    rows = df.withColumn("_day", F.to_date(F.col(ts)))
-    last = rows.groupBy(*keys, "_day").agg(F.max_by(F.struct(*columns.values()), ts).alias("_last"))
-    last = last.select(*keys, "_day", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("_before"))
-    own = Window.partitionBy(*keys, "_day").orderBy(ts)
-    rows = rows.withColumns({"_n": F.row_number().over(own), **{name: F.lag(c).over(own) for name, c in columns.items()}}).join(last, [*keys, "_day"])
-    return rows.withColumns({name: F.when(F.col("_n") > 1, F.col(name)).otherwise(F.col("_before")[c]) for name, c in columns.items()}).drop("_day", "_n", "_before")
 
-
-def running_sum(df: DataFrame, x: Column, name: str, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """``df`` with the sum of ``x`` over a key's rows up to each by ``ts``: within (key, day), on top of the sums of the days
-    before. Nulls count as zero."""
+def running_sum(df: DataFrame, x: Column, name: str, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK, ties: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the sum of ``x`` over a key's rows up to each by ``ts`` (and ``ties``); where a key has more than ``block`` rows within
+    (key, day), on top of the sums of the days before. Nulls count as zero."""
+    if block is None or longest(df, keys) <= block:
+        return alike(df.withColumn(name, F.sum(F.coalesce(x, F.lit(0))).over(Window.partitionBy(*keys).orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0))), df)
     rows = df.withColumns({"_day": F.to_date(F.col(ts)), "_x": F.coalesce(x, F.lit(0))})
-    days = rows.groupBy(*keys, "_day").agg(F.sum("_x").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    base = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = F.sum("_x").over(Window.partitionBy(*keys, "_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_own", own).join(base, [*keys, "_day"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_x", "_own", "_base")
+    base = _days(rows, keys, ts, F.sum("_x"), "_base").drop("_n")
+    own = F.sum("_x").over(Window.partitionBy(*keys, "_day").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_own", own).join(base, [*keys, "_day"])
+    return alike(out.withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_x", "_own", "_base"), df)
 
 
-def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str, Column] | tuple[dict[str, Column], ...]], keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = None) -> DataFrame:
+def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str, Column] | tuple[dict[str, Column], ...]], keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK, place: bool = False) -> DataFrame:
     """``df`` with the columns that ``build`` makes from a window that reads at most ``back`` rows before a row; of several
-    sets of columns the later may use the earlier, and each row's place ``_pos`` if there is a ``block``.
+    sets of columns the later may use the earlier, and with ``place`` a row's place ``_pos`` in what is read.
 
-    With ``block``, each key's rows are dealt in blocks of that many, each preceded by a copy of the ``back`` rows before
-    it, so a history of one key is spread over as many tasks as it has blocks. Same values either way.
+    Where a key has more than ``block`` rows, its days are dealt in blocks of about that many rows, each after copies of the
+    days that hold the ``back`` rows before it. Where days go is a table of a row a key and day; rows are shuffled once by
+    their blocks. Same values either way.
     """
     def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("_pos", F.row_number().over(w)) if place else rows
         made = build(w)
         for columns in made if isinstance(made, tuple) else (made,):
             rows = rows.withColumns(columns)
-        return rows
-
-    if block is None:
-        return add(df, ordered(keys, ts))
-    if back > block:
-        raise ValueError("a block must hold the rows that a window looks back")
-    rows = with_position(saved(df), keys, ts, "_pos").withColumn("_b", F.floor(F.col("_pos") / block))
-    also = F.when(F.col("_pos") % block >= block - back, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array("_b"))
-    dealt = rows.withColumn("_in", F.explode(also))
-    w = Window.partitionBy(*keys, "_in").orderBy("_pos")
-    return add(dealt, w).filter("_in = _b").drop("_pos", "_b", "_in")
+        return rows.drop("_pos") if place else rows
+
+    if block is None or longest(df, keys) <= block:
+        return alike(add(df, ordered(keys, ts)), df)
+    order = Window.partitionBy(*keys).orderBy("_day")
+    days = _days(df, keys, ts, F.count("*"), "_before").withColumns({"_b": F.floor(F.col("_before") / block).cast("int"), "_end": F.col("_before") + F.col("_n")})
+    days = days.withColumn("_next", F.lead("_b").over(order)).withColumn("_next", F.when(F.col("_next") != F.col("_b"), F.col("_next")))
+    near = Window.partitionBy(*keys).orderBy("_end").rangeBetween(0, back - 1)  # blocks that begin within ``back`` rows of a day's end
+    days = days.select(*keys, "_day", "_b", F.concat(F.array("_b"), F.collect_list("_next").over(near)).alias("_ins"))
+    dealt = df.withColumn("_day", F.to_date(F.col(ts))).join(days, [*keys, "_day"]).withColumn("_in", F.explode("_ins"))
+    out = add(dealt, Window.partitionBy(*keys, "_in").orderBy(ts)).filter("_in = _b")
+    return alike(out.drop("_day", "_b", "_ins", "_in"), df)
 
 
 def with_block(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, block: int = BLOCK, name: str = "_b") -> DataFrame:

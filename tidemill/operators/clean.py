@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import BLOCK, KEYS, TS, look_back, minutes_after, running_sum, seconds, with_previous
+from tidemill.frames import BLOCK, KEYS, TS, alike, look_back, minutes_after, running_sum, seconds
 from tidemill.functions.times import utc_time
 from tidemill.sources.bars import OHLC
 from tidemill.storage import saved
@@ -58,18 +58,17 @@ def last_of_each(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
 
 
 def _previous(df: DataFrame, name: str, column: str, keys: Sequence[str], ts: str, block: int | None) -> DataFrame:
-    """``column`` of the row before; without a ``block`` all rows of a key are one task's."""
-    if block is None:
-        return look_back(df, 1, lambda w: {name: F.lag(column).over(w)}, keys, ts, None)
-    return with_previous(df, {name: column}, keys, ts)
+    """``column`` of the row before."""
+    return look_back(df, 1, lambda w: {name: F.lag(column).over(w)}, keys, ts, block)
 
 
 def without_stale(df: DataFrame, price: str = "close", longest: int = 60, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
     """Of a run of ``longest`` rows or more with one price, only the first row; as it is if there is no such column."""
     if price not in df.columns:
         return df
-    rows = _previous(df, "_last_price", price, keys, ts, block).withColumn("_same", F.coalesce(F.col(price) == F.col("_last_price"), F.lit(False))).drop("_last_price")
-    rows = running_sum(rows, F.when(F.col("_same"), 0).otherwise(1), "_run", keys, ts)
+    before = _previous(df, "_last_price", price, keys, ts, block)
+    rows = alike(before.withColumn("_same", F.coalesce(F.col(price) == F.col("_last_price"), F.lit(False))).drop("_last_price"), before)
+    rows = running_sum(rows, F.when(F.col("_same"), 0).otherwise(1), "_run", keys, ts, block)
     size = F.count("*").over(Window.partitionBy(*keys, "_run"))
     return rows.withColumn("_size", size).filter(~(F.col("_same") & (F.col("_size") >= longest))).drop("_same", "_run", "_size")
 
@@ -77,7 +76,7 @@ def without_stale(df: DataFrame, price: str = "close", longest: int = 60, keys:
 def gaps(df: DataFrame, above: int, upto: int | None, step: int = 1, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
     """Spans between neighbours more than ``above`` and at most ``upto`` minutes apart: first and last missing bar, how
     many bars of ``step`` minutes are missing, and the seconds between the neighbours."""
-    rows = _previous(df.select(*keys, ts), "_a", ts, keys, ts, block).withColumnRenamed(ts, "_b").withColumn("gap_seconds", seconds(F.col("_a"), F.col("_b")))
+    rows = _previous(alike(df.select(*keys, ts), df), "_a", ts, keys, ts, block).withColumnRenamed(ts, "_b").withColumn("gap_seconds", seconds(F.col("_a"), F.col("_b")))
     rows = rows.filter((F.col("gap_seconds") > above * 60) & (F.lit(True) if upto is None else F.col("gap_seconds") <= upto * 60))
     missing = F.greatest(F.floor(F.col("gap_seconds") / (60 * step)) - 1, F.lit(0)).cast("int")
     return rows.select(*keys, minutes_after(F.col("_a"), step).alias("gap_start"), minutes_after(F.col("_b"), -step).alias("gap_end"), missing.alias("gap_missing"), "gap_seconds")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ EPS = 1e-8
 def combos_table(spark, blocks: int, most: int | None = None) -> DataFrame:
     """(combo, name, block, train): a row for each block of each choice of half the blocks."""
     rows = [(k, str(c), b, b in c) for k, c in enumerate(islice(combinations(range(blocks), blocks // 2), most)) for b in range(blocks)]
-    return spark.createDataFrame(rows, "combo int, name string, block int, train boolean")
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.bool_())
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return spark.createDataFrame(pa.table(columns, ["combo", "name", "block", "train"]))
 
 
 def cscv(m: DataFrame, n: int | None = None, blocks: int = 8, drop_remainder: bool = False, most: int | None = None, keys: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import BLOCK, KEYS, TS, full, look_back
+from tidemill.frames import BLOCK, KEYS, TS, alike, full, look_back
 
 TINY = 1e-8
 
@@ -16,8 +16,8 @@ TINY = 1e-8
 def with_mid(df: DataFrame) -> DataFrame:
     """Mid prices of whatever prices have both sides, and the log of the mid close (null at zero)."""
     have = [c for c in ("open", "high", "low", "close") if f"{c}_bid" in df.columns and f"{c}_ask" in df.columns]
-    df = df.withColumns({f"{c}_mid": 0.5 * (F.col(f"{c}_bid") + F.col(f"{c}_ask")) for c in have})
-    return df.withColumn("log_mid", F.ln(F.nullif(F.col("close_mid"), F.lit(0.0))))
+    df = alike(df.withColumns({f"{c}_mid": 0.5 * (F.col(f"{c}_bid") + F.col(f"{c}_ask")) for c in have}), df)
+    return alike(df.withColumn("log_mid", F.ln(F.nullif(F.col("close_mid"), F.lit(0.0)))), df)
 
 
 def with_returns(df: DataFrame, price: str = "log_mid", vol: int = 60, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
@@ -58,7 +58,8 @@ def with_ewma(df: DataFrame, x: str = "ret_1", span: int = 50, name: str | None
         var = (squares / total - mean / total * mean / total) / (1 - same / total / total)
         return {name or f"ewma_{span}": F.when(F.count(c).over(upto) > 1, F.sqrt(F.greatest(var, F.lit(0.0))))}
 
-    return look_back(df, back, lambda w: (terms(w), sums(w), value(w)), keys, ts, block).drop("_gap", "_x", "_w")
+    out = look_back(df, back, lambda w: (terms(w), sums(w), value(w)), keys, ts, block, place=True)
+    return alike(out.drop("_gap", "_x", "_w"), out)
 
 
 def with_ewma_tail(df: DataFrame, x: str = "ret_1", span: int = 50, tail: int = 1000, name: str | None = None, keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:
@@ -115,7 +116,7 @@ def event_features(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, bloc
         rows["SP"] = c("close_bid") - c("close_ask")  # bid less ask
         rows["VBP"], rows["VAP"] = c("high_bid") - c("low_bid"), c("high_ask") - c("low_ask")
         rows["spread_proxy"] = c("open_ask") - c("open_bid")
-    return df.withColumns(rows)
+    return alike(df.withColumns(rows), df)
 
 
 def momentum_side(df: DataFrame, lookback: int = 60, floor: float = 0.5, clip: float = 3.0, vol: str = "vol_60", price: str = "log_mid", keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK, sign: float = 1.0) -> DataFrame:
@@ -123,8 +124,9 @@ def momentum_side(df: DataFrame, lookback: int = 60, floor: float = 0.5, clip: f
     dead zone of ``floor``."""
     move = lambda w: {"_move": F.col(price) - F.lag(price, lookback).over(w)}
     z = sign * F.col("_move") / (F.nullif(F.col(vol), F.lit(0.0)) * math.sqrt(lookback))
-    df = look_back(df, lookback, move, keys, ts, block).withColumn("side_score", F.when(z.isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))).drop("_move")
-    return df.withColumn("side", F.when(F.abs("side_score") >= floor, F.signum("side_score")))
+    back = look_back(df, lookback, move, keys, ts, block)
+    df = back.withColumn("side_score", F.when(z.isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), z)))).drop("_move")
+    return alike(df.withColumn("side", F.when(F.abs("side_score") >= floor, F.signum("side_score"))), back)
 
 
 def reversion_side(df: DataFrame, lookback: int = 20, floor: float = 0.5, clip: float = 3.0, vol: str = "vol_60", price: str = "log_mid", keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, exact_quantile, running_sum, with_position
+from tidemill.frames import KEYS, TS, exact_quantile, longest, running_sum, with_position
 from tidemill.storage import saved
 
 
@@ -55,37 +55,48 @@ def triple_barrier(frame: DataFrame, events: DataFrame, b: Barriers = Barriers()
     return out.select(*keys, "t0", F.coalesce("t1_vert", "t0").alias("t1_vert"), F.coalesce("_t", "t1_vert", "t0").alias("t_end"), F.coalesce("_label", F.lit(0)).cast("tinyint").alias("label"))
 
 
-def _intervals(bars: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str) -> tuple[DataFrame, DataFrame]:
-    """Bars with positions, and the intervals whose both ends are bars and whose end is not before the start."""
-    pos = saved(with_position(bars, keys, ts, "_pos"))
-    at = lambda c, name: pos.select(*keys, F.col(ts).alias(c), F.col("_pos").alias(name))
-    x = intervals.join(at("t0", "_s"), [*keys, "t0"]).join(at("t_end", "_e"), [*keys, "t_end"]).filter("_e >= _s")
-    return pos, saved(x)
+def _valid(bars: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """(keys, t0, t_end, _times): the different intervals that begin and end at a bar, and how often each is there."""
+    x = intervals.groupBy(*keys, "t0", "t_end").agg(F.count("*").alias("_times")).filter("t_end >= t0")
+    ends = x.withColumn("_at", F.explode(F.array("t0", "t_end")))
+    met = ends.join(bars.select(*keys, F.col(ts).alias("_at")), [*keys, "_at"], "left_semi")
+    return met.groupBy(*keys, "t0", "t_end", "_times").count().filter("count = 2").drop("count")
 
 
-def concurrency(bars: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
-    """(key, ts, pos, concurrency): how many intervals [t0, t_end] cover each bar, from steps up and down at their ends."""
-    pos, x = _intervals(bars.select(*keys, ts), intervals, keys, ts)
-    return _cover(pos, x, keys, ts).select(*keys, ts, F.col("_pos").alias("pos"), F.col("_c").alias("concurrency"))
+def _line(bars: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str] = ()) -> DataFrame:
+    """Bars (``_kind`` 1) with the beginnings of intervals (0) right before theirs and the ends (2) right after, and ``_c``: how
+    many intervals cover a bar. Both tables are saved ones."""
+    none = [F.lit(None).cast(dict(bars.dtypes)[c]).alias(c) for c in columns]
+    steps = intervals.withColumn("_x", F.explode(F.array(*(F.struct(F.col(c).alias(ts), F.lit(k).alias("_kind"), (F.lit(1 - k) * F.col("_times")).alias("_d")) for c, k in (("t0", 0), ("t_end", 2))))))
+    steps = steps.select(*keys, "_x.*", "t0", "t_end", "_times", *none)
+    at = [F.lit(None).cast(kind).alias(c) for c, kind in intervals.dtypes if c in ("t0", "t_end", "_times")]
+    line = bars.select(*keys, ts, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_d"), *at, *columns).unionByName(steps)
+    line._longest = {tuple(keys): longest(bars, keys) + 2 * longest(intervals, keys)}
+    return running_sum(line, F.col("_d"), "_c", keys, ts, ties=["_kind"])
 
 
-def _cover(pos: DataFrame, x: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    steps = x.select(*keys, F.explode(F.array(F.struct(F.col("_s").alias("_pos"), F.lit(1).alias("_d")), F.struct((F.col("_e") + 1).alias("_pos"), F.lit(-1).alias("_d")))).alias("_x")).select(*keys, "_x.*")
-    steps = steps.groupBy(*keys, "_pos").agg(F.sum("_d").alias("_d"))
-    return running_sum(pos.join(steps, [*keys, "_pos"], "left"), F.col("_d"), "_c", keys, ts).drop("_d")
+def concurrency(bars: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
+    """(key, ts, pos, concurrency): how many intervals [t0, t_end] cover each bar, from steps up and down at their ends."""
+    bars = saved(bars.select(*keys, ts))
+    line = _line(bars, saved(_valid(bars, intervals, keys, ts)), keys, ts)
+    line = running_sum(line, F.when(F.col("_kind") == 1, 1).otherwise(0), "_n", keys, ts, ties=["_kind"])
+    return line.filter("_kind = 1").select(*keys, ts, (F.col("_n") - 1).alias("pos"), F.col("_c").alias("concurrency"))
 
 
 def sample_weights(bars: DataFrame, intervals: DataFrame, r: str = "ret_1", cap: float = 0.99, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """(key, t0, t_end, weight) of the valid intervals: the size of the sum of returns, each shared among the intervals over
     its bar, scaled to sum to their number, cut at the ``cap`` quantile and scaled again. All zero gives ones. A missing
-    return counts as zero."""
-    pos, x = _intervals(bars.select(*keys, ts, F.col(r).alias("_r")), intervals.select(*keys, "t0", "t_end"), keys, ts)
-    covered = _cover(pos, x, keys, ts).withColumn("_a", F.when(F.col("_c") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("_c")).otherwise(0.0))
-    sums = saved(running_sum(covered.select(*keys, ts, "_pos", "_a"), F.col("_a"), "_sum", keys, ts))
-    at_s = sums.select(*keys, F.col("_pos").alias("_s"), (F.col("_sum") - F.col("_a")).alias("_before"))
-    at_e = sums.select(*keys, F.col("_pos").alias("_e"), F.col("_sum").alias("_upto"))
-    x = x.join(at_s, [*keys, "_s"]).join(at_e, [*keys, "_e"]).withColumn("_w", F.abs(F.col("_upto") - F.col("_before")))
-    x = saved(x.select(*keys, "t0", "t_end", "_w"))
+    return counts as zero.
+
+    Bars and ends of intervals are put in one order; a running sum of the shares, read right before an interval's first bar and
+    right after its last, gives its sum without a join.
+    """
+    bars = saved(bars.select(*keys, ts, F.col(r).cast("double").alias("_r")))
+    line = _line(bars, saved(_valid(bars, intervals, keys, ts)), keys, ts, ["_r"])
+    part = F.when((F.col("_kind") == 1) & (F.col("_c") > 0), F.coalesce("_r", F.lit(0.0)) / F.col("_c")).otherwise(0.0)
+    line = running_sum(line, part, "_sum", keys, ts, ties=["_kind"]).filter("_kind <> 1")
+    x = line.groupBy(*keys, "t0", "t_end", "_times").agg(F.abs(F.sum(F.when(F.col("_kind") == 2, F.col("_sum")).otherwise(-F.col("_sum")))).alias("_w"))
+    x = saved(x.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*keys, "t0", "t_end", "_w"))
     top = exact_quantile(x, "_w", cap, keys)  # scaling keeps the order, so the cut is scaled with the rest
     per = x.join(top, [*keys]).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_w").alias("_total"), F.sum(F.least("_w", "_q")).alias("_cut"), F.first("_q").alias("_q"))
     x = x.join(per, [*keys])
