@@ -66,8 +66,10 @@ def with_position(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, name:
     before, so that a key with most of the rows is many tasks' work. Ties in ``ts`` within a key are numbered by ``ties``, else
     in any order.
     """
+    if not keys:
+        return numbered(df, [ts, *ties], (), name)
     if block is None or longest(df, keys) <= block:
-        return alike(df.withColumn(name, F.row_number().over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(ts, *ties)) - 1), df)
+        return alike(df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(ts, *ties)) - 1), df)
     base = _days(df, keys, ts, F.count("*"), "_base").drop("_n")
     own = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(ts, *ties)) - 1
     out = df.withColumn("_day", F.to_date(F.col(ts))).withColumn("_own", own).join(base, [*keys, "_day"])
@@ -113,6 +115,38 @@ def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str,
     return alike(out.drop("_day", "_b", "_ins", "_in"), df)
 
 
+def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
+    """That the columns ``names`` of ``a`` equal those of ``b`` with an underscore behind; nulls equal each other."""
+    fits = F.lit(True)
+    for n in names:
+        fits = fits & a[n].eqNullSafe(b[f"{n}_"])
+    return fits
+
+
+def numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "_n") -> DataFrame:
+    """``df``, saved, with each row's place (from 0) within its key by ``order``; neither a key nor the whole is one task's.
+
+    Rows are sorted by ranges over all tasks. A range's rows are counted by key, and what earlier ranges have is added: a
+    table of a row a range and key. Rows that ``order`` does not tell apart are numbered in any order.
+    """
+    at = F.shiftright("_m", 33)  # the range, as Spark numbers rows
+    rows = saved(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id()))
+    pieces = rows.groupBy(*keys, at.alias("_range")).agg(F.count("*").alias("_c"), F.min("_m").alias("_lo"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*(F.col(k).alias(f"{k}_") for k in keys), "_range", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_lo")).alias("_shift"))
+    out = rows.join(pieces, same(rows, pieces, keys) & (F.shiftright(rows["_m"], 33) == pieces["_range"]))
+    return out.withColumn(name, F.col("_m") + F.col("_shift")).drop("_m", "_range", "_shift", *(f"{k}_" for k in keys))
+
+
+def with_average_rank(df: DataFrame, column: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the rank (from 1) of ``column`` within its key; equal values share their average rank, nulls come first."""
+    rows = saved(numbered(df, [column], keys, name))
+    ties = rows.groupBy(*keys, column).agg((F.min(name) + 1 + (F.count("*") - 1) / 2).alias("_rank"))
+    ties = ties.select(*(F.col(c).alias(f"{c}_") for c in (*keys, column)), "_rank")
+    out = rows.join(ties, same(rows, ties, (*keys, column)))
+    return out.withColumn(name, F.col("_rank")).drop("_rank", *(f"{c}_" for c in (*keys, column)))
+
+
 def with_block(df: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS, block: int = BLOCK, name: str = "_b") -> DataFrame:
     """``df`` with the number, from 0 and rising with ``ts``, of the block of its row: whole days of its key, the next block
     beginning with the first day after every ``block`` rows. Days are counted first; what is joined is a row a key and day."""
@@ -173,6 +207,9 @@ def in_blocks(df: DataFrame, machine: str, out: dict[str, str], keys: Sequence[s
                 return made(key, found, state, i, True)
         return made(key, found, state, len(rows), False)
 
+    if longest(df, keys) <= block:
+        found = df.withColumn("_b", F.lit(0)).groupBy(*keys, "_b").applyInPandas(first, schema)
+        return alike(found.filter("_state is null").select(*keys, ts, *out), df)
     start = F.array(*map(F.lit, map(float, _machine(machine, given, root).start)))
     rows = saved(with_block(df, keys, ts, block))
     walked = saved(rows.groupBy(*keys, "_b").applyInPandas(first, schema))
@@ -198,7 +235,7 @@ def in_blocks(df: DataFrame, machine: str, out: dict[str, str], keys: Sequence[s
         upto = last.filter("_state is not null").select(*keys, "_b", F.when(F.col("_met"), F.col("_i")).otherwise(F.lit(1 << 62)).alias("_upto"))
         kept = found.join(upto, [*keys, "_b"], "left").filter(F.col("_upto").isNull() | (F.col("_i") > F.col("_upto")))
         found = kept.select(*keys, ts, *out).unionByName(last.filter("_state is null").select(*keys, ts, *out))
-    return found.select(*keys, ts, *out)
+    return alike(found.select(*keys, ts, *out), df)
 
 
 def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KEYS, accuracy: int = 10_000, most: int = 1_000_000) -> DataFrame:
@@ -208,7 +245,7 @@ def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KE
     values, those about the place, are put in order by one task.
     """
     rows = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
-    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= most:
+    if longest(df, keys) <= most:
         return rows.groupBy(*keys).agg(F.percentile("_x", F.lit(share)).alias("_q"))
     edge = 4 / accuracy  # the sketch is right to 1 / accuracy, and ranks among accuracy values or more to as much again
     near = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [max(0.0, share - edge), min(1.0, share + edge)], accuracy).alias("_e"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))

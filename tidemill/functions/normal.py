@@ -41,15 +41,22 @@ def expected_max_of(n: Column) -> Column:
     return (1 - EULER_GAMMA) * quantile(1 - 1 / n) + EULER_GAMMA * quantile(1 - 1 / (n * math.e))
 
 
-def kolmogorov_p(stat: Column, n: Column, m: Column) -> Column:
-    """The asymptotic p-value of a two-sample statistic."""
-
-    def run(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, i, j in zip(d, a, b, strict=True):
-            root = math.sqrt(i * j / (i + j))
-            z = (root + 0.12 + 0.11 / root) * x
-            out.append(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101)))) if z > 0.2 else 1.0)
-        return pd.Series(out, dtype=float)
-
-    return F.pandas_udf(run, "double")(stat, n.cast("double"), m.cast("double"))
+#: Sizes of samples up to which a two-sample statistic's p-value is exact.
+EXACT = 10_000
+
+
+def kolmogorov_p(stat: Column, n: Column) -> Column:
+    """The p-value of a two-sample statistic of ``n`` values each, that is, how likely it is at least that large by chance.
+
+    Exact up to ``EXACT``: of the paths that take n steps up and n to the right in any order, those that get as far as
+    ``stat * n`` from the diagonal, counted by reflection. Beyond, the asymptotic series.
+    """
+    k = F.round(stat * n).cast("long")
+    reach = lambda j: F.aggregate(F.sequence(F.lit(1).cast("long"), j), F.lit(1.0), lambda p, t: p * (n - t + 1) / (n + t))
+    sign = lambda i: F.when(i % 2 == 1, 1.0).otherwise(-1.0)
+    exact = F.aggregate(F.sequence(F.lit(1).cast("long"), F.floor(n / k)), F.lit(0.0), lambda p, i: p + 2 * sign(i) * reach(i * k))
+    root = F.sqrt(n / 2)
+    z = (root + 0.12 + 0.11 / root) * stat
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda p, i: p + 2 * sign(i) * F.exp(-2 * i * i * z * z))
+    p = F.when(n <= EXACT, exact).when(z > 0.2, series).otherwise(1.0)
+    return F.when(k <= 0, 1.0).otherwise(F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))

@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.frames import numbered, same, with_average_rank
 from tidemill.functions import normal
 from tidemill.operators.cv import block_of
+from tidemill.storage import saved
 
 EPS = 1e-8
 
@@ -51,26 +53,28 @@ def cscv(m: DataFrame, n: int | None = None, blocks: int = 8, drop_remainder: bo
     return x.select(*keys, "combo", "name", F.col("strategy").alias("best_IS"), "perf_IS", "perf_OOS", "relative_rank_OOS", logit.alias("logit"))
 
 
-def average_rank(column: str, keys: Sequence[str], down: bool = False):
-    """The rank of ``column`` within a key; equals share their average."""
-    order = F.desc(column) if down else F.asc(column)
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ties = Window.partitionBy(*keys, column)
-    return F.rank().over(w.orderBy(order)) + (F.count("*").over(ties) - 1) / 2
-
-
 def overfitting(results: DataFrame, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """(key, PBO, perf_degradation, prob_loss, ks_stat, ks_pval): the share of relative ranks above one half, the rank
     correlation of performance in and out of sample, the share of losses, and the distance of the relative ranks from a
-    seeded uniform sample of as many, drawn by a hash of the seed and the combination."""
-    x = results.withColumns({"_a": average_rank("perf_IS", keys), "_b": average_rank("perf_OOS", keys)})
+    seeded uniform sample of as many, drawn by a hash of the seed and the combination.
+
+    Ranks come from rows sorted by ranges, so that no key is one task's work."""
+    results = saved(results)
+    x = with_average_rank(with_average_rank(results, "perf_IS", "_a", keys), "perf_OOS", "_b", keys)
     share = lambda c: F.avg(c.cast("double"))
     out = x.groupBy(*keys).agg(share(F.col("relative_rank_OOS") > 0.5).alias("PBO"), F.corr("_a", "_b").alias("perf_degradation"), share(F.col("perf_OOS") < 0).alias("prob_loss"), F.count("*").alias("_n"))
     # a number in [0, 1) from the first 52 bits of a hash, the same however the rows are dealt
     uniform = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "combo")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     both = results.select(*keys, F.explode(F.array(F.struct(F.col("relative_rank_OOS").alias("v"), F.lit(1).alias("own")), F.struct(uniform.alias("v"), F.lit(0).alias("own")))).alias("x")).select(*keys, "x.*")
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
-    gap = both.withColumn("_g", F.abs(F.sum("own").over(w) - F.sum(1 - F.col("own")).over(w)))
-    ks = gap.groupBy(*keys).agg((F.max("_g") / (F.count("*") / 2)).alias("ks_stat"))
-    out = out.join(ks, [*keys]) if keys else out.join(F.broadcast(ks), F.lit(True))  # a row each
-    return out.withColumn("ks_pval", normal.kolmogorov_p(F.col("ks_stat"), F.col("_n"), F.col("_n"))).drop("_n")
+    # the distance is greatest at a rank, or right before one: how many of either sample are below it, and up to it
+    place = lambda rows, below, upto: numbered(rows, ["v"], keys).groupBy(*keys, "v").agg(F.min("_n").alias(below), (F.max("_n") + 1).alias(upto))
+    own = place(both.filter("own = 1").select(*keys, "v"), "_below", "_upto")
+    own = own.select(*(F.col(c).alias(f"{c}_") for c in (*keys, "v")), "_below", "_upto")
+    merged = place(both.select(*keys, "v"), "_all_below", "_all_upto")
+    met = merged.join(own, same(merged, own, (*keys, "v")))
+    far = F.greatest(2 * F.col("_upto") - F.col("_all_upto"), F.col("_all_below") - 2 * F.col("_below"), F.lit(0))
+    ks = met.groupBy(*keys).agg(F.max(far).alias("_far"))
+    ks = ks.select(*(F.col(k).alias(f"{k}_") for k in keys), "_far")
+    out = out.join(ks, same(out, ks, keys)) if keys else out.join(F.broadcast(ks), F.lit(True))  # a row each
+    stat = F.col("_far") / F.col("_n")
+    return out.withColumns({"ks_stat": stat, "ks_pval": normal.kolmogorov_p(stat, F.col("_n"))}).drop("_n", "_far", *(f"{k}_" for k in keys))

@@ -11,15 +11,16 @@ from collections.abc import Sequence
 from datetime import timedelta
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.frames import numbered
+
 
 def contiguous_runs(df: DataFrame, by: Sequence[str], index: str = "row_idx") -> DataFrame:
     """(by, start, stop): runs of neighbouring whole numbers; repeats count once."""
-    rows = df.select(*by, index).distinct()
-    island = F.col(index) - F.row_number().over(Window.partitionBy(*by).orderBy(index))
-    return rows.withColumn("_i", island).groupBy(*by, "_i").agg(F.min(index).alias("start"), F.max(index).alias("stop")).drop("_i")
+    rows = numbered(df.select(*by, index).distinct(), [index], by, "_place")
+    return rows.groupBy(*by, (F.col(index) - F.col("_place")).alias("_i")).agg(F.min(index).alias("start"), F.max(index).alias("stop")).drop("_i")
 
 
 def block_bounds(n: int, blocks: int, drop_remainder: bool = False) -> list[tuple[int, int]]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import BLOCK, KEYS, TS, exact_quantile, in_blocks, seconds
+from tidemill.frames import BLOCK, KEYS, TS, alike, exact_quantile, in_blocks, look_back, seconds
 
 
 def in_session(ts: Column, start: int = 8, end: int = 18) -> Column:
@@ -95,22 +95,19 @@ def cusum_events(df: DataFrame, r: str = "ret_1", sigma: str = "vol_60", k: floa
     as are its events when those that come too soon are left out. Rows with a missing value are passed over; so are those
     with a threshold of zero, which leave the sums as they are.
     """
-    rows = df.select(*keys, ts, F.col(r).cast("double").alias("_r"), F.col(sigma).cast("double").alias("_s"), (F.col(floor).cast("double") if floor else F.lit(0.0)).alias("_f"))
+    rows = alike(df.select(*keys, ts, F.col(r).cast("double").alias("_r"), F.col(sigma).cast("double").alias("_s"), (F.col(floor).cast("double") if floor else F.lit(0.0)).alias("_f")), df)
     found = in_blocks(rows, f"{__name__}.Resets", {"direction": "int"}, keys, ts, block, k=k)
     if spacing_seconds <= 0:
         return found
     zero = F.lit("1970-01-01").cast(dict(df.dtypes)[ts])
-    found = found.withColumn("_at", F.timestamp_diff("MICROSECOND", zero, F.col(ts)) / 1e6)
+    found = alike(found.withColumn("_at", F.timestamp_diff("MICROSECOND", zero, F.col(ts)) / 1e6), found)
     return in_blocks(found, f"{__name__}.Spaced", {"direction": "int"}, keys, ts, block, spacing=spacing_seconds)
 
 
 def filter_stats(df: DataFrame, eligible: Column, events: DataFrame, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """(key, bars, eligible, events, shares, quantiles of the minutes between events)."""
-    from pyspark.sql import Window
-
     bars = df.groupBy(*keys).agg(F.count("*").alias("bars"), F.count_if(eligible).alias("eligible"))
-    w = Window.partitionBy(*keys).orderBy(ts)
-    gap = events.select(*keys, (seconds(F.lag(ts).over(w), F.col(ts)) / 60).alias("_gap"))
+    gap = look_back(alike(events.select(*keys, ts), events), 1, lambda w: {"_gap": seconds(F.lag(ts).over(w), F.col(ts)) / 60}, keys, ts)
     seen = gap.groupBy(*keys).agg(F.count("*").alias("events"), F.percentile("_gap", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("gap_minutes"))
     out = bars.join(seen, [*keys], "left").withColumn("events", F.coalesce("events", F.lit(0)))
     return out.withColumns({"eligible_share": F.col("eligible") / F.col("bars"), "event_share": F.col("events") / F.nullif("eligible", F.lit(0))})

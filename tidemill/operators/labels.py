@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, exact_quantile, longest, running_sum, with_position
+from tidemill.frames import KEYS, TS, alike, exact_quantile, longest, running_sum, with_position
 from tidemill.storage import saved
 
 
@@ -32,7 +32,7 @@ def triple_barrier(frame: DataFrame, events: DataFrame, b: Barriers = Barriers()
     upper barrier gives 1 (it is tested first), beyond the lower -1; none gives 0 at the vertical barrier. Bars are met by
     buckets of ``horizon`` positions, so a join partition holds a bucket's bars and the events that look into it.
     """
-    rows = with_position(frame.dropna(subset=[b.price, b.vol]).select(*keys, ts, F.col(b.price).alias("_p"), F.col(b.vol).alias("_v")), keys, ts, "_pos")
+    rows = with_position(alike(frame.dropna(subset=[b.price, b.vol]).select(*keys, ts, F.col(b.price).alias("_p"), F.col(b.vol).alias("_v")), frame), keys, ts, "_pos")
     rows = saved(rows.withColumn("_day", F.to_date(ts)))
     ends = rows.groupBy(*keys, "_day").agg(F.max(F.col("_pos") if b.session_end is None else F.when((F.hour(ts) < b.session_end) | (F.hour(ts) == b.session_end) & (F.minute(ts) == 0) & (F.second(ts) == 0), F.col("_pos"))).alias("_cap"))
     last = rows.groupBy(*keys).agg(F.max("_pos").alias("_last"))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, seconds
+from tidemill.frames import KEYS, TS, alike, look_back, numbered, same, seconds, with_average_rank
 from tidemill.functions.times import utc_time
+from tidemill.operators.cv import block_of
 from tidemill.operators.labels import concurrency
 
 
@@ -71,8 +72,8 @@ def side_checks(events: DataFrame, least: int = 20, keys: Sequence[str] = KEYS)
 
 def score_jumps(bars: DataFrame, events: DataFrame, least: int = 20, keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """Quantiles of how far side_score at an event is from the bar before: large ones hint at looking ahead."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    jump = bars.select(*keys, ts, F.abs(F.col("side_score") - F.lag("side_score").over(w)).alias("_j")).join(events.select(*keys, ts).distinct(), [*keys, ts])
+    steps = look_back(alike(bars.select(*keys, ts, "side_score"), bars), 1, lambda w: {"_j": F.abs(F.col("side_score") - F.lag("side_score").over(w))}, keys, ts)
+    jump = steps.join(events.select(*keys, ts).distinct(), [*keys, ts])
     enough = jump.groupBy(*keys).agg(F.count("_j").alias("n")).filter(F.col("n") >= least)
     return quantiles(jump, F.col("_j"), keys).join(enough, [*keys])
 
@@ -129,16 +130,17 @@ def preview(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
 
 def deciles(df: DataFrame, score: str, outcome: str, tie: str, keys: Sequence[str] = (), n: int = 10) -> DataFrame:
     """(key, bucket, n, mean score, mean outcome): rows in ``n`` buckets of equal size by ``score``, ties by ``tie``."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    x = df.filter(F.col(score).isNotNull() & F.col(outcome).isNotNull()).withColumn("bucket", F.ntile(n).over(w.orderBy(score, tie)))
+    x = numbered(df.filter(F.col(score).isNotNull() & F.col(outcome).isNotNull()), [score, tie], keys)
+    size = x.groupBy(*keys).agg(F.count("*").alias("_size"))
+    size = size.select(*(F.col(k).alias(f"{k}_") for k in keys), "_size")
+    x = x.join(size, same(x, size, keys)) if keys else x.join(F.broadcast(size), F.lit(True))  # one row without keys
+    x = x.withColumn("bucket", block_of(F.col("_n"), F.col("_size"), n) + 1)
     return x.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(outcome).alias("mean_outcome"))
 
 
 def decile_order(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(key, rank_corr): the rank correlation of buckets' mean score and mean outcome; equals share their average rank."""
-    from tidemill.operators.cscv import average_rank
-
-    x = table.withColumns({"_a": average_rank("mean_score", keys), "_b": average_rank("mean_outcome", keys)})
+    x = with_average_rank(with_average_rank(table, "mean_score", "_a", keys), "mean_outcome", "_b", keys)
     return x.groupBy(*keys).agg(F.corr("_a", "_b").alias("rank_corr"))
 
 

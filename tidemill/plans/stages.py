@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import BLOCK, KEYS, TS
+from tidemill.frames import BLOCK, KEYS, TS, alike
 from tidemill.operators import clean, cscv, events, features, labels, quotes, stats
 from tidemill.storage import saved
 
@@ -51,9 +51,9 @@ def feature_stage(joined: DataFrame, p: FeatureParams = FeatureParams(), start=N
     span = joined if start is None else joined.filter(F.col(TS).between(start, end))
     bars = saved(features.with_ewma(features.with_returns(features.with_mid(span), vol=p.vol, block=p.block), span=p.ewma))
     floor = events.sigma_floor(bars, vol)
-    eligible = bars.join(floor, [*KEYS]).filter(events.in_session_with_runway(F.col(TS), p.horizon, p.minutes, p.start, p.end))
+    eligible = alike(bars.join(floor, [*KEYS]).filter(events.in_session_with_runway(F.col(TS), p.horizon, p.minutes, p.start, p.end)), bars)
     found = events.cusum_events(eligible, sigma=vol, k=p.k, spacing_seconds=60 * p.spacing_minutes, floor="floor")
-    session = saved(features.reversion_side(bars.filter(events.in_session(F.col(TS), p.start, p.end)), p.lookback, vol=vol, block=p.block))
+    session = saved(features.reversion_side(alike(bars.filter(events.in_session(F.col(TS), p.start, p.end)), bars), p.lookback, vol=vol, block=p.block))
     barrier = saved(labels.triple_barrier(session, found, labels.Barriers(p.horizon, p.barrier, p.barrier, vol=vol, session_end=p.end)))
     weights = labels.sample_weights(bars, barrier)
     out = session.join(barrier.withColumnRenamed("t0", TS), [*KEYS, TS])

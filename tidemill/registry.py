@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.frames import TS, running_sum, with_position
+from tidemill.frames import TS, alike, running_sum, with_position
 from tidemill.operators import clean, cscv, cv, events, features, labels, montecarlo, quotes, report, stats
 from tidemill.operators.costs import classified_return, selected_return, takes, thresholds
 from tidemill.plans import adapters as a
@@ -297,7 +297,7 @@ def eligibility(spark, sf):
 
 def _cusum(spark, sf):
     bars = saved(a.feature_bars(spark, sf))
-    rows = bars.join(events.sigma_floor(bars, "vol_20"), ["pair"]).filter(events.in_session_with_runway(F.col(TS), 2, 60))
+    rows = alike(bars.join(events.sigma_floor(bars, "vol_20"), ["pair"]).filter(events.in_session_with_runway(F.col(TS), 2, 60)), bars)
     return rows, events.cusum_events(rows, sigma="vol_20", k=1.0, spacing_seconds=7200, floor="floor")
 
 
@@ -710,8 +710,8 @@ CSCV = f"""{MATRIX}, n as (select count(*) as n from events), blk as (select m.*
     res as (select combo, strategy as best_IS, perf_IS, perf_OOS, least(greatest(r / (k + 1), 1e-8), 1 - 1e-8) as relative_rank_OOS from rk where f = 1)""".replace("block in (a, b, c, d)", "block in (a, b, cmb.c, d)")
 KS = """ks as (select max(abs(g)) / (count(*) / 2) as ks_stat, count(*) // 2 as n from (select sum(own) over (order by v) - sum(1 - own) over (order by v) as g from (
         select relative_rank_OOS as v, 1 as own from res union all select cast('0x' || substr(md5('42:' || combo), 1, 13) as bigint) / pow(2::double, 52) as v, 0 as own from res))),
-    kz as (select *, (sqrt(n / 2.0) + 0.12 + 0.11 / sqrt(n / 2.0)) * ks_stat as z from ks),
-    kp as (select ks_stat, case when z > 0.2 then least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2 * k * k * z * z))))) else 1.0 end as ks_pval from kz),
+    kz as (select *, round(ks_stat * n)::bigint as k from ks),
+    kp as (select ks_stat, case when k > 0 then least(1, greatest(0, 2 * list_sum(list_transform(range(1, n // k + 1), lambda i: (case when i % 2 = 1 then 1 else -1 end) * exp(2 * lgamma(n + 1) - lgamma(n - i * k + 1) - lgamma(n + i * k + 1)))))) else 1.0 end as ks_pval from kz),
     zr as (select *, rank() over (order by perf_IS) + (count(*) over (partition by perf_IS) - 1) / 2 as ra, rank() over (order by perf_OOS) + (count(*) over (partition by perf_OOS) - 1) / 2 as rb from res),
     ov as (select avg(case when relative_rank_OOS > 0.5 then 1.0 else 0 end) as PBO, corr(ra, rb) as perf_degradation, avg(case when perf_OOS < 0 then 1.0 else 0 end) as prob_loss, any_value(ks_stat) as ks_stat, any_value(ks_pval) as ks_pval from zr, kp)"""
 

@@ -36,4 +36,6 @@ def saved(df: DataFrame) -> DataFrame:
     executor costs nothing. Spark deletes it when it is no longer referred to, if the session is started with
     ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    out._longest = dict(getattr(df, "_longest", {}))  # see frames.longest
+    return out
