@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.frames import KEYS, TS, alike, look_back, numbered, same, seconds, with_average_rank
-from tidemill.functions.times import utc_time
+from tidemill.functions.times import utc_time, with_nanoseconds
 from tidemill.operators.cv import block_of
 from tidemill.operators.labels import concurrency
 
@@ -114,7 +114,7 @@ def diagnostics(bars: DataFrame, events: DataFrame, keys: Sequence[str] = KEYS,
 def diagnostics_of_files(spark: SparkSession, events: str, bars: str, time: str = "t0", keys: Sequence[str] = KEYS, ts: str = TS) -> DataFrame:
     """``diagnostics`` of labelled events that were written, by the bars they were sampled from. Rows whose ``time`` is null
     don't count; a file without that column or a label is an error."""
-    found = spark.read.parquet(events)
+    found = with_nanoseconds(spark).read.parquet(events)
     if missing := {time, "label"} - set(found.columns):
         raise ValueError(f"no {', '.join(sorted(missing))} in {events}")
     rows = found.filter(F.col(time).isNotNull()).withColumn("t0", utc_time(found, time))

@@ -11,6 +11,7 @@ from tidemill.operators import cv, report
 from tidemill.operators.costs import Costs
 from tidemill.plans import models, stages
 from tidemill.sources.bars import pair_of_base
+from tidemill.sources.published import read_backtests
 from tidemill.storage import saved
 
 
@@ -45,11 +46,21 @@ def write(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def analyse(spark: SparkSession, path: str, blocks: int = 8, most: int | None = None) -> dict[str, DataFrame]:
-    """Metrics of all backtests under ``path`` and their summaries. Rows before a walk-forward's first test are not counted;
-    rows are numbered anew within each base and scheme."""
+    """Metrics of all backtests that ``write`` put under ``path``, and their summaries. Rows before a walk-forward's first test are
+    not counted; rows are numbered anew within each base and scheme."""
     m, splits = spark.read.parquet(f"{path}/M"), spark.read.parquet(f"{path}/splits")
     first = splits.filter("scheme = 'WF' and fold = 1").select("base", "scheme", F.array_min("test_idx").alias("_first"))
     m = m.join(first, ["base", "scheme"], "left").filter(F.col("row_idx") >= F.coalesce("_first", F.lit(0)))
     m = m.withColumn("row_idx", F.col("row_idx") - F.coalesce("_first", F.lit(0))).withColumn("pair", pair_of_base(F.col("base")))
-    metrics = saved(stages.analyse(m.select("base", "pair", "scheme", "row_idx", "t0", "strategy", "ret"), ("base", "pair", "scheme"), blocks, most))
+    return summaries(m, blocks, most)
+
+
+def analyse_published(spark: SparkSession, folder: str, blocks: int = 8, most: int | None = None, time: str | None = None, compat: bool = False) -> dict[str, DataFrame]:
+    """As ``analyse``, of the tables of other programs (``sources.published``)."""
+    return summaries(read_backtests(spark, folder, time, compat), blocks, most)
+
+
+def summaries(m: DataFrame, blocks: int = 8, most: int | None = None) -> dict[str, DataFrame]:
+    keys = ("base", "pair", "scheme")
+    metrics = saved(stages.analyse(m.select(*keys, "row_idx", "t0", "strategy", "ret"), keys, blocks, most))
     return {"metrics": metrics, "best_strategies": report.best_strategies(metrics), "models": report.model_summary(metrics), "best_cases": report.best_cases(metrics), "robustness": report.robustness(metrics)}

@@ -15,7 +15,7 @@ from tidemill.operators import clean, cscv, cv, events, features, labels, montec
 from tidemill.operators.costs import classified_return, selected_return, takes, thresholds
 from tidemill.plans import adapters as a
 from tidemill.plans import backtest, folds, models, stages
-from tidemill.sources import bars
+from tidemill.sources import bars, published
 from tidemill.sources.bars import quotes_from_events
 from tidemill.sources.sinks import observed, rounded, sheet_name, wide, write_csv, write_parquet
 from tidemill.storage import new_folder, saved
@@ -953,6 +953,31 @@ def written_tables(spark, sf):
     return spark.read.parquet(f"{path}/parquet").withColumn("way", F.lit("parquet")).unionByName(text).select("pair", "way", TS, "open", "high", "low", "close")
 
 
+def _published(spark, sf) -> str:
+    """A walk-forward and a combinatorial backtest of a pair, as their authors' programs write them."""
+    path, m, x = new_folder(spark, "published"), saved(a.return_matrix(spark, sf)), _rows(spark, sf)
+    table, n = wide(m, ["row_idx", "t0"], "strategy", "ret", list(a.STRATEGIES)), x.count()
+    for base, scheme, splits in (("EUR_USD_a", "WF", cv.walk_forward(x, n)), ("EUR_USD_a", "CPCV", cv.cpcv(x, n, 6, 12))):
+        table.repartitionByRange(3, "row_idx").sortWithinPartitions("row_idx").drop("row_idx").write.parquet(f"{path}/{base}_{scheme}_M.parquet")
+        cv.split_lists(splits).coalesce(1).sortWithinPartitions("fold").write.parquet(f"{path}/{base}_{scheme}_split.parquet")
+    times = cv.test_counts(splits).select("row_idx", F.col("n").alias("count"))
+    times.repartitionByRange(2, "row_idx").sortWithinPartitions("row_idx").drop("row_idx").write.parquet(f"{path}/EUR_USD_a_CPCV_counts.parquet")
+    return path
+
+
+@query(f"with {MATRIX}, k as (select count(*) - 5 * (count(*) // 6) as k from events), r as (select 'WF' as scheme, row_idx - k as row_idx, t0, strategy, ret from m, k where row_idx >= k union all select 'CPCV', row_idx, t0, strategy, ret from m) select 'EUR_USD_a' as base, 'EUR_USD' as pair, scheme, row_idx, t0, strategy, round(ret, 8) as ret from r where strategy in ({', '.join(f"'{k}'" for k in a.STRATEGIES)})")
+def published_backtests(spark, sf):
+    """Return matrices that others wrote, by their place in the files."""
+    return published.read_backtests(spark, _published(spark, sf))
+
+
+@query(f"with {MATRIX}, {ROWS}, {COMBOS}, c as (select row_idx, count(*) as n from roles where role = 'test' group by row_idx) select 'CPCV' as scheme, row_idx, strategy, round(coalesce(ret / n, 0), 11) as ret from m left join c using (row_idx) where strategy in ({', '.join(f"'{k}'" for k in a.STRATEGIES)})", 11)
+def published_means(spark, sf):
+    """The same divided by the counts of tests, as published analyses do."""
+    out = published.read_backtests(spark, _published(spark, sf), compat=True)
+    return out.filter("scheme = 'CPCV'").select("scheme", "row_idx", "strategy", "ret")
+
+
 WIDE = ", ".join(f"max(ret) filter (where strategy = '{k}') as {k}" for k in a.STRATEGIES)
 
 

@@ -76,7 +76,7 @@ def pair_of_base(base: Column) -> Column:
 
 def discover_backtests(files: DataFrame, path: str = "path") -> DataFrame:
     """From a table of paths: (base, pair) and the path, or null, of each artefact of a backtest that has a return matrix."""
-    name = F.regexp_extract(path, r"([^/]+?)(?:\.parquet)?/?$", 1)
+    name = F.regexp_extract(path, r"([^/]+?)(?:\.parquet)?(?:/part-[^/]*)?/?$", 1)
     of = lambda k: F.regexp_extract(name, r"^(.*)_(WF|CPCV)_(M|split|counts|results)s?$", k)
     parts = files.select(F.col(path).alias("path"), of(1).alias("base"), of(2).alias("scheme"), F.when(of(3) == "split", "splits").otherwise(of(3)).alias("kind"))
     kinds = [F.max(F.when((F.col("scheme") == s) & (F.col("kind") == k), F.col("path"))).alias(f"{s}_{k}") for s in ("WF", "CPCV") for k in ("M", "splits", "counts", "results")]
