@@ -142,3 +142,20 @@ def test_blocks_of_a_long_key_are_many_groups(spark):
     df = spark.range(20_000).select(F.lit("A").alias("pair"), (F.timestamp_seconds(F.col("id") * 600)).cast("timestamp_ntz").alias("ts"))
     sizes = [r["count"] for r in with_block(df, block=1000).groupBy("_b").count().collect()]
     assert len(sizes) >= 17 and max(sizes) <= 1000 + 144
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_many_quantiles_in_one_selection(spark, keys, most):
+    """Ties, heavy tails, a null key, keys of one value and of none; by a sketch and by one aggregation."""
+    import pandas as pd
+
+    rng, shares = np.random.default_rng(3), [0.0, 0.01, 0.25, 0.5, 0.5001, 0.9, 0.999, 1.0]
+    rows = [("a", float(x)) for x in np.round(rng.standard_cauchy(5000), 2)] + [("b", float(x)) for x in rng.integers(0, 3, 900)] + [("c", 7.0), ("d", None)] + [(None, float(x)) for x in range(40)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k if keys else "": r["_q"] for r in frames.exact_quantiles(df, F.col("x"), shares, keys, accuracy=200, most=most).collect()}
+    x = pd.DataFrame(rows, columns=["k", "x"]).dropna(subset=["x"])
+    want = {(None if k != k else k): g.x.quantile(shares).tolist() for k, g in x.groupby("k", dropna=False)} if keys else {"": x.x.quantile(shares).tolist()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9)

@@ -238,28 +238,41 @@ def in_blocks(df: DataFrame, machine: str, out: dict[str, str], keys: Sequence[s
     return alike(found.select(*keys, ts, *out), df)
 
 
-def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KEYS, accuracy: int = 10_000, most: int = 1_000_000) -> DataFrame:
-    """(key, _q): the exact quantile of ``x``, between neighbours in proportion, for each key with a value.
+def exact_quantiles(df: DataFrame, x: Column, shares: Sequence[float], keys: Sequence[str] = KEYS, accuracy: int = 10_000, most: int = 1_000_000) -> DataFrame:
+    """(key, _q): the exact quantiles of ``x`` at ``shares``, between neighbours in proportion, for each key with a value; all of
+    all keys in one selection.
 
-    Where no key has more than ``most`` values one aggregation holds them. Else a sketch of bounded size says where it lies, values below are only counted, and no more than a small share of a key's
-    values, those about the place, are put in order by one task.
+    Where no key has more than ``most`` rows one aggregation holds its values. Else a sketch of bounded size says between
+    which values each quantile lies; what is below is only counted, and of what is between, a small share of the rows, different
+    values are counted and put in order. So what a task holds of a key does not grow with the key's rows.
     """
-    rows = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
-    if longest(df, keys) <= most:
-        return rows.groupBy(*keys).agg(F.percentile("_x", F.lit(share)).alias("_q"))
-    edge = 4 / accuracy  # the sketch is right to 1 / accuracy, and ranks among accuracy values or more to as much again
-    near = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", [max(0.0, share - edge), min(1.0, share + edge)], accuracy).alias("_e"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))
-    low = F.when((F.col("_n") <= accuracy) | F.lit(share <= edge), F.col("_a")).otherwise(F.col("_e")[0])
-    high = F.when((F.col("_n") <= accuracy) | F.lit(share >= 1 - edge), F.col("_z")).otherwise(F.col("_e")[1])
-    near = near.select(*keys, "_n", low.alias("_low"), high.alias("_high"))
-    at = (F.col("_n") - 1) * F.lit(share)
-    joined = rows.join(near, [*keys])
-    below = joined.groupBy(*keys).agg(F.count_if(F.col("_x") < F.col("_low")).alias("_below"))
-    some = joined.filter(F.col("_x").between(F.col("_low"), F.col("_high"))).groupBy(*keys, "_n", "_x").agg(F.count("*").alias("_c")).join(below, [*keys])
-    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x"))
-    some = some.withColumn("_upto", upto)
+    shares = [float(s) for s in shares]
+    rows = alike(df.select(*keys, x.cast("double").alias("_x")).filter("_x is not null"), df)
+    if longest(rows, keys) <= most:
+        return rows.groupBy(*keys).agg(F.percentile("_x", F.array(*map(F.lit, shares))).alias("_q"))
+    edge, k = 4 / accuracy, len(shares)  # the sketch is right to 1 / accuracy, and ranks among accuracy values or more to as much again
+    ends = [max(0.0, s - edge) for s in shares] + [min(1.0, s + edge) for s in shares]
+    near = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", ends, accuracy).alias("_e"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))
+    low = [F.when((F.col("_n") <= accuracy) | F.lit(s <= edge), F.col("_a")).otherwise(F.col("_e")[i]) for i, s in enumerate(shares)]
+    high = [F.when((F.col("_n") <= accuracy) | F.lit(s >= 1 - edge), F.col("_z")).otherwise(F.col("_e")[k + i]) for i, s in enumerate(shares)]
+    near = near.select(*(F.col(c).alias(f"{c}_") for c in keys), "_n", F.array(*low).alias("_low"), F.array(*high).alias("_high"))
+    joined = rows.join(near, same(rows, near, keys)) if keys else rows.join(F.broadcast(near), F.lit(True))  # a row a key
+    below = joined.groupBy(*keys, "_n").agg(F.array(*(F.count_if(F.col("_x") < F.col("_low")[i]) for i in range(k))).alias("_below"))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("_x") >= F.get("_low", i)) & (F.col("_x") <= F.get("_high", i)))
+    some = joined.withColumn("_s", F.explode(inside)).groupBy(*keys, "_s", "_x").agg(F.count("*").alias("_c"))
+    below = below.select(*(F.col(c).alias(f"{c}_") for c in keys), "_n", "_below")
+    some = some.join(below, same(some, below, keys)) if keys else some.join(F.broadcast(below), F.lit(True))
+    some = some.withColumn("_upto", F.get("_below", F.col("_s")) + F.sum("_c").over(Window.partitionBy(*keys, "_s").orderBy("_x")))
+    at = (F.col("_n") - 1) * F.element_at(F.array(*map(F.lit, shares)), F.col("_s") + 1)
     a, b = (F.min(F.when(F.col("_upto") > f(at), F.col("_x"))) for f in (F.floor, F.ceil))
-    return some.groupBy(*keys, "_n").agg(a.alias("_a"), b.alias("_b")).select(*keys, (F.col("_a") + (at - F.floor(at)) * (F.col("_b") - F.col("_a"))).alias("_q"))
+    found = some.groupBy(*keys, "_s", "_n").agg(a.alias("_a"), b.alias("_b")).select(*keys, F.struct("_s", (F.col("_a") + (at - F.floor(at)) * (F.col("_b") - F.col("_a"))).alias("_v")).alias("_p"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["_v"]).alias("_q"))  # a value a share
+
+
+def exact_quantile(df: DataFrame, x: str, share: float, keys: Sequence[str] = KEYS, accuracy: int = 10_000, most: int = 1_000_000) -> DataFrame:
+    """(key, _q): one of ``exact_quantiles``."""
+    out = exact_quantiles(df, F.col(x), [share], keys, accuracy, most)
+    return out.select(*keys, F.col("_q")[0].alias("_q"))
 
 
 def full(value: Callable, x: Column, w: WindowSpec, size: int, least: int | None = None) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.frames import exact_quantiles
+
 # Slippage in basis points by hour (UTC).
 HOURLY_BPS = {
     0: 0.18, 1: 0.18, 2: 0.18, 3: 0.18, 4: 0.18, 5: 0.18, 6: 0.15, 7: 0.10, 8: 0.08, 9: 0.06, 10: 0.06, 11: 0.06,
@@ -55,5 +57,5 @@ def takes(prediction: Column, threshold: Column, compat: bool = False) -> Column
 
 def thresholds(predictions: DataFrame, by: Sequence[str], quantiles: Sequence[float], column: str = "prediction") -> DataFrame:
     """(by, q, threshold): exact quantiles of the predictions of each group."""
-    q = predictions.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, map(float, quantiles)))).alias("x"))
-    return q.select(*by, F.posexplode("x").alias("i", "threshold")).select(*by, F.element_at(F.array(*map(F.lit, map(float, quantiles))), F.col("i") + 1).alias("q"), "threshold")
+    q = exact_quantiles(predictions, F.col(column), quantiles, by)
+    return q.select(*by, F.posexplode("_q").alias("i", "threshold")).select(*by, F.element_at(F.array(*map(F.lit, map(float, quantiles))), F.col("i") + 1).alias("q"), "threshold")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.frames import BLOCK, KEYS, TS, alike, exact_quantile, in_blocks, look_back, seconds
+from tidemill.frames import BLOCK, KEYS, TS, alike, exact_quantile, exact_quantiles, in_blocks, look_back, seconds
 
 
 def in_session(ts: Column, start: int = 8, end: int = 18) -> Column:
@@ -115,5 +115,5 @@ def filter_stats(df: DataFrame, eligible: Column, events: DataFrame, keys: Seque
 
 def abs_quantiles(df: DataFrame, x: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """(key, p50, p90, p99) of the size of ``x``."""
-    q = df.groupBy(*keys).agg(F.percentile(F.abs(x), F.array(*map(F.lit, (0.5, 0.9, 0.99)))).alias("q"))
-    return q.select(*keys, *(F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+    q = exact_quantiles(df, F.abs(x), (0.5, 0.9, 0.99), keys)
+    return q.select(*keys, *(F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))))

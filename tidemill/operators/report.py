@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.frames import KEYS, TS, alike, look_back, numbered, same, seconds, with_average_rank
+from tidemill.frames import KEYS, TS, alike, exact_quantiles, look_back, numbered, same, seconds, with_average_rank
 from tidemill.functions.times import utc_time, with_nanoseconds
 from tidemill.operators.cv import block_of
 from tidemill.operators.labels import concurrency
@@ -19,14 +19,22 @@ def share(x: Column) -> Column:
 
 
 def describe(df: DataFrame, x: str, keys: Sequence[str] = ()) -> DataFrame:
-    q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q.alias("_q"), F.max(x).alias("max"))
+    """(key, n, mean, std, min, p25, p50, p75, max) of ``x``, quantiles exact; null where a key has no value."""
+    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    out = _with_quantiles(out, exact_quantiles(df, F.col(x), (0.25, 0.5, 0.75), keys), keys)
     return out.select(*keys, "n", "mean", "std", "min", *(F.col("_q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))), "max")
 
 
+def _with_quantiles(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows``, of a row a key, with the quantiles of each; null where there are none."""
+    found = found.select(*(F.col(k).alias(f"{k}_") for k in keys), "_q")
+    return rows.join(found, same(rows, found, keys) if keys else F.lit(True), "left").drop(*(f"{k}_" for k in keys))
+
+
 def quantiles(df: DataFrame, x: Column, keys: Sequence[str] = (), at: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """(key, q10, ...): exact quantiles; null where there is no value."""
-    out = df.groupBy(*keys).agg(F.percentile(x, F.array(*map(F.lit, at))).alias("_q"))
+    every = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    out = _with_quantiles(every, exact_quantiles(df, x, at, keys), keys)
     return out.select(*keys, *(F.col("_q")[i].alias(f"q{round(100 * p):02d}") for i, p in enumerate(at)))
 
 
