@@ -88,23 +88,31 @@ def running_sum(df: DataFrame, x: Column, name: str, keys: Sequence[str] = KEYS,
     return alike(out.withColumn(name, F.col("_base") + F.col("_own")).drop("_day", "_x", "_own", "_base"), df)
 
 
-def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str, Column] | tuple[dict[str, Column], ...]], keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK, place: bool = False) -> DataFrame:
+def look_back(df: DataFrame, back: int, build: Callable[[WindowSpec], dict[str, Column] | tuple[dict[str, Column], ...]], keys: Sequence[str] = KEYS, ts: str = TS, block: int | None = BLOCK, strict: bool = False) -> DataFrame:
     """``df`` with the columns that ``build`` makes from a window that reads at most ``back`` rows before a row; of several
-    sets of columns the later may use the earlier, and with ``place`` a row's place ``_pos`` in what is read.
+    sets of columns the later may use the earlier.
 
     Where a key has more than ``block`` rows, its days are dealt in blocks of about that many rows, each after copies of the
     days that hold the ``back`` rows before it. Where days go is a table of a row a key and day; rows are shuffled once by
-    their blocks. Same values either way.
+    their blocks. With ``strict`` a block has no more than ``block`` rows, and the ``back`` before it, so rows are numbered first;
+    ``build`` may use a row's place ``_pos`` then. Same values either way.
     """
     def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = rows.withColumn("_pos", F.row_number().over(w)) if place else rows
+        rows = rows.withColumn("_pos", F.row_number().over(w)) if strict else rows
         made = build(w)
         for columns in made if isinstance(made, tuple) else (made,):
             rows = rows.withColumns(columns)
-        return rows.drop("_pos") if place else rows
+        return rows.drop("_pos") if strict else rows
 
     if block is None or longest(df, keys) <= block:
         return alike(add(df, ordered(keys, ts)), df)
+    if strict:
+        if back > block:
+            raise ValueError("a block must hold the rows that a window looks back")
+        rows = with_position(df, keys, ts, "_at").withColumn("_b", F.floor(F.col("_at") / block))
+        also = F.when(F.col("_at") % block >= block - back, F.array(F.col("_b"), F.col("_b") + 1)).otherwise(F.array("_b"))
+        out = add(rows.withColumn("_in", F.explode(also)), Window.partitionBy(*keys, "_in").orderBy("_at")).filter("_in = _b")
+        return alike(out.drop("_at", "_b", "_in"), df)
     order = Window.partitionBy(*keys).orderBy("_day")
     days = _days(df, keys, ts, F.count("*"), "_before").withColumns({"_b": F.floor(F.col("_before") / block).cast("int"), "_end": F.col("_before") + F.col("_n")})
     days = days.withColumn("_next", F.lead("_b").over(order)).withColumn("_next", F.when(F.col("_next") != F.col("_b"), F.col("_next")))

@@ -58,7 +58,7 @@ def with_ewma(df: DataFrame, x: str = "ret_1", span: int = 50, name: str | None
         var = (squares / total - mean / total * mean / total) / (1 - same / total / total)
         return {name or f"ewma_{span}": F.when(F.count(c).over(upto) > 1, F.sqrt(F.greatest(var, F.lit(0.0))))}
 
-    out = look_back(df, back, lambda w: (terms(w), sums(w), value(w)), keys, ts, block, place=True)
+    out = look_back(df, back, lambda w: (terms(w), sums(w), value(w)), keys, ts, block, strict=True)
     return alike(out.drop("_gap", "_x", "_w"), out)
 
 
