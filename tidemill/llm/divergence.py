@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROOT, map_arrow, saved, small
+from tidemill.llm.common import ROOT, map_arrow, saved, small, written
 
 #: Groups in a block and terms in a bucket: what a tile holds of either.
 GROUPS, TERMS = 64, 1024
@@ -169,7 +169,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
     counts = map_arrow(rows, __name__, "count_batches", "lang string, source string, term string, n long, docs long")
-    counts = saved(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    counts = written(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     terms = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n"), F.count("*").alias("spread"))
     terms = saved(terms.filter(F.col("docs") >= least).drop("docs"))
     kept = saved(counts.select("lang", "source", "term", "n").join(small(terms), ["lang", "term"]))
