@@ -136,3 +136,26 @@ def test_folds_of_odd_tables(spark, data):
     assert {r[0] for r in out.select("fold").distinct().collect()} == {2}
     flat = df.withColumn("a", F.lit(1.0)).withColumn("weight", F.lit(None).cast("double"))
     assert models.run_scheme(flat, splits, ["a", "b"], models=("logit_cls", "lin_reg", "gbt_cls"), trees=1).filter("ret is null or isnan(ret)").count() == 0
+
+
+def test_thousands_of_folds(data):
+    """14 blocks have 3,432 folds; each row is in half of the tests, and what purging leaves is what its definition leaves."""
+    import time
+
+    df, began = data[0], time.time()
+    splits = cv.cpcv(df, N, 14, purge=3600, embargo=7200)
+    tests = splits.filter("role = 'test'").groupBy("row_idx").count().collect()
+    assert len(tests) == N and {r["count"] for r in tests} == {1716} and time.time() - began < 90
+    rows = {r.row_idx: (r.t0, r.t_end) for r in df.collect()}
+    for fold in (1, 1000, 3432):
+        own = splits.filter(F.col("fold") == fold).collect()
+        test, train = ({r.row_idx for r in own if r.role == x} for x in ("test", "train"))
+        runs, last = [], None
+        for i in sorted(test):
+            runs, last = (runs[:-1] + [(runs[-1][0], i)] if last is not None and i == last + 1 else runs + [(i, i)]), i
+        hour = np.timedelta64(1, "h").astype("timedelta64[s]").item()
+        want = {
+            i for i in set(rows) - test
+            if not any(rows[i][0] <= rows[b][1] + hour and rows[i][1] >= rows[a][0] - hour or rows[b][1] < rows[i][0] <= rows[b][1] + 2 * hour for a, b in runs)
+        }
+        assert train == want
