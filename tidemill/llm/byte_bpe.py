@@ -123,12 +123,14 @@ def _map(df: DataFrame, key: str, column: str, name: str, schema: str, path: str
 
 
 def encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
-    """(key, ids, starts, ends) of every row: token ids with the characters they cover. Null counts as empty."""
+    """(key, ids, starts, ends) of every row: token ids with the characters they cover. Null counts as empty; repeated rows
+    are each encoded; other columns, whatever their names, are not read; an empty table gives an empty one."""
     return _map(df, key, text, "encode_batches", "ids array<long>, starts array<long>, ends array<long>", path, pattern)
 
 
 def decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> DataFrame:
-    """(key, data, text) of every row of ids: the bytes, and as text with U+FFFD where they are no UTF-8. Null counts as empty."""
+    """(key, data, text) of every row of ids: the bytes, and as text with U+FFFD where they are no UTF-8. Null counts as
+    empty; repeated rows are each decoded; other columns, whatever their names, are not read; an empty table gives an empty one."""
     return _map(df, key, ids, "decode_batches", "data binary, text string", path, pattern)
 
 

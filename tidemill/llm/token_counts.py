@@ -145,6 +145,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, li
 
 def token_counts(df: DataFrame, key: str, text: str, path: str, pattern: str, limit: int = 512) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every row. Null counts as empty, with no tokens; repeated rows are each
-    counted; other columns are not read. Whole texts, of any length: a piece of n bytes takes O(n log n)."""
+    counted; other columns, whatever their names, are not read; an empty table gives an empty one. Whole texts, of any
+    length: a piece of n bytes takes O(n log n)."""
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return map_arrow(rows, __name__, "count_batches", f"id {dict(df.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean", path=path, pattern=pattern, limit=limit).withColumnRenamed("id", key)

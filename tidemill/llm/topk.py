@@ -256,7 +256,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     Vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; a short vector
     counts as filled up with zeros; of rows that repeat an id the one with the least vector counts. Fewer than k others: all
     of them. A product beyond a long raises OverflowError. The index is fitted on ``CELLS * SAMPLE`` rows at most, drawn by a
-    hash of their ids; all rows are in it.
+    hash of their ids; all rows are in it. Other columns, whatever their names, are not read; an empty table gives an empty one.
     """
     x = F.col("vec")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
