@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         given = context.getConf().get("spark.checkpoint.dir")
-        if not given and not context.master.startswith("local["):
+        if not given and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         context.setCheckpointDir(given or tempfile.mkdtemp("-checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
