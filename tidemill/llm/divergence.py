@@ -9,6 +9,7 @@ one bucket of terms.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ GROUPS, TERMS = 64, 1024
 #: A term is heavy if at least one in so many groups of its language has it.
 HEAVY = 3
 #: Counts that a task gathers before it passes them on.
-ENTRIES = 200_000
+ENTRIES = 400_000
 UNIT = 1_000_000_000
 #: Bytes of terms to themselves (A-Z in lower case), all others to a space.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -33,33 +34,28 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 els
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) from (lang, source, text), summed over as many rows as fit ``ENTRIES``; a row with a null
     term tells of a group."""
-    found: dict = {}
+    names = ["lang", "source", "term", "n", "docs"]
+    found: dict[tuple, tuple[Counter, Counter]] = {}
     size = 0
 
-    def out() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs) for (lang, source), terms in found.items() for term, (n, docs) in terms.items()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([x.decode() if x is not None else x for x in c] if k == 2 else list(c), kind) for k, (c, kind) in enumerate(zip(columns, kinds, strict=True))], ["lang", "source", "term", "n", "docs"])
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in found.items():
+            terms = [None, *n]
+            columns = (pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns), names)
 
     for b in batches:
-        for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            terms = found.setdefault((lang, source), {None: [0, 0]})
-            before, seen = len(terms), {}
-            for term in text.encode().translate(LETTERS).split():
-                seen[term] = seen.get(term, 0) + 1
-            for term, n in seen.items():
-                entry = terms.get(term)
-                if entry is None:
-                    terms[term] = [n, 1]
-                else:
-                    entry[0] += n
-                    entry[1] += 1
-            size += len(terms) - before
+        texts = b.column(2).cast(pa.binary())
+        for lang, source, text in zip(*(c.to_pylist() for c in (*b.columns[:2], texts)), strict=True):
+            n, docs = found.setdefault((lang, source), (Counter(), Counter()))
+            terms, before = text.translate(LETTERS).split(), len(n)
+            n.update(terms)
+            docs.update(set(terms))
+            size += len(n) - before
             if size >= ENTRIES:
-                yield out()
+                yield from out()
                 found, size = {}, 0
-    yield out()
+    yield from out()
 
 
 def share(count: np.ndarray, of: np.ndarray | int) -> np.ndarray:
