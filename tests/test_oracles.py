@@ -30,3 +30,17 @@ def test_matches_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"fold_scores", "labelled_events"}))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", ["clean_stage", "join_stage"])
+def test_a_bid_of_zero_leaves_the_ask(spark, sf_dir, tmp_path, name):
+    """Sides are cleaned each by its own prices: where the bid is zero the ask is the spread, which is sane."""
+    events = f"select * replace (case when event_id % 97 = 0 then 0.0 else value end as value) from '{sf_dir}/events.parquet'"
+    duckdb.sql(f"copy ({events}) to '{tmp_path}/events.parquet'")
+    c = duckdb.connect()
+    c.sql(f"create view events as from '{tmp_path}/events.parquet'")
+    assert c.sql("select count(*) from events where value = 0").fetchall()[0][0] > 5
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), c.sql(ORACLES[name]).df()
+    columns = sorted(want.columns)
+    rows = lambda x: sorted(map(tuple, x[columns].astype(str).values))
+    assert rows(got) == rows(want)
