@@ -103,3 +103,9 @@ def test_exact_two_sample_p_values(spark, n):
     big = spark.createDataFrame([(0.02, 10_000), (0.02, 10_001)], "d double, n int")
     p, q = (r[0] for r in big.select(normal.kolmogorov_p(F.col("d"), F.col("n"))).collect())
     assert p == pytest.approx(q, rel=0.02)
+
+
+def test_counts_are_not_broadcast(spark, folder):
+    """Repeated counts of millions of rows are a file of few bytes; only tables of a row a file, base or fold are broadcast."""
+    plan = published.read_backtests(spark, folder[0] + "/EUR*", compat=True).filter("scheme = 'CPCV'")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan

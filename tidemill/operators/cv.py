@@ -120,10 +120,12 @@ def _neighbours(numbers: list[int]) -> list[list[int]]:
     return out
 
 
-def split_lists(splits: DataFrame) -> DataFrame:
-    """(fold, train_idx, test_idx, n_train, n_test, and their first and last): one row a fold, as split files have it."""
+def split_lists(splits: DataFrame, most: int | None = None) -> DataFrame:
+    """(fold, train_idx, test_idx, n_train, n_test, and their first and last): one row a fold, as split files have it. With ``most`` a row
+    has the places of one span of that many, ``part``, so that no row, group or task holds a whole fold of a large table."""
     of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("row_idx"))))
-    rows = splits.groupBy("fold").agg(of("train").alias("train_idx"), of("test").alias("test_idx"))
+    by = ["fold"] if most is None else ["fold", F.floor(F.col("row_idx") / most).cast("int").alias("part")]
+    rows = splits.groupBy(*by).agg(of("train").alias("train_idx"), of("test").alias("test_idx"))
     ends = [f(f"{r}_idx").alias(f"{r}_{n}") for r in ("train", "test") for f, n in ((F.array_min, "start"), (F.array_max, "end"))]
     return rows.select("*", *ends, F.size("train_idx").alias("n_train"), F.size("test_idx").alias("n_test"))
 

@@ -32,13 +32,14 @@ def placed(spark: SparkSession, files: list[str]) -> DataFrame:
     if not files:
         raise ValueError("no such tables")
     rows = with_nanoseconds(spark).read.option("mergeSchema", "true").parquet(*files)
-    path = F.col("_metadata.file_path")
-    base = F.regexp_extract(path, r"([^/]+)_(?:WF|CPCV)_[A-Za-z]+\.parquet(?:/part-[^/]*)?$", 1)
-    rows = rows.select("*", base.alias("_base"), F.regexp_extract(path, PART, 1).alias("_part"), F.col("_metadata.row_index").alias("_row"))
-    sizes = rows.groupBy("_base", "_part").agg(F.count("*").alias("_n"))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    # names are read once a file, not once a row
+    base = F.regexp_extract("_path", r"([^/]+)_(?:WF|CPCV)_[A-Za-z]+\.parquet(?:/part-[^/]*)?$", 1)
+    sizes = rows.groupBy("_path").agg(F.count("*").alias("_n")).select("_path", "_n", base.alias("_base"), F.regexp_extract("_path", PART, 1).alias("_part"))
     before = Window.partitionBy("_base").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_base", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))  # a row a file
-    return rows.join(sizes, ["_base", "_part"]).withColumn("_place", F.col("_from") + F.col("_row")).drop("_part", "_row", "_from")
+    sizes = sizes.select("_path", "_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))  # a row a file
+    # files of few bytes can hold millions of rows: without the hint Spark may broadcast these
+    return rows.join(F.broadcast(sizes), "_path").withColumn("_place", F.col("_from") + F.col("_row")).drop("_path", "_row", "_from")
 
 
 def _time(rows: DataFrame, time: str | None) -> str:
@@ -51,25 +52,47 @@ def _time(rows: DataFrame, time: str | None) -> str:
     return names[0]
 
 
-def _matrix(spark: SparkSession, files: list[str], scheme: str, time: str | None) -> DataFrame:
+def _matrix(spark: SparkSession, files: list[str], scheme: str, time: str | None, first: DataFrame | None = None, n: DataFrame | None = None) -> DataFrame:
+    """(base, scheme, row_idx, t0, strategy, ret); rows before ``first`` (base, first) are left out, unless that would leave none,
+    and the others numbered anew; returns are divided by ``n`` (base, row_idx, n). Rows are joined while they are wide."""
     rows = placed(spark, files)
     time = _time(rows, time)
     at = utc_time(rows, time)
     at = F.when(at.isNull(), F.raise_error(F.lit("a row without a time")).cast("timestamp_ntz")).otherwise(at).alias("t0")
     names = [c for c, k in rows.dtypes if k in NUMBERS and c not in ("_place", time)]
-    cells = F.array(*(F.struct(F.lit(c).alias("strategy"), F.col(f"`{c}`").cast("double").alias("ret")) for c in names))
-    long = rows.select(F.col("_base").alias("base"), F.lit(scheme).alias("scheme"), F.col("_place").alias("row_idx"), at, F.explode(cells).alias("x")).select("base", "scheme", "row_idx", "t0", "x.*")
+    values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in names]
     # strategies that a base has: other bases' columns are null in all of its rows
-    own = long.groupBy("base", "strategy").agg(F.count("ret").alias("n")).filter("n > 0").select("base", "strategy")
-    value = F.coalesce(F.nanvl("ret", F.lit(None).cast("double")), F.lit(0.0))
-    return long.join(own, ["base", "strategy"]).select("base", "scheme", "row_idx", "t0", "strategy", value.alias("ret"))
+    own = F.filter(F.array(*(F.when(F.count(F.col(f"`{c}`")) > 0, F.lit(c)) for c in names)), lambda c: c.isNotNull()) if names else F.array().cast("array<string>")
+    known = rows.groupBy("_base").agg(own.alias("_own"), F.max("_place").alias("_last"))  # a row a base
+    rows = rows.select("_base", "_place", at, *(v.alias(f"_v{i}") for i, v in enumerate(values)))
+    values, place = [F.coalesce(f"_v{i}", F.lit(0.0)) for i in range(len(names))], F.col("_place")
+    if first is not None:
+        start = F.when((F.col("first") > 0) & (F.col("first") <= F.col("_last")), F.col("first")).otherwise(0)
+        known = known.join(first.withColumnRenamed("base", "_base"), "_base", "left").withColumn("_start", start).drop("first")
+        place = place - F.col("_start")
+    if n is not None:
+        least = n.filter("n is not null").groupBy("base").agg(F.min("row_idx").alias("_least"))
+        known = known.join(least.withColumnRenamed("base", "_base"), "_base", "left").withColumn("_counted", F.coalesce(F.col("_least") <= F.col("_last"), F.lit(False))).drop("_least")
+    rows = rows.join(F.broadcast(known), "_base")
+    rows = rows if first is None else rows.filter("_place >= _start")
+    if n is not None:
+        # a table of counts has few bytes, so Spark takes it for a small one
+        times = n.select(F.col("base").alias("_base"), F.col("row_idx").alias("_place"), "n").hint("merge")
+        rows = rows.join(times, ["_base", "_place"], "left")
+        values = [F.when(~F.col("_counted"), v).when(F.col("n") > 0, v / F.col("n")).otherwise(0.0) for v in values]
+    cells = [F.struct(F.lit(c).alias("strategy"), v.alias("ret")) for c, v in zip(names, values, strict=True)]
+    cells = F.filter(F.array(*cells), lambda x: F.array_contains("_own", x["strategy"])) if cells else F.array().cast("array<struct<strategy:string,ret:double>>")
+    return rows.select(F.col("_base").alias("base"), F.lit(scheme).alias("scheme"), place.alias("row_idx"), "t0", F.explode(cells).alias("x")).select("base", "scheme", "row_idx", "t0", "x.*")
 
 
 def first_tests(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(base, first): the least place that each base's first fold tests."""
+    """(base, first): the least place that each base's first fold tests; a fold may be several rows."""
     rows = placed(spark, files)
     tests = F.col("test_idx") if dict(rows.dtypes)["test_idx"].startswith("array") else index_list(F.col("test_idx"))
-    return rows.groupBy("_base").agg(F.min_by(F.array_min(tests), "_place").alias("first")).select(F.col("_base").alias("base"), "first")
+    fold = F.col("fold").cast("string") if "fold" in rows.columns else F.col("_place").cast("string")
+    least = rows.select(F.col("_base").alias("base"), fold.alias("fold"), "_place", F.array_min(tests).alias("least"))
+    by_fold = least.groupBy("base", "fold").agg(F.min("_place").alias("_place"), F.min("least").alias("least"))  # a row a fold
+    return by_fold.groupBy("base").agg(F.min_by("least", "_place").alias("first"))
 
 
 def counts(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -93,17 +116,10 @@ def read_backtests(spark: SparkSession, folder: str, time: str | None = None, co
         raise ValueError(f"no split table of {', '.join(bare[:5])}")
     out = None
     if files := of("WF_M"):
-        m = _matrix(spark, files, "WF", time)
-        size = m.groupBy("base").agg(F.max("row_idx").alias("last"))
-        start = size.join(first_tests(spark, of("WF_splits")), "base", "left")
-        start = start.select("base", F.when((F.col("first") > 0) & (F.col("first") <= F.col("last")), F.col("first")).otherwise(0).alias("first"))
-        out = m.join(start, "base").filter("row_idx >= first").withColumn("row_idx", F.col("row_idx") - F.col("first")).drop("first")
+        out = _matrix(spark, files, "WF", time, first=first_tests(spark, of("WF_splits")))
     if files := of("CPCV_M"):
-        m = _matrix(spark, files, "CPCV", time)
-        if compat and of("CPCV_counts"):
-            m = m.join(counts(spark, of("CPCV_counts")), ["base", "row_idx"], "left")
-            have = F.max(F.col("n").isNotNull()).over(Window.partitionBy("base", "strategy"))
-            m = m.withColumn("ret", F.when(~have, F.col("ret")).when(F.col("n") > 0, F.col("ret") / F.col("n")).otherwise(0.0)).drop("n")
+        n = counts(spark, of("CPCV_counts")) if compat and of("CPCV_counts") else None
+        m = _matrix(spark, files, "CPCV", time, n=n)
         out = m if out is None else out.unionByName(m)
     if out is None:
         raise ValueError(f"no backtests below {folder}")
