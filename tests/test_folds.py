@@ -159,3 +159,15 @@ def test_thousands_of_folds(data):
             if not any(rows[i][0] <= rows[b][1] + hour and rows[i][1] >= rows[a][0] - hour or rows[b][1] < rows[i][0] <= rows[b][1] + 2 * hour for a, b in runs)
         }
         assert train == want
+
+
+def test_uses_are_bits_of_words_and_scores_of_one_role(data):
+    """40 folds take more than one word; only the uses in a role that is asked for are scored."""
+    df, rows = data[0], cv.walk_forward(data[0], N, 40)
+    table, of = folds.folded(df, rows, ["a", "b", "c"])
+    got = table.select("row_idx", "trains", "tests").collect()
+    used = {(f, role, r.row_idx) for r in got for role, words in (("train", r.trains), ("test", r.tests)) for k, f in enumerate(of) if words[k // folds.WORD] >> k % folds.WORD & 1}
+    want = {(r.fold, r.role, r.row_idx) for r in rows.collect()}
+    assert len(of) == 40 and used == want
+    scores = folds.scored(table, of, 3, ["lin_reg"], roles=["test"]).select("fold", "role", "row_idx").collect()
+    assert {tuple(r) for r in scores} == {x for x in want if x[1] == "test"} and len(scores) == len(set(scores))

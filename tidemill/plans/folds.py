@@ -24,6 +24,8 @@ from tidemill.storage import saved
 CLASSES = 3
 #: What a row says in a fold.
 TRAIN, TEST = 1, 2
+#: Folds that a word has a bit for.
+WORD = 32
 #: Numbers of rows by folds by values that a task works on at once.
 CELLS = 1 << 21
 #: Partitions beyond which sums are taken in two steps.
@@ -47,17 +49,19 @@ def shipped(module: str, name: str, **given) -> Callable:
 def folded(rows: DataFrame, splits: DataFrame, columns: Sequence[str], weight: str = "weight") -> tuple[DataFrame, list[int]]:
     """(table, folds): the rows of ``splits`` that are complete in ``columns``, return and label, once each: features ``x``,
     class ``y`` (label + 1), return ``r``, weight ``w`` (1 if missing), time ``t0``, and which of ``folds`` (by place) use it
-    to train or test. The table is saved, as several passes read it."""
+    to train or test, as bits of words. The table is saved, as several passes read it."""
     folds = [r[0] for r in splits.select("fold").distinct().orderBy("fold").collect()]  # a row a fold
     at = F.element_at(F.create_map(*(F.lit(v) for k, f in enumerate(folds) for v in (f, k))), F.col("fold")) if folds else F.lit(None).cast("int")
-    use = F.array_sort(F.collect_list(F.struct(at.alias("f"), F.when(F.col("role") == "train", TRAIN).otherwise(TEST).alias("r"))))
-    uses = splits.groupBy("row_idx").agg(use.alias("uses"))
+    bits = lambda role, k: F.bit_or(F.when((F.coalesce(F.col("role") == "train", F.lit(False)) == role) & (F.floor(F.col("_f") / WORD) == k), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_f") % WORD).cast("int"))).otherwise(F.lit(0).cast("long")))
+    words = range(max(1, -(-len(folds) // WORD)))
+    # numbers alone, which tasks add up before rows are shuffled
+    uses = splits.withColumn("_f", at).groupBy("row_idx").agg(*(bits(role, k).alias(f"_{role}{k}") for role in (True, False) for k in words))
     given = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight in rows.columns else F.lit(1.0)
     table = rows.dropna(subset=[*columns, "fwd_log_ret", "label"]).join(uses, "row_idx")
     return saved(
         table.select(
             "row_idx", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"), (F.col("label") + 1).cast("int").alias("y"), F.col("fwd_log_ret").cast("double").alias("r"),
-            given.alias("w"), F.col("uses.f").alias("fold_at"), F.col("uses.r").alias("role_of"), "t0",
+            given.alias("w"), F.array(*(f"_{True}{k}" for k in words)).alias("trains"), F.array(*(f"_{False}{k}" for k in words)).alias("tests"), "t0",
         )
     ), folds
 
@@ -70,6 +74,13 @@ def moments(table: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, scale
 
 
+def flags(b: pa.RecordBatch, name: str, folds: int) -> np.ndarray:
+    """Rows by folds: whether the fold's bit is set in a row's words."""
+    words = b.column(name).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(b.num_rows, -1)
+    bits = np.unpackbits(words.view(np.uint8).reshape(*words.shape, 8), axis=2, bitorder="little")[:, :, :WORD]
+    return bits.reshape(b.num_rows, words.shape[1] * WORD)[:, :folds].astype(bool)
+
+
 class Rows:
     """Rows of the table as arrays: ids, features, class, return, weight, and roles (rows by folds)."""
 
@@ -78,9 +89,7 @@ class Rows:
         self.ids = b.column("row_idx").to_numpy()
         self.x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
         self.y, self.r, self.w = (b.column(c).to_numpy() for c in ("y", "r", "w"))
-        self.roles = np.zeros((n, folds), np.int8)
-        sizes = np.diff(b.column("fold_at").offsets.to_numpy())
-        self.roles[np.repeat(np.arange(n), sizes), b.column("fold_at").flatten().to_numpy()] = b.column("role_of").flatten().to_numpy()
+        self.roles = np.where(flags(b, "tests", folds), np.int8(TEST), np.where(flags(b, "trains", folds), np.int8(TRAIN), np.int8(0)))
 
     @property
     def trains(self) -> np.ndarray:
@@ -169,23 +178,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def newton_batches(batches: Iterator[pa.RecordBatch], folds: int, mean: np.ndarray, scale: np.ndarray, beta: np.ndarray, live: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Loss, gradient and Hessian of each live fold's softmax regression at ``beta`` (live folds, classes, features)."""
     k, n = beta.shape[1:]
-    loss, grad, hess = np.zeros(len(live)), np.zeros((len(live), k, n)), np.zeros((len(live), k, n, k, n))
-    for _, rows in chunks(batches, folds, k):
+    m, (up, down) = len(live), np.triu_indices(n)
+    sides = [(i, j) for i in range(k) for j in range(i, k)]
+    loss, grad, curve = np.zeros(m), np.zeros((m * k, n)), np.zeros((m * len(sides), len(up)))
+    for _, rows in chunks(batches, folds, 4 * k):
         a = design(rows.x, mean, scale)
-        p = softmax((a @ beta.reshape(-1, n).T).reshape(len(a), len(live), k))
+        p = softmax((a @ beta.reshape(-1, n).T).reshape(len(a), m, k))
         w = rows.w[:, None] * rows.trains[:, live]
         loss -= (w * np.log(np.maximum(p[np.arange(len(a)), :, rows.y], 1e-300))).sum(0)
         error = w[:, :, None] * (p - (rows.y[:, None, None] == np.arange(k)))
-        grad += np.einsum("rfk,rn->fkn", error, a)
-        for f in range(len(live)):
-            used = w[:, f] > 0
-            b, q, v = a[used], p[used, f], w[used, f]
-            for i in range(k):
-                for j in range(i, k):
-                    part = (b * (v * q[:, i] * ((i == j) - q[:, j]))[:, None]).T @ b
-                    hess[f, i, :, j, :] += part
-                    if i != j:
-                        hess[f, j, :, i, :] += part
+        grad += error.reshape(len(a), -1).T @ a
+        # products of two features once for all folds and classes
+        part = np.stack([w * p[:, :, i] * ((i == j) - p[:, :, j]) for i, j in sides], 2)
+        curve += part.reshape(len(a), -1).T @ (a[:, up] * a[:, down])
+    hess = np.zeros((m, k, n, k, n))
+    for s, (i, j) in enumerate(sides):
+        block = np.zeros((m, n, n))
+        block[:, up, down] = block[:, down, up] = curve.reshape(m, len(sides), -1)[:, s]
+        hess[:, i, :, j, :] = hess[:, j, :, i, :] = block
     v = np.concatenate([loss[:, None], grad.reshape(len(live), -1), hess.reshape(len(live), -1)], 1)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(live)), pa.int32()), pa.array(list(v), pa.list_(pa.float64()))], ["f", "v"])
 
@@ -229,8 +239,8 @@ def predicted(x: np.ndarray, known_mean: np.ndarray, known_scale: np.ndarray, be
     return (a @ beta.reshape(-1, beta.shape[-1]).T).reshape(len(a), *beta.shape[:-1])
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], folds: int, mean: np.ndarray, scale: np.ndarray, linear: np.ndarray | None, logit: np.ndarray | None, forest, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """(row_idx, t0, fwd_log_ret, f, role, model, score) of each use of each row by each of ``names``."""
+def score_batches(batches: Iterator[pa.RecordBatch], folds: int, mean: np.ndarray, scale: np.ndarray, linear: np.ndarray | None, logit: np.ndarray | None, forest, names: Sequence[str], roles: Sequence[str] = ("train", "test")) -> Iterator[pa.RecordBatch]:
+    """(row_idx, t0, fwd_log_ret, f, role, model, score) of each use in ``roles`` of each row by each of ``names``."""
     for part, rows in chunks(batches, folds, 8):
         scores = {}
         if "lin_reg" in names:
@@ -240,13 +250,13 @@ def score_batches(batches: Iterator[pa.RecordBatch], folds: int, mean: np.ndarra
         if forest is not None:
             margins = forest.margins(rows.x)
             scores["gbt_cls"], scores["gbt_reg"] = softmax(margins[:, :, :CLASSES])[:, :, 0], margins[:, :, CLASSES]
-        q, f = np.nonzero(rows.roles)
-        at = pa.array(q)
+        q, f = np.nonzero(np.isin(rows.roles, [TRAIN if r == "train" else TEST for r in roles]))
+        at, role = pa.array(q), pa.array(["train", "test"]).take(pa.array(rows.roles[q, f] - TRAIN))
         for name in names:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("row_idx").take(at), part.column("t0").take(at), part.column("r").take(at), pa.array(f, pa.int32()),
-                    pa.array(np.where(rows.roles[q, f] == TRAIN, "train", "test").tolist(), pa.string()), pa.array([name] * len(q), pa.string()), pa.array(scores[name][q, f]),
+                    role, pa.repeat(pa.scalar(name), len(q)), pa.array(scores[name][q, f]),
                 ],
                 ["row_idx", "t0", "fwd_log_ret", "f", "role", "model", "score"],
             )
@@ -257,9 +267,9 @@ def fold_of(folds: Sequence[int]) -> Column:
     return F.element_at(F.array(*map(F.lit, folds)), F.col("f") + 1)
 
 
-def scored(table: DataFrame, folds: Sequence[int], d: int, names: Sequence[str], forest=None, penalty: float = 1.0) -> DataFrame:
-    """(row_idx, t0, fwd_log_ret, fold, role, model, score) of each use of each row: the prediction of a regression, the
-    probability of the lowest class of a classifier. No folds give no rows."""
+def scored(table: DataFrame, folds: Sequence[int], d: int, names: Sequence[str], forest=None, penalty: float = 1.0, roles: Sequence[str] = ("train", "test")) -> DataFrame:
+    """(row_idx, t0, fwd_log_ret, fold, role, model, score) of each use of each row in one of ``roles``: the prediction of a
+    regression, the probability of the lowest class of a classifier. No folds give no rows."""
     n = len(folds)
     kinds = f"row_idx {dict(table.dtypes)['row_idx']}, t0 {dict(table.dtypes)['t0']}, fwd_log_ret double, f int, role string, model string, score double"
     if not n:
@@ -267,5 +277,5 @@ def scored(table: DataFrame, folds: Sequence[int], d: int, names: Sequence[str],
     known = Statistics(table, n, d)
     linear = least_squares(known) if "lin_reg" in names else None
     logit = softmax_regression(table, n, known, penalty) if "logit_cls" in names else None
-    out = table.mapInArrow(shipped(__name__, "score_batches", folds=n, mean=known.mean, scale=known.scale, linear=linear, logit=logit, forest=forest, names=list(names)), kinds)
+    out = table.mapInArrow(shipped(__name__, "score_batches", folds=n, mean=known.mean, scale=known.scale, linear=linear, logit=logit, forest=forest, names=list(names), roles=list(roles)), kinds)
     return out.select("row_idx", "t0", "fwd_log_ret", fold_of(folds).alias("fold"), "role", "model", "score")
