@@ -109,3 +109,19 @@ def test_counts_are_not_broadcast(spark, folder):
     """Repeated counts of millions of rows are a file of few bytes; only tables of a row a file, base or fold are broadcast."""
     plan = published.read_backtests(spark, folder[0] + "/EUR*", compat=True).filter("scheme = 'CPCV'")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def test_a_fold_may_be_several_rows(spark, tmp_path):
+    """Lists in spans, the first of which tests nothing; part files and lists of a written backtest do not change what is read."""
+    at = pd.date_range("2024-01-02", periods=60, freq="h", name="t0")
+    pd.DataFrame({"a": np.arange(60.0)}, index=at).to_parquet(tmp_path / "EUR_USD_s_WF_M.parquet")
+    spans = [(1, range(20), []), (1, [], range(20, 40)), (2, range(40), range(40, 60))]
+    pd.DataFrame([{"fold": f, "train_idx": list(a), "test_idx": list(b)} for f, a, b in spans]).to_parquet(tmp_path / "EUR_USD_s_WF_split.parquet")
+    rows = published.read_backtests(spark, str(tmp_path)).collect()
+    assert sorted((r.row_idx, r.ret) for r in rows) == [(i, i + 20.0) for i in range(40)]
+    from tidemill import registry
+
+    written = [registry._published(spark, "/root/testdata/sf0.001", most) for most in (130, 10**6)]
+    parts, whole = (sorted(map(tuple, published.read_backtests(spark, w, compat=True).collect())) for w in written)
+    assert parts == whole and parts
+    assert spark.read.parquet(f"{written[0]}/EUR_USD_a_CPCV_split.parquet").filter("size(train_idx) > 130 or size(test_idx) > 130").count() == 0
