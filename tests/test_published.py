@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemill import frames
 from tidemill.functions import normal
-from tidemill.plans import backtest
+from tidemill.operators import cv
+from tidemill.plans import adapters, backtest
 from tidemill.sources import published
+from tidemill.sources.sinks import wide
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +127,38 @@ def test_a_fold_may_be_several_rows(spark, tmp_path):
     parts, whole = (sorted(map(tuple, published.read_backtests(spark, w, compat=True).collect())) for w in written)
     assert parts == whole and parts
     assert spark.read.parquet(f"{written[0]}/EUR_USD_a_CPCV_split.parquet").filter("size(train_idx) > 130 or size(test_idx) > 130").count() == 0
+
+
+@pytest.mark.parametrize("most", [None, 7, 50])
+def test_lists_of_kinds_are_those_of_splits(spark, most):
+    """Lists put together by kinds of rows, purged or not, equal those of splits row by row; a place is shuffled once, by its span."""
+    rows = spark.range(100).select(F.col("id").alias("row_idx"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("t0"))
+    rows = rows.withColumn("t_end", F.col("t0") + F.expr("interval '0 00:01:00' day to second") * (F.col("row_idx") % 9))
+    given = [((rows, 100, 5), cv.walk_forward, cv.walk_forward_kinds, {}), ((rows, 100, 6, 12), cv.cpcv, cv.cpcv_kinds, {})]
+    given += [((rows, 100, 6), cv.cpcv, cv.cpcv_kinds, k) for k in ({"purge": 90, "embargo": 200}, {"purge_rows": 3, "embargo_share": 0.05})]
+    for args, flat, by_kinds, more in given:
+        splits, (kinds, uses) = flat(*args, **more), by_kinds(*args, **more)
+        lists = cv.lists_of_kinds(kinds, uses, most, 4)
+        plan = lists._jdf.queryExecution().executedPlan().toString()
+        got, want = lists.collect(), cv.split_lists(splits, most or 1000).collect()
+        order = [(r.part, r.fold) for r in got]
+        assert order == sorted(order) and len(order) == len(set(order))
+        assert {(r.part, r.fold): r.asDict() for r in got} == {(r.part, r.fold): r.asDict() for r in want}
+        assert sorted(cv.counts_of_kinds(kinds, uses).collect()) == sorted(cv.test_counts(splits).collect())
+        assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan and "explode" not in plan
+
+
+def test_a_written_matrix_is_not_pivoted(spark, sf_dir):
+    """A row an event from the start equals the pivoted matrix, without a shuffle."""
+    names = list(adapters.STRATEGIES)
+    got, want = adapters.wide_matrix(spark, sf_dir), wide(adapters.return_matrix(spark, sf_dir), ["row_idx", "t0"], "strategy", "ret", names)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_read_by_compiled_code(spark, folder):
+    """Neither functions over a row's cells nor the base's name are evaluated row by row."""
+    plan = published.read_backtests(spark, folder[0] + "/EUR*")._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
+    tops = [line for line in plan.splitlines() if "strategy" in line and "Project" in line]
+    assert tops and not any("substring_index" in line for line in tops)

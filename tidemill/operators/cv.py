@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from tidemill.frames import numbered
 
+#: For each kind of rows, all of which are used alike: the folds that use it, with the role.
+Uses = list[list[tuple[int, str]]]
+
 
 def contiguous_runs(df: DataFrame, by: Sequence[str], index: str = "row_idx") -> DataFrame:
     """(by, start, stop): runs of neighbouring whole numbers; repeats count once."""
@@ -57,6 +60,14 @@ def walk_forward(df: DataFrame, n: int, folds: int = 5, index: str = "row_idx")
     return df.select(F.explode(F.filter(F.array(*use), lambda x: x.isNotNull())).alias("x"), i.alias(index)).select("x.*", index)
 
 
+def walk_forward_kinds(df: DataFrame, n: int, folds: int = 5, index: str = "row_idx") -> tuple[DataFrame, Uses]:
+    """``walk_forward`` by kinds of rows: (row_idx, _kind), and the uses of each kind. Kind 0 is before all tests, kind k in the k-th."""
+    start, stop = walk_forward_bounds(n, folds)[0][1:]
+    kind = F.least(F.greatest(F.floor((F.col(index) - start) / (stop - start)) + 1, F.lit(0)), F.lit(folds + 1)).cast("int")
+    uses = [[(f, "test" if f == k else "train") for f in range(max(k, 1), folds + 1)] for k in range(folds + 2)]
+    return df.select(F.col(index).alias("row_idx"), kind.alias("_kind")), uses
+
+
 def cpcv(df: DataFrame, n: int, blocks: int = 6, most: int | None = None, purge: float | None = None, embargo: float = 0.0, t0: str = "t0", t_end: str = "t_end", index: str = "row_idx", end: str = "last", purge_rows: int = 0, embargo_share: float = 0.0, drop_remainder: bool = False) -> DataFrame:
     """(fold, role, row_idx): each choice of half the blocks, in order, is a training set and the rest its test.
 
@@ -65,6 +76,18 @@ def cpcv(df: DataFrame, n: int, blocks: int = 6, most: int | None = None, purge:
     'last', or the 'max'. Without, ``purge_rows`` around each test block go, and ``embargo_share`` of all rows after the
     last test row. Folds without training rows are left out before the first ``most`` are taken.
     """
+    out, _ = _cpcv(df, n, blocks, most, purge, embargo, t0, t_end, index, end, purge_rows, embargo_share, drop_remainder)
+    return out.select(F.explode("_uses").alias("x"), "row_idx").select("x.*", "row_idx")
+
+
+def cpcv_kinds(df: DataFrame, n: int, blocks: int = 6, most: int | None = None, purge: float | None = None, embargo: float = 0.0, t0: str = "t0", t_end: str = "t_end", index: str = "row_idx", end: str = "last", purge_rows: int = 0, embargo_share: float = 0.0, drop_remainder: bool = False) -> tuple[DataFrame, Uses]:
+    """``cpcv`` by kinds of rows: (row_idx, _kind), and the uses of each kind."""
+    out, uses = _cpcv(df, n, blocks, most, purge, embargo, t0, t_end, index, end, purge_rows, embargo_share, drop_remainder)
+    return out.select("row_idx", "_kind"), uses
+
+
+def _cpcv(df: DataFrame, n: int, blocks: int, most: int | None, purge: float | None, embargo: float, t0: str, t_end: str, index: str, end: str, purge_rows: int, embargo_share: float, drop_remainder: bool) -> tuple[DataFrame, Uses]:
+    """(row_idx, _kind, _uses), and the uses of each kind."""
     if drop_remainder and n % blocks:
         raise ValueError("blocks do not cover all rows")
     combos = list(combinations(range(blocks), blocks // 2))
@@ -102,11 +125,12 @@ def cpcv(df: DataFrame, n: int, blocks: int = 6, most: int | None = None, purge:
     dangers = [{place[x] for x in own} for own in mine]
     count = [sum(c for b, _, gone, c in found if b in own and not gone & danger) for own, danger in zip(map(set, combos), dangers, strict=True)]
     folds = [(k, set(combos[k]), dangers[k]) for k, c in enumerate(count) if c][:most]
-    uses = [[{"fold": f + 1, "role": "train" if b in own else "test"} for f, (_, own, danger) in enumerate(folds) if b not in own or not gone & danger] for b, _, gone, _ in found]
+    uses = [[(f + 1, "train" if b in own else "test") for f, (_, own, danger) in enumerate(folds) if b not in own or not gone & danger] for b, _, gone, _ in found]
     use = pa.list_(pa.struct([("fold", pa.int32()), ("role", pa.string())]))
-    table = pa.table([pa.array([b for b, *_ in found], pa.int32()), pa.array([x for _, x, *_ in found], pa.string()), pa.array(uses, use)], ["_block", "_lost", "_uses"])
+    cells = pa.array([[{"fold": f, "role": role} for f, role in own] for own in uses], use)
+    table = pa.table([pa.array([b for b, *_ in found], pa.int32()), pa.array([x for _, x, *_ in found], pa.string()), pa.array(range(len(found)), pa.int32()), cells], ["_block", "_lost", "_kind", "_uses"])
     out = rows.join(F.broadcast(df.sparkSession.createDataFrame(table)), ["_block", "_lost"])  # as many rows as kinds
-    return out.select(F.explode("_uses").alias("x"), "row_idx").select("x.*", "row_idx")
+    return out.select("row_idx", "_kind", "_uses"), uses
 
 
 def _neighbours(numbers: list[int]) -> list[list[int]]:
@@ -125,9 +149,34 @@ def split_lists(splits: DataFrame, most: int | None = None) -> DataFrame:
     has the places of one span of that many, ``part``, so that no row, group or task holds a whole fold of a large table."""
     of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("row_idx"))))
     by = ["fold"] if most is None else ["fold", F.floor(F.col("row_idx") / most).cast("int").alias("part")]
-    rows = splits.groupBy(*by).agg(of("train").alias("train_idx"), of("test").alias("test_idx"))
+    return _with_ends(splits.groupBy(*by).agg(of("train").alias("train_idx"), of("test").alias("test_idx")))
+
+
+def _with_ends(lists: DataFrame) -> DataFrame:
     ends = [f(f"{r}_idx").alias(f"{r}_{n}") for r in ("train", "test") for f, n in ((F.array_min, "start"), (F.array_max, "end"))]
-    return rows.select("*", *ends, F.size("train_idx").alias("n_train"), F.size("test_idx").alias("n_test"))
+    return lists.select("*", *ends, F.size("train_idx").alias("n_train"), F.size("test_idx").alias("n_test"))
+
+
+def lists_of_kinds(rows: DataFrame, uses: Uses, most: int | None = None, parts: int = 1) -> DataFrame:
+    """``split_lists`` of rows (row_idx, _kind), always with ``part``: 0 without ``most``. Spans are dealt in order over ``parts`` partitions,
+    in which rows are in the order of spans, then of folds.
+
+    A place is shuffled and sorted once, however many folds use it: folds put the lists of kinds together where the span is.
+    """
+    used = [(k, fold, role) for k, own in enumerate(uses) for fold, role in own]
+    table = rows.sparkSession.createDataFrame(used, "_kind int, fold int, role string")
+    part = F.floor(F.col("row_idx") / (most or 1 << 62)).cast("int").alias("part")
+    ids = rows.select(part, "_kind", "row_idx").repartitionByRange(parts, "part").groupBy("part", "_kind").agg(F.sort_array(F.collect_list("row_idx")).alias("_ids"))
+    used = ids.join(F.broadcast(table), "_kind")  # a row a kind and fold
+    of = lambda role: F.sort_array(F.flatten(F.collect_list(F.when(F.col("role") == role, F.col("_ids")))))
+    lists = used.groupBy("part", "fold").agg(of("train").alias("train_idx"), of("test").alias("test_idx"))
+    return _with_ends(lists).sortWithinPartitions("part", "fold")
+
+
+def counts_of_kinds(rows: DataFrame, uses: Uses) -> DataFrame:
+    """``test_counts`` of rows (row_idx, _kind), each of another place."""
+    tests = F.lit([sum(role == "test" for _, role in own) for own in uses]).cast("array<bigint>")
+    return rows.select("row_idx", F.get(tests, F.col("_kind")).alias("n")).filter("n > 0")
 
 
 def test_counts(splits: DataFrame) -> DataFrame:

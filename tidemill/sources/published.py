@@ -53,7 +53,7 @@ def _time(rows: DataFrame, time: str | None) -> str:
 
 
 def _matrix(spark: SparkSession, files: list[str], scheme: str, time: str | None, first: DataFrame | None = None, n: DataFrame | None = None) -> DataFrame:
-    """(base, scheme, row_idx, t0, strategy, ret); rows before ``first`` (base, first) are left out, unless that would leave none,
+    """(base, pair, scheme, row_idx, t0, strategy, ret); rows before ``first`` (base, first) are left out, unless that would leave none,
     and the others numbered anew; returns are divided by ``n`` (base, row_idx, n). Rows are joined while they are wide."""
     rows = placed(spark, files)
     time = _time(rows, time)
@@ -61,9 +61,9 @@ def _matrix(spark: SparkSession, files: list[str], scheme: str, time: str | None
     at = F.when(at.isNull(), F.raise_error(F.lit("a row without a time")).cast("timestamp_ntz")).otherwise(at).alias("t0")
     names = [c for c, k in rows.dtypes if k in NUMBERS and c not in ("_place", time)]
     values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in names]
-    # strategies that a base has: other bases' columns are null in all of its rows
-    own = F.filter(F.array(*(F.when(F.count(F.col(f"`{c}`")) > 0, F.lit(c)) for c in names)), lambda c: c.isNotNull()) if names else F.array().cast("array<string>")
-    known = rows.groupBy("_base").agg(own.alias("_own"), F.max("_place").alias("_last"))  # a row a base
+    # whether a base has a strategy: other bases' columns are null in all of its rows
+    own = F.array(*(F.count(F.col(f"`{c}`")) > 0 for c in names)).cast("array<boolean>")
+    known = rows.groupBy("_base").agg(own.alias("_own"), F.max("_place").alias("_last")).withColumn("_pair", pair_of_base(F.col("_base")))  # a row a base
     rows = rows.select("_base", "_place", at, *(v.alias(f"_v{i}") for i, v in enumerate(values)))
     values, place = [F.coalesce(f"_v{i}", F.lit(0.0)) for i in range(len(names))], F.col("_place")
     if first is not None:
@@ -80,9 +80,11 @@ def _matrix(spark: SparkSession, files: list[str], scheme: str, time: str | None
         times = n.select(F.col("base").alias("_base"), F.col("row_idx").alias("_place"), "n").hint("merge")
         rows = rows.join(times, ["_base", "_place"], "left")
         values = [F.when(~F.col("_counted"), v).when(F.col("n") > 0, v / F.col("n")).otherwise(0.0) for v in values]
-    cells = [F.struct(F.lit(c).alias("strategy"), v.alias("ret")) for c, v in zip(names, values, strict=True)]
-    cells = F.filter(F.array(*cells), lambda x: F.array_contains("_own", x["strategy"])) if cells else F.array().cast("array<struct<strategy:string,ret:double>>")
-    return rows.select(F.col("_base").alias("base"), F.lit(scheme).alias("scheme"), place.alias("row_idx"), "t0", F.explode(cells).alias("x")).select("base", "scheme", "row_idx", "t0", "x.*")
+    # compiled, as a filter with a function over a row's cells would not be
+    cells = [F.when(F.col("_own")[i], F.struct(F.lit(c).alias("strategy"), v.alias("ret"))) for i, (c, v) in enumerate(zip(names, values, strict=True))]
+    cells = F.array(*cells).cast("array<struct<strategy:string,ret:double>>")
+    out = rows.select(F.col("_base").alias("base"), F.col("_pair").alias("pair"), F.lit(scheme).alias("scheme"), place.alias("row_idx"), "t0", F.explode(cells).alias("x"))
+    return out.filter("x is not null").select("base", "pair", "scheme", "row_idx", "t0", "x.*")
 
 
 def first_tests(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -123,4 +125,4 @@ def read_backtests(spark: SparkSession, folder: str, time: str | None = None, co
         out = m if out is None else out.unionByName(m)
     if out is None:
         raise ValueError(f"no backtests below {folder}")
-    return out.select("base", pair_of_base(F.col("base")).alias("pair"), "scheme", "row_idx", "t0", "strategy", "ret")
+    return out
